@@ -70,14 +70,14 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t\\n\\x0B\\f\\r]+"))
 
 
-def scan(values: Column, op, block: int = 128) -> Column:
-    """Inclusive running op (associative) over an array of longs.
+def scan(values: Column, op, kind: str = "array<bigint>", block: int = 128) -> Column:
+    """Inclusive running op (associative) over an array of the given type.
 
     Two levels of blocks keep the cost of appending near n * block instead of n * n.
     """
 
     def run(xs: Column) -> Column:
-        empty = F.array().cast("array<bigint>")
+        empty = F.array().cast(kind)
         grow = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(op(F.element_at(acc, -1), x))))
         return F.aggregate(xs, empty, grow)
 
