@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, quality_rules, secrets
+from . import bpe, fingerprint, packing, quality_rules, secrets
 from .common import table
 
 
@@ -22,8 +22,23 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file is; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op5_quality_rules, op9_secret_scans)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op5_quality_rules, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
 
 
 def oracle_sql() -> dict[str, str]:
