@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, packing, quality_rules, secrets
+from . import bpe, fingerprint, packing, quality_rules, secrets, warc
 from .common import table
 
 
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,8 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op5_quality_rules, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_warc_zstd, op5_quality_rules, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.SQL}
+    return {"op2_warc_zstd": warc.SQL, "op5_quality_rules": quality_rules.SQL}
