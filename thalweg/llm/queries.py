@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, packing, quality_rules, secrets, warc
+from . import bpe, fingerprint, htmltext, ordinal, packing, quality_rules, quotes, secrets, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,14 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.ordered(table(spark, sf_dir, "conversations"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def tokenizer(name: str) -> str:
     """Where a public vocabulary file is; the operators take any path."""
     import public_tokenizers
@@ -42,7 +54,7 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_warc_zstd, op5_quality_rules, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_warc_zstd, op3_quality_classifier, op5_quality_rules, op6_quotation_linking, op7_html_extraction, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
 
 
 def oracle_sql() -> dict[str, str]:
