@@ -17,6 +17,7 @@ Null or empty text: no ids, decoded to the empty text. Repeated rows: one result
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,9 +32,12 @@ WINDOW = 12
 #: Code points in a chunk on average; a power of two.
 CHUNK = 512
 #: Entries kept in a worker: words (each under WORD_MOST characters) and chunks (two generations).
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
+CORES_KEPT = 250_000
 WORD_MOST = 64
 CHUNKS_KEPT = 4000
+#: Marks that often follow a word and are one pre-token there.
+MARKS = frozenset(".,!?;:")
 SPLIT = re.compile("[ \n]")
 
 
@@ -59,21 +63,49 @@ class ChunkCodec:
     """Encodes to decimal ids joined by a space, with the decoded text beside them."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # batches are small and every core has a task
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.words: dict[str, tuple[str, str]] = {"": ("", "")}
+        self.cores: dict[str, tuple[str, str]] = {}
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.reused = self.made = 0
 
+    def library(self, words: list[str]) -> Iterator[tuple[str, str]]:
+        for e in self.lib.encode_batch_fast(words, add_special_tokens=False):
+            yield " ".join(map(str, e.ids)), self.lib.decode(e.ids, skip_special_tokens=False)
+
     def fresh(self, words: list[str]) -> None:
-        """Encode words with the library; `self.words` then has them (long words only until `trim`)."""
-        for w, e in zip(words, self.lib.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.words[w] = (" ".join(map(str, ids)), self.lib.decode(ids, skip_special_tokens=False))
+        """Encode words into `self.words`: Latin letters with at most one mark behind from their lower-case letters.
+
+        Letters and the mark are pre-tokens of their own and lower case is what the library makes of
+        them, so those parts' encodings are the word's; other words go to the library as they are.
+        """
+        cores, whole, need = self.cores, [], {}
+        for w in words:
+            mark = w[-1] if w[-1] in MARKS else ""
+            core = (w[:-1] if mark else w).lower()
+            if core.isalpha() and max(core) <= "\xff":
+                need[w] = core, mark
+            else:
+                whole.append(w)
+        if missing := [c for c in {c for x in need.values() for c in x if c} if c not in cores]:
+            if len(cores) > CORES_KEPT:
+                cores.clear()  # the cores of the words at hand are made anew
+                missing = list({c for x in need.values() for c in x if c})
+            cores.update(zip(missing, self.library(missing), strict=True))
+        for w, (core, mark) in need.items():
+            ids, dec = cores[core]
+            if mark:
+                i, d = cores[mark]
+                ids, dec = f"{ids} {i}", f"{dec} {d}"
+            self.words[w] = ids, dec
+        if whole:
+            self.words.update(zip(whole, self.library(whole), strict=True))
 
     def stretch(self, text: str) -> tuple[list[str], list[str]]:
         """Ids and decoded words of text that begins and ends at white space or an end of the document."""
