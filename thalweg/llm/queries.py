@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, htmltext, ordinal, packing, quality_rules, quotes, secrets, warc
+from . import bpe, fingerprint, htmltext, ordinal, packing, quality_rules, quotes, secrets, setjoin, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_warc_zstd, op3_quality_classifier, op5_quality_rules, op6_quotation_linking, op7_html_extraction, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op2_warc_zstd, op3_quality_classifier, op4_ngram_jaccard_join, op5_quality_rules, op6_quotation_linking, op7_html_extraction, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
 
 
 def oracle_sql() -> dict[str, str]:
