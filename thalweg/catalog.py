@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import queries_profile
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _part in (queries_profile,):
+    QUERIES |= _part.Q
+    ORACLE_SQL |= _part.O
