@@ -58,19 +58,19 @@ def w5(spark, d):
 
 
 @query("w6_densify", sql(""", e AS (SELECT cat, min(s) AS lo, max(s) AS hi, greatest(ceil((max(s) - min(s)) / 20000.0) + 1, 2) AS n FROM vertices GROUP BY cat),
-st AS (SELECT cat, lo, hi, n, unnest(range(CAST(n AS BIGINT))) AS k FROM e), stp AS (SELECT cat, k, CASE WHEN k = n - 1 THEN hi ELSE lo + k * ((hi - lo) / (n - 1)) END AS at FROM st),
+st AS (SELECT cat, lo, hi, n, unnest(range(CAST(n AS BIGINT))) AS k FROM e), stp AS (SELECT cat, k, CASE WHEN k = n - 1 THEN hi ELSE lo + k * ((hi - lo) / (n - 1)) END AS at_ FROM st),
 iv AS (SELECT cat, s, z, lead(s) OVER w AS s2, lead(z) OVER w AS z2 FROM vertices WINDOW w AS (PARTITION BY cat ORDER BY s)),
-j AS (SELECT stp.cat, k, at, z + (at - s) / (s2 - s) * (z2 - z) AS z, row_number() OVER (PARTITION BY stp.cat, k ORDER BY s DESC) AS rn FROM stp JOIN iv ON stp.cat = iv.cat AND at >= s AND at <= s2 AND s2 > s)
-SELECT cat, CAST(k AS BIGINT) AS seq, round(at, 4) AS s, round(z, 4) AS z FROM j WHERE rn = 1""", "vertices"))
+j AS (SELECT stp.cat, k, at_, z + (at_ - s) / (s2 - s) * (z2 - z) AS z, row_number() OVER (PARTITION BY stp.cat, k ORDER BY s DESC) AS rn FROM stp JOIN iv ON stp.cat = iv.cat AND at_ >= s AND at_ <= s2 AND s2 > s)
+SELECT cat, CAST(k AS BIGINT) AS seq, round(at_, 2) AS s, round(z, 3) AS z FROM j WHERE rn = 1""", "vertices"))
 def w6(spark, d):
-    return S.densify(vertices(spark, d), 20000.0, ["z"]).select("cat", "seq", F.round("s", 4).alias("s"), F.round("z", 4).alias("z"))
+    return S.densify(vertices(spark, d), 20000.0, ["z"]).select("cat", "seq", F.round("s", 2).alias("s"), F.round("z", 3).alias("z"))
 
 
 @query("w12_coarsen", sql(""", e AS (SELECT cat, min(s) AS lo, max(s) AS hi, greatest(1, round_even(0.1 * count(*), 0)) AS m FROM vertices GROUP BY cat HAVING count(*) >= 3),
-st AS (SELECT cat, lo, hi, m, unnest(range(1, CAST(m AS BIGINT) + 1)) AS k FROM e), stp AS (SELECT cat, m, k, lo + k * ((hi - lo) / (m + 1)) AS at FROM st),
+st AS (SELECT cat, lo, hi, m, unnest(range(1, CAST(m AS BIGINT) + 1)) AS k FROM e), stp AS (SELECT cat, m, k, lo + k * ((hi - lo) / (m + 1)) AS at_ FROM st),
 iv AS (SELECT cat, s, z, lead(s) OVER w AS s2, lead(z) OVER w AS z2 FROM vertices WINDOW w AS (PARTITION BY cat ORDER BY s)),
-j AS (SELECT stp.cat, m, k, at, z + (at - s) / (s2 - s) * (z2 - z) AS z, row_number() OVER (PARTITION BY stp.cat, k ORDER BY s DESC) AS rn FROM stp JOIN iv ON stp.cat = iv.cat AND at >= s AND at <= s2 AND s2 > s)
-SELECT cat, CAST(m AS BIGINT) - k AS seq, round(at, 4) AS s, round(z, 4) AS z FROM j WHERE rn = 1""", "vertices"))
+j AS (SELECT stp.cat, m, k, at_, z + (at_ - s) / (s2 - s) * (z2 - z) AS z, row_number() OVER (PARTITION BY stp.cat, k ORDER BY s DESC) AS rn FROM stp JOIN iv ON stp.cat = iv.cat AND at_ >= s AND at_ <= s2 AND s2 > s)
+SELECT cat, CAST(m AS BIGINT) - k AS seq, round(at_, 4) AS s, round(z, 4) AS z FROM j WHERE rn = 1""", "vertices"))
 def w12(spark, d):
     return S.coarsen(vertices(spark, d), 0.1, ["z"]).select("cat", "seq", F.round("s", 4).alias("s"), F.round("z", 4).alias("z"))
 
@@ -144,8 +144,8 @@ def sa7(spark, d):
     return A.snap_dedup(points(spark, d, "customer").withColumn("R", (F.col("id") * 31 % 101) / 100), 50.0)
 
 
-@query("x8_area_survival", sql(""", v AS (SELECT CAST(o_custkey % 400 + 1 AS DOUBLE) AS A FROM orders), e AS (SELECT log10(min(A)) AS lo, log10(max(A)) AS hi, count(*) AS n FROM v),
-ks AS (SELECT CAST(k AS INT) AS k, lo + k * ((hi - lo) / 59) AS la, n FROM e, range(60) t(k)) SELECT k, round(power(10, la), 4) AS a, round((SELECT count(*) FROM v WHERE log10(A) >= la - 1e-9) / n, 8) AS p FROM ks"""[1:].replace(" v AS", "WITH v AS", 1)))
+@query("x8_area_survival", """WITH v AS (SELECT CAST(o_custkey % 400 + 1 AS DOUBLE) AS A FROM orders), e AS (SELECT log10(min(A)) AS lo, log10(max(A)) AS hi, count(*) AS n FROM v),
+ks AS (SELECT CAST(k AS INT) AS k, lo + k * ((hi - lo) / 59) AS la, n FROM e, range(60) t(k)) SELECT k, round(power(10, la), 4) AS a, round((SELECT count(*) FROM v WHERE log10(A) >= la - 1e-9) / n, 8) AS p FROM ks""")
 def x8(spark, d):
     v = table(spark, d, "orders").select((F.col("o_custkey") % 400 + 1).cast("double").alias("A"))
     return A.area_survival(v).select("k", F.round("a", 4).alias("a"), F.round("p", 8).alias("p"))
