@@ -53,7 +53,8 @@ def distances(seg: DataFrame) -> DataFrame:
         j = cur.join(to, F.col("next") == F.col("c2"), "left")
         return j.select("cat", F.col("n2").alias("next"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
 
-    return fixpoint(start, step, "next IS NOT NULL").select("cat", "s", "depth", "root")
+    rounds = max(2, seg.count().bit_length() + 1)  # no path without a cycle is longer than the segments are many
+    return fixpoint(start, step, "next IS NOT NULL", rounds).select("cat", "s", "depth", "root")
 
 
 def ancestors(seg: DataFrame, cat: int) -> DataFrame:

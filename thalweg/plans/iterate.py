@@ -25,11 +25,20 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that keep() gave and that nothing will read again."""
+    session = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/thalweg-" in f}:
+        at = session._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(session._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fixpoint(df: DataFrame, step: Callable[[DataFrame], DataFrame], open_rows: str, most: int = 64) -> DataFrame:
     """Repeat step until no row meets `open_rows`; a doubling step needs log2 of the longest path."""
     cur = keep(df)
     for _ in range(most):
         if not cur.filter(open_rows).limit(1).count():
             return cur
-        cur = keep(step(cur))
+        done, cur = cur, keep(step(cur))
+        drop(done)
     raise ValueError(f"rows are still open after {most} rounds: the graph has a cycle")
