@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import queries_network, queries_profile
+from .plans import queries_diagnostics, queries_network, queries_profile
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (queries_profile, queries_network):
+for _part in (queries_profile, queries_network, queries_diagnostics):
     QUERIES |= _part.Q
     ORACLE_SQL |= _part.O
