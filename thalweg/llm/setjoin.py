@@ -227,16 +227,31 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, n int, cells array<bigint>, tokens array<bigint>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose sets are similar enough; sets as from `set_rows`."""
-    side = lambda x, *cols: sets.select(F.col("doc").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+def maybe_similar(percent: int):
+    """Condition on n_a, n_b, cells_a and cells_b that every similar pair meets.
+
+    |A ^ B| <= (|A| + |B|) (1 - t) / (1 + t), and the parities of A and B differ in no more cells than that.
+    """
     na, nb = F.col("n_a").cast("long"), F.col("n_b").cast("long")
     apart = sum((F.bit_count(F.get("cells_a", F.lit(i)).bitwiseXOR(F.get("cells_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    # |A ^ B| <= (|A| + |B|) (1 - t) / (1 + t), and the parities of A and B differ in no more cells than that
-    maybe = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
-    near = pairs.join(side("a", "n", "cells"), "a").join(side("b", "n", "cells"), "b").filter(maybe).select("a", "b").distinct()
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
+
+
+def side(sets: DataFrame, x: str, *cols: str) -> DataFrame:
+    return sets.select(F.col("doc").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+
+
+def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that their sketches don't rule out."""
+    both = pairs.join(side(sets, "a", "n", "cells"), "a").join(side(sets, "b", "n", "cells"), "b")
+    return both.filter(maybe_similar(percent)).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose whole sets are similar enough; sets as from `set_rows`."""
+    na, nb = F.col("n_a").cast("long"), F.col("n_b").cast("long")
     both = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    exact = near.join(side("a", "n", "tokens"), "a").join(side("b", "n", "tokens"), "b").withColumn("both", both)
+    exact = pairs.join(side(sets, "a", "n", "tokens"), "a").join(side(sets, "b", "n", "tokens"), "b").withColumn("both", both)
     return exact.filter((F.col("both") > 0) & (100 * F.col("both") >= percent * (na + nb - F.col("both")))).select("a", "b").distinct()
 
 
@@ -264,6 +279,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     """(doc_id, n_shingles, component_id) of every row."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
+    docs = docs.select("doc_id", "text")
     rows = docs.count()
     by_sig = signature_rows(docs, words, percent, 1 << max(4, rows.bit_length()))
     from pyspark.sql import Window
@@ -276,7 +292,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     some = shared.select("doc").distinct()
     sets = scratch.keep(set_rows(docs.join(some.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left_semi"), words), "sets")
 
-    links = scratch.keep(similar(shared.filter("doc <> first").groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b"), sets, percent), "links")
+    first = shared.filter("doc <> first").groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b")
+    links = scratch.keep(verified(sketched(first, sets, percent), sets, percent), "links")
     comps = components(links, scratch)
 
     def with_class(members: DataFrame) -> DataFrame:
@@ -290,12 +307,16 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             break
         if across:
             # A class's members need no trial with each other: those outside a signature's lowest class meet all other classes.
-            out = left.filter("comp > low").select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"))
-            pairs = out.join(left.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb")), "sig").filter("ca > cb").select("a", "b").distinct()
+            # The sketches are part of the join's condition: what it gives are pairs that are almost certainly similar.
+            known = sets.select(F.col("doc").alias("_d"), "n", "cells")
+            held = scratch.keep(left.join(known, F.col("doc") == F.col("_d")).select("sig", "doc", "comp", "low", "n", "cells"), "held")
+            out = held.filter("comp > low").select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
+            other = held.select(F.col("sig").alias("sig_b"), F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
+            pairs = out.join(other, (F.col("sig") == F.col("sig_b")) & (F.col("ca") > F.col("cb")) & maybe_similar(percent)).select("a", "b").distinct()
         else:
             firsts = left.groupBy("sig", "comp").agg(F.min("doc").alias("a"))  # one of each class
-            pairs = firsts.join(split.select("sig", F.col("low"), "one"), "sig").filter("comp > low AND a <> one").select("a", F.col("one").alias("b")).distinct()
-        found = scratch.keep(similar(pairs, sets, percent), "links")
+            pairs = sketched(firsts.join(split.select("sig", F.col("low"), "one"), "sig").filter("comp > low AND a <> one").select("a", F.col("one").alias("b")).distinct(), sets, percent)
+        found = scratch.keep(verified(pairs, sets, percent), "links")
         if found.limit(1).count():
             links = links.union(found)
             comps = components(links, scratch)
@@ -306,5 +327,5 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows with one of each class left, that with the smallest doc_id; rows without doc_id stay."""
     found = classes(docs.select("doc_id", "text"), words, percent)
-    drop = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_gone"), "left_anti")
+    drop = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(drop, F.col("doc_id") == F.col("__gone"), "left_anti")
