@@ -41,5 +41,5 @@ def test_policies_and_ablations(spark):
 
 def test_keep_and_empty(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", 5)], "doc_id long, text string, ql_failed int")
-    assert Q.keep(df.withColumnRenamed("ql_failed", "other")).columns == ["doc_id", "text", "other"]
+    assert [tuple(r)[2] for r in Q.keep(df).collect()] == [5]
     assert Q.digest(df.limit(0)).count() == 0

@@ -66,8 +66,12 @@ def measure(text: Column) -> Column:
     return let(words(text), of_words)
 
 
-def failures(m: Column) -> Column:
-    """Failure bits of a struct of measurements."""
+def failures(measures: Column) -> Column:
+    """Failure bits of a struct of measurements, which is evaluated once."""
+    return let(measures, _bits)
+
+
+def _bits(m: Column) -> Column:
     n = m["n_words"]
     tests = {
         "few_words": n < MIN_WORDS,
@@ -120,7 +124,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = "standard", version: int = 1) -> DataFrame:
     """The rows that pass a policy, with their own columns."""
-    return ledger(docs).filter(passes(F.col("ql_failed"), policy, version)).select(*docs.columns)
+    return docs.filter(passes(failures(measure(F.col("text"))), policy, version))
 
 
 #: The query as DuckDB SQL.

@@ -121,12 +121,14 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The given rows, secrets and linked parts masked in `text`; `n_chars`, where present, follows."""
-    out = scan_texts(docs)
-    new = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(masked(F.col("text"), F.col("sec_all")))
-    out = out.withColumn("text", new)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))  # own names can't clash
+    out = scan_texts(row)
+    hit = F.size("sec_all") > 0
+    out = out.withColumn("fresh", F.when(hit, masked(F.col("text"), F.col("sec_all"))).otherwise(F.col("text")))
+    fields = {"text": F.col("fresh")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("sec_all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        fields["n_chars"] = F.when(hit, F.length("fresh").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(fields.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
