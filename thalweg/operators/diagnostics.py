@@ -157,3 +157,49 @@ def wrap(v: DataFrame, window: int = 3, by: str = "cat") -> DataFrame:
     ax, ay, bx, by_ = F.col("_x") - F.lag("_x").over(w), F.col("_y") - F.lag("_y").over(w), F.lead("_x").over(w) - F.col("_x"), F.lead("_y").over(w) - F.col("_y")
     t = t.withColumn("_c", (ax * bx + ay * by_) / F.nullif(F.sqrt((ax * ax + ay * ay) * (bx * bx + by_ * by_)), F.lit(0.0)))
     return t.select(by, "seq", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_c")))).alias("angle"))
+
+
+def node_index(cells: DataFrame) -> DataFrame:
+    """(r, c, idx): rank of each cell in row-major order from 0: counts by row, summed over the rows, plus the place in the row."""
+    per = cells.groupBy("r").agg(F.count("*").alias("n"))
+    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("r", "before")
+    return cells.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("c")) - 1).join(before, "r").select("r", "c", (F.col("before") + F.col("k")).alias("idx"))
+
+
+def downstream_sum(nodes: DataFrame, term) -> DataFrame:
+    """(node, total): sum of a term (a column of nodes) over the path from each node to base level, the last node's left out."""
+    from ..plans.iterate import fixpoint
+
+    down = F.when(F.col("recv") != F.col("node"), F.col("recv"))
+    start = nodes.select("node", down.alias("jump"), F.when(down.isNotNull(), term).otherwise(0.0).alias("total"))
+
+    def step(cur: DataFrame) -> DataFrame:
+        to = cur.select(F.col("node").alias("n2"), F.col("jump").alias("j2"), F.col("total").alias("t2"))
+        return cur.join(to, F.col("jump") == F.col("n2"), "left").select("node", F.col("j2").alias("jump"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))
+
+    return fixpoint(start, step, "jump IS NOT NULL").drop("jump")
+
+
+def claimed_cells(nodes: DataFrame, mouths: DataFrame) -> DataFrame:
+    """(node, mouth): the catchment each cell belongs to; of nested ones that of the largest mouth (the smallest id of equal ones)."""
+    up = ancestor_closure(nodes, mouths).join(nodes.select(F.col("node").alias("top"), "ncontrib"), "top")
+    return up.groupBy("node").agg(F.max(F.struct("ncontrib", (-F.col("top")).alias("k"))).alias("b")).select("node", (-F.col("b.k")).alias("mouth"))
+
+
+def stream_corners(channel: DataFrame, ncols: int) -> DataFrame:
+    """(corner): corners that touch a channel cell (r, c)."""
+    at = F.explode(F.array(*((F.col("r") + i) * (ncols + 1) + F.col("c") + j for i in (0, 1) for j in (0, 1))))
+    return channel.select(at.alias("corner")).select(F.col("corner").cast("long").alias("corner")).distinct()
+
+
+def criteria_drift(t: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, median, cv): median and population coefficient of variation of a criterion at each resolution."""
+    return t.groupBy(by).agg(F.count("*").alias("n"), F.median(value).alias("median"), (F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0.0))).alias("cv"))
+
+
+def floodplain_cut(cells: DataFrame, flat: float = 1e-3, most: float = 0.4, bands: int = 50) -> DataFrame:
+    """One row: the lower end of the lowest elevation band (of `bands` equal shares) whose flat share is under `most`."""
+    cuts = cells.agg(F.percentile("z", [k / bands for k in range(bands + 1)]).alias("p"))
+    t = cells.crossJoin(F.broadcast(cuts)).withColumn("band", F.least(F.lit(bands - 1), F.size(F.filter("p", lambda x: x <= F.col("z"))) - 1))
+    per = t.groupBy("band").agg(F.avg((F.col("slope") < flat).cast("double")).alias("share"))
+    return per.filter(F.col("share") < most).agg(F.min("band").alias("band")).crossJoin(cuts).select("band", F.get("p", "band").alias("z"))

@@ -136,4 +136,58 @@ def ag16(spark, d):
     return routed(spark, d).agg(F.round(F.sum(length) / F.count("*"), 6).alias("density"))
 
 
+@query("d7_node_index", sql(" SELECT r, c, row_number() OVER (ORDER BY r, c) - 1 AS idx FROM cells", "cells"))
+def d7(spark, d):
+    return G.node_index(cells(spark, d))
+
+
+@query("x6_chi_to_base", sql(NODES + AREA + """, dn(node, at_, t) AS (SELECT node, recv, CASE WHEN recv = node THEN 0.0::DOUBLE ELSE CASE flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END * power(1000.0 / ncontrib, 0.525) END FROM full_
+UNION ALL SELECT d.node, n.recv, t + CASE n.flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END * power(1000.0 / n.ncontrib, 0.525) FROM dn d JOIN full_ n ON n.node = d.at_ WHERE n.recv <> n.node) SELECT node, round(max(t), 4) AS chi FROM dn GROUP BY node""", "cells", recursive=True))
+def x6(spark, d):
+    step = F.when(F.col("flc") == 2, F.sqrt(F.lit(2.0))).otherwise(1.0)
+    t = G.downstream_sum(routed(spark, d), step * F.pow(1000.0 / F.col("ncontrib"), F.lit(0.525)))
+    return t.select("node", F.round("total", 4).alias("chi"))
+
+
+@query("x11_claimed_catchments", sql(NODES + AREA + ", m AS (SELECT node FROM full_ WHERE ncontrib BETWEEN 6 AND 30) SELECT a.node, a.top AS mouth FROM anc a JOIN m ON m.node = a.top JOIN full_ f ON f.node = a.top QUALIFY row_number() OVER (PARTITION BY a.node ORDER BY f.ncontrib DESC, a.top) = 1", "cells", recursive=True))
+def x11(spark, d):
+    n = routed(spark, d)
+    return G.claimed_cells(n, n.filter("ncontrib BETWEEN 6 AND 30"))
+
+
+@query("x17_stream_corners", sql(NODES + AREA + " SELECT DISTINCT CAST((r + i) * 33 + c + j AS BIGINT) AS corner FROM full_, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) WHERE ncontrib >= 10", "cells", recursive=True))
+def x17(spark, d):
+    return G.stream_corners(routed(spark, d).filter("ncontrib >= 10"), 32)
+
+
+@query("x19_distance_to_channel", sql(NODES + AREA + " SELECT a.node AS id_a, round(min(sqrt(power(a.r - b.r, 2) + power(a.c - b.c, 2))), 6) AS d FROM full_ a JOIN full_ b ON b.ncontrib >= 10 AND sqrt(power(a.r - b.r, 2) + power(a.c - b.c, 2)) <= 6 GROUP BY a.node", "cells", recursive=True))
+def x19(spark, d):
+    from ..operators.evaluate import nearest
+
+    n = routed(spark, d).select(F.col("node").alias("id"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), "ncontrib")
+    return nearest(n, n.filter("ncontrib >= 10"), 6.0).select("id_a", F.round("d", 6).alias("d"))
+
+
+@query("x5_criteria_drift", "SELECT s_nationkey AS res, count(*) AS n, round(median(s_acctbal), 6) AS median, round(stddev_pop(s_acctbal) / nullif(avg(s_acctbal), 0), 6) AS cv FROM supplier GROUP BY s_nationkey")
+def x5(spark, d):
+    t = table(spark, d, "supplier").select(F.col("s_nationkey").alias("res"), F.col("s_acctbal").alias("v"))
+    return G.criteria_drift(t, "res", "v").select("res", "n", F.round("median", 6).alias("median"), F.round("cv", 6).alias("cv"))
+
+
+@query("v15_floodplain_cut", "WITH c AS (SELECT o_totalprice AS z, o_custkey % 10 / 4000.0 AS slope FROM orders), p AS (SELECT unnest(range(51)) AS k, unnest(q) AS q FROM (SELECT quantile_cont(z, [" + ", ".join(str(k / 50) for k in range(51)) + "]) AS q FROM c)), b AS (SELECT c.*, least(49, (SELECT count(*) FROM p WHERE p.q <= c.z) - 1) AS band FROM c), s AS (SELECT band, avg(CASE WHEN slope < 0.001 THEN 1.0 ELSE 0.0 END) AS share FROM b GROUP BY band), m AS (SELECT min(band) AS band FROM s WHERE share < 0.4) SELECT CAST(m.band AS INT) AS band, round(p.q, 4) AS z FROM m JOIN p ON p.k = m.band")
+def v15(spark, d):
+    t = table(spark, d, "orders").select(F.col("o_totalprice").alias("z"), (F.col("o_custkey") % 10 / 4000.0).alias("slope"))
+    return G.floodplain_cut(t).select(F.col("band").cast("int").alias("band"), F.round("z", 4).alias("z"))
+
+
+@query("j15_basin_cells", sql(NODES + LAB + " SELECT lab, count(*) AS n, min(node) AS first FROM lab GROUP BY lab", "cells", recursive=True))
+def j15(spark, d):
+    return labels(spark, d).groupBy("lab").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+
+
+@query("v8_slope_area_filters", sql(CLOUD + " SELECT cat, CAST(seq AS INT) AS seq, round(la, 6) AS logA FROM cl WHERE ls >= log10(0.0001) AND la <= log10(40)", "vertices"))
+def v8(spark, d):
+    return A.cloud(vertices(spark, d), min_slope=1e-4, max_area=40.0).select("cat", "seq", F.round("logA", 6).alias("logA"))
+
+
 assert nodes
