@@ -39,8 +39,9 @@ def test_held_out_accuracy(spark):
 
 def test_thresholds_are_ordered():
     r = np.random.default_rng(0)
-    rows = [(int(g), np.array([g * 10 + k for k in range(3)], np.int32), [5]) for g in r.integers(0, 3, 60)]
-    m = O.fit(rows)
+    y = r.integers(0, 3, 60)
+    cols = np.concatenate([[g * 10, g * 10 + 1, g * 10 + 2, 5] for g in y]).astype(np.int32)
+    m = O.fit(y, np.full(60, 3), np.full(60, 4), cols, np.tile(np.array([1, 1, 1, 0], np.int8), 60))
     assert m.thresholds[0] < m.thresholds[1]
     tails = m.tails(np.linspace(-3, 3, 7))
     assert (tails[:, 0] >= tails[:, 1]).all() and (np.diff(tails, axis=0) > 0).all()

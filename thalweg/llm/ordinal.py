@@ -82,41 +82,40 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def _telling(cols: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Features in LEAST_TEXTS texts or more whose share in a grade is at least LEAST_Z standard errors off."""
+def _telling(cols: np.ndarray, grade: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Features in LEAST_TEXTS texts or more whose share in a grade is at least LEAST_Z standard errors off.
+
+    cols: features, each once a text; grade: that of the text, for each.
+    """
     n = len(y)
-    pairs = np.unique(cols * n + row)
-    feature, text = pairs // n, pairs % n
-    seen = np.bincount(feature, minlength=1 << BITS)
+    seen = np.bincount(cols, minlength=1 << BITS)
     out = np.zeros(1 << BITS, bool)
     for k in range(GRADES):
         share = (y == k).mean()
-        hits = np.bincount(feature[y[text] == k], minlength=1 << BITS)
+        hits = np.bincount(cols[grade == k], minlength=1 << BITS)
         # the variance of a share allows for overlap between the seen texts and all texts
         out |= np.abs(hits - share * seen) >= LEAST_Z * np.sqrt(np.maximum(share * (1 - share) * seen * (1 - seen / n), 1e-9))
     return out & (seen >= LEAST_TEXTS)
 
 
-def fit(rows: list[tuple[int, np.ndarray, list[int]]]) -> Model | None:
-    """rows: (grade, word features, marks). Full-batch Adam on the cumulative-link likelihood."""
-    if len({g for g, _, _ in rows}) < 2:
+def fit(y: np.ndarray, sizes: np.ndarray, marked: np.ndarray, cols: np.ndarray, counts: np.ndarray) -> Model | None:
+    """Full-batch Adam on the cumulative-link likelihood.
+
+    y: grades; cols, counts: the texts' features one text after another, each feature once a text, and how
+    often it stands there (0 for a mark); sizes: word features of each text with repeats; marked: features
+    of each text. Arrays as long as the features are kept to a few of 32 bits.
+    """
+    if len(np.unique(y)) < 2:
         return None
-    y = np.array([g for g, _, _ in rows])
     n = len(y)
-    sizes = np.array([len(f) for _, f, _ in rows])
-    cols = np.concatenate([np.concatenate((f, m)) for _, f, m in rows]).astype(np.int64)
-    full = sizes + np.array([len(m) for _, _, m in rows])
-    row = np.repeat(np.arange(n), full)
-    value = np.repeat(1 / np.sqrt(np.maximum(1, sizes)), full)
-    ends = np.cumsum(full)
-    place = np.arange(len(cols)) - np.repeat(ends - full, full)
-    value[place >= np.repeat(sizes, full)] = 1.0
-    keep = _telling(cols, row, y)[cols]
-    cols, row, value = cols[keep], row[keep], value[keep]
-    w = np.zeros(1 << BITS)
+    row = np.repeat(np.arange(n, dtype=np.int32), marked)
+    keep = _telling(cols, y.astype(np.int8)[row], y)[cols]
+    cols, row, counts = cols[keep], row[keep], counts[keep]
+    value = np.where(counts == 0, 1.0, counts / np.sqrt(np.maximum(1, sizes))[row])
     counts = np.array([np.clip((y <= k).mean(), 0.01 * (k + 1), 0.98 + 0.005 * k) for k in range(GRADES - 1)])
     base = np.log(counts / (1 - counts))
     t = np.concatenate(([base[0]], np.log(np.maximum(np.diff(base), 1e-2))))  # first threshold, then logs of the gaps
+    w = np.zeros(1 << BITS)
     m1, m2, u1, u2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
     for step in range(1, STEPS + 1):
         th = np.concatenate(([-np.inf], np.cumsum(np.concatenate(([t[0]], np.exp(t[1:])))), [np.inf]))
@@ -139,16 +138,20 @@ def fit(rows: list[tuple[int, np.ndarray, list[int]]]) -> Model | None:
     return Model(w.astype(np.float32), np.cumsum(np.concatenate(([t[0]], np.exp(t[1:])))))
 
 
+def features(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Word features with repeats, and the text's features, each once, with their counts (0 for marks)."""
+    _, some, m = split(text)
+    if len(some) > FEATURES_MOST:
+        some = set(sorted(some, key=_bucket)[:FEATURES_MOST])
+    f, c = np.unique(np.array([word_features(w) for w in some], np.int32).reshape(-1), return_counts=True)
+    extra = np.setdiff1d(np.array(m, np.int32), f)
+    return 3 * len(some), np.concatenate((f, extra)), np.concatenate((np.minimum(c, 127), np.zeros(len(extra)))).astype(np.int8)
+
+
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        feats, extra = [], []
-        for t in b.column(1):
-            _, some, m = split(t.as_py() or "")
-            if len(some) > FEATURES_MOST:
-                some = set(sorted(some, key=_bucket)[:FEATURES_MOST])
-            feats.append(np.array([word_features(w) for w in sorted(some)], np.int32).reshape(-1))
-            extra.append(m)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(extra, pa.list_(pa.int32()))], names=["grade", "f", "m"])
+        got = [features(t.as_py() or "") for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _, _ in got], pa.int32()), pa.array([f for _, f, _ in got], pa.list_(pa.int32())), pa.array([c for _, _, c in got], pa.list_(pa.int8()))], names=["id", "grade", "n", "f", "c"])
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -161,10 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     chosen = graded(labels).orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
     limit_batches(docs.sparkSession)
     # The broadcast side has at most `sample` rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_grade", "text").mapInArrow(_training, "grade int, f array<int>, m array<int>").toArrow()
-    got = zip(rows.column(0).to_pylist(), (np.asarray(x.values) for x in rows.column(1)), rows.column(2).to_pylist(), strict=True)
-    # Tasks end in any order; sorting makes the sums, and so the model, the same every time.
-    return fit(sorted(got, key=lambda r: (r[0], len(r[1]), r[1].tobytes())))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_grade", "text").mapInArrow(_training, "id long, grade int, n int, f array<int>, c array<tinyint>")
+    # In one order, so that the sums, and so the model, are the same every time.
+    got = rows.orderBy("id", "grade", "n", F.xxhash64("f")).select("grade", "n", "f", "c").toArrow()
+    flat = lambda k: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py():x.offsets[-1].as_py()] for x in got.column(k).chunks] or [np.empty(0, np.int32)])
+    lengths = got.column(2).combine_chunks().value_lengths().to_numpy() if got.num_rows else np.empty(0, np.int32)
+    return fit(got.column(0).to_numpy(), got.column(1).to_numpy(), lengths, flat(2), flat(3))
 
 
 class Scorer:
