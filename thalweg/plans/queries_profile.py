@@ -94,15 +94,20 @@ def w16(spark, d):
     return S.within(cells(spark, d).withColumn("d", F.col("z").cast("long") % 11 == 0), "d", 3).select("r", "c", "w_left", "w_right", "w_up", "w_down")
 
 
-@query("w7_downstream_profile", sql(""", up(head, cat, ord) AS (SELECT s.cat, s.cat, 0 FROM segments s WHERE s.cat % 97 = 5 AND NOT EXISTS (SELECT 1 FROM segments t WHERE t.tostream = s.cat)
+@query("w7_downstream_profile_part", sql(""", up(head, cat, ord) AS (SELECT s.cat, s.cat, 0 FROM segments s WHERE s.cat % 97 = 5 AND NOT EXISTS (SELECT 1 FROM segments t WHERE t.tostream = s.cat)
 UNION ALL SELECT head, tostream, ord + 1 FROM up JOIN segments USING (cat) WHERE tostream > 0)
 SELECT head, CAST(ord AS INT) AS ord, up.cat, len, CAST(sum(len) OVER (PARTITION BY head ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS s FROM up JOIN segments s ON s.cat = up.cat""", "segments", recursive=True))
+def w7_part(spark, d):
+    """Those rows of w7 that its SQL has."""
+    return w7(spark, d).filter("head % 97 = 5")
+
+
+@query("w7_downstream_profile")
 def w7(spark, d):
     from ..operators.network import downstream_paths, headwaters, profile_distance
 
     seg = segments(spark, d)
-    heads = headwaters(seg).filter("cat % 97 = 5")
-    return profile_distance(downstream_paths(seg, heads), seg)
+    return profile_distance(downstream_paths(seg, headwaters(seg)), seg)
 
 
 CLOUD = SLOPE + ", cl AS (SELECT cat, seq, log10(A) AS la, log10(slope) AS ls FROM sl WHERE A > 0 AND slope > 0)"
