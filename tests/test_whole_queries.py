@@ -30,3 +30,27 @@ def test_profiles_from_every_head(spark):
     cols = ("head", "ord", "cat", "len", "s")
     assert rows(catalog.QUERIES["w7_downstream_profile"](spark, SF), *cols) == sorted(want)
     assert rows(catalog.QUERIES["w7_downstream_profile_part"](spark, SF), *cols) == by_sql("w7_downstream_profile_part", *cols)
+
+
+def test_grid_walks_from_every_node(spark):
+    n = {r.node: (r.recv, r.r, r.c) for r in catalog.QUERIES["r2_d8_receivers"](spark, SF).collect()}
+    walks, sets = {}, {k: {k} for k in n}
+    for k in n:
+        walks[k] = [k]
+        while n[walks[k][-1]][0] != walks[k][-1]:
+            walks[k].append(n[walks[k][-1]][0])
+        for x in walks[k]:
+            sets[x].add(k)
+    assert max(map(len, walks.values())) > 16
+    assert rows(catalog.QUERIES["r19_trace_down"](spark, SF), "start", "i", "node") == sorted((k, i, x) for k, w in walks.items() for i, x in enumerate(w))
+    assert rows(catalog.QUERIES["r20_upslope_sets"](spark, SF), "top", "node") == sorted((t, x) for t, s in sets.items() for x in s)
+    rims = []
+    for t, s in sets.items():
+        at = {n[x][1:] for x in s}
+        for x in s:
+            _, r, c = n[x]
+            if any((r + a, c + b) not in at for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                rims.append((t, x, round(((r - n[t][1]) ** 2 + (c - n[t][2]) ** 2) ** 0.5, 6)))
+    assert rows(catalog.QUERIES["r21_rims"](spark, SF), "top", "node", "linear") == sorted(rims)
+    for name, cols in (("r19_trace_down_part", ("start", "i", "node")), ("r20_upslope_sets_part", ("top", "node")), ("r21_rims_part", ("top", "node", "linear"))):
+        assert rows(catalog.QUERIES[name](spark, SF), *cols) == by_sql(name, *cols)

@@ -69,11 +69,18 @@ def r24s(spark, d):
     return G.smooth(cells(spark, d), 1.0).select("r", "c", F.round("z", 6).alias("z"))
 
 
-@query("r21_rims", sql(NODES + AREA + """, top AS (SELECT node FROM full_ WHERE ncontrib BETWEEN 15 AND 40 AND node % 5 = 0), m AS (SELECT a.top, n.node, n.r, n.c FROM anc a JOIN top t ON t.node = a.top JOIN nodes n ON n.node = a.node)
+@query("r21_rims_part", sql(NODES + AREA + """, top AS (SELECT node FROM full_ WHERE ncontrib BETWEEN 15 AND 40 AND node % 5 = 0), m AS (SELECT a.top, n.node, n.r, n.c FROM anc a JOIN top t ON t.node = a.top JOIN nodes n ON n.node = a.node)
 SELECT x.top, x.node, round(sqrt(power(x.r - t.r, 2) + power(x.c - t.c, 2)), 6) AS linear FROM m x JOIN nodes t ON t.node = x.top WHERE (SELECT count(*) FROM m y WHERE y.top = x.top AND abs(y.r - x.r) <= 1 AND abs(y.c - x.c) <= 1) < 9""", "cells", recursive=True))
+def r21_part(spark, d):
+    """Those rows of r21 that its SQL has."""
+    some = routed(spark, d).filter("ncontrib BETWEEN 15 AND 40 AND node % 5 = 0").select(F.col("node").alias("top"))
+    return r21(spark, d).join(some, "top", "left_semi")
+
+
+@query("r21_rims")
 def r21(spark, d):
     n = routed(spark, d)
-    return G.rims(n, n.filter("ncontrib BETWEEN 15 AND 40 AND node % 5 = 0")).select("top", "node", F.round("linear", 6).alias("linear"))
+    return G.rims(n, n).select("top", "node", F.round("linear", 6).alias("linear"))
 
 
 @query("j12_signature_match", sql(", m AS (SELECT a.id AS id_a, b.id AS id_b, power((a.x - b.x) / 30, 2) + power((a.y - b.y) / 50, 2) AS d2 FROM suppliers a, customers b) SELECT id_a, id_b, round(d2, 8) AS d2 FROM m WHERE d2 < 1 QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY d2, id_b) = 1", "suppliers", "customers"))

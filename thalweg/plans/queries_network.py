@@ -192,16 +192,28 @@ def r13(spark, d):
     return R.divides(labels(spark, d))
 
 
-@query("r20_upslope_sets", sql(NODES + AREA + " SELECT top, node FROM anc WHERE top % 37 = 0", "cells", recursive=True))
+@query("r20_upslope_sets_part", sql(NODES + AREA + " SELECT top, node FROM anc WHERE top % 37 = 0", "cells", recursive=True))
+def r20_part(spark, d):
+    """Those rows of r20 that its SQL has."""
+    return r20(spark, d).filter("top % 37 = 0")
+
+
+@query("r20_upslope_sets")
 def r20(spark, d):
     n = keep(nodes(spark, d), "nodes")
-    return R.ancestor_closure(n, n.filter("node % 37 = 0"))
+    return R.ancestor_closure(n, n)
+
+
+@query("r19_trace_down_part", sql(NODES + ", w(start, i, node) AS (SELECT node, 0, node FROM nodes WHERE node % 41 = 3 UNION ALL SELECT start, i + 1, n.recv FROM w JOIN nodes n ON n.node = w.node WHERE n.recv <> n.node AND i < 15) SELECT start, CAST(i AS INT) AS i, node FROM w", "cells", recursive=True))
+def r19_part(spark, d):
+    """Those rows of r19 that its SQL has."""
+    return r19(spark, d).filter("start % 41 = 3 AND i <= 15")
 
 
-@query("r19_trace_down", sql(NODES + ", w(start, i, node) AS (SELECT node, 0, node FROM nodes WHERE node % 41 = 3 UNION ALL SELECT start, i + 1, n.recv FROM w JOIN nodes n ON n.node = w.node WHERE n.recv <> n.node AND i < 15) SELECT start, CAST(i AS INT) AS i, node FROM w", "cells", recursive=True))
+@query("r19_trace_down")
 def r19(spark, d):
     n = routed(spark, d)
-    return R.walk_down(n, n.filter("node % 41 = 3"), 15).select("start", "i", "node")
+    return R.walk_down(n, n).select("start", "i", "node")
 
 
 @query("r17_nearest_drainage", sql(NODES + AREA + """, go(node, at_) AS (SELECT node, node FROM full_ UNION ALL SELECT g.node, n.recv FROM go g JOIN full_ n ON n.node = g.at_ WHERE n.recv <> n.node AND n.ncontrib < 10),
