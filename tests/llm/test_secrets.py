@@ -58,6 +58,12 @@ def test_redaction_masks_and_keeps_columns(spark):
     assert got[1].text is None and got[2].text == "plain"
 
 
+def test_long_values_are_masked_to_their_end(spark):
+    texts = [f"host: db1.example.com login: {'n' * 100} auth: {'aB3!' * 100}", f"user=bob pass=hunter22 https://{'u' * 400}", f"user=bob pass=hunter22 host: {'h' * 200}.example.com"]
+    df = spark.createDataFrame([(i, t + " end") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in S.redact(df).collect()} == dict.fromkeys(range(3), " ".join([S.MARK] * 3) + " end")
+
+
 def test_empty_table(spark):
     assert S.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert F is not None

@@ -24,9 +24,9 @@ KINDS = {
     "assign": (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, "secret"),
     "access": (r"AKIA[A-Z0-9]{12,}", None, 0, "access"),
     "hex": (r"[0-9a-f]{32,}", None, 0, "secret"),
-    "weak_id": (r"\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})", None, 0, "access"),
-    "weak_secret": (r"\b(?i:pass|pwd|auth|credentials?|private_?key|key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,256})", None, 0, "secret"),
-    "endpoint": (r"\b(?i:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|amqps?|mongodb|s3|ftp)://[A-Za-z0-9._~:@%/?&=+-]{3,256}|\b(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,128}(?::[0-9]{1,5})?", None, 0, "endpoint"),
+    "weak_id": (r"\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", None, 0, "access"),
+    "weak_secret": (r"\b(?i:pass|pwd|auth|credentials?|private_?key|key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,})", None, 0, "secret"),
+    "endpoint": (r"\b(?i:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|amqps?|mongodb|s3|ftp)://[A-Za-z0-9._~:@%/?&=+-]{3,}|\b(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}(?::[0-9]{1,5})?", None, 0, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
 NAMES = tuple(KINDS)
