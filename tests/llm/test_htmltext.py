@@ -59,3 +59,11 @@ def test_unmarked_pages_lose_what_recurs(spark):
         assert by[k].text == f"Unique story number {k} with words {k * 7}." and by[k].n_chars == len(by[k].text)
     assert by[10].text.startswith("Home\n") and by[11].text == "" and by[12].text.startswith("Title & more")
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_copies_keep_their_text(spark):
+    page = lambda k: f"<div>Home</div><div>Products</div><div>About this site</div><p>Unique story number {k} with words {k * 7}.</p>"
+    df = spark.createDataFrame([(k, f"http://x.org/{k}", page(k % 3)) for k in range(9)] + [(0, "http://x.org/0", page(0))], "page_id long, url string, html string")
+    got = H.extract(df).collect()
+    assert len(got) == 10
+    assert all(r.text == f"Unique story number {r.page_id % 3} with words {r.page_id % 3 * 7}." for r in got)

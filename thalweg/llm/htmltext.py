@@ -11,7 +11,7 @@ A host's pages are split into groups of about GROUP_BYTES by a hash of the page
 be one host's); runs are repeated where they recur within the group.
 
 Null, empty or blank html: empty text. A page without host: the empty host. Repeated rows: one result
-each; equal pages are distinct pages and make each other's open blocks boilerplate. Empty table: empty.
+each; equal pages of a host count as one, so copies don't make each other boilerplate. Empty table: empty.
 """
 
 from __future__ import annotations
@@ -198,10 +198,12 @@ def covered(streams: list[list[str]]) -> list[np.ndarray]:
 
 def main_texts(pages: list[tuple[list[str], bytes]]) -> list[str]:
     """Main text of each page of a host's group from (blocks, what markup says of each)."""
-    open_blocks = [[b for b, s in zip(bs, states, strict=True) if s != CONTENT] for bs, states in pages]
-    hits = covered(open_blocks)
+    place: dict[tuple, int] = {}  # equal pages are one
+    which = [place.setdefault((tuple(bs), states), len(place)) for bs, states in pages]
+    hits = covered([[b for b, s in zip(bs, states, strict=True) if s != CONTENT] for bs, states in place])
     out = []
-    for (bs, states), hit in zip(pages, hits, strict=True):
+    for (bs, states), k in zip(pages, which, strict=True):
+        hit = hits[k]
         marked = CONTENT in states
         repeated = iter(hit.tolist())
         kept = []
