@@ -67,3 +67,18 @@ def test_copies_keep_their_text(spark):
     got = H.extract(df).collect()
     assert len(got) == 10
     assert all(r.text == f"Unique story number {r.page_id % 3} with words {r.page_id % 3 * 7}." for r in got)
+
+
+def test_groups_of_a_host_see_all_its_pages(spark, monkeypatch):
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        parts = [f"Own line {k} of some length {i * k}" for i in range(3)] + r.choices(["Short", "Menu", "Tail", "More", "A notice that a few pages of the section share", "Half of a pair", "the other half of it"], k=6)
+        r.shuffle(parts)
+        body = "".join(f"<{t}>{x}</{t}>" for x in parts for t in [r.choice(["p", "p", "nav"])])
+        rows += [(k, f"http://{r.choice('xxy')}.org/{k}", body if k % 7 else f"<article>{body}</article>{body}")] * r.choice([1, 1, 3])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, H.extract(df).collect()))
+    monkeypatch.setattr(H, "GROUP_BYTES", 600)
+    assert sorted(map(tuple, H.extract(df).collect())) == whole
+    assert len(whole) == len(rows) and any("Short" in t for _, _, t, _ in whole)

@@ -8,7 +8,9 @@ covered ones are boilerplate and the unique runs are kept, in pages without cont
 markup knows stand: an article may quote a passage that other pages have too.
 
 A host's pages are split into groups of about GROUP_BYTES by a hash of the page (a third of all pages may
-be one host's); runs are repeated where they recur within the group.
+be one host's). What recurs across the groups of a split host comes from an index of its runs: a run long
+enough recurs only if its runs of three blocks do, or its one or two blocks of RUN_CHARS characters, so
+hashes of these with the least and greatest page hash tell whether two different pages have them.
 
 Null, empty or blank html: empty text. A page without host: the empty host. Repeated rows: one result
 each; equal pages of a host count as one, so copies don't make each other boilerplate. Empty table: empty.
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,11 +199,34 @@ def covered(streams: list[list[str]]) -> list[np.ndarray]:
     return out
 
 
-def main_texts(pages: list[tuple[list[str], bytes]]) -> list[str]:
-    """Main text of each page of a host's group from (blocks, what markup says of each)."""
+def _hash(x: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+
+def shortest_runs(host: str, stream: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(first block, blocks, hash) of the runs that every long run of the stream is made of."""
+    raw = [b.encode("utf-8", "surrogatepass") for b in stream]
+    start = host.encode("utf-8", "surrogatepass")
+    for i in range(len(stream)):
+        for n in range(1, min(RUN_BLOCKS, len(stream) - i) + 1):
+            if n == RUN_BLOCKS or sum(map(len, stream[i:i + n])) >= RUN_CHARS:
+                yield i, n, _hash(b"\n".join((start, *raw[i:i + n])))
+
+
+def main_texts(pages: list[tuple[list[str], bytes]], host: str = "", elsewhere: frozenset[int] = frozenset()) -> list[str]:
+    """Main text of each page of a host's group from (blocks, what markup says of each).
+
+    elsewhere: hashes of shortest runs that recur on another page of the host, in whichever group.
+    """
     place: dict[tuple, int] = {}  # equal pages are one
     which = [place.setdefault((tuple(bs), states), len(place)) for bs, states in pages]
-    hits = covered([[b for b, s in zip(bs, states, strict=True) if s != CONTENT] for bs, states in place])
+    streams = [[b for b, s in zip(bs, states, strict=True) if s != CONTENT] for bs, states in place]
+    hits = covered(streams)
+    if elsewhere:
+        for (_, states), stream, hit in zip(place, streams, hits, strict=True):
+            for i, n, h in shortest_runs(host, stream) if CONTENT not in states else ():
+                if h in elsewhere:
+                    hit[i:i + n] = True
     out = []
     for (bs, states), k in zip(pages, which, strict=True):
         hit = hits[k]
@@ -230,9 +256,25 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(bodies, pa.string()), pa.array(states, pa.binary())], names=["page_id", "url", "host", "body", "states"])
 
 
-def _group(table: pa.Table) -> pa.Table:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, least and greatest hash of its pages, group if one of the group's texts depends on it)."""
+    for b in batches:
+        seen: dict[tuple[int, str | None], tuple[int, int]] = {}
+        for group, host, body, states in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            bs = body.split("\n") if states else []
+            page = _hash(states + b"\n" + body.encode("utf-8", "surrogatepass"))
+            left = bytes(s for s in states if s != CONTENT)
+            for i, n, h in shortest_runs(host, [x for x, s in zip(bs, states, strict=True) if s != CONTENT]):
+                key = (h, group if CONTENT not in states and OPEN in left[i:i + n] else None)
+                lo, hi = seen.get(key, (page, page))
+                seen[key] = (min(lo, page), max(hi, page))
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([lo for lo, _ in seen.values()], pa.int64()), pa.array([hi for _, hi in seen.values()], pa.int64()), pa.array([g for _, g in seen], pa.string())], names=["run", "lo", "hi", "group"])
+
+
+def _group(table: pa.Table, runs: pa.Table | None = None) -> pa.Table:
     bodies, states = table.column("body").to_pylist(), table.column("states").to_pylist()
-    texts = main_texts([(b.split("\n") if s else [], s) for b, s in zip(bodies, states, strict=True)])
+    host = table.column("host")[0].as_py() if table.num_rows else ""
+    texts = main_texts([(b.split("\n") if s else [], s) for b, s in zip(bodies, states, strict=True)], host, frozenset(runs.column("run").to_pylist() if runs else ()))
     return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
 
@@ -244,8 +286,15 @@ def extract(pages: DataFrame) -> DataFrame:
     weight = F.octet_length(F.coalesce("html", F.lit("")))
     sizes = rows.groupBy(host.alias("host")).agg(F.ceil(F.sum(weight.cast("long")) / F.lit(GROUP_BYTES)).alias("parts"))
     hot = Scratch(pages.sparkSession).keep(sizes.filter("parts > 1"), "hosts")
-    few = hot.count() <= BROADCAST_HOSTS  # else both sides are dealt by host for the join, and again by group
+    n_hot = hot.count()
+    few = n_hot <= BROADCAST_HOSTS  # else both sides are dealt by host for the join, and again by group
     salted = rows.mapInArrow(_parse, PARSED).join(F.broadcast(hot) if few else hot, "host", "left")
     # One column, so that the rows are dealt by group: a partitioning by host would keep a hot host in one task.
     group = F.concat_ws(" ", "host", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
-    return salted.select(group.alias("group"), "page_id", "url", "body", "states").groupBy("group").applyInArrow(_group, "page_id long, url string, text string, n_chars long")
+    dealt = salted.select(group.alias("group"), "host", "page_id", "url", "body", "states").groupBy("group")
+    out = "page_id long, url string, text string, n_chars long"
+    if not n_hot:
+        return dealt.applyInArrow(lambda t: _group(t), out)
+    runs = salted.filter("parts > 1").select(group.alias("group"), "host", "body", "states").mapInArrow(_runs, "run long, lo long, hi long, group string")
+    shared = runs.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("group").alias("groups")).filter("lo < hi")
+    return dealt.cogroup(shared.select(F.explode("groups").alias("group"), "run").groupBy("group")).applyInArrow(lambda t, r: _group(t, r), out)
