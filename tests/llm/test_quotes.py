@@ -85,3 +85,28 @@ def test_other_conversations_and_edges(spark):
     assert [r.source_conv_id for r in got if r.conv_id == 2] == [1] and [r.text for r in got if r.conv_id == 2] == ["indeed"]
     assert [r.turn for r in sorted(got, key=lambda r: r.reply_order) if r.conv_id == 4] == [1, 2]
     assert Q.ordered(df.limit(0)).count() == 0
+
+
+def test_sources_among_all_conversations_that_wrote_the_lines(spark):
+    r = random.Random(2)
+    rows = []
+    for c in range(40):
+        for t in range(3):
+            lines = {f"line {int(r.paretovariate(0.6)) % 25}" for _ in range(r.randint(1, 4))}
+            quoted = [f"> line {int(r.paretovariate(0.6)) % 30}" for _ in range(r.randint(0, 4))]
+            rows.append((c, t, "user", "\n".join(quoted + sorted(lines))))
+    rows += [(40 + c, t, w, x) for c in range(5) for _, t, w, x in rows[:3]]  # copies
+    own, want = {}, {}
+    for c, t, _, x in rows:
+        for line in x.split("\n"):
+            if line[0] != ">":
+                own.setdefault(c, {}).setdefault(line, t)
+    for c, t, _, x in rows:
+        quoted = [line[2:] for line in x.split("\n") if line[0] == ">"]
+        far = [q for q in quoted if own[c].get(q, 9) >= t]
+        votes = {o: sum(q in own[o] for q in far) for o in own if o != c}
+        top = max(votes.values())
+        linked = len(quoted) - len(far) + sum(any(q in own[o] for o in own if o != c) for q in far)
+        want[c, t] = (len(quoted), linked, min(o for o in votes if votes[o] == top) if top else None)
+    got = Q.ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(x.conv_id, x.turn): (x.n_quoted, x.n_linked, x.source_conv_id) for x in got} == want

@@ -2,7 +2,8 @@
 
 Each message's lines carry a quote level (the number of leading '>'). Quoted lines, normalised, are
 hashed and joined to the lines that messages wrote themselves: within the conversation to the first
-earlier message that wrote the line, else to another conversation if exactly one wrote it. A message
+earlier message that wrote the line, else to the other conversations that wrote it; of these the source is
+the one with most of the message's lines, the smallest conv_id of equal ones. A message
 answers the message that most of its shallowest quoted lines come from, or else the message before it.
 Conversations come out in reply order (a message, then its answers depth first) without quotes or the
 lines that introduce them.
@@ -10,6 +11,8 @@ lines that introduce them.
 Own lines are reduced to one row for each conversation and hash before the join, so a line that a third
 of all messages share joins as one row. Answers that follow one another form runs; only runs that a quote
 attaches elsewhere need the graph, whose paths are found by doubling with tables written between rounds.
+Sources are sought once for each set of quoted lines, among two conversations of each set of lines told, and
+not by a set's commonest line alone, so many quotes of a line that many wrote are not all joined to each other.
 
 Null text: an empty message. Equal (conv_id, turn): ordered by role, then text. Null conv_id: one
 conversation of its own; null turn: first. Repeated rows: messages of their own. Empty table: empty.
@@ -50,19 +53,52 @@ def messages(conversations: DataFrame) -> DataFrame:
     return rows.withColumn("lines", parse(F.col("text")))
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """(conv_id, pos, n_linked, parent, source_conv_id): where each quoting message's lines come from."""
+def _first_two(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
+    return df.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter("nth <= 2").drop("nth")
+
+
+def sources(far: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, pos, n_far, source_conv_id) from quoted lines (conv_id, pos, h, n) and own lines (conv_id, h).
+
+    Of the conversations that told some of a set's lines, one that told none but the commonest can only win by
+    its number, so the two smallest such numbers do (two, since a message isn't its own conversation's source).
+    """
+    told = own.filter("conv_id IS NOT NULL").select(F.col("conv_id").alias("src"), "h")
+    who = told.groupBy(F.col("h").alias("wh")).agg(F.count("*").alias("convs"), F.min("src").alias("lo"), F.max("src").alias("hi"))
+    other = ~F.col("lo").eqNullSafe(F.col("conv_id")) | ~F.col("hi").eqNullSafe(F.col("conv_id"))
+    lines = far.join(who, F.col("h") == F.col("wh")).filter(other)
+    sets = lines.groupBy("conv_id", "pos").agg(F.sum("n").alias("n_far"), F.sort_array(F.collect_list(F.struct((-F.col("convs")).alias("c"), "h", "n"))).alias("set"))
+    sets = scratch.keep(sets.withColumn("sig", F.xxhash64("set")), "quoted")
+    asked = scratch.keep(sets.dropDuplicates(["sig"]).select("sig", F.posexplode("set").alias("k", "x")).select("sig", "k", "x.h", "x.n"), "asked")
+    told = told.join(asked.select("h").distinct(), "h", "left_semi")
+    kinds = told.groupBy("src").agg(F.xxhash64(F.sort_array(F.collect_list("h"))).alias("kind"))
+    told = scratch.keep(told.join(_first_two(kinds, "kind", "src").select("src"), "src", "left_semi").select("src", "h"), "told")
+    top = asked.filter("k = 0").select("sig", F.col("h").alias("th"), F.col("n").alias("tn"))
+    rest = asked.filter("k > 0").join(told, "h").groupBy("sig", "src").agg(F.sum("n").alias("n")).join(top, "sig")
+    also = told.select(F.col("src").alias("s2"), F.col("h").alias("h2"))
+    rest = rest.join(also, (F.col("src") == F.col("s2")) & (F.col("th") == F.col("h2")), "left").select("sig", "src", (F.col("n") + F.when(F.col("s2").isNotNull(), F.col("tn")).otherwise(0)).alias("n"))
+    alone = top.join(_first_two(told, "h", "src"), F.col("th") == F.col("h")).select("sig", "src", F.col("tn").alias("n"))
+    best = _first_two(rest.unionByName(alone).groupBy("sig", "src").agg(F.max("n").alias("n")), "sig", F.col("n").desc(), "src")
+    best = best.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "src"))).alias("two"))
+    one, two = (F.get("two", F.lit(k))["src"] for k in (0, 1))
+    return sets.join(best, "sig").select("conv_id", "pos", "n_far", F.when(one.eqNullSafe(F.col("conv_id")), two).otherwise(one).alias("source_conv_id"))
+
+
+def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, pos, n_quoted, n_linked, parent, source_conv_id): where each quoting message's lines come from."""
     said = rows.select("conv_id", "pos", F.posexplode("lines").alias("at", "line")).select("conv_id", "pos", "line.level", F.xxhash64(normal(F.col("line.content"))).alias("h"), (normal(F.col("line.content")) == "").alias("blank")).filter(~F.col("blank"))
-    own = said.filter("level = 0").groupBy("conv_id", "h").agg(F.min("pos").alias("first"))
+    own = scratch.keep(said.filter("level = 0").groupBy("conv_id", "h").agg(F.min("pos").alias("first")), "own")
     quoted = said.filter("level > 0").groupBy("conv_id", "pos", "level", "h").agg(F.count("*").alias("n"))
-    elsewhere = own.groupBy("h").agg(F.min("conv_id").alias("conv"), F.count("*").alias("convs")).filter("convs = 1").drop("convs")
-    o, e = own.select(F.col("conv_id").alias("oc"), F.col("h").alias("oh"), "first"), elsewhere.select(F.col("h").alias("eh"), "conv")
-    found = quoted.join(o, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("h") == F.col("oh")) & (F.col("first") < F.col("pos")), "left").join(e, (F.col("h") == F.col("eh")) & F.col("first").isNull() & ~F.col("conv").eqNullSafe(F.col("conv_id")), "left")
-    per = found.groupBy("conv_id", "pos", "first", "conv").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
+    o = own.select(F.col("conv_id").alias("oc"), F.col("h").alias("oh"), "first")
+    found = scratch.keep(quoted.join(o, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("h") == F.col("oh")) & (F.col("first") < F.col("pos")), "left").select("conv_id", "pos", "level", "h", "n", "first"), "found")
+    per = found.groupBy("conv_id", "pos", "first").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
     best = per.groupBy("conv_id", "pos").agg(
-        F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("first").isNotNull() | F.col("conv").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"),
-        F.max(F.when(F.col("first").isNotNull(), F.struct(-F.col("level"), "n", "first"))).alias("top"), F.max(F.when(F.col("conv").isNotNull(), F.struct("n", -F.col("conv")))).alias("far"))
-    return best.select("conv_id", "pos", "n_quoted", "n_linked", F.col("top.first").alias("parent"), (-F.col("far").getField("col2")).alias("source_conv_id"))
+        F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("first").isNotNull(), F.col("n")).otherwise(0)).alias("n_near"),
+        F.max(F.when(F.col("first").isNotNull(), F.struct(-F.col("level"), "n", "first"))).alias("top"))
+    far = sources(found.filter("first IS NULL").groupBy("conv_id", "pos", "h").agg(F.sum("n").alias("n")), own, scratch)
+    f = far.select(F.col("conv_id").alias("sc"), F.col("pos").alias("sp"), "n_far", "source_conv_id")
+    best = best.join(f, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("pos") == F.col("sp")), "left")
+    return best.select("conv_id", "pos", "n_quoted", (F.col("n_near") + F.coalesce("n_far", F.lit(0))).alias("n_linked"), F.col("top.first").alias("parent"), "source_conv_id")
 
 
 def _paths(runs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -81,7 +117,7 @@ def ordered(conversations: DataFrame) -> DataFrame:
     """A row for each message: conv_id, reply_order, turn, role, reply_to (turn), n_quoted, n_linked, source_conv_id, text."""
     scratch = Scratch(conversations.sparkSession)
     rows = messages(conversations)
-    found = links(rows)
+    found = links(rows, scratch)
     f = found.select(F.col("conv_id").alias("fc"), F.col("pos").alias("fp"), "n_quoted", "n_linked", "parent", "source_conv_id")
     linked = rows.join(f, F.col("conv_id").eqNullSafe(F.col("fc")) & (F.col("pos") == F.col("fp")), "left")
     linked = linked.select("conv_id", "pos", "turn", "role", unquoted(F.col("lines")).alias("text"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent", "source_conv_id")
