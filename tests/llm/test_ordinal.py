@@ -57,3 +57,9 @@ def test_nulls_no_labels_and_extra_columns(spark):
     m = O.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels + [(1, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int"))
     assert O.classify(df, m).columns == ["doc_id", "text", "expected_grade", "p_keep", "kept"] and O.classify(df, m).count() == 4
     assert O.classify(df.limit(0), m).count() == 0
+
+
+def test_long_texts_train_with_all_their_words():
+    words = [f"w{k}" for k in range(9000)]
+    n, f, c = O.features(" ".join(words))
+    assert n == 3 * 9000 == c.sum() and {x for w in words for x in O.word_features(w)} <= set(f.tolist())

@@ -7,8 +7,8 @@ P(grade >= KEEP_GRADE) selects.
 
 Grades from `labels`: 0 toxic, 1 poor but not toxic, 2 good and not toxic. The model is fitted on the
 driver on at most SAMPLE labelled rows (the smallest hashes of doc_id, so the choice is stable and does
-not follow the table's order); what reaches the driver are feature numbers, bounded by SAMPLE times
-FEATURES_MOST. Scoring reads whole texts.
+not follow the table's order); what reaches the driver are the numbers of all features of these texts.
+Scoring reads whole texts as well.
 
 Null or empty text: the features of an empty text. No labelled row, or one grade only: nothing is known,
 expected grade and probability are null and every document is kept. Repeated rows and ids: a row each (a
@@ -34,8 +34,6 @@ from .common import limit_batches
 
 BITS = 18
 SAMPLE = 6000
-#: Distinct words of a training text that are sent to the driver (the smallest hashes of a longer one).
-FEATURES_MOST = 4000
 GRADES = 3
 KEEP_GRADE = 2
 KEEP_ODDS = 0.6
@@ -141,17 +139,15 @@ def fit(y: np.ndarray, sizes: np.ndarray, marked: np.ndarray, cols: np.ndarray,
 def features(text: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Word features with repeats, and the text's features, each once, with their counts (0 for marks)."""
     _, some, m = split(text)
-    if len(some) > FEATURES_MOST:
-        some = set(sorted(some, key=_bucket)[:FEATURES_MOST])
     f, c = np.unique(np.array([word_features(w) for w in some], np.int32).reshape(-1), return_counts=True)
     extra = np.setdiff1d(np.array(m, np.int32), f)
-    return 3 * len(some), np.concatenate((f, extra)), np.concatenate((np.minimum(c, 127), np.zeros(len(extra)))).astype(np.int8)
+    return 3 * len(some), np.concatenate((f, extra)), np.concatenate((c, np.zeros(len(extra)))).astype(np.int32)
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [features(t.as_py() or "") for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _, _ in got], pa.int32()), pa.array([f for _, f, _ in got], pa.list_(pa.int32())), pa.array([c for _, _, c in got], pa.list_(pa.int8()))], names=["id", "grade", "n", "f", "c"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _, _ in got], pa.int32()), pa.array([f for _, f, _ in got], pa.list_(pa.int32())), pa.array([c for _, _, c in got], pa.list_(pa.int32()))], names=["id", "grade", "n", "f", "c"])
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -164,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     chosen = graded(labels).orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
     limit_batches(docs.sparkSession)
     # The broadcast side has at most `sample` rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_grade", "text").mapInArrow(_training, "id long, grade int, n int, f array<int>, c array<tinyint>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_grade", "text").mapInArrow(_training, "id long, grade int, n int, f array<int>, c array<int>")
     # In one order, so that the sums, and so the model, are the same every time.
     got = rows.orderBy("id", "grade", "n", F.xxhash64("f")).select("grade", "n", "f", "c").toArrow()
     flat = lambda k: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py():x.offsets[-1].as_py()] for x in got.column(k).chunks] or [np.empty(0, np.int32)])
