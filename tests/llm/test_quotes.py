@@ -4,6 +4,19 @@ import re
 from thalweg.llm import quotes as Q
 
 
+def runs(lines):
+    """Passages: (level, normalised lines) of the longest runs of written lines of one level."""
+    out, last = [], None
+    for lv, s in lines:
+        s = re.sub(r"\s+", " ", s).strip().lower()
+        if s and last == lv:
+            out[-1][1].append(s)
+        elif s:
+            out.append((lv, [s]))
+        last = lv if s else None
+    return out
+
+
 def brute(rows):
     """conv -> reply-ordered [(turn, reply_to turn, text)] by a plain walk of the tree."""
     by = {}
@@ -20,16 +33,19 @@ def brute(rows):
                 lines.append((m[0].count(">") if m else 0, line[m.end():] if m else line))
             texts.append("\n".join(s for i, (lv, s) in enumerate(lines) if lv == 0 and not (re.search(Q.INTRODUCES, s.strip()) and i + 1 < len(lines) and lines[i + 1][0])).strip())
             votes = {}
-            norm = lambda s: re.sub(r"\s+", " ", s).strip().lower()
-            for lv, s in lines:
-                if lv and norm(s) in own and own[norm(s)] < k:
-                    best = votes.setdefault(own[norm(s)], [99, 0])
-                    best[0] = min(best[0], lv)
-                    best[1] += 1
+            ps = runs(lines)
+            for lv, ls in ps:
+                whole = own.get(" ".join(ls)) if lv else None
+                for s in ls if lv else ():
+                    at = own.get(s) if whole is None else whole
+                    if at is not None:
+                        best = votes.setdefault(at, [99, 0])
+                        best[0] = min(best[0], lv)
+                        best[1] += 1
             parents.append(max(votes, key=lambda p: (-votes[p][0], votes[p][1], p)) if votes else k - 1 if k else None)
-            for lv, s in lines:
-                if lv == 0 and norm(s):
-                    own.setdefault(norm(s), k)
+            for lv, ls in ps:
+                for s in [" ".join(ls), *ls] if lv == 0 else ():
+                    own.setdefault(s, k)
         kids = {}
         for k, p in enumerate(parents):
             kids.setdefault(p, []).append(k)
@@ -98,15 +114,35 @@ def test_sources_among_all_conversations_that_wrote_the_lines(spark):
     rows += [(40 + c, t, w, x) for c in range(5) for _, t, w, x in rows[:3]]  # copies
     own, want = {}, {}
     for c, t, _, x in rows:
-        for line in x.split("\n"):
-            if line[0] != ">":
-                own.setdefault(c, {}).setdefault(line, t)
+        mine = [line for line in x.split("\n") if line[0] != ">"]
+        for unit in [" ".join(mine), *mine]:
+            own.setdefault(c, {}).setdefault(unit, t)
     for c, t, _, x in rows:
         quoted = [line[2:] for line in x.split("\n") if line[0] == ">"]
-        far = [q for q in quoted if own[c].get(q, 9) >= t]
-        votes = {o: sum(q in own[o] for q in far) for o in own if o != c}
+        whole = " ".join(quoted)
+        far = [] if own[c].get(whole, 9) < t else [(q, 1) for q in quoted if own[c].get(q, 9) >= t]
+        if quoted and len(far) == len(quoted) and any(whole in own[o] for o in own if o != c):
+            far = [(whole, len(quoted))]
+        votes = {o: sum(n for q, n in far if q in own[o]) for o in own if o != c}
         top = max(votes.values())
-        linked = len(quoted) - len(far) + sum(any(q in own[o] for o in own if o != c) for q in far)
+        linked = len(quoted) - sum(n for _, n in far) + sum(n for q, n in far if any(q in own[o] for o in own if o != c))
         want[c, t] = (len(quoted), linked, min(o for o in votes if votes[o] == top) if top else None)
     got = Q.ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(x.conv_id, x.turn): (x.n_quoted, x.n_linked, x.source_conv_id) for x in got} == want
+
+
+def test_quotations_wrapped_anew_and_long_introductions(spark):
+    said = "The committee met on the first of May and\nagreed that the bridge should be closed\nuntil the piers are sound again."
+    wrapped = "> The committee met on the first\n> of May and agreed that the bridge should\n> be closed until the piers are sound   again."
+    rows = [(1, 0, "u", said + "\n\nThanks"), (1, 1, "u", "Thanks"), (1, 2, "u", "On Monday " + "someone of the board " * 40 + "wrote:\n" + wrapped + "\nAgreed."), (2, 0, "u", wrapped + "\n>\n> nobody wrote that\nWho says so?")]
+    got = {(r.conv_id, r.turn): r for r in Q.ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2].reply_to == 0 and got[1, 2].text == "Agreed." and (got[1, 2].n_quoted, got[1, 2].n_linked) == (3, 3)
+    assert got[2, 0].source_conv_id == 1 and (got[2, 0].n_quoted, got[2, 0].n_linked) == (4, 3) and got[2, 0].text == "Who says so?"
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "\n".join(f"line {k} " + "of a long talk " * 30 for k in range(3000))
+    rows = [(1, 0, "u", long, 5), (1, 1, "u", "\n".join("> " + x for x in long.split("\n")[:1000]) + "\nyes", 6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pos long").withColumn("lines", __import__("pyspark").sql.functions.lit(1))
+    got = {r.turn: r for r in Q.ordered(df).collect()}
+    assert got[1].reply_to == 0 and (got[1].n_quoted, got[1].n_linked) == (1000, 1000) and got[1].text == "yes" and got[0].text == long.strip()

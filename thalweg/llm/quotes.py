@@ -1,12 +1,14 @@
 """Quotation linking for conversations (DataFrame functions only).
 
-Each message's lines carry a quote level (the number of leading '>'). Quoted lines, normalised, are
-hashed and joined to the lines that messages wrote themselves: within the conversation to the first
-earlier message that wrote the line, else to the other conversations that wrote it; of these the source is
-the one with most of the message's lines, the smallest conv_id of equal ones. A message
-answers the message that most of its shallowest quoted lines come from, or else the message before it.
-Conversations come out in reply order (a message, then its answers depth first) without quotes or the
-lines that introduce them.
+Each message's lines carry a quote level (the number of leading '>'). A passage is a longest run of
+written lines of one level; normalised (reflowed to one line, white space and case evened out) it is
+hashed and joined to the passages that messages wrote themselves, so a quotation that was wrapped anew
+still finds its original. A passage that nobody wrote as a whole is looked up line by line. Within the
+conversation the origin is the first earlier message that wrote it, else the other conversations that
+did; of these the source is the one with most of the message's lines, the smallest conv_id of equal ones.
+A message answers the message that most of its shallowest quoted lines come from, or else the message
+before it. Conversations come out in reply order (a message, then its answers depth first) without quotes
+or the lines that introduce them. n_quoted and n_linked count lines.
 
 Own lines are reduced to one row for each conversation and hash before the join, so a line that a third
 of all messages share joins as one row. Answers that follow one another form runs; only runs that a quote
@@ -14,8 +16,9 @@ attaches elsewhere need the graph, whose paths are found by doubling with tables
 Sources are sought once for each set of quoted lines, among two conversations of each set of lines told, and
 not by a set's commonest line alone, so many quotes of a line that many wrote are not all joined to each other.
 
-Null text: an empty message. Equal (conv_id, turn): ordered by role, then text. Null conv_id: one
-conversation of its own; null turn: first. Repeated rows: messages of their own. Empty table: empty.
+Null text: an empty message. Ties: equal (conv_id, turn) are ordered by role, then text. Null conv_id: one
+conversation of its own; null turn: first. Repeated rows: messages of their own. Empty table: empty. Very
+long texts: all lines count, whatever their length. Other columns, whatever their names: left out.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, let
 
 MARK = r"^[ \t]{0,3}(?:>[ \t]?)+"
-INTRODUCES = r"(?i)^(?:on|am|le|el|at)\b.{0,200}\b(?:wrote|writes|schrieb|écrit|escribió)[ \t]?:$"
+INTRODUCES = r"(?i)^(?:on|am|le|el|at)\b.*\b(?:wrote|writes|schrieb|écrit|escribió)[ \t]?:$"
 
 
 def parse(text: Column) -> Column:
@@ -40,6 +43,19 @@ def normal(content: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(content, r"\s+", " ")))
 
 
+def passages(parsed: Column) -> Column:
+    """Array of (level, lines): the longest runs of written lines of one level, each line normalised."""
+    def cut(xs: Column) -> Column:
+        at = lambda i, f: F.get(xs, i)[f]
+        opens = lambda i: (at(i, "t") != "") & ((i == 0) | (at(i - 1, "t") == "") | (at(i - 1, "level") != at(i, "level")))
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), opens)
+        written = lambda s, e: F.filter(F.transform(F.slice(xs, s + 1, e - s), lambda x: x["t"]), lambda t: t != "")
+        return let(starts, lambda st: F.transform(st, lambda s, k: F.struct(
+            at(s, "level").alias("level"), written(s, F.coalesce(F.get(st, k + 1), F.size(xs))).alias("lines"))))
+
+    return let(F.transform(parsed, lambda x: F.struct(x["level"].alias("level"), normal(x["content"]).alias("t"))), cut)
+
+
 def unquoted(parsed: Column) -> Column:
     """What the message says itself, without blank edges."""
     own = F.filter(parsed, lambda x, i: (x["level"] == 0) & ~(F.btrim(x["content"]).rlike(INTRODUCES) & (F.coalesce(F.get(parsed, i + 1)["level"], F.lit(0)) > 0)))
@@ -58,15 +74,17 @@ def _first_two(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
 
 
 def sources(far: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, pos, n_far, source_conv_id) from quoted lines (conv_id, pos, h, n) and own lines (conv_id, h).
+    """(conv_id, pos, n_far, source_conv_id) from quoted units (conv_id, pos, k, whole, h, n) and own ones (conv_id, h).
 
-    Of the conversations that told some of a set's lines, one that told none but the commonest can only win by
+    k is the passage's number; where another conversation has the whole passage, its lines don't count. Of the conversations that told some of a set's lines, one that told none but the commonest can only win by
     its number, so the two smallest such numbers do (two, since a message isn't its own conversation's source).
     """
     told = own.filter("conv_id IS NOT NULL").select(F.col("conv_id").alias("src"), "h")
     who = told.groupBy(F.col("h").alias("wh")).agg(F.count("*").alias("convs"), F.min("src").alias("lo"), F.max("src").alias("hi"))
     other = ~F.col("lo").eqNullSafe(F.col("conv_id")) | ~F.col("hi").eqNullSafe(F.col("conv_id"))
-    lines = far.join(who, F.col("h") == F.col("wh")).filter(other)
+    known = far.join(who, F.col("h") == F.col("wh")).filter(other)
+    best = F.max("whole").over(Window.partitionBy("conv_id", "pos", "k"))  # a passage's units
+    lines = known.withColumn("best", best).filter("whole = best").groupBy("conv_id", "pos", "h", "convs").agg(F.sum("n").alias("n"))
     sets = lines.groupBy("conv_id", "pos").agg(F.sum("n").alias("n_far"), F.sort_array(F.collect_list(F.struct((-F.col("convs")).alias("c"), "h", "n"))).alias("set"))
     sets = scratch.keep(sets.withColumn("sig", F.xxhash64("set")), "quoted")
     asked = scratch.keep(sets.dropDuplicates(["sig"]).select("sig", F.posexplode("set").alias("k", "x")).select("sig", "k", "x.h", "x.n"), "asked")
@@ -85,17 +103,27 @@ def sources(far: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, pos, n_quoted, n_linked, parent, source_conv_id): where each quoting message's lines come from."""
-    said = rows.select("conv_id", "pos", F.posexplode("lines").alias("at", "line")).select("conv_id", "pos", "line.level", F.xxhash64(normal(F.col("line.content"))).alias("h"), (normal(F.col("line.content")) == "").alias("blank")).filter(~F.col("blank"))
-    own = scratch.keep(said.filter("level = 0").groupBy("conv_id", "h").agg(F.min("pos").alias("first")), "own")
-    quoted = said.filter("level > 0").groupBy("conv_id", "pos", "level", "h").agg(F.count("*").alias("n"))
+    """(conv_id, pos, n_quoted, n_linked, parent, source_conv_id): where each quoting message's passages come from."""
+    cut = rows.select("conv_id", "pos", F.posexplode(passages(F.col("lines"))).alias("k", "p"))
+    cut = cut.select("conv_id", "pos", "k", "p.level", F.xxhash64(F.array_join("p.lines", " ")).alias("passage"), F.transform("p.lines", lambda x: F.xxhash64(x)).alias("hs"))
+    said = cut.filter("level = 0").select("conv_id", "pos", F.explode(F.array_distinct(F.concat(F.array("passage"), "hs"))).alias("h"))
+    own = scratch.keep(said.groupBy("conv_id", "h").agg(F.min("pos").alias("first")), "own")
+    unit = lambda h, whole, n: F.struct(h.alias("h"), F.lit(whole).alias("whole"), n.alias("n"))
+    singly = F.when(F.size("hs") > 1, F.transform("hs", lambda h: unit(h, False, F.lit(1)))).otherwise(F.array())
+    units = cut.filter("level > 0").select("conv_id", "pos", "k", "level", F.inline(F.concat(F.array(unit(F.col("passage"), True, F.size("hs"))), singly)))
+    units = units.groupBy("conv_id", "pos", "k", "level", "whole", "h").agg(F.sum("n").alias("n"))
     o = own.select(F.col("conv_id").alias("oc"), F.col("h").alias("oh"), "first")
-    found = scratch.keep(quoted.join(o, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("h") == F.col("oh")) & (F.col("first") < F.col("pos")), "left").select("conv_id", "pos", "level", "h", "n", "first"), "found")
-    per = found.groupBy("conv_id", "pos", "first").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
+    near = units.join(o, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("h") == F.col("oh")) & (F.col("first") < F.col("pos")), "left").select("conv_id", "pos", "k", "level", "whole", "h", "n", "first")
+    passage = Window.partitionBy("conv_id", "pos", "k")
+    found = near.withColumn("as_whole", F.max(F.when(F.col("whole"), F.col("first"))).over(passage)).withColumn("any", F.max("first").over(passage)).withColumn("units", F.count("*").over(passage))
+    found = scratch.keep(found, "found")
+    votes = found.filter("CASE WHEN as_whole IS NOT NULL OR units = 1 THEN whole ELSE NOT whole END")
+    per = votes.groupBy("conv_id", "pos", "first").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
     best = per.groupBy("conv_id", "pos").agg(
         F.sum("n").alias("n_quoted"), F.sum(F.when(F.col("first").isNotNull(), F.col("n")).otherwise(0)).alias("n_near"),
         F.max(F.when(F.col("first").isNotNull(), F.struct(-F.col("level"), "n", "first"))).alias("top"))
-    far = sources(found.filter("first IS NULL").groupBy("conv_id", "pos", "h").agg(F.sum("n").alias("n")), own, scratch)
+    away = found.filter("as_whole IS NULL AND first IS NULL AND (any IS NULL OR NOT whole)")
+    far = sources(away.select("conv_id", "pos", "k", "whole", "h", "n"), own, scratch)
     f = far.select(F.col("conv_id").alias("sc"), F.col("pos").alias("sp"), "n_far", "source_conv_id")
     best = best.join(f, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("pos") == F.col("sp")), "left")
     return best.select("conv_id", "pos", "n_quoted", (F.col("n_near") + F.coalesce("n_far", F.lit(0))).alias("n_linked"), F.col("top.first").alias("parent"), "source_conv_id")
