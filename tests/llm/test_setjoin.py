@@ -101,9 +101,31 @@ def test_large_group_of_near_copies_stays_linear(spark):
     assert len(got) == 400 and {x.component_id for x in got} == {0}
 
 
+def test_hubs_are_split(spark, monkeypatch):
+    from thalweg.llm import common
+
+    monkeypatch.setattr(common, "HUB_ROWS", 4)
+    texts = corpus(8, 200)
+    base = "the one text that many others copy " * 3
+    texts |= {1000 + k: base + " ".join(f"own{k}" for _ in range(k % 3)) for k in range(60)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in S.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(texts, 3, 90)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(4)
+    long = [f"word{r.randrange(5000)}" for _ in range(60_000)]
+    near = list(long)
+    for _ in range(600):
+        near[r.randrange(len(near))] = "changed"
+    texts = {1: " ".join(long), 2: " ".join(near), 3: " ".join(long[:40_000]), 4: "x" * 200_000, 5: "x" * 200_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in S.classes(df).collect()} == brute(texts, 3, 90)
+
+
 def test_repeated_rows_null_ids_and_keep_one(spark):
     rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (1, "p q r s t", "y"), (2, "a b c d", "z"), (3, "p q r s t", None), (None, "a b c d", "n"), (4, "", "e"), (5, "", "e")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, sig string")
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, sig string, _gone int")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in S.classes(df).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (1, 3, 1), (2, 2, 1), (3, 3, 1), (None, 2, None), (4, 0, 4), (5, 0, 5)], key=str)
     kept = S.keep_one(df)

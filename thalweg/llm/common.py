@@ -12,27 +12,44 @@ from pyspark.sql import functions as F
 ARROW_BATCH_BYTES = 8 << 20
 ARROW_BATCH_ROWS = 2000
 WHITE = " \t\n\x0b\x0c\r"
+#: Rows of one key from which it is a hub, and the most hubs there can be.
+HUB_ROWS = 500
+HUBS_MOST = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def limit_batches(spark: SparkSession, rows: int = ARROW_BATCH_ROWS) -> None:
-    """Bound Arrow batches by rows and bytes for the plans made next."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
+def limit_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by rows and bytes: one bound for all operators, smaller ones stay.
+
+    Plans are built lazily and read the setting when they run, so operators must not each set their own.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_BATCH_ROWS), ("maxBytesPerBatch", ARROW_BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:  # the default, or one written with a unit
+            spark.conf.set(name, most)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not (own := spark.sparkContext.getCheckpointDir()):
+    """The folder that all executors share; a temporary one in local mode where none is configured, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="thalweg-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class Scratch:
@@ -59,6 +76,29 @@ class Scratch:
             at.getFileSystem(hadoop).delete(at, True)
 
 
+class Spread:
+    """Rows of a kept table dealt by a key that hubs may dominate: a hub's rows go to several parts by `other`.
+
+    A key with more than HUB_ROWS rows, or more than 1 in HUBS_MOST of all rows, is a hub; there can be no
+    more than HUBS_MOST of them, which bounds what is broadcast. `rows` has the part, `meet` gives the
+    other side its copies, one for each part of a hub.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, other: str):
+        loads = rows.groupBy(key).agg(F.count("*").alias("_load"))
+        most = max(HUB_ROWS, -(-rows.count() // HUBS_MOST))
+        self.key = key
+        self.hubs = loads.filter(F.col("_load") > most).select(F.col(key).alias("_hub"), F.ceil(F.col("_load") / most).cast("int").alias("_parts"))
+        parts = F.coalesce("_parts", F.lit(1))
+        self.rows = rows.join(F.broadcast(self.hubs), F.col(key) == F.col("_hub"), "left").withColumn("_part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("_hub", "_parts")
+
+    def meet(self, side: DataFrame, how: str = "inner") -> DataFrame:
+        """The rows joined to a side that has the key (how: inner or left)."""
+        copies = side.join(F.broadcast(self.hubs), F.col(self.key) == F.col("_hub"), "left").drop("_hub")
+        copies = copies.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        return self.rows.join(copies, [self.key, "_part"], how).drop("_part")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for each row, whatever the optimizer inlines."""
     return F.element_at(F.transform(F.array(value), body), 1)

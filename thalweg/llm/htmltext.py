@@ -280,7 +280,7 @@ def _group(table: pa.Table, runs: pa.Table | None = None) -> pa.Table:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every (page_id, url, html) row."""
-    limit_batches(pages.sparkSession, 500)
+    limit_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     weight = F.octet_length(F.coalesce("html", F.lit("")))

@@ -19,7 +19,9 @@ within H), and the rest are verified on the whole sets. Members of one class nee
 
 Results. Null, empty or blank text: an empty set, n_shingles 0, linked with nothing. Rows that share a
 doc_id are one node (linked through any of their texts), each with its own n_shingles. Null doc_id: the
-row's own size, no component. Empty table: empty. Ties: the smallest doc_id names a class.
+row's own size, no component. Empty table: empty. Ties: the smallest doc_id names a class. Very long texts:
+whole, their bands have few segments passed over. Other columns: left out by `classes`, left alone by
+`keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, limit_batches
+from .common import Scratch, Spread, limit_batches, unused
 
 WORDS = 3
 PERCENT = 90
@@ -242,16 +244,17 @@ def side(sets: DataFrame, x: str, *cols: str) -> DataFrame:
 
 
 def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs that their sketches don't rule out."""
-    both = pairs.join(side(sets, "a", "n", "cells"), "a").join(side(sets, "b", "n", "cells"), "b")
+    """The (a, b) pairs, kept ones, that their sketches don't rule out; many may share their b."""
+    both = Spread(pairs, "b", "a").meet(side(sets, "b", "n", "cells")).join(side(sets, "a", "n", "cells"), "a")
     return both.filter(maybe_similar(percent)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose whole sets are similar enough; sets as from `set_rows`."""
+    """The (a, b) pairs, kept ones, whose whole sets are similar enough; sets as from `set_rows`."""
     na, nb = F.col("n_a").cast("long"), F.col("n_b").cast("long")
     both = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    exact = pairs.join(side(sets, "a", "n", "tokens"), "a").join(side(sets, "b", "n", "tokens"), "b").withColumn("both", both)
+    met = Spread(pairs, "b", "a").meet(side(sets, "b", "n", "tokens"))
+    exact = met.join(side(sets, "a", "n", "tokens"), "a").withColumn("both", both)
     return exact.filter((F.col("both") > 0) & (100 * F.col("both") >= percent * (na + nb - F.col("both")))).select("a", "b").distinct()
 
 
@@ -263,8 +266,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = scratch.keep(edges.union(edges.select("b", "a")).toDF("doc", "other").distinct(), "edges")
     cur = scratch.keep(both.groupBy("doc").agg(F.least(F.col("doc"), F.min("other")).alias("comp")), "labels")
+    spread = Spread(both, "other", "doc")
     while True:
-        around = both.join(cur.select(F.col("doc").alias("other"), "comp"), "other").groupBy("doc").agg(F.min("comp").alias("near"))
+        around = spread.meet(cur.select(F.col("doc").alias("other"), "comp")).groupBy("doc").agg(F.min("comp").alias("near"))
         low = cur.join(around, "doc").select("doc", "comp", F.least("comp", "near").alias("low"))
         upper = cur.select(F.col("doc").alias("low"), F.col("comp").alias("top"))
         new = scratch.keep(low.join(upper, "low", "left").select("doc", F.least("low", "top").alias("comp"), (F.least("low", "top") < F.col("comp")).alias("moved")), "labels")
@@ -293,7 +297,12 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     sets = scratch.keep(set_rows(docs.join(some.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left_semi"), words), "sets")
 
     first = shared.filter("doc <> first").groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b")
-    links = scratch.keep(verified(sketched(first, sets, percent), sets, percent), "links")
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        alike = scratch.keep(sketched(scratch.keep(pairs, "pairs"), sets, percent), "pairs")
+        return scratch.keep(verified(alike, sets, percent), "links")
+
+    links = tried(first)
     comps = components(links, scratch)
 
     def with_class(members: DataFrame) -> DataFrame:
@@ -313,10 +322,10 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             out = held.filter("comp > low").select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
             other = held.select(F.col("sig").alias("sig_b"), F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
             pairs = out.join(other, (F.col("sig") == F.col("sig_b")) & (F.col("ca") > F.col("cb")) & maybe_similar(percent)).select("a", "b").distinct()
+            found = scratch.keep(verified(scratch.keep(pairs, "pairs"), sets, percent), "links")
         else:
             firsts = left.groupBy("sig", "comp").agg(F.min("doc").alias("a"))  # one of each class
-            pairs = sketched(firsts.join(split.select("sig", F.col("low"), "one"), "sig").filter("comp > low AND a <> one").select("a", F.col("one").alias("b")).distinct(), sets, percent)
-        found = scratch.keep(verified(pairs, sets, percent), "links")
+            found = tried(firsts.join(split.select("sig", F.col("low"), "one"), "sig").filter("comp > low AND a <> one").select("a", F.col("one").alias("b")).distinct())
         if found.limit(1).count():
             links = links.union(found)
             comps = components(links, scratch)
@@ -327,5 +336,6 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows with one of each class left, that with the smallest doc_id; rows without doc_id stay."""
     found = classes(docs.select("doc_id", "text"), words, percent)
-    drop = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = unused(docs, "_gone")
+    drop = found.filter("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(drop, F.col("doc_id") == F.col(gone), "left_anti")
