@@ -62,3 +62,43 @@ def test_files_and_empty(spark, tmp_path):
     r = W.read_files(spark, str(tmp_path)).first()
     assert (r.key, bytes(r.payload)) == (5, b"abc")
     assert W.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def foreign(kind, block, **more):
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", "<urn:uuid:6d058047-ede2-4a13-be79-90c17c631dd4>"), ("WARC-Date", "2020-01-01T00:00:00Z"), *((k.replace("_", "-"), v) for k, v in more.items()), ("Content-Length", str(len(block)))]
+    return W.header(fields) + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark):
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<p>he\r\n7\r\nllo</p>\r\n0\r\n\r\n"
+    sha = hashlib.sha1(body)
+    msg = {"Content_Type": "application/http; msgtype=response"}
+    blocks = [foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"), foreign("response", http, WARC_Payload_Digest="sha1:" + W._b32(sha.digest()), **msg),
+              foreign("response", http, WARC_Payload_Digest="SHA1:" + sha.hexdigest(), WARC_Block_Digest="sha256:" + hashlib.sha256(http).hexdigest(), **msg), foreign("response", http, **msg),
+              foreign("response", chunked, WARC_Payload_Digest="sha1:" + W._b32(sha.digest()), **msg), foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", WARC_Payload_Digest="sha1:" + W._b32(sha.digest()), WARC_Refers_To="<urn:uuid:1>", **msg),
+              foreign("metadata", b"via: x", WARC_Note="folded\r\n  line", WARC_Payload_Digest="crc:1"), foreign("revisit", b"", **msg)]
+    plain = b"".join(zstandard.ZstdCompressor().compress(b) for b in blocks)
+    got = W.records(spark.createDataFrame([("x.warc.zst", plain)], "path string, content binary")).collect()
+    assert [r.record_type for r in got] == ["warcinfo", *["response"] * 4, "revisit", "metadata", "revisit"]
+    assert all(bytes(r.payload) == body and r.payload_bytes == len(body) and r.payload_digest == sha.hexdigest() for r in got[1:5])
+    assert got[5].payload_digest == sha.hexdigest() and got[5].payload_bytes is None and got[5].refers_to_id == "<urn:uuid:1>" and got[7].payload_digest is None
+    assert {r.key for r in got} == {None} and got[0].record_id.startswith("<urn:uuid:")
+    with pytest.raises(ValueError, match="payload digest"):
+        list(W.read_archive(zstandard.ZstdCompressor().compress(foreign("response", http, WARC_Payload_Digest="sha1:" + "A" * 32, **msg))))
+    with pytest.raises(ValueError, match="block digest"):
+        list(W.read_archive(zstandard.ZstdCompressor().compress(foreign("resource", b"x", WARC_Block_Digest="md5:" + "0" * 32))))
+
+
+def test_revisits_take_their_figures_from_the_response(spark, monkeypatch):
+    from thalweg.llm import common
+
+    monkeypatch.setattr(common, "HUB_ROWS", 3)
+    rows = [(k, "u", BIG) for k in range(20)] + [(30, "u", "other" * 300), (31, "u", "other" * 300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", __import__("pyspark").sql.functions.lit("clash"))
+    got = {r.page_id: r for r in W.digest(df).collect()}
+    assert len(got) == 22 and got[5].refers_to == 19 and got[5].payload_bytes == len(BIG.encode()) and got[30].refers_to == 31
+    lost = spark.createDataFrame([(1, "a", "revisit", 2, "b", 5, "d")], "key long, record_id string, record_type string, refers_to long, refers_to_id string, payload_bytes long, payload_digest string")
+    with pytest.raises(Exception, match="no response b"):
+        W.resolved(lost).collect()

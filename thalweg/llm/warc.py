@@ -7,10 +7,12 @@ that archives live wherever Spark can read and write and no task touches a local
 
 Reading takes (path, content) rows: it finds the dictionary, decodes frame by frame, and checks magic
 numbers, headers, Content-Length, digests and the two line ends after each block; what does not hold
-raises ValueError with the archive and the byte offset.
+raises ValueError with the archive and the byte offset. Archives of other writers are read as well: ids of
+any form, records of any type, HTTP messages (the payload is the body), digests in hex or base 32, or none.
 
-Null payload: empty. Repeated rows: a record each; all rows with the largest key of a payload are responses.
-Null key: never referred to. Empty table: no archive. Very long payloads: an archive of their own.
+Null payload: empty. Repeated rows and ties: a record each; all rows with the largest key of a payload are
+responses. Null key: never referred to. Empty table: no archive. Very long payloads: an archive of their own.
+Other columns, whatever their names: left out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, limit_batches
+from .common import Scratch, Spread, limit_batches
 
 MIN_REVISIT = 1000
 #: Uncompressed bytes after which an archive is closed.
@@ -73,27 +75,74 @@ def opening(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICT_MAGIC, len(dictionary)) + dictionary
 
 
+def _same_digest(given: str, data: bytes) -> bool | None:
+    """Is `algorithm:value`, in hex or base 32, the digest of the data? None for an algorithm that isn't known."""
+    name, _, value = given.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    found = hashlib.new(name, data).digest()
+    value = value.strip().rstrip("=")
+    return value.lower() == found.hex() or value.upper() == _b32(found).rstrip("=")
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """An HTTP body without its chunk lines; None if it isn't chunked after all."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return None
+        if not size:
+            return b"".join(parts)
+        parts.append(body[end + 2:end + 2 + size])
+        at = end + 4 + size
+    return None
+
+
+def payload_of(head: dict[str, str], block: bytes) -> bytes:
+    """What a record's block carries: an HTTP message's body, else the whole block."""
+    if not head.get("content-type", "").lower().replace(" ", "").startswith("application/http") or head["warc-type"] not in ("response", "request", "revisit"):
+        return block
+    top, _, body = block.partition(b"\r\n\r\n")
+    if b"transfer-encoding: chunked" in top.lower() and (plain := unchunked(body)) is not None:
+        given = head.get("warc-payload-digest", "")
+        if not _same_digest(given, body):  # some writers take the digest of the body as it was sent
+            return plain
+    return body
+
+
 def parse(block: bytes, where: str) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of one decoded record."""
+    """Headers (the first of each name, folded lines joined) and payload of one decoded record."""
     head, sep, rest = block.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not sep or not lines[0].startswith(b"WARC/1."):
         raise ValueError(f"{where}: no WARC header")
     out: dict[str, str] = {}
+    last = None
     for line in lines[1:]:
-        name, colon, value = line.decode("utf-8").partition(":")
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and last:
+            out[last] = f"{out[last]} {text.strip()}"
+            continue
+        name, colon, value = text.partition(":")
         if not colon:
             raise ValueError(f"{where}: bad header line")
-        out[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        last = None if name in out else name
+        out.setdefault(name, value.strip())
     for need in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if need not in out:
             raise ValueError(f"{where}: no {need}")
     size = int(out["content-length"]) if out["content-length"].isdigit() else -1
     if size != len(rest) - 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError(f"{where}: Content-Length {out['content-length']} but {len(rest) - 4} bytes and an end")
-    payload = rest[:-4]
-    given = out.get("warc-payload-digest", "")
-    if out["warc-type"] != "revisit" and given.startswith("sha1:") and given[5:] != _b32(hashlib.sha1(payload).digest()):
+    body = rest[:-4]
+    if _same_digest(out.get("warc-block-digest", ""), body) is False:
+        raise ValueError(f"{where}: block digest differs")
+    payload = payload_of(out, body)
+    if out["warc-type"] != "revisit" and _same_digest(out.get("warc-payload-digest", ""), payload) is False:
         raise ValueError(f"{where}: payload digest differs")
     return out, payload
 
@@ -136,9 +185,13 @@ def read_archive(content: bytes, name: str = "archive") -> Iterator[tuple[dict[s
         yield parse(b"".join(parts), f"{name} at {start}")
 
 
-def _key(urn: str) -> int | None:
-    found = urn.rpartition(":")[2].rstrip(">")
-    return None if found == "null" else int(found)
+OWN_ID = "<urn:thalweg:record:"
+
+
+def _key(record_id: str | None) -> int | None:
+    """The key in an id that `record` wrote; None for any other."""
+    found = record_id[len(OWN_ID):].rstrip(">") if record_id and record_id.startswith(OWN_ID) else ""
+    return int(found) if found.lstrip("-").isdigit() else None
 
 
 def plan_records(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html") -> DataFrame:
@@ -185,16 +238,30 @@ def archives(records: DataFrame, dictionary: bytes = COMMON) -> DataFrame:
         if size:
             yield give()
 
-    limit_batches(records.sparkSession, 500)
+    limit_batches(records.sparkSession)
     return records.mapInArrow(run, "archive string, content binary")
 
 
-ROW = pa.schema([("key", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+ROW = pa.schema([("key", pa.int64()), ("record_id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+
+
+def _stated(head: dict[str, str]) -> tuple[int | None, str | None]:
+    """Payload length and hex SHA-1 that a revisit's header states."""
+    size = head.get("x-payload-length", "")
+    name, _, value = head.get("warc-payload-digest", "").partition(":")
+    value = value.strip()
+    if name.strip().lower() != "sha1":
+        return int(size) if size.isdigit() else None, None
+    return int(size) if size.isdigit() else None, value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
 
 
 def records(stored: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Validated records of (archive, content) rows, as `archives` or binaryFile (path, content) give them."""
-    names = ["key", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
+    """Validated records of (archive, content) rows, as `archives` or binaryFile (path, content) give them.
+
+    Any writer's records: key and refers_to are null for ids that aren't of this module's form, the length
+    and digest of a revisit are those it states (null if it states none), all others' are computed.
+    """
+    names = [n for n in ROW.names if with_payload or n != "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(rows: list[tuple]) -> pa.RecordBatch:
@@ -205,10 +272,10 @@ def records(stored: DataFrame, with_payload: bool = True) -> DataFrame:
             for name, content in zip(b.column(0), b.column(1), strict=True):
                 rows, held = [], 0
                 for head, payload in read_archive(content.as_py(), name.as_py()):
-                    digest = base64.b32decode(head["warc-payload-digest"][5:]).hex()
                     again = head["warc-type"] == "revisit"
-                    size = int(head["x-payload-length"]) if again else len(payload)
-                    row = _key(head["warc-record-id"]), head.get("warc-target-uri"), head["warc-type"], _key(head["warc-refers-to"]) if again else None, size, digest, payload
+                    size, digest = _stated(head) if again else (len(payload), hashlib.sha1(payload).hexdigest())
+                    own, refers = head["warc-record-id"], head.get("warc-refers-to")
+                    row = _key(own), own, head.get("warc-target-uri"), head["warc-type"], _key(refers), refers, size, digest, payload
                     rows.append(row[: len(names)])
                     held += len(payload) * with_payload
                     if len(rows) >= 2000 or held > 16 << 20:
@@ -217,11 +284,25 @@ def records(stored: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield give(rows)
 
-    limit_batches(stored.sparkSession, 4)
-    schema = "key long, uri string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
+    limit_batches(stored.sparkSession)
+    schema = "key long, record_id string, uri string, record_type string, refers_to long, refers_to_id string, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     return stored.select(stored.columns[0], "content").mapInArrow(run, schema)
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """Kept records with each revisit's length and digest taken from the payload of the response it refers to.
+
+    A revisit whose response isn't among the records, or has another digest than it states, raises.
+    Responses that very many revisits refer to are met in parts.
+    """
+    again = found.filter("record_type = 'revisit'").select("key", "refers_to_id", F.col("payload_digest").alias("stated"), "refers_to")
+    there = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "payload_bytes", "payload_digest").distinct()
+    met = Spread(again, "refers_to_id", "key").meet(there, "left").filter("payload_digest IS NULL OR stated IS NULL OR stated = payload_digest")
+    ok = met.select("key", F.lit("revisit").alias("record_type"), "refers_to", F.coalesce("payload_bytes", F.raise_error(F.concat(F.lit("no response "), "refers_to_id")).cast("long")).alias("payload_bytes"), "payload_digest")
+    rest = found.filter("record_type <> 'revisit'").select("key", "record_type", "refers_to", "payload_bytes", "payload_digest")
+    return rest.unionByName(ok)
+
+
 def read_files(spark, path: str, with_payload: bool = True) -> DataFrame:
     """Records of .warc.zst files anywhere that Spark can read."""
     return records(spark.read.format("binaryFile").load(path).select("path", "content"), with_payload)
@@ -229,8 +310,10 @@ def read_files(spark, path: str, with_payload: bool = True) -> DataFrame:
 
 def digest(pages: DataFrame) -> DataFrame:
     """The query's columns: every page written to archives in the shared folder and read back from them."""
-    stored = Scratch(pages.sparkSession).keep(archives(plan_records(pages)), "warc")
-    return records(stored, with_payload=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scratch = Scratch(pages.sparkSession)
+    stored = scratch.keep(archives(plan_records(pages)), "warc")
+    found = resolved(scratch.keep(records(stored, with_payload=False), "records"))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: The query as DuckDB SQL.
