@@ -82,3 +82,77 @@ def test_groups_of_a_host_see_all_its_pages(spark, monkeypatch):
     monkeypatch.setattr(H, "GROUP_BYTES", 600)
     assert sorted(map(tuple, H.extract(df).collect())) == whole
     assert len(whole) == len(rows) and any("Short" in t for _, _, t, _ in whole)
+
+
+def test_markup_is_a_hint():
+    assert text('<form id="aspnetForm"><nav>Home</nav><main><p>Body text</p></main></form>') == "Body text"
+    assert text("<form><article><p>Body text</p><form>Name</form></article></form>") == "Body text"
+    assert text("<article><header><h1>T</h1><p>Lead</p><nav>Share</nav></header><p>Body</p><address>12 High Street</address></article>") == "T\nLead\nBody\n12 High Street"
+    assert text('<div class="layout with-sidebar"><article>Body</article><div class="sidebar">side</div></div>') == "Body"
+    assert text('<div class="widget"><article>Body</article></div>') == "Body"  # the only article there is
+    assert text('<article>Body</article><div id="comments"><article>I disagree</article></div>') == "Body"
+    assert text("<main><p>One</p></main><aside><article>Teaser</article></aside>") == "One"
+
+
+def brute_words(streams, i, p):
+    """Tokens of page p that lie in a string of RUN_WORDS tokens that another page has."""
+    s, n = streams[p], H.RUN_WORDS
+    return any(q != p and any(o[j:j + n] == s[a:a + n] for j in range(len(o) - n + 1)) for a in range(max(0, i - n + 1), min(i, len(s) - n) + 1) for q, o in enumerate(streams))
+
+
+def test_strings_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(H, "RUN_WORDS", 4)
+    r = random.Random(6)
+    for _ in range(60):
+        streams = [[r.choice("ab\n") for _ in range(r.randint(0, 14))] for _ in range(r.randint(1, 4))]
+        for p, got in enumerate(H.covered_words(streams)):
+            assert got.tolist() == [brute_words(streams, i, p) for i in range(len(streams[p]))]
+        sums = [H.window_hashes("h", s).tolist() for s in streams]
+        assert all(len(h) == max(0, len(s) - 3) for h, s in zip(sums, streams))
+        assert all((a == b) == (streams[p][i:i + 4] == streams[q][j:j + 4]) for p, x in enumerate(sums) for i, a in enumerate(x) for q, y in enumerate(sums) for j, b in enumerate(y))
+
+
+def brute_extract(pages):
+    """page -> text, pages of one host given as lists of (block, state)."""
+    distinct = list(dict.fromkeys(tuple(p) for p in pages))
+    left = [[b for b, s in p if s != H.CONTENT] for p in distinct]
+    tokens = [H.words_of(x) for x in left]
+
+    def recurs(p, i, n):
+        run = left[p][i:i + n]
+        return (n >= H.RUN_BLOCKS or sum(map(len, run)) >= H.RUN_CHARS) and any(q != p and any(o[j:j + n] == run for j in range(len(o))) for q, o in enumerate(left))
+
+    out = {}
+    for p, page in enumerate(distinct):
+        if any(s == H.CONTENT for _, s in page):
+            out[page] = "\n".join(b for b, s in page if s == H.CONTENT)
+            continue
+        kept, at = [], 0
+        for i, (b, s) in enumerate(page):
+            ws = [w for k, w in enumerate(b.split(" ")) if not brute_words(tokens, at + k, p)]
+            at += len(b.split(" ")) + 1
+            if s == H.OPEN and ws and not any(recurs(p, a, n) for a in range(i + 1) for n in range(i - a + 1, len(page) - a + 1)):
+                kept.append(" ".join(ws))
+        out[page] = "\n".join(kept)
+    return [out[tuple(p)] for p in pages]
+
+
+def test_extract_equals_brute_force_whole_and_in_groups(spark, monkeypatch):
+    r = random.Random(9)
+    shared = "a string that stands in the middle of other text on several pages and goes on for quite a while".split() * 2
+    rows = []
+    for k in range(40):
+        parts = [("p", " ".join(r.choices("red green blue", k=2) + (shared if r.random() < 0.4 else []) + [f"own{k}", "tail"])) for _ in range(2)]
+        parts += [(r.choice(["p", "nav", "li"]), x) for x in r.choices(["Home", "News", "About us all", "A notice that some pages of the host share", f"only {k}"], k=5)]
+        r.shuffle(parts)
+        body = "".join(f"<{t}>{x}</{t}>" for t, x in parts)
+        rows += [(len(rows) + i, f"{r.choice(['', 'http://'])}{r.choice('xxy')}.org/{k}", body if k % 6 else f"<main>{body}</main>{body}") for i in range(r.choice([1, 1, 2]))]
+    want = {}
+    for host in "xy":
+        ids = [i for i, u, _ in rows if u.removeprefix("http://")[0] == host]
+        want |= dict(zip(ids, brute_extract([H.blocks(rows[i][2]) for i in ids])))
+    df = spark.createDataFrame([(*x, 1) for x in rows], "page_id long, url string, html string, body int")
+    assert {x.page_id: x.text for x in H.extract(df).collect()} == want
+    monkeypatch.setattr(H, "GROUP_BYTES", 700)
+    assert {x.page_id: x.text for x in H.extract(df).collect()} == want
+    assert any("own" in t and "middle" not in t for t in want.values())

@@ -1,19 +1,23 @@
-"""Main text of web pages: markup first, host suffix arrays for what markup leaves open.
-
-A page becomes a stream of text blocks in page order. Each block is known by its markup as content (in
-an article or main element), as furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) or as neither. The streams of a host's pages are concatenated, and a suffix array over
-the blocks finds the runs that recur on another page of the group; of the blocks that markup leaves open,
-covered ones are boilerplate and the unique runs are kept, in pages without content markup. Blocks that
+"""Main text of web pages: host suffix arrays over page token streams, with markup as a hint.
+
+A page becomes a stream of text blocks in page order, and each block a stream of words. Each block is
+known by its markup as content (in an article or main element), as furniture (menus, headers, footers,
+sidebars, notices, adverts, forms, reader comments) or as neither. The streams of a host's pages are
+concatenated, and suffix arrays find what recurs on another page of the host: over the blocks, runs of
+RUN_BLOCKS blocks or RUN_CHARS characters; over the words (with a mark at each block's end), strings of
+RUN_WORDS tokens or more wherever they begin and end. Of the blocks that markup leaves open, in pages
+without content markup, covered blocks and words are boilerplate and the unique runs are kept. Blocks that
 markup knows stand: an article may quote a passage that other pages have too.
 
 A host's pages are split into groups of about GROUP_BYTES by a hash of the page (a third of all pages may
-be one host's). What recurs across the groups of a split host comes from an index of its runs: a run long
-enough recurs only if its runs of three blocks do, or its one or two blocks of RUN_CHARS characters, so
-hashes of these with the least and greatest page hash tell whether two different pages have them.
-
-Null, empty or blank html: empty text. A page without host: the empty host. Repeated rows: one result
-each; equal pages of a host count as one, so copies don't make each other boilerplate. Empty table: empty.
+be one host's). What recurs across the groups of a split host comes from an index of its shortest runs by
+hash: a run long enough recurs only if its runs of three blocks do, or its one or two blocks of RUN_CHARS
+characters, or its windows of RUN_WORDS tokens, so hashes of these with the least and greatest page hash
+tell whether two different pages have them. The result doesn't depend on the grouping.
+
+Null, empty or blank html: empty text. A page without host: the empty host. Repeated rows and ties: one
+result each; equal pages of a host count as one, so copies don't make each other boilerplate. Very long
+pages: whole, in a group of their own. Empty table: empty. Other columns, whatever their names: left out.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ BROADCAST_HOSTS = 50_000
 #: A recurring run is boilerplate from this many blocks or characters on.
 RUN_BLOCKS = 3
 RUN_CHARS = 30
+#: A recurring string is boilerplate from this many tokens on, wherever it begins (a power of two).
+RUN_WORDS = 32
 
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|template|noscript|iframe|svg|select|button|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -43,16 +49,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements whose ends matter; all others only part blocks.
 TRACKED = frozenset("address article aside dialog div footer form header li main menu nav ol section table td ul fieldset figure details".split())
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset address header".split())
+#: Furniture that whole pages may be wrapped in, so an article inside it is one all the same.
+WRAPS = frozenset("form fieldset address header".split())
+#: Furniture that is part of an article it stands in.
+PARTS = frozenset("address header".split())
 NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|complementary|consent|contentinfo|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation"
     r"|newsletter|notice|pagination|popup|promo|promoted|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 OPEN, CONTENT, AWAY = 0, 1, 2
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 def _named(attributes: str) -> bool:
-    return any(WORDS.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+    """Do the names say furniture? `has-sidebar` and the like speak of a layout, not of the element."""
+    return any(WORDS.search(x) for a, b, c in NAMED.findall(attributes) for x in (a or b or c).split() if not x.lower().startswith(("has-", "with-", "no-", "without-")))
 
 
 def _main_role(attributes: str) -> bool:
@@ -60,10 +70,22 @@ def _main_role(attributes: str) -> bool:
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
-    """(text, what markup says) of a page's blocks in order."""
+    """(text, what markup says) of a page's blocks in order.
+
+    Names alone may be wrong about an element that holds the page's only article: if nothing turns out to
+    be content, names of its ancestors are not asked.
+    """
+    out = _blocks(page, True)
+    if not any(s == CONTENT for _, s in out) and re.search(r"<article\b|role\s*=\s*[\"']?article\b|articleBody", page or "", re.I):
+        again = _blocks(page, False)
+        return again if any(s == CONTENT for _, s in again) else out
+    return out
+
+
+def _blocks(page: str | None, trust_names: bool) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []  # tracked elements that are open, with the state inside
+    stack: list[tuple[str, int, bool]] = []  # tracked elements that are open: name, state inside, does it shut articles out
     state = OPEN
 
     def close() -> None:
@@ -87,10 +109,6 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             parts.append(" ")
             continue
         close()
-        if name in HEADINGS and not shut and stack and stack[-1][0] == "header" and any(s == CONTENT for _, s in stack):
-            state = CONTENT  # an article's own title
-        elif name in HEADINGS and shut and stack:
-            state = stack[-1][1]
         if name not in TRACKED:
             continue
         if shut:
@@ -103,12 +121,17 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if attributes.endswith("/"):
             continue
         named = bool(attributes) and _named(attributes)
-        if name in ("article", "main") or attributes and _main_role(attributes):
-            forced = any(n in FURNITURE for n, _ in stack)
-            state = AWAY if named and name != "main" or forced else CONTENT
-        elif name in FURNITURE or named and state != CONTENT or named and name != "section":
+        main = name == "main" or bool(attributes) and bool(re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I))
+        bars = False
+        if main:
+            state = CONTENT
+        elif name == "article" or attributes and _main_role(attributes):
+            bars = named
+            state = AWAY if named or any(x for _, _, x in stack) else CONTENT
+        elif name in FURNITURE and not (state == CONTENT and name in PARTS and not named) or named and state != CONTENT or named and name != "section":
+            bars = name in FURNITURE and name not in WRAPS or named and trust_names
             state = AWAY
-        stack.append((name, state))
+        stack.append((name, state, bars))
     if at < len(source):
         parts.append(source[at:])
     close()
@@ -204,7 +227,7 @@ def _hash(x: bytes) -> int:
 
 
 def shortest_runs(host: str, stream: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(first block, blocks, hash) of the runs that every long run of the stream is made of."""
+    """(first block, blocks, hash) of the runs that every long run of the stream's blocks is made of."""
     raw = [b.encode("utf-8", "surrogatepass") for b in stream]
     start = host.encode("utf-8", "surrogatepass")
     for i in range(len(stream)):
@@ -213,6 +236,66 @@ def shortest_runs(host: str, stream: list[str]) -> Iterator[tuple[int, int, int]
                 yield i, n, _hash(b"\n".join((start, *raw[i:i + n])))
 
 
+def words_of(stream: list[str]) -> list[str]:
+    """The stream's words, with a mark at each block's end."""
+    return [w for b in stream for w in (*b.split(" "), "\n")]
+
+
+def covered_words(streams: list[list[str]]) -> list[np.ndarray]:
+    """For each page's tokens (`words_of`): do RUN_WORDS tokens over them recur on another page?
+
+    The suffixes are ranked by their first RUN_WORDS tokens only: a longer string recurs where all such
+    windows of it do, so the order beyond them is not needed.
+    """
+    known: dict[str, int] = {}
+    tokens: list[int] = []
+    page: list[int] = []
+    for p, s in enumerate(streams):
+        tokens += [known.setdefault(w, len(known)) for w in s]
+        tokens.append(-1 - p)
+        page += [p] * (len(s) + 1)
+    n = len(tokens)
+    rank = np.unique(np.array(tokens, np.int64), return_inverse=True)[1].astype(np.int64)
+    k = 1
+    while k < RUN_WORDS:
+        second = np.full(n, -1, np.int64)
+        second[: max(0, n - k)] = rank[k:]
+        rank = np.unique(rank * (n + 1) + second + 1, return_inverse=True)[1].astype(np.int64)
+        k *= 2
+    p = np.array(page, np.int64)
+    lo, hi = np.full(n + 1, n, np.int64), np.full(n + 1, -1, np.int64)
+    np.minimum.at(lo, rank, p)
+    np.maximum.at(hi, rank, p)
+    return _spread(lo[rank] < hi[rank], [len(s) for s in streams])
+
+
+def _spread(starts: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """Which tokens lie in a window that begins at one of the starts; each stream has one more place at its end."""
+    marks = np.zeros(len(starts) + RUN_WORDS + 1, np.int64)
+    at = np.flatnonzero(starts)
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + RUN_WORDS, -1)
+    hit = np.cumsum(marks) > 0
+    ends = np.cumsum([n + 1 for n in lengths])
+    return [hit[e - n - 1:e - 1] for n, e in zip(lengths, ends.tolist(), strict=True)]
+
+
+def window_hashes(host: str, tokens: list[str]) -> np.ndarray:
+    """A hash of each window of RUN_WORDS tokens."""
+    memo: dict[str, int] = {}
+    first = xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass"))
+    h = np.array([memo.get(w) or memo.setdefault(w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), first)) for w in tokens], np.uint64)
+    k = 1
+    while k < RUN_WORDS:
+        if len(h) <= k:
+            return np.empty(0, np.int64)
+        h = h[:-k] * np.uint64(0x9E3779B97F4A7C15) ^ h[k:]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        k *= 2
+    return h.view(np.int64)
+
+
 def main_texts(pages: list[tuple[list[str], bytes]], host: str = "", elsewhere: frozenset[int] = frozenset()) -> list[str]:
     """Main text of each page of a host's group from (blocks, what markup says of each).
 
@@ -221,53 +304,71 @@ def main_texts(pages: list[tuple[list[str], bytes]], host: str = "", elsewhere:
     place: dict[tuple, int] = {}  # equal pages are one
     which = [place.setdefault((tuple(bs), states), len(place)) for bs, states in pages]
     streams = [[b for b, s in zip(bs, states, strict=True) if s != CONTENT] for bs, states in place]
-    hits = covered(streams)
-    if elsewhere:
-        for (_, states), stream, hit in zip(place, streams, hits, strict=True):
-            for i, n, h in shortest_runs(host, stream) if CONTENT not in states else ():
+    texts = {}
+    if all(CONTENT in states for _, states in place):  # nothing is left open
+        streams, hits, words, inside = [], [], [], []
+    else:
+        hits, words = covered(streams), [words_of(s) for s in streams]
+        inside = covered_words(words)
+    for k, (bs, states) in enumerate(place):
+        if CONTENT in states:
+            texts[k] = "\n".join(b for b, s in zip(bs, states, strict=True) if s == CONTENT)
+            continue
+        stream, hit, gone = streams[k], hits[k], inside[k]
+        if elsewhere:
+            for i, n, h in shortest_runs(host, stream):
                 if h in elsewhere:
                     hit[i:i + n] = True
-    out = []
-    for (bs, states), k in zip(pages, which, strict=True):
-        hit = hits[k]
-        marked = CONTENT in states
-        repeated = iter(hit.tolist())
-        kept = []
-        for b, s in zip(bs, states, strict=True):
-            if s == CONTENT:
-                kept.append(b)
-            elif not next(repeated) and s == OPEN and not marked:
-                kept.append(b)
-        out.append("\n".join(kept))
-    return out
+            found = window_hashes(host, words[k])
+            starts = np.zeros(len(words[k]) + 1, bool)
+            starts[:len(found)] = [h in elsewhere for h in found.tolist()]
+            gone = gone | _spread(starts, [len(words[k])])[0]
+        kept, at = [], 0
+        for b, s, h in zip(bs, states, hit.tolist(), strict=True):
+            end = at + b.count(" ") + 1
+            if s == OPEN and not h:
+                if gone[at:end].any():
+                    b = " ".join(w for w, g in zip(words[k][at:end], gone[at:end].tolist(), strict=True) if not g)
+                if b:
+                    kept.append(b)
+            at = end + 1
+        texts[k] = "\n".join(kept)
+    return [texts[k] for k in which]
 
 
 PARSED = "page_id long, url string, host string, body string, states binary"
+HOST = r"^(?:[a-zA-Z][\w+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         bodies, states = [], []
-        for h in b.column(2):
+        for h in b.column(3):
             got = blocks(h.as_py())
             bodies.append("\n".join(x for x, _ in got))
             states.append(bytes(s for _, s in got))
-        hosts = [re.sub(r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?|[/:?#].*$", "", u.as_py() or "").lower() for u in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(bodies, pa.string()), pa.array(states, pa.binary())], names=["page_id", "url", "host", "body", "states"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bodies, pa.string()), pa.array(states, pa.binary())], names=["page_id", "url", "host", "body", "states"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(run, least and greatest hash of its pages, group if one of the group's texts depends on it)."""
     for b in batches:
         seen: dict[tuple[int, str | None], tuple[int, int]] = {}
+
+        def note(h: int, group: str | None, page: int) -> None:
+            lo, hi = seen.get((h, group), (page, page))
+            seen[h, group] = (min(lo, page), max(hi, page))
+
         for group, host, body, states in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             bs = body.split("\n") if states else []
             page = _hash(states + b"\n" + body.encode("utf-8", "surrogatepass"))
             left = bytes(s for s in states if s != CONTENT)
-            for i, n, h in shortest_runs(host, [x for x, s in zip(bs, states, strict=True) if s != CONTENT]):
-                key = (h, group if CONTENT not in states and OPEN in left[i:i + n] else None)
-                lo, hi = seen.get(key, (page, page))
-                seen[key] = (min(lo, page), max(hi, page))
+            stream = [x for x, s in zip(bs, states, strict=True) if s != CONTENT]
+            open_ = CONTENT not in states
+            for i, n, h in shortest_runs(host, stream):
+                note(h, group if open_ and OPEN in left[i:i + n] else None, page)
+            for h in window_hashes(host, words_of(stream)).tolist():
+                note(h, group if open_ else None, page)
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([lo for lo, _ in seen.values()], pa.int64()), pa.array([hi for _, hi in seen.values()], pa.int64()), pa.array([g for _, g in seen], pa.string())], names=["run", "lo", "hi", "group"])
 
 
@@ -281,10 +382,10 @@ def _group(table: pa.Table, runs: pa.Table | None = None) -> pa.Table:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every (page_id, url, html) row."""
     limit_batches(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1)).alias("host")
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host, F.col("html").cast("string"))
     weight = F.octet_length(F.coalesce("html", F.lit("")))
-    sizes = rows.groupBy(host.alias("host")).agg(F.ceil(F.sum(weight.cast("long")) / F.lit(GROUP_BYTES)).alias("parts"))
+    sizes = rows.groupBy("host").agg(F.ceil(F.sum(weight.cast("long")) / F.lit(GROUP_BYTES)).alias("parts"))
     hot = Scratch(pages.sparkSession).keep(sizes.filter("parts > 1"), "hosts")
     n_hot = hot.count()
     few = n_hot <= BROADCAST_HOSTS  # else both sides are dealt by host for the join, and again by group
