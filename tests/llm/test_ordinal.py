@@ -63,3 +63,45 @@ def test_long_texts_train_with_all_their_words():
     words = [f"w{k}" for k in range(9000)]
     n, f, c = O.features(" ".join(words))
     assert n == 3 * 9000 == c.sum() and {x for w in words for x in O.word_features(w)} <= set(f.tolist())
+
+
+def loss(t, w, y, X):
+    """Mean negative log likelihood of the cumulative-link model, written out grade by grade."""
+    th = [-np.inf, *t, np.inf]
+    up = lambda x: 1 / (1 + np.exp(-x))
+    return -np.mean([np.log(up(th[g + 1] - x @ w) - up(th[g] - x @ w)) for g, x in zip(y, X)]) + O.SHRINK / 2 * (w @ w)
+
+
+def test_fit_minimises_the_written_out_likelihood(monkeypatch):
+    r = np.random.default_rng(4)
+    n, k = 120, 5
+    X = r.integers(0, 3, (n, k)).astype(float)
+    y = np.clip((X @ np.array([1.0, -1, 0.5, 0, 0]) + r.normal(0, 1.5, n) + 1).round().astype(int), 0, 2)
+    monkeypatch.setattr(O, "LEAST_Z", 0.0)  # all features take part
+    monkeypatch.setattr(O, "SHRINK", 1e-2)
+    monkeypatch.setattr(O, "STEPS", 3000)
+    monkeypatch.setattr(O, "RATE", 0.02)
+    cols = [np.flatnonzero(x) for x in X]
+    sizes = np.full(n, 4)
+    m = O.fit(y, sizes, np.array([len(c) for c in cols]), np.concatenate(cols).astype(np.int32), np.concatenate([x[c] for x, c in zip(X, cols)]).astype(np.int32))
+    w, t, V = m.weights[:k].astype(float), m.thresholds.copy(), X / 2  # counts over the root of the size
+    here = loss(t, w, y, V)
+    for i in range(k):  # the gradient vanishes
+        e = np.eye(k)[i] * 1e-4
+        assert abs(loss(t, w + e, y, V) - loss(t, w - e, y, V)) / 2e-4 < 5e-3
+    for i in range(2):
+        e = np.eye(2)[i] * 1e-4
+        assert abs(loss(t + e, w, y, V) - loss(t - e, w, y, V)) / 2e-4 < 5e-3
+    assert all(loss(t + r.normal(0, 0.2, 2), w + r.normal(0, 0.2, k), y, V) > here for _ in range(50))
+    p = m.tails(V @ w)
+    up = lambda x: 1 / (1 + np.exp(-x))
+    assert np.allclose(p, np.stack([up(V @ w - c) for c in t], axis=1))
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    docs, labels = corpus(300, 8)
+    model = O.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    long = docs[0][1] + " neutral" * 200_000
+    df = spark.createDataFrame([(1, long), (2, long + " zidiot zmoron"), (3, "w" * 500_000)], "doc_id long, text string")
+    got = {r.doc_id: r.p_keep for r in O.classify(df, model).collect()}
+    assert got[2] < got[1] and got[3] is not None

@@ -12,7 +12,9 @@ Scoring reads whole texts as well.
 
 Null or empty text: the features of an empty text. No labelled row, or one grade only: nothing is known,
 expected grade and probability are null and every document is kept. Repeated rows and ids: a row each (a
-document labelled twice counts twice). Empty table: empty result. Null labels are left out.
+document labelled twice counts twice). Empty table: empty result. Null labels are left out. Ties: equal
+probabilities get equal verdicts. Very long texts: whole, in fitting and in scoring. Given columns named
+expected_grade, p_keep or kept are replaced by `classify` and stay in `keep`; all others stay.
 """
 
 from __future__ import annotations
@@ -109,11 +111,12 @@ def fit(y: np.ndarray, sizes: np.ndarray, marked: np.ndarray, cols: np.ndarray,
     row = np.repeat(np.arange(n, dtype=np.int32), marked)
     keep = _telling(cols, y.astype(np.int8)[row], y)[cols]
     cols, row, counts = cols[keep], row[keep], counts[keep]
+    used, cols = np.unique(cols, return_inverse=True)  # the weights of all others stay 0
     value = np.where(counts == 0, 1.0, counts / np.sqrt(np.maximum(1, sizes))[row])
     counts = np.array([np.clip((y <= k).mean(), 0.01 * (k + 1), 0.98 + 0.005 * k) for k in range(GRADES - 1)])
     base = np.log(counts / (1 - counts))
     t = np.concatenate(([base[0]], np.log(np.maximum(np.diff(base), 1e-2))))  # first threshold, then logs of the gaps
-    w = np.zeros(1 << BITS)
+    w = np.zeros(len(used))
     m1, m2, u1, u2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
     for step in range(1, STEPS + 1):
         th = np.concatenate(([-np.inf], np.cumsum(np.concatenate(([t[0]], np.exp(t[1:])))), [np.inf]))
@@ -123,7 +126,7 @@ def fit(y: np.ndarray, sizes: np.ndarray, marked: np.ndarray, cols: np.ndarray,
         p = np.maximum(hi - lo, 1e-9)
         dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
         ds = (dhi - dlo) / n  # of the loss by the score
-        g = np.bincount(cols, weights=value * ds[row], minlength=1 << BITS) + SHRINK * w
+        g = np.bincount(cols, weights=value * ds[row], minlength=len(used)) + SHRINK * w
         dth = np.array([(-dhi[y == k].sum() + dlo[y == k + 1].sum()) / n for k in range(GRADES - 1)])
         after = dth[::-1].cumsum()[::-1]
         gt = np.concatenate(([after[0]], after[1:] * np.exp(t[1:])))
@@ -133,7 +136,9 @@ def fit(y: np.ndarray, sizes: np.ndarray, marked: np.ndarray, cols: np.ndarray,
             b *= 0.99
             b += 0.01 * grad * grad
             x -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-7)
-    return Model(w.astype(np.float32), np.cumsum(np.concatenate(([t[0]], np.exp(t[1:])))))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[used] = w
+    return Model(weights, np.cumsum(np.concatenate(([t[0]], np.exp(t[1:])))))
 
 
 def features(text: str) -> tuple[int, np.ndarray, np.ndarray]:
