@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from thalweg.llm import fingerprint as P
 
 
@@ -65,3 +67,13 @@ def test_one_row_and_none(spark):
     one = spark.createDataFrame([(1, "abcd")], "doc_id long, text string")
     assert P.digest(one).first().edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert P.digest(one.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    a = prose(5, 200_000)
+    rows = [(2, a, "x"), (1, a[:-100] + "changed" + a[-93:], "y"), (0, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part string").withColumn("guest", F.lit(1))
+    got = {r.doc_id: r for r in P.digest(df).collect()}
+    assert got[2].n_chars == len(a) and got[2].near_next > 0.9 and got[1].near_next == 0.0
+    assert got[2].edited_sha256 == hashlib.sha256(P.edited(a, rows[1][1]).encode()).hexdigest()
+    assert P.fingerprints(df).columns == ["doc_id", "text", "part", "guest", "fingerprint"]

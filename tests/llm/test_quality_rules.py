@@ -43,3 +43,11 @@ def test_keep_and_empty(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", 5)], "doc_id long, text string, ql_failed int")
     assert [tuple(r)[2] for r in Q.keep(df).collect()] == [5]
     assert Q.digest(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{k % 9000}" for k in range(30_000)) + "\n" + "x" * 300_000
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    r = Q.digest(df).first()
+    w = long.split()
+    assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), 30_000)

@@ -72,3 +72,30 @@ def test_packed_ids_and_batches(docs):
 def test_empty_tables(docs):
     assert bpe.digest(docs.limit(0), WORD).count() == 0 and packing.digest(docs.limit(0), BYTE).count() == 0
     assert {r.doc_id: r.ids for r in bpe.encode(docs, WORD).collect()}[4] == Tokenizer.from_file(WORD).encode("a", add_special_tokens=False).ids
+
+
+def test_other_kinds_of_files_are_left_to_the_library(tmp_path):
+    import json
+
+    one, two = (json.load(open(x, encoding="utf-8")) for x in (BYTE, WORD))
+    assert packing._plain(one) and bpe._word_ends(two) and not packing._plain(two) and not bpe._word_ends(one)
+    one["pre_tokenizer"]["add_prefix_space"] = True
+    two["normalizer"]["normalizers"].pop()  # case stays
+    for spec, codec in ((one, packing.ByteCodec), (two, bpe.ChunkCodec)):
+        at = str(tmp_path / "other.json")
+        json.dump(spec, open(at, "w", encoding="utf-8"))
+        t, c = Tokenizer.from_file(at), codec(at)
+        for x in ("Two Words, MORE", " it's", LONG[:500]):
+            ids, got = t.encode(x, add_special_tokens=False).ids, c.encode(x)
+            assert (np.frombuffer(got, "<u4").tolist() if isinstance(got, bytes) else list(map(int, got[0].split()))) == ids
+    ranks = json.load(open(BYTE, encoding="utf-8"))
+    ranks["model"]["merges"].reverse()
+    assert not packing._plain(ranks)
+
+
+def test_keys_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, ids int, start int")
+    assert packing.digest(df, BYTE).count() == 2 and bpe.digest(df, WORD).first().n_tokens == 2
+    for f in (lambda: packing.pieces(df, BYTE, key="start"), lambda: bpe.encode(df, WORD, key="ids")):
+        with pytest.raises(ValueError, match="must not be named"):
+            f()

@@ -11,12 +11,19 @@ turn reused from a second bounded table, and only words found in neither reach t
 The tables hold for one worker: a chunk is encoded once for each worker that meets it (and again once it
 has been pushed out), never sent over the network. Exactness does not depend on them.
 
-Null or empty text: no ids, decoded to the empty text. Repeated rows: one result each. Empty table: empty.
+All this holds for files that normalise white space to one blank and lower the case, drop what lies between
+words and mark words' ends; the codec reads the file, and any other kind is left to the library, whole
+texts at a time.
+
+Null or empty text: no ids, decoded to the empty text. Repeated rows and ties: one result each. Very long
+texts: whole. Empty table: empty. Other columns, whatever their names: left out; a key named as one of the
+result's columns raises ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -59,6 +66,18 @@ def cuts(text: str) -> list[int]:
     return out
 
 
+def _word_ends(spec: dict) -> bool:
+    """Does the file encode words apart: white space to a blank, lower case, gaps dropped, an end mark?"""
+    steps = [(n.get("type"), n.get("pattern"), n.get("content")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = spec["model"]
+    return (steps == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+            and [p.get("type") for p in pre] == ["Split", "ByteLevel"] and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True
+            and "[\\p{L}]+" in pre[0]["pattern"].get("Regex", "") and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+            and spec.get("decoder") is None and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix"))
+            and not model.get("dropout") and not any(t["content"].strip() != t["content"] or " " in t["content"] for t in spec["added_tokens"]))
+
+
 class ChunkCodec:
     """Encodes to decimal ids joined by a space, with the decoded text beside them."""
 
@@ -69,6 +88,8 @@ class ChunkCodec:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.by_words = _word_ends(json.load(f))
         self.words: dict[str, tuple[str, str]] = {"": ("", "")}
         self.cores: dict[str, tuple[str, str]] = {}
         self.young: dict[str, tuple] = {}
@@ -146,6 +167,8 @@ class ChunkCodec:
         return found
 
     def encode(self, text: str) -> tuple[str, str]:
+        if not self.by_words:
+            return next(self.library([text]))
         ids: list[str] = []
         dec: list[str] = []
         pending, start = "", 0
@@ -189,6 +212,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             ids = pa.array([list(map(int, i.split())) for i, _ in got], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([d for _, d in got], pa.string())], names=[key, "ids", "decoded"])
 
+    if key in ("ids", "decoded"):
+        raise ValueError(f"the key must not be named {key}")
     limit_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")

@@ -12,7 +12,9 @@ equal (likeness 1). Equal texts have equal fingerprints.
 
 Neighbours (for the edited texts) come from one exchange of the texts by ranges of doc_id; each range
 gets a copy of the one row beyond its end, and rows stream through a task in order. Rows without doc_id
-sort last; equal doc_ids are ordered by text. Empty table: empty result.
+sort last; ties, equal doc_ids, are ordered by text. Repeated rows: one result each, each the next one's
+neighbour. Very long texts: whole. Empty table: empty result. Other columns, whatever their names: left out
+by `digest`; `fingerprints` replaces a given column of that name.
 """
 
 from __future__ import annotations

@@ -8,9 +8,12 @@ equal lengths batch together, as rows of a batch of any size.
 Ids are those of the tokenizers library. White space before a word starts a new pre-token, so words are
 encoded apart and reused from a bounded table in the worker; a text is divided only at single spaces
 between other characters. Words of common alphabets are encoded by tiktoken over the same ranks (the ids
-are the same and it is faster), the rest by the tokenizers library itself.
+are the same and it is faster), the rest by the tokenizers library itself. A file that isn't a plain
+byte-level BPE whose ids are its merges' ranks is left to the library, whole texts at a time.
 
-Null or empty text: the single id END. Repeated rows: pieces of their own. Empty table: empty.
+Null or empty text: the single id END. Repeated rows: pieces of their own. Ties: there are none, pieces of a
+row are told apart by start. Very long texts: whole. Empty table: empty. Other columns, whatever their
+names: left out; a key named as one of the result's columns raises ValueError.
 """
 
 from __future__ import annotations
@@ -66,6 +69,18 @@ class Words(dict):
         return out
 
 
+def _plain(spec: dict) -> bool:
+    """Is the file a byte-level BPE that splits by PATTERN, with ids in the order of its merges?"""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return False
+    merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get(a + b, -1) for a, b in merges]
+    return all(x < y for x, y in zip(made, made[1:])) and (not made or made[0] >= 256)
+
+
 class ByteCodec:
     def __init__(self, path: str):
         import tiktoken
@@ -77,9 +92,11 @@ class ByteCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        letters = _byte_of_letter()
-        ranks = {bytes(letters[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in self.special}
-        self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = None
+        if _plain(spec):
+            letters = _byte_of_letter()
+            ranks = {bytes(letters[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in self.special}
+            self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.first, self.later = Words(self, ""), Words(self, " ")
 
     def fresh(self, piece: str) -> bytes:
@@ -92,7 +109,7 @@ class ByteCodec:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = SAFE.split(text) if UNSAFE.search(text) or text[-1] == " " or text[0] == " " else text.split(" ")
         return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
@@ -139,6 +156,8 @@ def pieces(docs: DataFrame, path: str, most: int = MOST, key: str = "doc_id", te
             if rows:
                 yield give()
 
+    if key in {n for n, _ in FIELDS} | {"ids", "sequence_id", "offset"}:
+        raise ValueError(f"the key must not be named {key}")
     limit_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids

@@ -5,7 +5,7 @@ rule that failed; versioned policies are masks over those bits, so that changing
 a rule costs needs bitwise aggregation over the ledger and no second look at the texts.
 
 Defined results. Null text: no words, all measurements 0, the bit of FEW_WORDS. Empty text: the same.
-Repeated rows: one ledger row each. Empty table: empty ledger. Other columns are left alone (`ledger`
+Repeated rows and ties: one ledger row each. Very long texts: whole. Empty table: empty ledger. Other columns are left alone (`ledger`
 returns the given columns and adds `ql_*`; a given column of such a name is replaced).
 """
 

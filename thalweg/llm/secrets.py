@@ -6,7 +6,8 @@ text. It runs over the text's own parts sorted by position with running extremes
 text with many parts costs a sort, never all pairs, and no row leaves its partition.
 
 Positions are code points from 0, ends exclusive. Null or empty text: no spans. Repeated rows: each gets
-its own result. Empty table: empty result. Parts that tie on a position are ordered by kind as listed.
+its own result. Empty table: empty result. Ties: parts at one position are ordered by kind as listed. Very
+long texts: whole, each value to its end. Other columns, whatever their names: left alone.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def _nearest(parts: Column, field: str, missing: int, op) -> Column:
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """Adds `sec_all`: the base spans and those weak parts that have their complement in scope.
+    """From `sec_base` and `sec_weak` adds `sec_all`: the base spans and those weak parts that have their complement in scope.
 
     A weak identifier needs a secret, a weak secret an identifier, and when every part is weak an
     endpoint as well; an endpoint needs both.
@@ -95,11 +96,15 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def scan_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The given rows with `sec_base` and `sec_all`: arrays of spans sorted by start, then kind."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("sec_base", F.array_sort(F.concat(*(find(t, k) for k in BASE))))
-    out = out.withColumn("sec_weak", F.concat(*(find(t, k) for k in NAMES[len(BASE):])))
-    return link(out)
+    """The given rows with `sec_base` and `sec_all`: arrays of spans sorted by start, then kind.
+
+    Given columns of these two names are replaced, all others stay, whatever their names.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+    out = out.withColumn("sec_base", F.array_sort(F.concat(*(find(t, k) for k in BASE))))
+    out = link(out.withColumn("sec_weak", F.concat(*(find(t, k) for k in NAMES[len(BASE):]))))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("sec_base", "sec_all")), "sec_base", "sec_all")
 
 
 def written(spans: Column) -> Column:
@@ -121,7 +126,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The given rows, secrets and linked parts masked in `text`; `n_chars`, where present, follows."""
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))  # own names can't clash
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")  # own names can't clash
     out = scan_texts(row)
     hit = F.size("sec_all") > 0
     out = out.withColumn("fresh", F.when(hit, masked(F.col("text"), F.col("sec_all"))).otherwise(F.col("text")))
