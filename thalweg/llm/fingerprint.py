@@ -11,7 +11,7 @@ Form: ``block:signature:signature at twice the block:at four times``. Null and e
 equal (likeness 1). Equal texts have equal fingerprints.
 
 Neighbours (for the edited texts) come from one exchange of the texts by ranges of doc_id; each range
-gets a copy of the one row beyond its end, and rows stream through a task in order. Rows without doc_id
+gets a copy of the row beyond its end, and rows stream through a task in order. Rows without doc_id
 sort last; ties, equal doc_ids, are ordered by text. Repeated rows: one result each, each the next one's
 neighbour. Very long texts: whole. Empty table: empty result. Other columns, whatever their names: left out
 by `digest`; `fingerprints` replaces a given column of that name.
@@ -36,8 +36,9 @@ GRAM = 4
 #: Signatures in a fingerprint, each at twice the block size of the one before.
 LEVELS = 3
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-#: Bytes of text in one range of doc_ids, from the table's mean; sets the number of ranges.
+#: Stored bytes of one range of doc_ids, and the most ranges.
 RANGE_BYTES = 16 << 20
+RANGES_MOST = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -202,6 +203,8 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [batch.column(i) for i in range(4)]
         for i in range(batch.num_rows):
             part, key, text, guest = (c[i].as_py() for c in cols)
+            if guest and held is None:  # another row with the key of the guest that was taken
+                continue
             text = text or ""
             print_ = fingerprint(text)
             if held and held[0] == part:
@@ -216,40 +219,55 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give()
 
 
+def _stored_bytes(docs: DataFrame) -> int:
+    """Size by the plan's statistics, which need no scan; by the texts where these say nothing."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 56:
+        return size
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
 def _cuts(keys: DataFrame, ranges: int) -> list[int]:
-    """Keys that divide the rows into about equal ranges; at most ranges - 1 numbers come to the driver."""
-    if ranges < 2:
+    """Keys that divide the rows into about equal ranges, from a sample of about 20 keys a range.
+
+    The sample decides where rows are worked on, not what comes out.
+    """
+    n = keys.count()
+    if ranges < 2 or not n:
         return []
-    got = keys.agg(F.percentile_approx("o", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
-    return sorted(set(got or []))
+    some = sorted(r.o for r in keys.sample(min(1.0, 20 * ranges / n), seed=1).collect())
+    return sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
 
 
 def with_following(docs: DataFrame) -> DataFrame:
     """Rows (part, key, text, guest) in falling order of doc_id within a part.
 
-    The row after a part's last is copied into it as its guest. The texts are exchanged once; what the
-    driver sees is one key for each range.
+    The row after a part's last goes to that part too, as its guest. Texts are read and exchanged once; what
+    the driver sees are a few keys for each range. Ranges are of RANGE_BYTES, larger ones where that would
+    make more than RANGES_MOST of them.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("o", F.coalesce("key", F.lit(-(1 << 63)).cast("long")))
-    size = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    cuts = np.array(_cuts(rows.select("o"), min(4 * tasks, 20000)), np.int64)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(RANGES_MOST, max(least, -(-_stored_bytes(docs.select("text")) // RANGE_BYTES)))
+    cuts = np.array(_cuts(rows.select("o"), ranges), np.int64)
 
     @F.pandas_udf("int")
     def part_of(o):
         return o.map(dict(zip(o.unique(), np.searchsorted(cuts, o.unique()).tolist(), strict=True))).astype("int32") if len(o) else o.astype("int32")
 
-    dealt = rows.withColumn("part", part_of("o"))
-    tops = dealt.groupBy("part").agg(F.max("o").alias("o")).collect()  # one row for each range
-    order = sorted(tops, key=lambda r: -r["part"])
-    takers = [(order[k]["part"], order[(k + 1) % len(order)]["o"]) for k in range(len(order))]
-    first = spark.createDataFrame(takers, "part int, o long")
-    guests = rows.join(F.broadcast(first), "o").groupBy("part", "o").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
-    guests = guests.select("part", F.lit(None).cast("long").alias("key"), F.col("first.text").alias("text"), F.lit(None).cast("long").alias("o"), F.lit(True).alias("guest"))
-    both = dealt.select("part", "key", "text", "o", F.lit(False).alias("guest")).unionByName(guests)
-    return both.repartition(tasks, "part").sortWithinPartitions("part", "guest", F.desc("o"), F.xxhash64("text"), "text").select("part", "key", "text", "guest")
+    tops = {r["part"]: r["o"] for r in rows.select("o", part_of("o").alias("part")).groupBy("part").agg(F.max("o").alias("o")).collect()}  # one for each range
+    order = sorted(tops, reverse=True)
+    taker = {here: order[k - 1] for k, here in enumerate(order)}  # the part before, in falling order; the last takes the first's
+
+    @F.pandas_udf("array<int>")
+    def parts_of(o):
+        parts = np.searchsorted(cuts, o.to_numpy(np.int64)).tolist()
+        return o.__class__([[p, taker[p]] if tops[p] == x else [p] for p, x in zip(parts, o.tolist(), strict=True)], dtype=object)
+
+    both = rows.select(F.posexplode(parts_of("o")).alias("copy", "part"), "key", "text", "o").withColumn("guest", F.col("copy") == 1)
+    return both.repartition(ranges, "part").sortWithinPartitions("part", "guest", F.desc("o"), F.xxhash64("text"), "text").select("part", "key", "text", "guest")
 
 
 def digest(docs: DataFrame) -> DataFrame:
