@@ -77,26 +77,30 @@ class Scratch:
 
 
 class Spread:
-    """Rows of a kept table dealt by a key that hubs may dominate: a hub's rows go to several parts by `other`.
+    """Joins rows to a side by a key that hubs may dominate: a hub's rows are dealt to several parts by `other`.
 
     A key with more than HUB_ROWS rows, or more than 1 in HUBS_MOST of all rows, is a hub; there can be no
-    more than HUBS_MOST of them, which bounds what is broadcast. `rows` has the part, `meet` gives the
-    other side its copies, one for each part of a hub.
+    more than HUBS_MOST of them, which bounds what is broadcast. A hub's row of the side goes to all its parts.
+    `rows` is a kept table; joins merge sorted rows at every size, so that plans don't change with it.
     """
 
     def __init__(self, rows: DataFrame, key: str, other: str):
-        loads = rows.groupBy(key).agg(F.count("*").alias("_load"))
+        self.key, self.other = key, other
         most = max(HUB_ROWS, -(-rows.count() // HUBS_MOST))
-        self.key = key
-        self.hubs = loads.filter(F.col("_load") > most).select(F.col(key).alias("_hub"), F.ceil(F.col("_load") / most).cast("int").alias("_parts"))
+        loads = rows.groupBy(key).agg(F.count("*").alias("_load")).filter(F.col("_load") > most)
+        hubs = [(r[key], -(-r["_load"] // most)) for r in loads.collect()]
+        kind = rows.schema[key].dataType.simpleString()
+        self.hubs = F.broadcast(rows.sparkSession.createDataFrame(hubs, f"_hub {kind}, _parts int")) if hubs else None
+
+    def meet(self, rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+        """rows, with the key and `other`, joined to a side that has the key (how: inner or left)."""
+        if self.hubs is None:
+            return rows.join(side.hint("merge"), self.key, how)
         parts = F.coalesce("_parts", F.lit(1))
-        self.rows = rows.join(F.broadcast(self.hubs), F.col(key) == F.col("_hub"), "left").withColumn("_part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("_hub", "_parts")
-
-    def meet(self, side: DataFrame, how: str = "inner") -> DataFrame:
-        """The rows joined to a side that has the key (how: inner or left)."""
-        copies = side.join(F.broadcast(self.hubs), F.col(self.key) == F.col("_hub"), "left").drop("_hub")
-        copies = copies.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-        return self.rows.join(copies, [self.key, "_part"], how).drop("_part")
+        at = F.col(self.key) == F.col("_hub")
+        dealt = rows.join(self.hubs, at, "left").withColumn("_part", F.pmod(F.xxhash64(self.other), parts).cast("int")).drop("_hub", "_parts")
+        copies = side.join(self.hubs, at, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hub", "_parts")
+        return dealt.join(copies.hint("merge"), [self.key, "_part"], how).drop("_part")
 
 
 def let(value: Column, body) -> Column:

@@ -243,19 +243,18 @@ def side(sets: DataFrame, x: str, *cols: str) -> DataFrame:
     return sets.select(F.col("doc").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
 
 
-def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs, kept ones, that their sketches don't rule out; many may share their b."""
-    both = Spread(pairs, "b", "a").meet(side(sets, "b", "n", "cells")).join(side(sets, "a", "n", "cells"), "a")
+def sketched(pairs: DataFrame, spread: Spread, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that their sketches don't rule out; spread deals the pairs of one b."""
+    both = spread.meet(pairs.join(side(sets, "a", "n", "cells").hint("merge"), "a"), side(sets, "b", "n", "cells"))
     return both.filter(maybe_similar(percent)).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs, kept ones, whose whole sets are similar enough; sets as from `set_rows`."""
+def verified(pairs: DataFrame, spread: Spread, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose whole sets are similar enough; sets as from `set_rows`."""
     na, nb = F.col("n_a").cast("long"), F.col("n_b").cast("long")
     both = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    met = Spread(pairs, "b", "a").meet(side(sets, "b", "n", "tokens"))
-    exact = met.join(side(sets, "a", "n", "tokens"), "a").withColumn("both", both)
-    return exact.filter((F.col("both") > 0) & (100 * F.col("both") >= percent * (na + nb - F.col("both")))).select("a", "b").distinct()
+    met = spread.meet(pairs.join(side(sets, "a", "n", "tokens").hint("merge"), "a"), side(sets, "b", "n", "tokens")).withColumn("both", both)
+    return met.filter((F.col("both") > 0) & (100 * F.col("both") >= percent * (na + nb - F.col("both")))).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -268,7 +267,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     cur = scratch.keep(both.groupBy("doc").agg(F.least(F.col("doc"), F.min("other")).alias("comp")), "labels")
     spread = Spread(both, "other", "doc")
     while True:
-        around = spread.meet(cur.select(F.col("doc").alias("other"), "comp")).groupBy("doc").agg(F.min("comp").alias("near"))
+        around = spread.meet(both, cur.select(F.col("doc").alias("other"), "comp")).groupBy("doc").agg(F.min("comp").alias("near"))
         low = cur.join(around, "doc").select("doc", "comp", F.least("comp", "near").alias("low"))
         upper = cur.select(F.col("doc").alias("low"), F.col("comp").alias("top"))
         new = scratch.keep(low.join(upper, "low", "left").select("doc", F.least("low", "top").alias("comp"), (F.least("low", "top") < F.col("comp")).alias("moved")), "labels")
@@ -299,8 +298,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     first = shared.filter("doc <> first").groupBy("doc").agg(F.min("first").alias("b")).select(F.col("doc").alias("a"), "b")
 
     def tried(pairs: DataFrame) -> DataFrame:
-        alike = scratch.keep(sketched(scratch.keep(pairs, "pairs"), sets, percent), "pairs")
-        return scratch.keep(verified(alike, sets, percent), "links")
+        pairs = scratch.keep(pairs, "pairs")
+        spread = Spread(pairs, "b", "a")
+        return scratch.keep(verified(sketched(pairs, spread, sets, percent), spread, sets, percent), "links")
 
     links = tried(first)
     comps = components(links, scratch)
@@ -322,7 +322,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             out = held.filter("comp > low").select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
             other = held.select(F.col("sig").alias("sig_b"), F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
             pairs = out.join(other, (F.col("sig") == F.col("sig_b")) & (F.col("ca") > F.col("cb")) & maybe_similar(percent)).select("a", "b").distinct()
-            found = scratch.keep(verified(scratch.keep(pairs, "pairs"), sets, percent), "links")
+            pairs = scratch.keep(pairs, "pairs")
+            found = scratch.keep(verified(pairs, Spread(pairs, "b", "a"), sets, percent), "links")
         else:
             firsts = left.groupBy("sig", "comp").agg(F.min("doc").alias("a"))  # one of each class
             found = tried(firsts.join(split.select("sig", F.col("low"), "one"), "sig").filter("comp > low AND a <> one").select("a", F.col("one").alias("b")).distinct())
