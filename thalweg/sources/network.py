@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import finite
-from ..operators.network import InvalidNetwork, validate
+from ..operators.network import OUTLET, InvalidNetwork, build_graph, validate
 from ..operators.sequence import drop_coincident, segment_distances
-from .raster import Region, sample
+from .raster import Region, cell_centres, sample
 
 
 def topology(df: DataFrame) -> DataFrame:
@@ -32,9 +32,9 @@ def read_records(lines: DataFrame, rasters: dict[str, DataFrame], region: Region
 
 
 def write_profiles(profile: DataFrame, path: str) -> None:
-    """Space-separated text, a segment that several paths share written with the first of them."""
+    """Space-separated text in order of path and vertex, a segment that several paths share written with the first of them."""
     first = profile.groupBy("cat").agg(F.min("head").alias("head"))
-    profile.join(first, ["cat", "head"]).drop("head", "i").write.mode("overwrite").option("sep", " ").option("header", True).csv(path)
+    profile.join(first, ["cat", "head"]).withColumn("cat", F.col("cat").cast("long")).orderBy("head", "i").drop("head", "i").write.mode("overwrite").option("sep", " ").option("header", True).csv(path)
 
 
 def json_safe(df: DataFrame) -> DataFrame:
@@ -49,13 +49,59 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*(safe(f.name, f.dataType).alias(f.name) for f in df.schema.fields))
 
 
-def write_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Node-link records as JSON lines in two folders; edges carry their vertices' values as arrays in order."""
+def read_segments(lines: DataFrame, rasters: dict[str, DataFrame], region: Region, accum_mult: float = 1.0, assume_complete: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(vertices, topology) of lines without a topology: as `read_records`, every segment draining to 0."""
+    v = read_records(lines, rasters, region, accum_mult, assume_complete)
+    return v, v.select("cat").distinct().withColumn("tostream", F.lit(0).cast("long"))
+
+
+def read_graph(lines: DataFrame, table: DataFrame, rasters: dict[str, DataFrame], region: Region, accum_mult: float = 1.0, assume_complete: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a linked network in one call."""
+    v = read_records(lines, rasters, region, accum_mult, assume_complete)
+    return build_graph(v, topology(table), [c for c in v.columns if c not in ("cat", "seq")])
+
+
+def write_json(nodes: DataFrame, edges: DataFrame, path: str, strict: bool = True) -> None:
+    """Node-link records as JSON lines in two folders; edges carry their vertices' values as arrays in order.
+
+    strict: NaN and infinities become null; otherwise they are written as "NaN" and the like.
+    """
     values = [c for c in edges.columns if c not in ("src", "dst", "cat", "seq")]
     arrays = edges.groupBy("src", "dst", "cat").agg(F.array_sort(F.collect_list(F.struct("seq", *values))).alias("v"))  # a segment's vertices
     links = arrays.select(F.col("src").alias("source"), F.col("dst").alias("target"), "cat", *(F.col(f"v.{c}").alias(c) for c in values))
-    json_safe(nodes).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/nodes")
-    json_safe(links).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/links")
+    for name, df in (("nodes", nodes), ("links", links)):
+        (json_safe(df) if strict else df).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
+
+
+def subnetwork(nodes: DataFrame, edges: DataFrame, cats: DataFrame, keep_outlet: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The nodes of some segments (cat), with or without the outlet, and the edges between them."""
+    ids = cats.select(F.col("cat").alias("id"))
+    if keep_outlet:
+        ids = ids.unionByName(nodes.sparkSession.range(1).select(F.lit(OUTLET).cast("long").alias("id")))
+    e = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return nodes.join(ids, "id", "left_semi"), e.select(*edges.columns)
+
+
+def write_subnetwork(nodes: DataFrame, edges: DataFrame, cats: DataFrame, path: str, keep_outlet: bool = True) -> None:
+    """`subnetwork` as node-link records. Downstream paths keep the outlet, what lies upstream of a segment does not."""
+    write_json(*subnetwork(nodes, edges, cats, keep_outlet), path)
+
+
+def link_lines(all_cells: DataFrame, numbered: DataFrame, nodes: DataFrame, region: Region) -> DataFrame:
+    """(cat, x1, y1, x2, y2, tostream, wkt): each link as a polyline through its cells' centres."""
+    at = all_cells.join(numbered, "link").join(cell_centres(nodes.select("node", "r", "c"), region).select("node", "x", "y"), "node")
+    lines = at.groupBy("cat", "tostream").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))  # a link's own cells
+    text = F.concat(F.lit("LINESTRING ("), F.array_join(F.transform("p", lambda q: F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string"))), ", "), F.lit(")"))
+    end = lambda k, c: F.element_at("p", k)[c]
+    return lines.select("cat", end(1, "x").alias("x1"), end(1, "y").alias("y1"), end(-1, "x").alias("x2"), end(-1, "y").alias("y2"), "tostream", text.alias("wkt"))
+
+
+def field_heads(table: DataFrame, site: str, least_northing: float | None = None, most_northing: float | None = None) -> DataFrame:
+    """(x, y) of surveyed heads (site, northing, easting) whose site holds a name, above or below a northing."""
+    t = table.filter(F.col("site").contains(site))
+    t = t if least_northing is None else t.filter(F.col("northing") > least_northing)
+    t = t if most_northing is None else t.filter(F.col("northing") < most_northing)
+    return t.select(F.col("easting").cast("double").alias("x"), F.col("northing").cast("double").alias("y"))
 
 
 def document(nodes: DataFrame, links: DataFrame) -> str:

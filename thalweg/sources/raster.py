@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,15 +54,44 @@ def read_flt(spark: SparkSession, path: str, header: str | None = None) -> tuple
     The file comes through Spark's binaryFile source, so one grid must fit a task (2 GB at most); larger
     terrain is kept as tiles, one file each.
     """
-    region, missing, order = read_header(spark, header or path[:-4] + ".hdr")
+    return _read_grid(spark, path, header, "f4")
+
+
+def read_int(spark: SparkSession, path: str, header: str | None = None) -> tuple[DataFrame, Region]:
+    """Cells (r, c, v int) of a grid of 32-bit integers, such as categories or directions; no-data cells are absent."""
+    cells, region = _read_grid(spark, path, header, "i4")
+    return cells.withColumn("v", F.col("v").cast("int")), region
+
+
+def write_int(cells: DataFrame, path: str, value: str = "v", missing: int = -1) -> None:
+    """Tiled integer cells for `read_window`, the given code (-1: a direction that nothing drains by) as no data."""
+    write_cells(cells.filter(F.col(value) != missing).withColumn(value, F.col(value).cast("int")), path, value)
+
+
+def cells_of(array: np.ndarray, spark: SparkSession, missing: float | None = None) -> DataFrame:
+    """Cells (r, c, v) of an array in memory; NaN, infinities and the no-data value are absent."""
+    grid = np.asarray(array, float)
+    ok = np.isfinite(grid) if missing is None else np.isfinite(grid) & (grid != missing)
+    r, c = np.nonzero(ok)
+    return spark.createDataFrame(pa.table({"r": r.astype(np.int32), "c": c.astype(np.int32), "v": grid[r, c]}))
+
+
+def warn_unless_square(region: Region) -> None:
+    """Operators that take one cell size use the north-south one."""
+    if not region.square:
+        warnings.warn(f"cells are not square ({region.ewres} by {region.nsres}); {region.nsres} is used", stacklevel=2)
+
+
+def _read_grid(spark: SparkSession, path: str, header: str | None, kind: str) -> tuple[DataFrame, Region]:
+    region, missing, order = read_header(spark, header or path.rsplit(".", 1)[0] + ".hdr")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(0):
-                grid = np.frombuffer(blob.as_buffer(), f"{order}f4").reshape(region.rows, region.cols)
+                grid = np.frombuffer(blob.as_buffer(), f"{order}{kind}").reshape(region.rows, region.cols)
                 for r0 in range(0, region.rows, 256):
                     part = grid[r0:r0 + 256]
-                    ok = np.isfinite(part) if missing is None else np.isfinite(part) & (part != np.float32(missing))
+                    ok = np.isfinite(part) if missing is None else np.isfinite(part) & (part != part.dtype.type(missing))
                     r, c = np.nonzero(ok)
                     yield pa.RecordBatch.from_arrays([pa.array((r + r0).astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(part[r, c].astype(np.float64))], names=["r", "c", "v"])
 
