@@ -1,10 +1,12 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from thalweg.operators import network as N
 from thalweg.operators import sequence as S
+from thalweg.plans.iterate import Endless, prefix_sums, walk
 
 SEG = [(1, 3), (2, 3), (3, 5), (4, 5), (5, 0)]
 Y = [(3, 0, 0, 30.0, 3.0), (3, 1, 0, 0.0, 0.0), (1, 0, -20, 50.0, 9.0), (1, 1, 0, 30.0, 3.0), (2, 0, 20, 50.0, 9.0), (2, 1, 0, 30.0, 3.0)]
@@ -29,6 +31,76 @@ def test_cycle_raises(spark):
         N.distances(loop)
 
 
+def plain_orders(to):
+    kids, out = {}, {}
+    for c, t in to.items():
+        kids.setdefault(t, []).append(c)
+
+    def order(c):
+        below = sorted((order(k) for k in kids.get(c, [])), reverse=True)
+        out[c] = 1 if not below else below[0] + (below[1:2] == below[:1])
+        return out[c]
+
+    for c in kids[0]:
+        order(c)
+    return out
+
+
+def test_orders_of_random_trees(spark):
+    r = random.Random(4)
+    for near in (1, 3, 60):  # chains, bushes, anything
+        to = {k: 0 if r.random() < 0.03 or k == 1 else r.randint(max(1, k - near), k - 1) for k in range(1, 250)}
+        seg = spark.createDataFrame(list(to.items()), "cat long, tostream long")
+        assert dict(N.strahler(seg).collect()) == plain_orders(to)
+    assert N.strahler(seg.limit(0)).count() == 0
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n = 100_000
+    chain = spark.range(1, n + 1).select(F.col("id").alias("cat"), F.when(F.col("id") == n, 0).otherwise(F.col("id") + 1).alias("tostream"))
+    side = spark.createDataFrame([(n + 5, 40_000), (n + 6, n + 5), (n + 7, n + 5)], "cat long, tostream long")  # an order of 2 comes in
+    writes, keep = [], N.keep
+    monkeypatch.setattr(N, "keep", lambda df, name="step": writes.append(name) or keep(df, name))
+    got = N.strahler(chain.union(side)).groupBy("ord").agg(F.count("*").alias("n")).collect()
+    assert {r.ord: r.n for r in got} == {1: 39_999 + 2, 2: n - 39_999 + 1} and len(writes) < 60
+
+
+def test_cycles_are_listed(spark):
+    seg = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, 0), (6, 5), (7, 7), (8, 99)], "cat long, tostream long")
+    assert {r.cat for r in N.cycles(seg).collect()} == {1, 2, 3, 4, 7}
+    with pytest.raises(N.InvalidNetwork):
+        N.downstream_paths(seg, seg.filter("cat = 4"))
+
+
+def test_sums_and_selected_paths(seg):
+    assert dict(N.upstream_sum(seg, "len").collect()) == {1: 10.0, 2: 10.0, 3: 30.0, 4: 10.0, 5: 50.0}
+    assert sorted(tuple(r) for r in N.select_paths(seg, 3, "upstream").collect()) == [(1, 0, 1), (1, 1, 3), (2, 0, 2), (2, 1, 3)]
+    assert sorted(tuple(r) for r in N.select_paths(seg, 3).collect()) == [(3, 0, 3), (3, 1, 5)]
+    with pytest.raises(ValueError):
+        N.select_paths(seg, 3, "sideways")
+
+
+def test_walks_with_their_own_bounds(spark):
+    steps = spark.createDataFrame([(k, k + 1) for k in range(20)], "node long, to long")
+    starts = spark.createDataFrame([(100, 0, 3), (101, 0, 0), (102, 18, 9)], "start long, node long, most int")
+    got = {}
+    for r in walk(steps, starts).collect():
+        got.setdefault(r.start, {})[r.i] = r.node
+    assert got == {100: {0: 0, 1: 1, 2: 2, 3: 3}, 101: {0: 0}, 102: {0: 18, 1: 19, 2: 20}}
+    with pytest.raises(Endless):
+        walk(spark.createDataFrame([(1, 2), (2, 1)], "node long, to long"), spark.createDataFrame([(1,)], "start long"))
+
+
+def test_prefix_sums_over_ranges(spark):
+    rows = [(k * 7919 % 1000, k % 5) for k in range(1000)]
+    got = {r.k: r.total for r in prefix_sums(spark.createDataFrame(rows, "k long, v long").repartition(5), ["k"], F.col("v"), "total").collect()}
+    total, want = 0, {}
+    for k, v in sorted(rows):
+        total += v
+        want[k] = total
+    assert got == want
+
+
 def test_profile_of_a_y_network(spark):
     v = S.segment_distances(spark.createDataFrame(Y, "cat long, seq int, x int, y double, z double").withColumn("x", F.col("x").cast("double")))
     paths = spark.createDataFrame([(1, 0, 1), (1, 1, 3)], "head long, ord int, cat long")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import fixpoint, keep
+from ..plans.iterate import Endless, drop, fixpoint, keep, walk
 
 OUTLET = 0
 
@@ -50,36 +48,42 @@ def distances(seg: DataFrame) -> DataFrame:
 
     def step(cur: DataFrame) -> DataFrame:
         to = cur.select(F.col("cat").alias("c2"), F.col("next").alias("n2"), F.col("s").alias("s2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
-        j = cur.join(to, F.col("next") == F.col("c2"), "left")
-        return j.select("cat", F.col("n2").alias("next"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
+        moved = cur.filter("next IS NOT NULL").join(to, F.col("next") == F.col("c2"), "left")
+        moved = moved.select("cat", F.col("n2").alias("next"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
+        return cur.filter("next IS NULL").unionByName(moved)
 
     rounds = max(2, seg.count().bit_length() + 1)  # no path without a cycle is longer than the segments are many
     return fixpoint(start, step, "next IS NOT NULL", rounds).select("cat", "s", "depth", "root")
 
 
+def vertex_distances(v: DataFrame, seg: DataFrame) -> DataFrame:
+    """(cat, seq, s): each vertex's distance to the outlet; v: (cat, seq, s_up), seg: (cat, tostream, len)."""
+    foot = distances(seg).join(seg.select("cat", "len"), "cat").select("cat", (F.col("s") - F.col("len")).alias("_foot"))
+    return v.join(foot, "cat").select("cat", "seq", (F.col("_foot") + F.col("s_up")).alias("s"))
+
+
 def ancestors(seg: DataFrame, cat: int) -> DataFrame:
-    """The segment and all that drain into it (cat, level), level 0 first: one join a level."""
-    level = keep(seg.filter(F.col("cat") == cat).select("cat", F.lit(0).alias("level")), "level")
-    out, n = [level], 0
-    while level.limit(1).count():
-        n += 1
-        level = keep(seg.join(level.select(F.col("cat").alias("_t")), F.col("tostream") == F.col("_t"), "left_semi").select("cat", F.lit(n).alias("level")), "level")
-        out.append(level)
-    return reduce(DataFrame.union, out)
-
-
-def downstream_paths(seg: DataFrame, heads: DataFrame, most: int = 64) -> DataFrame:
-    """(head, ord, cat) of the path from each head to the outlet."""
-    front = keep(heads.select(F.col("cat").alias("head"), "cat"), "path")
-    out, n = [front.withColumn("ord", F.lit(0))], 0
-    steps = seg.select(F.col("cat").alias("_c"), "tostream")
-    while front.limit(1).count():
-        n += 1
-        if n > 10 * most * most:
-            raise InvalidNetwork("a path does not end: the network has a cycle")
-        front = keep(front.join(steps, F.col("cat") == F.col("_c")).filter(F.col("tostream") != OUTLET).select("head", F.col("tostream").alias("cat")), "path")
-        out.append(front.withColumn("ord", F.lit(n)))
-    return reduce(DataFrame.unionByName, out).select("head", "ord", "cat")
+    """The segment and all that drain into it (cat, level), level 0 first: steps to it, by doubling."""
+    up = F.when((F.col("cat") != cat) & (F.col("tostream") != OUTLET), F.col("tostream"))
+    start = seg.select("cat", up.alias("next"), up.isNotNull().cast("int").alias("level"), F.col("cat").alias("root"))
+
+    def step(cur: DataFrame) -> DataFrame:
+        to = cur.select(F.col("cat").alias("c2"), F.col("next").alias("n2"), F.col("level").alias("l2"), F.col("root").alias("r2"))
+        moved = cur.filter("next IS NOT NULL").join(to, F.col("next") == F.col("c2"), "left")
+        moved = moved.select("cat", F.col("n2").alias("next"), (F.col("level") + F.coalesce("l2", F.lit(0))).alias("level"), F.coalesce("r2", "root").alias("root"))
+        return cur.filter("next IS NULL").unionByName(moved)
+
+    return fixpoint(start, step, "next IS NOT NULL").filter(F.col("root") == cat).select("cat", "level")
+
+
+def downstream_paths(seg: DataFrame, heads: DataFrame) -> DataFrame:
+    """(head, ord, cat) of the path from each head to the outlet; a cycle raises."""
+    steps = seg.filter(F.col("tostream") != OUTLET).select(F.col("cat").alias("node"), F.col("tostream").alias("to"))
+    try:
+        path = walk(steps, heads.select(F.col("cat").alias("start")))
+    except Endless as e:
+        raise InvalidNetwork("a path does not end: the network has a cycle") from e
+    return path.select(F.col("start").alias("head"), F.col("i").alias("ord"), F.col("node").alias("cat"))
 
 
 def profile_distance(paths: DataFrame, seg: DataFrame) -> DataFrame:
@@ -105,39 +109,102 @@ def assemble_profile(paths: DataFrame, v: DataFrame, values: list[str]) -> DataF
 def strahler(seg: DataFrame) -> DataFrame:
     """(cat, ord): 1 at headwaters; below, the largest order that flows in, one more if it flows in twice.
 
-    Level by level from the leaves: a segment is given its order once all that drain into it have theirs.
+    By tree contraction. A segment with all but one of its donors known is a function of the last one's
+    order x, which has the form `low` if x < at, else max(low + 1, x); such functions compose to the same
+    form, so chains of them shorten by half each round while known segments are taken in by those below.
+    Rounds grow with the logarithm of the number of segments, however long the chains are.
     """
-    donors = seg.filter(F.col("tostream") != OUTLET).groupBy(F.col("tostream").alias("cat")).agg(F.count("*").alias("need"))
-    todo = keep(seg.select("cat", "tostream").join(donors, "cat", "left").select("cat", "tostream", F.coalesce("need", F.lit(0)).alias("need")), "order")
-    done = keep(todo.filter("need = 0").select("cat", "tostream", F.lit(1).alias("ord")), "order")
-    front = done
-    waiting = None
-    out = [done]
-    while front.limit(1).count():
-        give = front.filter(F.col("tostream") != OUTLET).select(F.col("tostream").alias("cat"), "ord")
-        got = give.groupBy("cat", "ord").agg(F.count("*").alias("n"))
-        got = got if waiting is None else got.unionByName(waiting)
-        got = got.groupBy("cat", "ord").agg(F.sum("n").alias("n"))
-        have = got.groupBy("cat").agg(F.sum("n").alias("have"), F.max(F.struct("ord", "n")).alias("top"))
-        j = keep(have.join(todo, "cat").select("cat", "tostream", (F.col("have") == F.col("need")).alias("ready"), (F.col("top.ord") + (F.col("top.n") >= 2).cast("int")).alias("ord")), "order")
-        waiting = keep(got.join(j.filter("NOT ready").select("cat"), "cat"), "order")
-        front = j.filter("ready").select("cat", "tostream", "ord")
-        out.append(front)
-    return reduce(DataFrame.unionByName, out).select("cat", "ord")
+    donors = seg.filter(F.col("tostream") != OUTLET).groupBy(F.col("tostream").alias("t")).agg(F.count("*").alias("need"), F.sum("cat").alias("left"))
+    none = F.lit(None).cast("int")
+    cur = keep(seg.join(donors, F.col("cat") == F.col("t"), "left").select(
+        "cat", "tostream", F.coalesce("need", F.lit(0)).cast("int").alias("need"), F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("top"), F.lit(0).alias("times"),
+        F.when(F.col("need").isNull(), 1).alias("ord"), F.lit(None).cast(seg.schema["cat"].dataType).alias("child"), none.alias("at"), none.alias("low"), F.col("need").isNull().alias("fresh")), "order")
+    rounds = 4 * max(2, seg.count().bit_length() + 1)
+    while cur.filter("ord IS NULL").limit(1).count():
+        if not (rounds := rounds - 1):
+            raise InvalidNetwork("the network has a cycle")
+        # donors that have just become known, taken in by what they drain into
+        given = cur.filter((F.col("tostream") != OUTLET) & F.col("fresh")).groupBy(F.col("tostream").alias("t"), F.col("ord").alias("o")).agg(F.count("*").cast("int").alias("n"), F.sum("cat").alias("ids"))
+        given = given.groupBy("t").agg(F.sum("n").cast("int").alias("came"), F.sum("ids").alias("ids"), F.max(F.struct("o", "n")).alias("m"))
+        t = cur.join(given, F.col("cat") == F.col("t"), "left").withColumn("o", F.col("m.o")).withColumn("n", F.col("m.n"))
+        times = F.when(F.col("o").isNull() | (F.col("o") < F.col("top")), F.col("times")).when(F.col("o") > F.col("top"), F.col("n")).otherwise(F.col("times") + F.col("n"))
+        t = t.withColumn("times", times).withColumn("top", F.greatest("top", F.coalesce("o", F.lit(0)))).withColumn("need", F.col("need") - F.coalesce("came", F.lit(0))).withColumn("left", F.col("left") - F.coalesce("ids", F.lit(0)))
+        ready = F.col("ord").isNull() & (F.col("need") == 0)
+        unary = F.col("ord").isNull() & (F.col("need") == 1) & F.col("child").isNull()
+        twice = F.col("times") >= 2
+        t = t.withColumn("was", F.col("ord").isNotNull())
+        t = t.withColumn("low", F.when(unary, F.col("top") + twice.cast("int")).otherwise(F.col("low")))
+        t = t.withColumn("at", F.when(unary, F.col("top") + 2 * twice.cast("int")).otherwise(F.col("at")))
+        t = t.withColumn("child", F.when(unary, F.col("left")).otherwise(F.col("child")))
+        t = t.withColumn("ord", F.when(ready, F.col("top") + twice.cast("int")).otherwise(F.col("ord")))
+        t = keep(t.select("cat", "tostream", "need", "left", "top", "times", "ord", "child", "at", "low", "was"), "order")
+        # functions applied to a known order, or composed with the function of the segment that they wait for
+        c = t.select(F.col("cat").alias("c2"), F.col("ord").alias("o2"), F.col("child").alias("ch2"), F.col("at").alias("at2"), F.col("low").alias("low2")).filter("o2 IS NOT NULL OR ch2 IS NOT NULL")
+        open_ = F.col("ord").isNull() & F.col("child").isNotNull()
+        j = t.filter(open_).join(c, F.col("child") == F.col("c2"), "left")
+        x = F.coalesce("o2", "low2")  # what the composed function gives below its own step
+        value = F.when(x < F.col("at"), F.col("low")).otherwise(F.greatest(F.col("low") + 1, x))
+        known, both = F.col("o2").isNotNull(), F.col("ch2").isNotNull() & F.col("o2").isNull()
+        above = F.col("low2") + 1  # the inner function gives max(above, x) from at2 on
+        step_at = F.when(above < F.col("at"), F.col("at")).when((F.col("low2") >= F.col("at")) & (F.col("low2") <= F.col("low")), value + 1).otherwise(F.col("at2"))
+        j = j.select("cat", "tostream", "need", "left", "top", "times", F.when(known, value).alias("ord"), F.when(both, F.col("ch2")).otherwise(F.col("child")).alias("child"),
+                     F.when(both, step_at).otherwise(F.col("at")).alias("at"), F.when(both, value).otherwise(F.col("low")).alias("low"), "was")
+        nxt = t.filter(~open_).unionByName(j).withColumn("fresh", F.col("ord").isNotNull() & ~F.col("was")).drop("was")
+        done, cur = cur, keep(nxt, "order")
+        drop(done)
+        drop(t)
+    return cur.select("cat", "ord")
+
+
+def upstream_sum(seg: DataFrame, value: str) -> DataFrame:
+    """(cat, total): value summed over each segment and all that drain into it, by doubling."""
+    start = seg.select("cat", F.nullif("tostream", F.lit(OUTLET)).alias("next"), F.col(value).cast("double").alias("total"))
+
+    def step(cur: DataFrame) -> DataFrame:
+        live = cur.filter("next IS NOT NULL")
+        gain = live.groupBy(F.col("next").alias("gc")).agg(F.sum("total").alias("gain"))
+        to = cur.select(F.col("cat").alias("c2"), F.col("next").alias("n2"))
+        moved = live.join(to, F.col("next") == F.col("c2"), "left").select("cat", F.col("n2").alias("next"), "total")
+        return cur.filter("next IS NULL").unionByName(moved).join(gain, F.col("cat") == F.col("gc"), "left").select("cat", "next", (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"))
+
+    return fixpoint(start, step, "next IS NOT NULL").select("cat", "total")
+
+
+def select_paths(seg: DataFrame, cat: int, direction: str = "downstream") -> DataFrame:
+    """(head, ord, cat): the path from a segment to the outlet, or from each headwater above it down to it."""
+    if not seg.filter(F.col("cat") == cat).limit(1).count():
+        raise InvalidNetwork(f"no segment {cat}")
+    if direction == "downstream":
+        return downstream_paths(seg, seg.filter(F.col("cat") == cat))
+    if direction != "upstream":
+        raise ValueError("direction must be downstream or upstream")
+    inside = seg.join(ancestors(seg, cat).select("cat"), "cat", "left_semi").withColumn("tostream", F.when(F.col("cat") == cat, OUTLET).otherwise(F.col("tostream")))
+    return downstream_paths(inside, headwaters(inside))
+
+
+def cycles(seg: DataFrame) -> DataFrame:
+    """Segments whose way down doesn't end, whether they lie on a circle or drain into one."""
+    steps = seg.select(F.col("cat").alias("node"), F.nullif("tostream", F.lit(OUTLET)).alias("to"))
+    hop = keep(steps, "hop")
+    for _ in range(max(2, seg.count().bit_length() + 1)):  # no way down is longer than the segments are many
+        on = hop.select(F.col("node").alias("n2"), F.col("to").alias("t2"))
+        hop, done = keep(hop.filter("to IS NOT NULL").join(on, F.col("to") == F.col("n2")).select("node", F.col("t2").alias("to")), "hop"), hop
+        drop(done)
+    return seg.join(hop.filter("to IS NOT NULL").select(F.col("node").alias("cat")), "cat", "left_semi")
 
 
 def build_graph(v: DataFrame, tostream: DataFrame, values: list[str]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): junction values move to the upstream node, the last vertex goes unless the segment leaves the map.
 
-    v: (cat, seq, values); tostream: (cat, tostream). nodes: (id, values as arrays, the outlet with nulls);
-    edges: (src, dst, cat, seq, values). Raises if nothing drains off the map.
+    v: (cat, seq, values); tostream: (cat, tostream). nodes: (id, values as arrays, the outlet with nulls, but 0
+    for the distances s and s_upstream); edges: (src, dst, cat, seq, values). Raises if nothing drains off the map.
     """
     if not tostream.filter(F.col("tostream") == OUTLET).limit(1).count():
         raise InvalidNetwork("no segment drains off the map")
     ends = v.withColumn("_last", F.max("seq").over(Window.partitionBy("cat"))).withColumn("_firsts", F.min("seq").over(Window.partitionBy("cat")))
     j = ends.join(tostream, "cat")
     nodes = j.filter("seq = _firsts").select(F.col("cat").alias("id"), *(F.array(c).alias(c) for c in values))
-    outlet = v.sparkSession.range(1).select(F.lit(OUTLET).cast("long").alias("id"), *(F.array(F.lit(None).cast(v.schema[c].dataType)).alias(c) for c in values))
+    outlet = v.sparkSession.range(1).select(F.lit(OUTLET).cast("long").alias("id"), *(F.array(F.lit(0 if c in ("s", "s_upstream") else None).cast(v.schema[c].dataType)).alias(c) for c in values))
     edges = j.filter(f"seq > _firsts AND (seq < _last OR tostream = {OUTLET})").select(F.col("cat").alias("src"), F.col("tostream").alias("dst"), "cat", "seq", *values)
     return nodes.unionByName(outlet), edges
 

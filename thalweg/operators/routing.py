@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import D8
-from ..plans.iterate import fixpoint, keep
+from ..plans.iterate import fixpoint, keep, nearest_below, prefix_sums, walk
+from .tiles import stencil, windows
 
 #: Neighbours in the order that decides ties: N NE E SE S SW W NW, with the share of a diagonal's drop.
 RING = ((-1, 0, 1.0), (-1, 1, 0.707106781), (0, 1, 1.0), (1, 1, 0.707106781), (1, 0, 1.0), (1, -1, 0.707106781), (0, -1, 1.0), (-1, -1, 0.707106781))
@@ -69,24 +70,28 @@ def accumulate(nodes: DataFrame, res: float = 1.0) -> DataFrame:
     """Adds ncontrib (cells upstream, itself included), fd (flow distance to base level) and root.
 
     Pointer doubling: after round k each node knows its 2^k nearest steps down and the cells within as
-    many steps up, so rounds grow with the logarithm of the longest path. A loop raises FlowLoop.
+    many steps up, so rounds grow with the logarithm of the longest path. Distances are counts of straight
+    and slanting steps until the end, so that equal ones are equal. A loop raises FlowLoop.
     """
     down = F.when(F.col("recv") != F.col("node"), F.col("recv"))
-    length = F.when(F.col("flc") == 2, math.sqrt(2.0) * res).when(F.col("flc") == 1, res).otherwise(0.0)
-    start = nodes.select("node", down.alias("jump"), F.lit(1).cast("long").alias("ncontrib"), length.alias("fd"), F.col("node").alias("root"))
+    steps = [F.when(F.col("flc") == k, 1).otherwise(0).cast("long").alias(n) for k, n in ((1, "straight"), (2, "slant"))]
+    start = nodes.select("node", down.alias("jump"), F.lit(1).cast("long").alias("ncontrib"), *steps, F.col("node").alias("root"))
 
     def step(cur: DataFrame) -> DataFrame:
-        gain = cur.filter("jump IS NOT NULL").groupBy(F.col("jump").alias("gn")).agg(F.sum("ncontrib").alias("gain"))
-        to = cur.select(F.col("node").alias("tn"), F.col("jump").alias("j2"), F.col("fd").alias("fd2"), F.col("root").alias("root2"))
-        j = cur.join(to, F.col("jump") == F.col("tn"), "left").join(gain, F.col("node") == F.col("gn"), "left")
-        return j.select("node", F.col("j2").alias("jump"), (F.col("ncontrib") + F.coalesce("gain", F.lit(0))).alias("ncontrib"), (F.col("fd") + F.coalesce("fd2", F.lit(0.0))).alias("fd"), F.coalesce("root2", "root").alias("root"))
+        live = cur.filter("jump IS NOT NULL")  # finished nodes don't meet at the outlets
+        gain = live.groupBy(F.col("jump").alias("gn")).agg(F.sum("ncontrib").alias("gain"))
+        to = cur.select(F.col("node").alias("tn"), F.col("jump").alias("j2"), F.col("straight").alias("a2"), F.col("slant").alias("b2"), F.col("root").alias("root2"))
+        more = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0))).alias(x)
+        moved = live.join(to, F.col("jump") == F.col("tn"), "left").select("node", F.col("j2").alias("jump"), "ncontrib", more("straight", "a2"), more("slant", "b2"), F.coalesce("root2", "root").alias("root"))
+        return cur.filter("jump IS NULL").unionByName(moved).join(gain, F.col("node") == F.col("gn"), "left").select("node", "jump", more("ncontrib", "gain"), "straight", "slant", "root")
 
     rounds = max(1, int(math.ceil(math.log2(max(2, nodes.count())))) + 1)
     try:
         got = fixpoint(start, step, "jump IS NOT NULL", rounds)
     except ValueError as e:
         raise FlowLoop("flow directions contain a loop") from e
-    return nodes.join(got.drop("jump"), "node")
+    fd = F.col("straight") * F.lit(float(res)) + F.col("slant") * F.lit(math.sqrt(2.0) * res)
+    return nodes.join(got.select("node", "ncontrib", fd.alias("fd"), "root"), "node")
 
 
 def sources(nodes: DataFrame, threshold: int) -> DataFrame:
@@ -97,16 +102,17 @@ def sources(nodes: DataFrame, threshold: int) -> DataFrame:
 
 def downstream_of(nodes: DataFrame, heads: DataFrame) -> DataFrame:
     """Nodes on a flow path from one of the heads (node), by doubling the reach of all of them together."""
-    jump = keep(nodes.select("node", "recv"), "jump")
+    jump = keep(steps_of(nodes), "jump")
     on = keep(heads.select("node").distinct(), "on")
+    size = on.count()
     while True:
-        more = on.join(jump, "node").select(F.col("recv").alias("node"))
-        new = keep(on.union(more).distinct(), "on")
-        if new.count() == on.count():
-            return nodes.join(new, "node", "left_semi")
-        on = new
-        j2 = jump.select(F.col("node").alias("n2"), F.col("recv").alias("r2"))
-        jump = keep(jump.join(j2, F.col("recv") == F.col("n2")).select("node", F.col("r2").alias("recv")), "jump")
+        more = on.join(jump, "node").select(F.col("to").alias("node"))
+        on = keep(on.union(more).distinct(), "on")
+        if (new := on.count()) == size:
+            return nodes.join(on, "node", "left_semi")
+        size = new
+        j2 = jump.select(F.col("node").alias("n2"), F.col("to").alias("t2"))
+        jump = keep(jump.join(j2, F.col("to") == F.col("n2")).select("node", F.col("t2").alias("to")), "jump")
 
 
 def links(nodes: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +136,7 @@ def links(nodes: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     all_cells = named.select("link", "node", "fd").unionByName(ends)
     all_cells = all_cells.withColumn("i", F.row_number().over(Window.partitionBy("link").orderBy(F.desc("fd"))) - 1).withColumn("n", F.count("*").over(Window.partitionBy("link"))).filter("n >= 2").drop("n", "fd")
     heads_ = all_cells.groupBy("link").agg(F.max_by("node", "i").alias("end"))
-    numbered = heads_.withColumn("cat", F.row_number().over(Window.orderBy("link")).cast("long"))  # links, not cells
+    numbered = keep(prefix_sums(heads_, ["link"], F.lit(1).cast("long"), "cat"), "numbered")
     to = numbered.select(F.col("link").alias("l2"), F.col("cat").alias("to"))
     return all_cells, numbered.join(to, F.col("end") == F.col("l2"), "left").select("cat", "link", "end", F.coalesce("to", F.lit(0)).cast("long").alias("tostream"))
 
@@ -142,7 +148,8 @@ def basin_labels(nodes: DataFrame, all_cells: DataFrame, numbered: DataFrame) ->
 
     def step(cur: DataFrame) -> DataFrame:
         to = cur.select(F.col("node").alias("n2"), F.col("jump").alias("j2"), F.col("lab").alias("l2"))
-        return cur.join(to, F.col("jump") == F.col("n2"), "left").select("node", F.col("j2").alias("jump"), F.coalesce("lab", "l2").alias("lab"))
+        moved = cur.filter("jump IS NOT NULL").join(to, F.col("jump") == F.col("n2"), "left").select("node", F.col("j2").alias("jump"), F.col("l2").alias("lab"))
+        return cur.filter("jump IS NULL").unionByName(moved)
 
     got = fixpoint(start, step, "jump IS NOT NULL").select("node", F.coalesce("lab", F.lit(-1)).cast("long").alias("lab"))
     return nodes.select("node", "r", "c").join(got, "node")
@@ -155,18 +162,10 @@ def divides(labels: DataFrame) -> DataFrame:
 
 
 def fill_flat(cells: DataFrame) -> DataFrame:
-    """Depressions filled level (no gradient): each cell's lowest pass to the border or to no-data, by relaxation."""
-    ext = cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    g = gather(cells.filter("z IS NOT NULL"), ["z"]).crossJoin(F.broadcast(ext))
-    seed = (F.size("near") < 8) | (F.col("r") == F.col("r0")) | (F.col("r") == F.col("r1")) | (F.col("c") == F.col("c0")) | (F.col("c") == F.col("c1"))
-    cur = keep(g.select("r", "c", F.col("own.z").alias("z"), F.when(seed, F.col("own.z")).alias("f")), "fill")
-    while True:
-        low = F.array_min(F.transform("near", lambda x: x["v"]["f"]))
-        new = F.when(low.isNull(), F.col("own.f")).otherwise(F.least(F.coalesce("own.f", F.greatest("own.z", low)), F.greatest("own.z", low)))
-        nxt = keep(gather(cur, ["z", "f"]).select("r", "c", F.col("own.z").alias("z"), new.alias("f"), (~new.eqNullSafe(F.col("own.f"))).alias("moved")), "fill")
-        if not nxt.filter("moved").limit(1).count():
-            return nxt.select("r", "c", "z", F.coalesce("f", "z").alias("filled"))
-        cur = nxt.drop("moved")
+    """(r, c, z, filled): depressions filled level (no gradient) to each cell's lowest pass to the border or to no-data."""
+    from .kernels import fill
+
+    return fill(cells)
 
 
 def block_mean(cells: DataFrame, n: int, rows: int, cols: int) -> DataFrame:
@@ -190,49 +189,73 @@ def curvature_kernels(radius: float, cellsize: float) -> list[tuple[int, int, li
 
 
 def tangential_curvature(cells: DataFrame, radius: float, cellsize: float) -> DataFrame:
-    """(r, c, curvature), null near the border or no-data; each cell adds its share to the fits it belongs to."""
+    """(r, c, curvature) from the quadratic fitted to each cell's disc, null near the border or no-data; by tiles with a rim."""
+    import numpy as np
+
     kern = curvature_kernels(radius, cellsize)
     k = max(abs(i) for i, _, _ in kern)
-    shares = F.array(*(F.struct(F.lit(-i).alias("dr"), F.lit(-j).alias("dc"), *(F.lit(w).alias(n) for n, w in zip("abcde", ws, strict=True))) for i, j, ws in kern))
-    square = F.explode(F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-k, k + 1) for j in range(-k, k + 1))))
-    z = cells.filter("z IS NOT NULL")
-    fits = z.select("r", "c", "z", F.explode(shares).alias("w")).groupBy((F.col("r") + F.col("w.dr")).alias("r"), (F.col("c") + F.col("w.dc")).alias("c")).agg(*(F.sum(F.col("z") * F.col(f"w.{n}")).alias(n) for n in "abcde"))
-    full = z.select("r", "c", square.alias("w")).groupBy((F.col("r") + F.col("w.dr")).alias("r"), (F.col("c") + F.col("w.dc")).alias("c")).agg(F.count("*").alias("n"), F.max((F.col("w.dr") == 0) & (F.col("w.dc") == 0)).alias("own")).filter("own")
-    fx, fy, fxx, fyy, fxy = F.col("d"), F.col("e"), 2 * F.col("a"), 2 * F.col("b"), F.col("c_")
-    p = fx * fx + fy * fy
-    tan = (fxx * fy * fy - 2 * fxy * fx * fy + fyy * fx * fx) / F.nullif(p * F.sqrt(p + 1), F.lit(0.0))
-    fits = fits.toDF("r", "c", "a", "b", "c_", "d", "e")
-    return full.join(fits, ["r", "c"]).select("r", "c", F.when(F.col("n") == (2 * k + 1) ** 2, tan).alias("curvature"))
+
+    def compute(grid):
+        at = windows(grid, k)
+        whole = np.ones(grid.shape, bool)
+        for i in range(-k, k + 1):
+            for j in range(-k, k + 1):
+                whole &= ~np.isnan(at(i, j))
+        fits = np.zeros((5, *grid.shape))
+        for i, j, ws in kern:
+            z = np.nan_to_num(at(i, j))
+            for n, w in enumerate(ws):
+                fits[n] += w * z
+        fxx, fyy, fxy, fx, fy = 2 * fits[0], 2 * fits[1], fits[2], fits[3], fits[4]
+        p = fx * fx + fy * fy
+        with np.errstate(divide="ignore", invalid="ignore"):
+            tan = (fxx * fy * fy - 2 * fxy * fx * fy + fyy * fx * fx) / (p * np.sqrt(p + 1))
+        return np.where(whole & (p > 0), tan, np.nan)
+
+    return stencil(cells, "z", k, compute, "curvature")
+
+
+def curvature_threshold(curved: DataFrame, share: float) -> DataFrame:
+    """One row: the exact quantile of curvature over the cells that have one."""
+    from .quantiles import exact_quantiles
+
+    (value,) = exact_quantiles(curved, "curvature", [share]).get(None, [None])
+    return curved.sparkSession.createDataFrame([(value,)], "threshold double")
+
+
+def steps_of(nodes: DataFrame) -> DataFrame:
+    """(node, to) of nodes that drain elsewhere."""
+    return nodes.filter("recv <> node").select("node", F.col("recv").alias("to"))
 
 
 def walk_down(nodes: DataFrame, starts: DataFrame, most: int = 500, most_area: int | None = None) -> DataFrame:
     """(start, i, node): cells below each start until base level, `most` steps or an area limit."""
-    here = nodes.select(F.col("node").alias("n2"), "recv", "ncontrib")
-    front = keep(starts.select(F.col("node").alias("start"), "node"), "walk")
-    out, i = [front.withColumn("i", F.lit(0))], 0
-    while i < most and front.limit(1).count():
-        i += 1
-        nxt = front.join(here, F.col("node") == F.col("n2")).filter("recv <> node").select("start", F.col("recv").alias("node"))
-        if most_area is not None:
-            nxt = nxt.join(here.select("n2", "ncontrib"), F.col("node") == F.col("n2")).filter(F.col("ncontrib") <= most_area).select("start", "node")
-        front = keep(nxt, "walk")
-        out.append(front.withColumn("i", F.lit(i)))
-    from functools import reduce
-
-    return reduce(DataFrame.unionByName, out)
+    path = walk(steps_of(nodes), starts.select(F.col("node").alias("start")), most)
+    if most_area is None:
+        return path
+    # Area grows downstream, so what lies beyond the limit is the rest of the path.
+    area = nodes.select(F.col("node").alias("n2"), "ncontrib")
+    return path.join(area, F.col("node") == F.col("n2")).filter((F.col("i") == 0) | (F.col("ncontrib") <= most_area)).select("start", "i", "node")
 
 
 def ancestor_closure(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """(top, node): all nodes that drain through each given node, itself included; one join a step upstream."""
-    front = keep(of.select(F.col("node").alias("top"), "node"), "up")
-    parts = [front]
-    donors = nodes.filter("recv <> node").select(F.col("node").alias("d"), F.col("recv").alias("r2"))
-    while front.limit(1).count():
-        front = keep(front.join(donors, F.col("node") == F.col("r2")).select("top", F.col("d").alias("node")), "up")
-        parts.append(front)
-    from functools import reduce
+    """(top, node): all nodes that drain through each given node, itself included.
+
+    Each node finds the first given node below it; only the given nodes' own chain is walked. Both go by
+    doubling, and no pair is made that isn't in the result.
+    """
+    steps = nodes.select("node", F.when(F.col("recv") != F.col("node"), F.col("recv")).alias("to"))
+    near = keep(nearest_below(steps, of).filter("at IS NOT NULL"), "near")
+    next_ = of.select(F.col("node").alias("top")).distinct().join(steps_of(nodes), F.col("top") == F.col("node")).join(near.select(F.col("node").alias("n2"), F.col("at").alias("a2")), F.col("to") == F.col("n2"))
+    chain = walk(keep(next_.select(F.col("top").alias("node"), F.col("a2").alias("to")), "chain"), of.select(F.col("node").alias("start")).distinct())
+    return near.join(chain.select("start", F.col("node").alias("top")), F.col("at") == F.col("start")).select("top", "node")
 
-    return reduce(DataFrame.union, parts)
+
+def mask_missing(values: DataFrame, dem: DataFrame, value: str) -> DataFrame:
+    """Cells (r, c, value) with the value null where the terrain has none."""
+    there = dem.filter("z IS NOT NULL").select(F.col("r").alias("_r"), F.col("c").alias("_c"))
+    j = values.join(there, (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")), "left")
+    return j.withColumn(value, F.when(F.col("_r").isNotNull(), F.col(value))).drop("_r", "_c")
 
 
 def farthest_upslope(nodes: DataFrame, of: DataFrame) -> DataFrame:
@@ -243,14 +266,7 @@ def farthest_upslope(nodes: DataFrame, of: DataFrame) -> DataFrame:
 
 def nearest_drainage(nodes: DataFrame, channel: DataFrame) -> DataFrame:
     """(node, drain, height, dist): the first channel node below each node, the drop and distance to it; null if none."""
-    mark = channel.select(F.col("node").alias("cn")).distinct()
-    t = nodes.join(mark, F.col("node") == F.col("cn"), "left")
-    start = t.select("node", F.when(F.col("cn").isNull() & (F.col("recv") != F.col("node")), F.col("recv")).alias("jump"), F.col("cn").alias("drain"))
-
-    def step(cur: DataFrame) -> DataFrame:
-        to = cur.select(F.col("node").alias("n2"), F.col("jump").alias("j2"), F.col("drain").alias("d2"))
-        return cur.join(to, F.col("jump") == F.col("n2"), "left").select("node", F.col("j2").alias("jump"), F.coalesce("drain", "d2").alias("drain"))
-
-    got = fixpoint(start, step, "jump IS NOT NULL").select(F.col("node").alias("n3"), "drain")
+    steps = nodes.select("node", F.when(F.col("recv") != F.col("node"), F.col("recv")).alias("to"))
+    got = nearest_below(steps, channel).select(F.col("node").alias("n3"), F.col("at").alias("drain"))
     below = nodes.select(F.col("node").alias("n4"), F.col("z").alias("z4"), F.col("fd").alias("fd4"))
     return nodes.join(got, F.col("node") == F.col("n3")).join(below, F.col("drain") == F.col("n4"), "left").select("node", "drain", (F.col("z") - F.col("z4")).alias("height"), (F.col("fd") - F.col("fd4")).alias("dist"))
