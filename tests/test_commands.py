@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from thalweg import commands as C
+from thalweg.operators import kernels as K
+from thalweg.operators import routing as R
 
 Y = [(3, 0, 0.0, 30.0, 3.0), (3, 1, 0.0, 0.0, 0.0), (1, 0, -20.0, 50.0, 9.0), (1, 1, 0.0, 30.0, 3.0), (2, 0, 20.0, 50.0, 9.0), (2, 1, 0.0, 30.0, 3.0)]
 
@@ -26,17 +28,47 @@ def test_heads_by_each_method(spark):
     import numpy as np
 
     n = 24
-    z = [[100 - 0.5 * r - 3 * np.exp(-((c - n / 2) ** 2) / 8) for c in range(n)] for r in range(n)]
+    rough = np.random.default_rng(3).random((n, n))
+    z = K.flooded(np.array([[100 - 0.5 * r - 3 * np.exp(-((c - n / 2) ** 2) / 8) for c in range(n)] for r in range(n)]) + rough, 1e-3, 1.0)
     cells = spark.createDataFrame([(r, c, float(z[r][c])) for r in range(n) for c in range(n)], "r int, c int, z double")
     for method, more in (("divides", {}), ("dreich", {"window_radius": 2.0, "tan_curv_threshold": 0.0, "n_connecting_nodes": 2})):
         got = C.channel_heads(cells, method, ncols=n, threshold=15, min_segment_length=4, **more).collect()
         assert all(0 <= h.r < n and 0 <= h.c < n for h in got)
+    base = {(h.r, h.c) for h in C.channel_heads(cells, "divides", ncols=n, threshold=15, min_segment_length=4).collect()}
+    same = C.channel_heads(cells, "divides", ncols=n, threshold=15, min_segment_length=4, filled=cells, direction=R.directions(R.receivers(cells, n), n)).collect()
+    assert {(h.r, h.c) for h in same} == base
+    with pytest.raises(C.NothingFound):
+        C.channel_heads(cells, "dreich", ncols=n, threshold=15, min_segment_length=4, n_connecting_nodes=2, curvature=cells.select("r", "c", F.lit(-1.0).alias("curvature")))
+    with pytest.raises(ValueError, match="grids differ"):
+        C.channel_heads(cells, "divides", ncols=n, threshold=15, direction=cells.filter("r > 0").select("r", "c", F.lit(6).alias("d")))
     routed = C.route(cells, n)
     assert routed.agg(F.max("ncontrib")).first()[0] > n and C.route(cells, n, 1e-4).count() == n * n
     with pytest.raises(ValueError):
         C.channel_heads(cells, "other")
 
 
+def test_profiler_writes_what_is_asked(spark, v, tmp_path):
+    seg = C.link_network(v)
+    got, plots = C.fluvial_profiler(v, seg, 1, values=("z",), outfile=str(tmp_path / "p"), outjson=str(tmp_path / "j"), plots=("LongProfile",))
+    assert got.count() == 3 and plots["LongProfile"].first().x_label == "Distance from mouth [km]"
+    assert [r._c0 for r in spark.read.option("sep", " ").csv(str(tmp_path / "p")).collect()][0] == "cat"
+    assert {r.id for r in spark.read.json(str(tmp_path / "j/nodes")).collect()} == {0, 1, 3}
+    C.fluvial_profiler(v, seg, 3, "upstream", ("z",), outjson=str(tmp_path / "k"))
+    assert {r.id for r in spark.read.json(str(tmp_path / "k/nodes")).collect()} == {1, 2, 3}
+    with pytest.warns(UserWarning, match="SlopeAccum"):
+        assert C.plot_tables(got, ("SlopeAccum",)) == {}
+
+
+def test_evolution_with_snapshots_and_network_cleaning(spark, tmp_path):
+    cells = spark.createDataFrame([(r, c, float(r + c)) for r in range(5) for c in range(5)], "r int, c int, z double")
+    assert {r.step for r in C.evolve(cells, 3, record_every=2).collect()} == {0, 2}
+    nodes = spark.createDataFrame([(0, None), (1, 20.0)], "node long, z double")
+    edges = spark.createDataFrame([(1, 0, 1, i, float(i), 20.0 - i) for i in range(30)], "src long, dst long, cat long, seq int, s double, z double")
+    fixed, links = C.clean_network(nodes, edges, despike_window=3, n_iters=5, keep_fraction=0.2, outjson=str(tmp_path / "g"))
+    assert {r.node: round(r.z, 4) for r in fixed.collect()} == {0: -9.0004, 1: 20.0} and links.count() == 6
+    assert spark.read.json(str(tmp_path / "g/links")).count() == 1
+
+
 def test_slope_area_needs_points(spark, v):
     with pytest.raises(C.NothingFound):
         C.channel_heads(v.withColumns({"s": F.col("y"), "A": F.lit(1.0)}), "slope_area")
@@ -44,7 +76,7 @@ def test_slope_area_needs_points(spark, v):
 
 def test_route_only_and_cleaning(spark, v):
     cells = spark.createDataFrame([(r, c, float(r + c)) for r in range(5) for c in range(5)], "r int, c int, z double")
-    assert sorted(tuple(r)[1:] for r in C.evolve(cells).collect()) == sorted(tuple(r) for r in cells.collect())
+    assert sorted(tuple(r)[2:] for r in C.evolve(cells).collect()) == sorted(tuple(r) for r in cells.collect())
     line = spark.createDataFrame([(1, i, float(i), 10.0 - i + (5 if i == 9 else 0)) for i in range(30)], "cat long, seq int, s double, z double")
     got = C.clean_coarsen(line, despike_window=3, n_iters=10, keep_fraction=0.2).collect()
     assert len(got) == 6

@@ -1,4 +1,4 @@
-"""Queries whose SQL has a part of the rows: whole results against brute force, the part against the SQL."""
+"""Queries over all heads or nodes: against brute force and against their SQL."""
 
 import duckdb
 
@@ -28,8 +28,7 @@ def test_profiles_from_every_head(spark):
             path.append(seg[path[-1]][0])
         want += [(head, i, c, seg[c][1], sum(seg[x][1] for x in path[i:])) for i, c in enumerate(path)]
     cols = ("head", "ord", "cat", "len", "s")
-    assert rows(catalog.QUERIES["w7_downstream_profile"](spark, SF), *cols) == sorted(want)
-    assert rows(catalog.QUERIES["w7_downstream_profile_part"](spark, SF), *cols) == by_sql("w7_downstream_profile_part", *cols)
+    assert rows(catalog.QUERIES["w7_downstream_profile"](spark, SF), *cols) == sorted(want) == by_sql("w7_downstream_profile", *cols)
 
 
 def test_grid_walks_from_every_node(spark):
@@ -41,7 +40,7 @@ def test_grid_walks_from_every_node(spark):
             walks[k].append(n[walks[k][-1]][0])
         for x in walks[k]:
             sets[x].add(k)
-    assert max(map(len, walks.values())) > 16
+    assert max(map(len, walks.values())) > 10
     assert rows(catalog.QUERIES["r19_trace_down"](spark, SF), "start", "i", "node") == sorted((k, i, x) for k, w in walks.items() for i, x in enumerate(w))
     assert rows(catalog.QUERIES["r20_upslope_sets"](spark, SF), "top", "node") == sorted((t, x) for t, s in sets.items() for x in s)
     rims = []
@@ -52,5 +51,5 @@ def test_grid_walks_from_every_node(spark):
             if any((r + a, c + b) not in at for a in (-1, 0, 1) for b in (-1, 0, 1)):
                 rims.append((t, x, round(((r - n[t][1]) ** 2 + (c - n[t][2]) ** 2) ** 0.5, 6)))
     assert rows(catalog.QUERIES["r21_rims"](spark, SF), "top", "node", "linear") == sorted(rims)
-    for name, cols in (("r19_trace_down_part", ("start", "i", "node")), ("r20_upslope_sets_part", ("top", "node")), ("r21_rims_part", ("top", "node", "linear"))):
+    for name, cols in (("r19_trace_down", ("start", "i", "node")), ("r20_upslope_sets", ("top", "node")), ("r21_rims", ("top", "node", "linear"))):
         assert rows(catalog.QUERIES[name](spark, SF), *cols) == by_sql(name, *cols)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .functions.scalar import ACCUMULATION_LABELS
 from .operators import heads as H
 from .operators import kernels as K
 from .operators import network as N
@@ -12,6 +15,7 @@ from .operators import routing as R
 from .operators import sequence as S
 from .operators import slopearea as A
 from .plans.iterate import keep
+from .sources.network import write_json, write_profiles, write_subnetwork
 
 
 class NothingFound(ValueError):
@@ -29,15 +33,7 @@ def profiles(v: DataFrame, seg: DataFrame, cat: int, direction: str = "downstrea
 
     Segments are resampled to dx_target and smoothed over a window, each on its own, before they are joined.
     """
-    if not seg.filter(F.col("cat") == cat).limit(1).count():
-        raise N.InvalidNetwork(f"no segment {cat}")
-    if direction not in ("downstream", "upstream"):
-        raise ValueError("direction must be downstream or upstream")
-    if direction == "downstream":
-        paths = N.downstream_paths(seg, seg.filter(F.col("cat") == cat))
-    else:
-        inside = seg.join(N.ancestors(seg, cat).select("cat"), "cat", "left_semi").withColumn("tostream", F.when(F.col("cat") == cat, N.OUTLET).otherwise(F.col("tostream")))
-        paths = N.downstream_paths(inside, N.headwaters(inside))
+    paths = N.select_paths(seg, cat, direction)
     t = S.segment_distances(v).select("cat", "seq", F.col("s_down").alias("s"), *values)
     if dx_target:
         t = S.densify(t, dx_target, list(values))
@@ -46,53 +42,125 @@ def profiles(v: DataFrame, seg: DataFrame, cat: int, direction: str = "downstrea
         for x in values:
             t = S.moving_average(t, x, window, f"{x}_smoothed")
             names.append(f"{x}_smoothed")
-    from pyspark.sql import Window
-
     t = t.withColumn("s_up", F.max("s").over(Window.partitionBy("cat")) - F.col("s"))
     return N.assemble_profile(paths, t, names)
 
 
+#: Plot -> the columns that it needs and shows (x, y); the values' logarithms are the plot's affair.
+PLOTS = {"LongProfile": ("s", "z"), "SlopeAccum": ("A", "slope"), "SlopeDistance": ("s", "slope"), "AccumDistance": ("s", "A")}
+
+
+def plot_tables(profile: DataFrame, plots: tuple[str, ...] = tuple(PLOTS), units: str = "m2") -> dict[str, DataFrame]:
+    """plot -> (head, i, x, y, x_label, y_label), distances in km; smoothed values where there are any.
+
+    A plot whose values the profile lacks is left out with a warning. Plots of area show positive ones only.
+    """
+    area = dict(ACCUMULATION_LABELS).get(units, "Flow accumulation")
+    labels = {"s": "Distance from mouth [km]", "z": "Elevation [m]", "A": area, "slope": "Slope [-]"}
+    out = {}
+    for name in plots:
+        if name not in PLOTS:
+            raise ValueError(f"no plot {name}")
+        if lacking := [c for c in PLOTS[name] if c not in profile.columns]:
+            warnings.warn(f"plot {name} needs {', '.join(lacking)}; left out", stacklevel=2)
+            continue
+        shown = [F.col("s") / 1000 if c == "s" else F.col(f"{c}_smoothed" if f"{c}_smoothed" in profile.columns else c) for c in PLOTS[name]]
+        kept = profile.filter(F.col("A") > 0) if "A" in PLOTS[name] else profile
+        out[name] = kept.select("head", "i", *(c.alias(n) for c, n in zip(shown, "xy")), *(F.lit(labels[c]).alias(f"{n}_label") for c, n in zip(PLOTS[name], "xy")))
+    return out
+
+
+def fluvial_profiler(v: DataFrame, seg: DataFrame, cat: int, direction: str = "downstream", values: tuple[str, ...] = ("z", "A"), dx_target: float | None = None, window: float | None = None,
+                     outfile: str | None = None, outjson: str | None = None, plots: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The profiles and the plots' tables; writes the text table and the sub-network's node-link records if asked."""
+    got = keep(profiles(v, seg, cat, direction, values, dx_target, window), "profiles")
+    if outfile:
+        write_profiles(got, outfile)
+    if outjson:
+        write_subnetwork(*N.build_graph(v.select("cat", "seq", *values), seg.select("cat", "tostream"), list(values)), got.select("cat").distinct(), outjson, keep_outlet=direction != "upstream")
+    return got, plot_tables(got, plots)
+
+
 def channel_heads(source: DataFrame, method: str = "slope_area", *, ncols: int | None = None, threshold: int = 100, a_0: float = 1000.0, m_over_n: float = 0.525, n_connecting_nodes: int = 10, min_segment_length: int = 10,
-                  window_radius: float = 7.0, tan_curv_threshold: float = 0.1, cellsize: float = 1.0, window: float = 0.0, min_slope: float = 1e-4, max_area: float | None = None, head_rule: str = "global") -> DataFrame:
+                  window_radius: float = 7.0, tan_curv_threshold: float = 0.1, cellsize: float = 1.0, window: float = 0.0, min_slope: float = 1e-4, max_area: float | None = None, head_rule: str = "global",
+                  min_profile_nodes: int = 0, extend_to_junction: bool = False, filled: DataFrame | None = None, curvature: DataFrame | None = None, direction: DataFrame | None = None, precision: int = 64) -> DataFrame:
     """Where channels begin.
 
     slope_area: source are vertices (cat, seq, s, x, y, z, A); the break's area and its crossings (cat, x, y, a_star).
-    divides: source are cells (r, c, z), filled; heads (node, r, c) in the valley above each source.
+    divides: source are cells (r, c, z), filled; heads (node, r, c) in the valley of each source. Profiles have
+    at least twice min_segment_length and one nodes unless min_profile_nodes says otherwise.
     dreich: as divides, valleys chosen by tangential curvature.
+    filled (r, c, z), curvature (r, c, curvature) and direction (r, c, d: D8 codes) take the place of the
+    terrain, of what would be computed, and of steepest descent; direction must cover the same rows and
+    columns. precision: 32 for single-precision profiles and regressions.
     """
     if method == "slope_area":
-        cloud = A.cloud(source, window or None, min_slope=min_slope, max_area=max_area)
+        cloud = keep(A.cloud(source, window or None, min_slope=min_slope, max_area=max_area), "cloud")
         best = A.fit_break(cloud).first() if cloud.limit(20).count() == 20 else None
         if best is None:
             raise NothingFound("too few points for a break")
         return A.transitions(source, best.A_star).withColumn("a_star", F.lit(best.A_star))
     if method not in ("divides", "dreich"):
         raise ValueError("method must be slope_area, divides or dreich")
-    nodes = keep(R.accumulate(keep(R.receivers(source, ncols), "nodes"), cellsize), "routed")
+    surface = source if filled is None else filled
+    if direction is None:
+        nodes = R.receivers(surface, ncols)
+    else:
+        same_extent(direction, source)
+        codes = direction.select(F.col("r").alias("_r"), F.col("c").alias("_c"), "d")
+        nodes = R.receivers_from_directions(surface.join(codes, (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")), "left").select("r", "c", "z", "d"), ncols)
+    nodes = keep(R.accumulate(keep(nodes, "nodes"), cellsize), "routed")
     if method == "divides":
-        return H.first_order_heads(nodes, threshold, min_segment_length, a_0, m_over_n, head_rule)
-    curved = R.tangential_curvature(source, window_radius, cellsize)
-    gated = nodes.join(curved, ["r", "c"], "left").withColumn("gate", F.col("curvature") > tan_curv_threshold)
-    found = H.valleys(gated, "gate", threshold, n_connecting_nodes)
-    p = keep(H.profiles(nodes, found.select(F.col("junction").alias("node")).distinct().select("node", F.col("node").alias("end")), a_0, m_over_n, cellsize), "profiles")
-    best = (H.chi_split if head_rule == "global" else H.uppermost_split)(p, min_segment_length)
-    picked = p.join(best.select(F.col("profile").alias("p2"), F.col("i").alias("i2")), (F.col("profile") == F.col("p2")) & (F.col("i") == F.col("i2"))).select("node")
-    return H.keep_uppermost(nodes, picked)
+        found = H.first_order_valleys(nodes, threshold)
+        min_profile_nodes = min_profile_nodes or 2 * min_segment_length + 1
+    else:
+        curved = (R.tangential_curvature(surface, window_radius, cellsize) if curvature is None else curvature).select(F.col("r").alias("_r"), F.col("c").alias("_c"), "curvature")
+        gated = nodes.join(curved, (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")), "left").drop("_r", "_c").withColumn("gate", F.col("curvature") > tan_curv_threshold)
+        found = H.valleys(keep(gated, "gated"), "gate", threshold, n_connecting_nodes)
+    heads = keep(H.heads_from_valleys(nodes, keep(found, "valleys"), threshold, min_segment_length, a_0, m_over_n, cellsize, min_profile_nodes, extend_to_junction, head_rule, precision), "heads")
+    if not heads.limit(1).count():
+        raise NothingFound("no channel heads")
+    return heads
+
+
+def same_extent(a: DataFrame, b: DataFrame) -> None:
+    """Raises unless two grids of cells (r, c) cover the same rows and columns."""
+    ends = [tuple(t.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()) for t in (a, b)]
+    if ends[0] != ends[1]:
+        raise ValueError(f"grids differ: rows and columns {ends[0]} and {ends[1]}")
 
 
 def route(cells: DataFrame, ncols: int, min_slope: float = 0.0, cellsize: float = 1.0) -> DataFrame:
-    """(node, r, c, z, recv, flc, ncontrib, fd, root) of a filled surface: level fill distributed, a gradient by the kernel."""
-    filled = R.fill_flat(cells) if not min_slope else K.fill(cells.withColumn("raster_id", F.lit(1).cast("long")), min_slope, cellsize)
-    z = filled.select("r", "c", F.col("filled").alias("z"))
+    """(node, r, c, z, recv, flc, ncontrib, fd, root) of the filled surface."""
+    z = K.fill(cells, min_slope, cellsize).select("r", "c", F.col("filled").alias("z"))
     return R.accumulate(keep(R.receivers(z, ncols), "nodes"), cellsize)
 
 
-def evolve(cells: DataFrame, nsteps: int = 0, k: float = 1e-5, m: float = 0.5, n: float = 1.0, uplift: float = 1e-3, dt: float = 1000.0, min_slope: float = 1e-4, cellsize: float = 1.0, boundary: str | None = "edges") -> DataFrame:
-    """Cells after nsteps of landscape evolution; no step leaves them as they are."""
-    return K.evolve(cells if "raster_id" in cells.columns else cells.withColumn("raster_id", F.lit(1).cast("long")), k=k, m=m, n=n, uplift=uplift, dt=dt, steps=nsteps, min_slope=min_slope, cellsize=cellsize, boundary=boundary)
+def evolve(cells: DataFrame, nsteps: int = 0, k: float = 1e-5, m: float = 0.5, n: float = 1.0, uplift: float = 1e-3, dt: float = 1000.0, min_slope: float = 1e-4, cellsize: float = 1.0, boundary: str | None = "edges", record_every: int = 0) -> DataFrame:
+    """Cells (raster_id, step, r, c, z) after nsteps of landscape evolution, with snapshots if asked for; no step leaves them as they are.
+
+    boundary: edges, mask (a boolean column fixed) or None. A raster is evolved in one task.
+    """
+    cells = cells if "raster_id" in cells.columns else cells.withColumn("raster_id", F.lit(1).cast("long"))
+    return K.evolve(cells, nsteps, boundary, record_every, k, m=m, n=n, uplift=uplift, dt=dt, min_slope=min_slope, cellsize=cellsize)
 
 
 def clean_coarsen(v: DataFrame, despike_window: int = 100, despike_k: float = 2.0, alpha: float = 0.85, n_iters: int = 2000, keep_fraction: float = 0.1) -> DataFrame:
     """Edges (cat, seq, s, z) despiked, smoothed between their ends and resampled to a fraction of their vertices."""
     clean = K.clean_edges(v, despike_window, despike_k, alpha, n_iters)
     return S.coarsen(v.drop("z").join(clean, ["cat", "seq"]), keep_fraction, ["z"])
+
+
+def clean_network(nodes: DataFrame, edges: DataFrame, outlet_drop: float = 4e-4, keep_fraction: float = 0.1, outjson: str | None = None, **cleaning) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with outlets given an elevation below their inflow, edges cleaned and coarsened; written if asked, NaN as such.
+
+    nodes: (node, z); edges: (src, dst, cat, seq, s, z).
+    """
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
+    inflow = edges.groupBy("dst", "cat").agg(F.max_by("z", "seq").alias("z")).select(F.col("dst").alias("node"), "z")
+    fixed = S.set_outlet_elevations(nodes.select("node", "z").join(out, "node", "left").fillna(0, ["n_out"]), inflow, outlet_drop).select("node", "z")
+    done = clean_coarsen(edges.select("cat", "seq", "s", "z"), keep_fraction=keep_fraction, **cleaning)
+    links = done.join(edges.select("cat", "src", "dst").distinct(), "cat").select("src", "dst", "cat", "seq", "s", "z")
+    if outjson:
+        write_json(fixed.select(F.col("node").alias("id"), F.array("z").alias("z")), links, outjson, strict=False)
+    return fixed, links

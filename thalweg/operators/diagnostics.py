@@ -7,8 +7,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .routing import RING, ancestor_closure, gather
-from .slopearea import binned_medians
+from ..plans.iterate import fixpoint, keep, prefix_sums
+from .quantiles import exact_quantiles
+from .network import upstream_sum
+from .routing import RING, ancestor_closure, farthest_upslope, gather
+from .slopearea import binned_break, binned_medians
+from .tiles import stencil, windows
 
 
 def segment_topology(nodes: DataFrame, seg: str = "seg") -> DataFrame:
@@ -77,11 +81,21 @@ def surface(cells: DataFrame, size: float = 1.0) -> DataFrame:
 
 
 def smooth(cells: DataFrame, sigma: float) -> DataFrame:
-    """(r, c, z): Gaussian means over the cells that are there, cut at three sigma."""
+    """(r, c, z): Gaussian means over the cells that are there, cut at three sigma; by tiles with a rim."""
+    import numpy as np
+
     k = max(1, math.ceil(3 * sigma))
-    kern = F.explode(F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc"), F.lit(math.exp(-(i * i + j * j) / (2 * sigma * sigma))).alias("w")) for i in range(-k, k + 1) for j in range(-k, k + 1))))
-    sent = cells.select("r", "c", "z", kern.alias("o")).groupBy((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c")).agg((F.sum(F.col("z") * F.col("o.w")) / F.sum("o.w")).alias("z"))
-    return sent.join(cells.select("r", "c"), ["r", "c"], "left_semi")
+
+    def compute(grid):
+        at, total, weight = windows(grid, k), np.zeros(grid.shape), np.zeros(grid.shape)
+        for i in range(-k, k + 1):
+            for j in range(-k, k + 1):
+                w, z = math.exp(-(i * i + j * j) / (2 * sigma * sigma)), at(i, j)
+                total += w * np.nan_to_num(z)
+                weight += w * ~np.isnan(z)
+        return total / np.where(weight > 0, weight, np.nan)
+
+    return stencil(cells, "z", k, compute, "z")
 
 
 def signature_match(a: DataFrame, b: DataFrame, scales: dict[str, float]) -> DataFrame:
@@ -160,26 +174,38 @@ def wrap(v: DataFrame, window: int = 3, by: str = "cat") -> DataFrame:
 
 
 def node_index(cells: DataFrame) -> DataFrame:
-    """(r, c, idx): rank of each cell in row-major order from 0: counts by row, summed over the rows, plus the place in the row."""
-    per = cells.groupBy("r").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("r", "before")
-    return cells.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy("c")) - 1).join(before, "r").select("r", "c", (F.col("before") + F.col("k")).alias("idx"))
+    """(r, c, idx): rank of each cell in row-major order from 0."""
+    return prefix_sums(cells.select("r", "c"), ["r", "c"], F.lit(1).cast("long"), "place").select("r", "c", (F.col("place") - 1).alias("idx"))
 
 
 def downstream_sum(nodes: DataFrame, term) -> DataFrame:
     """(node, total): sum of a term (a column of nodes) over the path from each node to base level, the last node's left out."""
-    from ..plans.iterate import fixpoint
-
     down = F.when(F.col("recv") != F.col("node"), F.col("recv"))
     start = nodes.select("node", down.alias("jump"), F.when(down.isNotNull(), term).otherwise(0.0).alias("total"))
 
     def step(cur: DataFrame) -> DataFrame:
         to = cur.select(F.col("node").alias("n2"), F.col("jump").alias("j2"), F.col("total").alias("t2"))
-        return cur.join(to, F.col("jump") == F.col("n2"), "left").select("node", F.col("j2").alias("jump"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))
+        moved = cur.filter("jump IS NOT NULL").join(to, F.col("jump") == F.col("n2"), "left").select("node", F.col("j2").alias("jump"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))
+        return cur.filter("jump IS NULL").unionByName(moved)
 
     return fixpoint(start, step, "jump IS NOT NULL").drop("jump")
 
 
+def ordered_stack(nodes: DataFrame) -> DataFrame:
+    """(node, place): each node's place, from 0, in the stack that lists every node before those that drain through it.
+
+    Base levels and donors come in the order of their ids. A node's place is its receiver's plus one and
+    the sizes of the trees of donors before it, so places are sums along flow paths; a node's upslope set
+    is the run of ncontrib places from its own.
+    """
+    sibling = Window.partitionBy("recv").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    inner = nodes.filter("recv <> node").withColumn("own", 1 + F.coalesce(F.sum("ncontrib").over(sibling), F.lit(0)))
+    tops = prefix_sums(nodes.filter("recv = node"), ["node"], F.col("ncontrib"), "upto").withColumn("own", F.col("upto") - F.col("ncontrib")).drop("upto")
+    t = keep(inner.unionByName(tops).select("node", "recv", "root", F.col("own").cast("double").alias("own")), "stack")
+    base = t.filter("recv = node").select(F.col("node").alias("base"), F.col("own").alias("first"))
+    return downstream_sum(t, F.col("own")).join(t.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2")).join(base, F.col("root") == F.col("base")).select("node", (F.col("total") + F.col("first")).cast("long").alias("place"))
+
+
 def claimed_cells(nodes: DataFrame, mouths: DataFrame) -> DataFrame:
     """(node, mouth): the catchment each cell belongs to; of nested ones that of the largest mouth (the smallest id of equal ones)."""
     up = ancestor_closure(nodes, mouths).join(nodes.select(F.col("node").alias("top"), "ncontrib"), "top")
@@ -193,13 +219,140 @@ def stream_corners(channel: DataFrame, ncols: int) -> DataFrame:
 
 
 def criteria_drift(t: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, median, cv): median and population coefficient of variation of a criterion at each resolution."""
-    return t.groupBy(by).agg(F.count("*").alias("n"), F.median(value).alias("median"), (F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0.0))).alias("cv"))
+    """(by, n, median, iqr, cv): median, interquartile range and population coefficient of variation of a criterion at each resolution."""
+    got = exact_quantiles(t, value, [0.25, 0.5, 0.75], by)  # few resolutions
+    mids = t.sparkSession.createDataFrame([(g, q[1], q[2] - q[0]) for g, q in got.items()], f"{by} {t.schema[by].dataType.simpleString()}, median double, iqr double")
+    per = t.groupBy(by).agg(F.count("*").alias("n"), (F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0.0))).alias("cv"))
+    return per.join(F.broadcast(mids), by, "left").select(by, "n", "median", "iqr", "cv")
 
 
 def floodplain_cut(cells: DataFrame, flat: float = 1e-3, most: float = 0.4, bands: int = 50) -> DataFrame:
     """One row: the lower end of the lowest elevation band (of `bands` equal shares) whose flat share is under `most`."""
-    cuts = cells.agg(F.percentile("z", [k / bands for k in range(bands + 1)]).alias("p"))
-    t = cells.crossJoin(F.broadcast(cuts)).withColumn("band", F.least(F.lit(bands - 1), F.size(F.filter("p", lambda x: x <= F.col("z"))) - 1))
-    per = t.groupBy("band").agg(F.avg((F.col("slope") < flat).cast("double")).alias("share"))
-    return per.filter(F.col("share") < most).agg(F.min("band").alias("band")).crossJoin(cuts).select("band", F.get("p", "band").alias("z"))
+    cells = keep(cells.select("z", "slope"), "cells")
+    cuts = exact_quantiles(cells, "z", [k / bands for k in range(bands + 1)]).get(None, [])
+    p = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    per = cells.withColumn("band", F.least(F.lit(bands - 1), F.size(F.filter(p, lambda x: x <= F.col("z"))) - 1)).groupBy("band").agg(F.avg((F.col("slope") < flat).cast("double")).alias("share"))
+    return per.filter(F.col("share") < most).agg(F.min("band").alias("band")).select("band", F.get(p, F.col("band")).alias("z"))
+
+
+def false_negatives(cells: DataFrame, hollows: DataFrame, tol_area: float = 0.30, tol_slope: float = 0.30, reach: float = 300.0, least: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Unresolved cells (id, x, y, logA, logS, seg) that look like a found hollow: (cells with missed, branches).
+
+    missed: within one unit of a hollow in log area, log slope and distance, each over its tolerance.
+    branches: (seg, n, n_missed, share) of segments with enough cells.
+    """
+    scales = {"logA": tol_area, "logS": tol_slope, "x": reach, "y": reach}
+    hit = signature_match(cells, hollows, scales).select(F.col("id_a").alias("id"))
+    marked = cells.join(hit.withColumn("_hit", F.lit(True)), "id", "left").withColumn("missed", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    per = marked.filter("seg IS NOT NULL").groupBy("seg").agg(F.count("*").alias("n"), F.count_if("missed").alias("n_missed")).filter(F.col("n") >= least)
+    return marked, per.withColumn("share", F.col("n_missed") / F.col("n"))
+
+
+def coverage(seg: DataFrame, v: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cat, max_area, n_cells, ratio): cells (lab) in the basins of a segment and its ancestors against its greatest area."""
+    own = seg.select("cat", "tostream").join(cells.groupBy(F.col("lab").alias("cat")).agg(F.count("*").alias("own")), "cat", "left").fillna(0, ["own"])
+    most = v.groupBy("cat").agg(F.max("A").alias("max_area"))
+    got = upstream_sum(own, "own").join(most, "cat")
+    return got.select("cat", "max_area", F.col("total").cast("long").alias("n_cells"), (F.col("total") / F.greatest(F.lit(1.0), "max_area")).alias("ratio"))
+
+
+def classify_segments(seg: DataFrame, ends: DataFrame, labels: DataFrame, ncols: int) -> DataFrame:
+    """(seg, n, ring, beside_missing): divide segments that close on themselves, and those at a corner of a cell without a label."""
+    bare = stream_corners(labels.filter("lab = -1"), ncols).select(F.col("corner").alias("k"))
+    at = seg.select("seg", F.explode(F.array("a", "b")).alias("corner")).join(bare, F.col("corner") == F.col("k"), "left")
+    beside = at.groupBy("seg").agg(F.max(F.col("k").isNotNull()).alias("beside_missing"))
+    return ends.join(beside, "seg").select("seg", "n", F.col("u").isNull().alias("ring"), "beside_missing")
+
+
+def apexes(nodes: DataFrame, at: DataFrame) -> DataFrame:
+    """(node, apex, flow, relief, straight): from each given node to its farthest upslope node."""
+    top = farthest_upslope(nodes, at)
+    here = nodes.select(F.col("node").alias("top"), "r", "c", "z", "fd")
+    there = nodes.select(F.col("node").alias("hilltop"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("z").alias("z2"), F.col("fd").alias("fd2"))
+    straight = F.sqrt((F.col("r2") - F.col("r")) ** 2 + (F.col("c2") - F.col("c")) ** 2)
+    return top.join(here, "top").join(there, "hilltop").select(F.col("top").alias("node"), F.col("hilltop").alias("apex"), (F.col("fd2") - F.col("fd")).alias("flow"), (F.col("z2") - F.col("z")).alias("relief"), straight.alias("straight"))
+
+
+def apex_control(nodes: DataFrame, heads: DataFrame, most: int = 500) -> DataFrame:
+    """(group, n, mean, sd, cv of flow): heads against other channel nodes with areas like theirs.
+
+    The control is of nodes between the tenth and ninetieth percentile of the heads' areas, at most `most`
+    of them by the smallest hash of the node (a sample is what is asked for).
+    """
+    mine = nodes.join(heads.select("node").distinct(), "node", "left_semi")
+    lo, hi = exact_quantiles(mine, "ncontrib", [0.1, 0.9]).get(None, (None, None))
+    pool = nodes.filter(F.col("ncontrib").between(lo, hi)).orderBy(F.xxhash64("node"), "node").limit(most)
+    both = apexes(nodes, mine).withColumn("group", F.lit("heads")).unionByName(apexes(nodes, pool).withColumn("group", F.lit("control")))
+    return both.groupBy("group").agg(F.count("*").alias("n"), F.avg("flow").alias("mean"), F.stddev_pop("flow").alias("sd"), (F.stddev_pop("flow") / F.nullif(F.avg("flow"), F.lit(0.0))).alias("cv"))
+
+
+def outcome_census(t: DataFrame, by: str, outcome: str) -> DataFrame:
+    """(by, outcome, n, share): how often each outcome comes in each group, and its share of the group."""
+    n = t.groupBy(by, outcome).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(by)))
+
+
+def spatial_halves(points: DataFrame, axis: str = "x") -> DataFrame:
+    """Points with side: 0 up to the median of a coordinate, 1 beyond it."""
+    (mid,) = exact_quantiles(points, axis, [0.5]).get(None, [None])
+    return points.withColumn("side", (F.col(axis) > F.lit(mid)).cast("int"))
+
+
+def compare_sides(points: DataFrame) -> DataFrame:
+    """(side, n, median_logS, theta): slope-area figures of each side."""
+    got = exact_quantiles(points, "logS", [0.5], "side")
+    mids = points.sparkSession.createDataFrame([(g, m[0]) for g, m in got.items()], "side int, median_logS double")
+    return points.groupBy("side").agg(F.count("*").alias("n"), F.regr_slope("logS", "logA").alias("theta")).join(mids, "side").select("side", "n", "median_logS", "theta")
+
+
+def area_ratio(t: DataFrame, found: str, known: str, close: float = 2.0, star: float | None = None) -> DataFrame:
+    """One row of the ratio found / known: p25, p50, p75, mean and sd of its log10, shares within a factor `close` and found below star."""
+    r = t.filter((F.col(found) > 0) & (F.col(known) > 0)).select(F.log10(F.col(found) / F.col(known)).alias("x"), (F.col(found) < F.lit(star)).alias("low"))
+    r = keep(r, "ratios")
+    p = exact_quantiles(r, "x", [0.25, 0.5, 0.75]).get(None, [None] * 3)
+    return r.agg(*(F.lit(v).cast("double").alias(n) for n, v in zip(("p25", "p50", "p75"), p)), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.avg((F.abs("x") <= math.log10(close)).cast("double")).alias("close"), F.avg(F.col("low").cast("double")).alias("below"))
+
+
+def slope_floor_sweep(points: DataFrame, floors: list[float]) -> DataFrame:
+    """(floor, n, logA_star, theta, R, accepted): the binned stick of the cloud above each least slope (logS)."""
+    points = keep(points.select("logA", "logS"), "cloud")
+    rows = []
+    for f in floors:
+        above = points.filter(F.col("logS") >= f)
+        got = binned_break(above).first()
+        rows.append((float(f), above.count(), *((got.logA_star, got.theta, got.R, got.accepted) if got else (None, None, None, False))))
+    return points.sparkSession.createDataFrame(rows, "floor double, n long, logA_star double, theta double, R double, accepted boolean")
+
+
+def donor_counts(nodes: DataFrame) -> DataFrame:
+    """(node, n): how many nodes drain straight into each."""
+    return nodes.filter("recv <> node").groupBy(F.col("recv").alias("node")).agg(F.count("*").alias("n"))
+
+
+def descent_slopes(nodes: DataFrame, res: float = 1.0) -> DataFrame:
+    """(node, slope): drop to the receiver over the distance to it."""
+    b = nodes.select(F.col("node").alias("n2"), F.col("z").alias("z2"))
+    reach = F.when(F.col("flc") == 2, math.sqrt(2.0) * res).otherwise(res)
+    return nodes.filter("recv <> node").join(b, F.col("recv") == F.col("n2")).select("node", ((F.col("z") - F.col("z2")) / reach).alias("slope"))
+
+
+def givers(nodes: DataFrame, ncols: int, nrows: int) -> DataFrame:
+    """(giver, receiver) of each draining node, numbered down the columns."""
+    down = lambda n: (F.col(n) % ncols) * nrows + F.expr(f"{n} div {ncols}")
+    return nodes.filter("recv <> node").select(down("node").cast("long").alias("giver"), down("recv").cast("long").alias("receiver"))
+
+
+def drainage_density(nodes: DataFrame, threshold: int, res: float = 1.0) -> DataFrame:
+    """One row: length of channel (steps of nodes of at least threshold cells) over the area of all nodes."""
+    step = F.when(F.col("flc") == 2, math.sqrt(2.0) * res).when(F.col("flc") == 1, res).otherwise(0.0)
+    return nodes.agg((F.sum(F.when(F.col("ncontrib") >= threshold, step).otherwise(0.0)) / (F.count("*") * res * res)).alias("density"))
+
+
+def basin_cells(labels: DataFrame) -> DataFrame:
+    """(lab, n, first): cells of each basin and its first node."""
+    return labels.groupBy("lab").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+
+
+def top_by(t: DataFrame, value: str, n: int, key: str = "cat") -> DataFrame:
+    """The n rows of the largest value, equal ones by key."""
+    return t.orderBy(F.desc(value), key).limit(n)

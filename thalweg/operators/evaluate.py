@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.iterate import keep, prefix_sums
+from .quantiles import exact_quantiles
+
 
 def near_pairs(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     """(id_a, id_b, d): pairs of points within reach, met in squares of that size: an equi-join on nine squares."""
@@ -23,9 +27,33 @@ def nearest(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     return near_pairs(a, b, reach).groupBy("id_a").agg(F.min(F.struct("d", "id_b")).alias("m")).select("id_a", "m.id_b", "m.d")
 
 
+def nearest_of_all(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+    """(id_a, id_b, d): each point's nearest, however far: points without one in reach are tried with twice the reach.
+
+    The squares grow only for the points that are left, which lie where there is little to meet.
+    """
+    done, left = [], keep(a.select("id", "x", "y"), "left")
+    if not b.limit(1).count():
+        return nearest(left.limit(0), b, reach)
+    while left.limit(1).count():
+        found = keep(nearest(left, b, reach), "nearest")
+        done.append(found)
+        left = keep(left.join(found.select(F.col("id_a").alias("id")), "id", "left_anti"), "left")
+        reach *= 2
+    return reduce(DataFrame.unionByName, done) if done else nearest(left, b, reach)
+
+
+def snap_to_channel(a: DataFrame, channel: DataFrame, reach: float, least: float | None = None, most: float | None = None, area: str = "ncontrib") -> DataFrame:
+    """(id_a, id_b, d): each point's nearest channel cell (id, x, y, area) whose area lies in the window."""
+    b = channel if least is None else channel.filter(F.col(area) >= least)
+    return nearest(a, b if most is None else b.filter(F.col(area) <= most), reach)
+
+
 def match_quality(found: DataFrame, known: DataFrame, tolerance: float) -> DataFrame:
     """One row: recall (known points with a found one in tolerance), precision (the reverse), counts, median distance."""
-    hit = nearest(known, found, tolerance).agg(F.count("*").alias("hits"), F.median("d").alias("median_d"))
+    met = keep(nearest(known, found, tolerance), "met")
+    (middle,) = exact_quantiles(met, "d", [0.5]).get(None, [None])
+    hit = met.agg(F.count("*").alias("hits"), F.lit(middle).cast("double").alias("median_d"))
     right = nearest(found, known, tolerance).agg(F.count("*").alias("right"))
     n, m = known.agg(F.count("*").alias("n_known")), found.agg(F.count("*").alias("n_found"))
     t = hit.crossJoin(right).crossJoin(n).crossJoin(m)  # four single rows
@@ -41,9 +69,9 @@ def snap_to_max(points: DataFrame, cells: DataFrame, reach: int, value: str) ->
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: P(positive above negative) + half P(equal), by counts per distinct score and running sums over them."""
-    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).cast("double").alias("p"), F.count_if(~F.col(positive)).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return per.withColumn("b", below).agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
+    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    per = prefix_sums(per, ["s"], F.col("n"), "upto").select(F.col("p").cast("double").alias("p"), F.col("n").cast("double").alias("n"), (F.col("upto") - F.col("n")).cast("double").alias("b"))
+    return per.agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
 def structure_function(cells: DataFrame, lags: list[int]) -> DataFrame:
@@ -114,3 +142,37 @@ def at_density(t: DataFrame, density: float) -> DataFrame:
     w = Window.partitionBy("method").orderBy("density")
     n = t.withColumn("d2", F.lead("density").over(w)).withColumn("m2", F.lead("metric").over(w)).filter((F.col("density") <= density) & (F.col("d2") > density))
     return n.select("method", (F.col("metric") + (F.lit(density) - F.col("density")) / (F.col("d2") - F.col("density")) * (F.col("m2") - F.col("metric"))).alias("metric"))
+
+
+def radial_spectrum(cells: DataFrame, by: str = "block") -> DataFrame:
+    """(by, k, power): mean power at each whole number of waves across a square block, by direction averaged; a block a task.
+
+    The mean is taken off and a Hann window laid over the block. Blocks with gaps give no rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def one(key, pdf):
+        r, c = pdf.r - pdf.r.min(), pdf.c - pdf.c.min()
+        n = int(max(r.max(), c.max())) + 1
+        z = np.full((n, n), np.nan)
+        z[r, c] = pdf.z
+        rows = []
+        if n > 2 and not np.isnan(z).any():
+            taper = np.hanning(n)
+            power = np.abs(np.fft.fft2((z - z.mean()) * np.outer(taper, taper))) ** 2
+            waves = np.fft.fftfreq(n) * n
+            ring = np.rint(np.hypot(waves[:, None], waves)).astype(int).ravel()
+            mean = np.bincount(ring, power.ravel()) / np.maximum(1, np.bincount(ring))
+            rows = [(key[0], k, float(v)) for k, v in enumerate(mean) if k]
+        return pd.DataFrame(rows, columns=[by, "k", "power"])
+
+    kind = cells.schema[by].dataType.simpleString()
+    return cells.select(by, "r", "c", "z").groupBy(by).applyInPandas(one, f"{by} {kind}, k int, power double")
+
+
+def spectral_slope(spectrum: DataFrame, least: int, most: int, by: str = "block") -> DataFrame:
+    """(by, alpha, hurst): how steeply the power falls between two wave numbers, and (alpha - 2) / 2."""
+    t = spectrum.filter(F.col("k").between(least, most) & (F.col("power") > 0))
+    alpha = -F.regr_slope(F.log("power"), F.log("k"))
+    return t.groupBy(by).agg(alpha.alias("alpha"), ((alpha - 2) / 2).alias("hurst"))

@@ -136,3 +136,20 @@ def set_outlet_elevations(nodes: DataFrame, inflow: DataFrame, drop: float = 4e-
     """Null z of nodes without outflow becomes the lowest last z that flows in, less a drop."""
     low = inflow.groupBy("node").agg(F.min("z").alias("_low"))
     return nodes.join(low, "node", "left").withColumn("z", F.when(F.col("z").isNull() & (F.col("n_out") == 0), F.col("_low") - drop).otherwise(F.col("z"))).drop("_low")
+
+
+def windowed_slope(v: DataFrame, width: float, y: str = "z", x: str = "s", least: int = 3, by: str = "cat") -> DataFrame:
+    """Adds slope: the steepness of the regression of y on x within width / 2 to either side, null for fewer than `least` points."""
+    w = f"OVER (PARTITION BY {by} ORDER BY {x} RANGE BETWEEN {width / 2!r}D PRECEDING AND {width / 2!r}D FOLLOWING)"
+    return v.selectExpr("*", f"abs(CASE WHEN count(*) {w} >= {least} THEN regr_slope({y}, {x}) {w} END) AS slope")
+
+
+def chi_steepness(v: DataFrame, by: str = "cat") -> DataFrame:
+    """Adds ksn (dz by dchi) and ksn_change (its own gradient along chi)."""
+    return gradient(gradient(v, "z", "chi", "ksn", by), "ksn", "chi", "ksn_change", by)
+
+
+def rollovers(v: DataFrame, by: str = "cat") -> DataFrame:
+    """(by, seq, chi, ksn_change): the vertex of each profile where steepness changes most, the first of equal ones."""
+    t = chi_steepness(v, by).filter("ksn_change IS NOT NULL")
+    return t.groupBy(by).agg(F.max(F.struct(F.abs("ksn_change").alias("k"), (-F.col("seq")).alias("s"), "seq", "chi", "ksn_change")).alias("b")).select(by, "b.seq", "b.chi", "b.ksn_change")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.iterate import keep
+from .quantiles import exact_quantiles, group_medians
 from .sequence import channel_slope, moving_average
 
 KNOTS = 200
@@ -32,8 +34,9 @@ def break_scan(points: DataFrame, min_side: int = 10, knots: int = KNOTS) -> Dat
     Points are summed by the knots they lie between (one partial aggregate, `knots` + 1 rows) and the sums
     accumulated over those few rows, so the cost does not grow with points times knots.
     """
-    ends = points.agg(F.expr("percentile(logA, array(0.05D, 0.95D))").alias("p"), F.avg("logA").alias("mx"), F.avg("logS").alias("my"), F.count("*").alias("n"))
-    ends = ends.select(F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "mx", "my", "n")
+    points = keep(points.select("logA", "logS"), "cloud")
+    lo, hi = exact_quantiles(points, "logA", [0.05, 0.95]).get(None, (None, None))
+    ends = points.agg(F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), F.avg("logA").alias("mx"), F.avg("logS").alias("my"), F.count("*").alias("n"))
     t = points.crossJoin(F.broadcast(ends))  # one row
     step = (F.col("hi") - F.col("lo")) / (knots - 1)
     # number of knots below logA: the point is right of those
@@ -76,13 +79,100 @@ def transitions(v: DataFrame, a_star: float) -> DataFrame:
     return hit.groupBy("cat").agg(F.min_by(F.struct(at("x").alias("x"), at("y").alias("y")), "_i").alias("p")).select("cat", "p.x", "p.y")
 
 
-def binned_medians(points: DataFrame, bins: int = 18, least: int = 8, x: str = "logA", y: str = "logS") -> DataFrame:
-    """(bin, n, x, y): medians in equal-width bins with enough points; the largest x falls outside the last bin."""
+def binned_medians(points: DataFrame, bins: int = 18, least: int = 8, x: str = "logA", y: str = "logS", closed: bool = False) -> DataFrame:
+    """(bin, n, x, y): medians in equal-width bins with enough points; the largest x is outside the last bin unless it is closed."""
+    points = keep(points.select(x, y), "points")
     e = points.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     t = points.crossJoin(F.broadcast(e))
     bin_ = F.floor((F.col(x) - F.col("_lo")) / F.nullif((F.col("_hi") - F.col("_lo")) / bins, F.lit(0.0))).cast("int")
-    t = t.withColumn("bin", bin_).filter((F.col("bin") >= 0) & (F.col("bin") < bins) & (F.col(x) < F.col("_hi")))
-    return t.groupBy("bin").agg(F.count("*").alias("n"), F.median(x).alias("x"), F.median(y).alias("y")).filter(F.col("n") >= least)
+    if closed:
+        bin_ = F.least(bin_, F.lit(bins - 1))
+    t = t.withColumn("bin", bin_).filter((F.col("bin") >= 0) & (F.col("bin") < bins) & (F.lit(closed) | (F.col(x) < F.col("_hi"))))
+    return group_medians(t.select("bin", F.col(x).alias("x"), F.col(y).alias("y")), "bin", ["x", "y"]).filter(F.col("n") >= least)
+
+
+#: Fixed values of the gate on sticks: least fit, least distance of the break from an end (of the range), range of theta; knots tried.
+LEAST_R, LEAST_EDGE, THETAS, STICK_KNOTS = 0.3, 0.1, (0.2, 1.5), 50
+#: Fixed values of the tent: least rise, greatest (negative) fall, least fit.
+TENT_RISE, TENT_FALL, TENT_FIT = 0.05, -0.10, 0.5
+
+
+def _line_rss(x, y) -> float:
+    x0, y0 = x - x.mean(), y - y.mean()
+    return float(y0 @ y0 - (x0 @ y0) ** 2 / (x0 @ x0))
+
+
+def stick(x, y) -> tuple | None:
+    """(knot, theta, h, R, edge, accepted) of a level-then-falling stick through medians (x rising), or None for fewer than six.
+
+    R is the share of a straight line's residual that the break takes away, edge the distance of the knot
+    from the nearer end as a share of the range.
+    """
+    import numpy as np
+
+    if len(x) < 6:
+        return None
+    knots = np.linspace(x[1], x[-2], STICK_KNOTS)
+    left = (x <= knots[:, None]).sum(axis=1)
+    knots = knots[(left >= 2) & (len(x) - left >= 2)]
+    u = np.maximum(0.0, x - knots[:, None])
+    mid = u.mean(axis=1)
+    u0, y0 = u - mid[:, None], y - y.mean()
+    slope = u0 @ y0 / (u0 * u0).sum(axis=1)
+    rss = ((y0 - slope[:, None] * u0) ** 2).sum(axis=1)
+    k = int(rss.argmin())
+    line = _line_rss(x, y)
+    fit = 1 - rss[k] / line if line > 0 else 0.0
+    edge = min(knots[k] - x[0], x[-1] - knots[k]) / (x[-1] - x[0])
+    ok = fit >= LEAST_R and edge >= LEAST_EDGE and THETAS[0] <= -slope[k] <= THETAS[1]
+    return float(knots[k]), float(-slope[k]), float(y.mean() - slope[k] * mid[k]), float(fit), float(edge), bool(ok)
+
+
+def peak(x, y) -> tuple | None:
+    """(peak, R, theta) of two lines through medians (x rising) that share a median, rising then falling; None if none does so well enough."""
+    import numpy as np
+
+    if len(x) < 7:
+        return None
+    line, best = _line_rss(x, y), None
+    for p in range(2, len(x) - 2):
+        (up, a), (down, b) = np.polyfit(x[:p + 1], y[:p + 1], 1), np.polyfit(x[p:], y[p:], 1)
+        if up > TENT_RISE and down < TENT_FALL:
+            miss = y - np.where(np.arange(len(x)) <= p, up * x + a, down * x + b)
+            if best is None or miss @ miss < best[0]:
+                best = miss @ miss, x[p], -down
+    fit = 1 - best[0] / line if best is not None and line > 0 else 0.0
+    return None if best is None or fit < TENT_FIT else (float(best[1]), float(fit), float(best[2]))
+
+
+def _of_medians(points: DataFrame, bins: int, least: int, fit, schema: str, closed: bool = False) -> DataFrame:
+    import numpy as np
+
+    m = sorted((r.x, r.y) for r in binned_medians(points, bins, least, closed=closed).collect())  # a row a bin
+    got = fit(*np.array(m).T) if m else None
+    return points.sparkSession.createDataFrame([] if got is None else [got], schema)
+
+
+def binned_break(points: DataFrame, bins: int = 18, least: int = 8) -> DataFrame:
+    """One row (logA_star, theta, hillslope_logS, R, edge, accepted) from `stick` over binned medians, or none."""
+    return _of_medians(points, bins, least, stick, "logA_star double, theta double, hillslope_logS double, R double, edge double, accepted boolean")
+
+
+def tent(points: DataFrame, bins: int = 12, least: int = 2) -> DataFrame:
+    """One row (peak, R, theta) from `peak` over binned medians (the last bin closed), or none."""
+    return _of_medians(points, bins, least, peak, "peak double, R double, theta double", closed=True)
+
+
+def stick_gate(x, y, bins: int = 18, least: int = 8) -> tuple[float, float] | None:
+    """(logA_star, theta) of a cloud in memory whose stick is accepted."""
+    import numpy as np
+
+    if len(x) < 2 * least:
+        return None
+    at = np.digitize(x, np.linspace(x.min(), x.max(), bins + 1))
+    kept = [at == k for k in range(1, bins + 1) if (at == k).sum() >= least]
+    got = stick(*(np.array([np.median(v[k]) for k in kept]) for v in (x, y)))
+    return got[:2] if got and got[-1] else None
 
 
 def area_survival(v: DataFrame, levels: int = 60) -> DataFrame:

@@ -12,12 +12,10 @@ from ..operators import network as N
 from ..operators import routing as R
 from ..operators import sequence as S
 from .iterate import keep
-from .views import SQL, cells, points, segments, sql, table, vertices
+from .views import SQL, cells, points, segments, side, sql, table, vertices
 
 Q: dict = {}
 O: dict = {}
-COLS = 32
-
 
 def query(name: str, oracle: str | None = None):
     def add(f):
@@ -87,6 +85,17 @@ def g6(spark, d):
     return N.headwaters(segments(spark, d))
 
 
+@query("g6_path_selection", sql(", h AS (SELECT cat FROM segments a WHERE NOT EXISTS (SELECT 1 FROM segments b WHERE b.tostream = a.cat)), p(head, ord, cat) AS (SELECT cat, 0, cat FROM h UNION ALL SELECT head, ord + 1, tostream FROM p JOIN segments USING (cat) WHERE cat <> 3 AND tostream > 0), e AS (SELECT head, max(ord) AS n FROM p WHERE cat = 3 GROUP BY head) SELECT head, CAST(ord AS INT) AS ord, cat FROM p JOIN e USING (head) WHERE ord <= n", "segments", recursive=True))
+def g6_paths(spark, d):
+    return N.select_paths(segments(spark, d), 3, "upstream")
+
+
+@query("x2_cycles", sql(", t AS (SELECT cat, CASE WHEN cat % 700 = 5 THEN cat * 2 + 1 ELSE tostream END AS tostream FROM segments), ok(cat) AS (SELECT cat FROM t WHERE tostream = 0 OR tostream NOT IN (SELECT cat FROM t) UNION SELECT t.cat FROM ok JOIN t ON t.tostream = ok.cat) SELECT cat, tostream FROM t WHERE cat NOT IN (SELECT cat FROM ok)", "segments", recursive=True))
+def x2(spark, d):
+    t = segments(spark, d).select("cat", F.when(F.col("cat") % 700 == 5, F.col("cat") * 2 + 1).otherwise(F.col("tostream")).alias("tostream"))
+    return N.cycles(t)
+
+
 @query("g7_graph_edges", sql(", v AS (SELECT *, max(seq) OVER (PARTITION BY cat) AS last, CASE WHEN cat % 10 = 0 THEN 0 ELSE cat // 2 END AS dst FROM vertices WHERE cat > 0) SELECT cat AS src, dst, cat, CAST(seq AS INT) AS seq, z FROM v WHERE seq > 0 AND (seq < last OR dst = 0)", "vertices"))
 def g7(spark, d):
     v = vertices(spark, d).filter("cat > 0")
@@ -94,6 +103,24 @@ def g7(spark, d):
     return N.build_graph(v.select("cat", "seq", "z"), to, ["z"])[1]
 
 
+@query("io22_subnetwork", sql(", v AS (SELECT *, max(seq) OVER (PARTITION BY cat) AS last, CASE WHEN cat % 10 = 0 THEN 0 ELSE cat // 2 END AS dst FROM vertices WHERE cat > 0), e AS (SELECT cat AS src, dst, cat, CAST(seq AS INT) AS seq, z FROM v WHERE seq > 0 AND (seq < last OR dst = 0)) SELECT * FROM e WHERE src % 3 < 2 AND (dst % 3 < 2 AND dst IN (SELECT cat FROM v) OR dst = 0)", "vertices"))
+def io22(spark, d):
+    from ..sources.network import subnetwork
+
+    v = vertices(spark, d).filter("cat > 0")
+    to = v.select("cat").distinct().select("cat", F.when(F.col("cat") % 10 == 0, 0).otherwise(F.expr("cat div 2")).cast("long").alias("tostream"))
+    return subnetwork(*N.build_graph(v.select("cat", "seq", "z"), to, ["z"]), to.filter("cat % 3 < 2"))[1]
+
+
+@query("x16_coverage", sql(", up(cat, anc) AS (SELECT cat, cat FROM segments UNION ALL SELECT s.tostream, anc FROM up JOIN segments s ON s.cat = up.cat WHERE s.tostream > 0), n AS (SELECT o_custkey AS cat, count(*) AS n, max(o_totalprice) AS a FROM orders GROUP BY 1), t AS (SELECT up.cat, CAST(coalesce(sum(n.n), 0) AS BIGINT) AS n_cells FROM up LEFT JOIN n ON n.cat = up.anc GROUP BY up.cat) SELECT t.cat, n.a AS max_area, n_cells, round(n_cells / greatest(1.0, n.a), 9) AS ratio FROM t JOIN n USING (cat)", "segments", recursive=True))
+def x16(spark, d):
+    from ..operators.diagnostics import coverage
+
+    o = table(spark, d, "orders")
+    t = coverage(segments(spark, d), o.select(F.col("o_custkey").alias("cat"), F.col("o_totalprice").alias("A")), o.select(F.col("o_custkey").alias("lab")))
+    return t.select("cat", "max_area", "n_cells", F.round("ratio", 9).alias("ratio"))
+
+
 @query("v2_offmap_inflow", sql(" SELECT cat FROM vertices WHERE seq = 0 AND A * (CASE WHEN cat % 9 = 4 THEN -1 ELSE 1 END) < 0", "vertices"))
 def v2(spark, d):
     return N.offmap_inflow(vertices(spark, d).withColumn("A", F.when(F.col("cat") % 9 == 4, -F.col("A")).otherwise(F.col("A"))))
@@ -111,16 +138,16 @@ def w13(spark, d):
 # ---- routing
 
 NODES = """, off(k, dr, dc, w) AS (VALUES (0, -1, 0, 1.0::DOUBLE), (1, -1, 1, 0.707106781::DOUBLE), (2, 0, 1, 1.0::DOUBLE), (3, 1, 1, 0.707106781::DOUBLE), (4, 1, 0, 1.0::DOUBLE), (5, 1, -1, 0.707106781::DOUBLE), (6, 0, -1, 1.0::DOUBLE), (7, -1, -1, 0.707106781::DOUBLE)),
-cand AS (SELECT a.r, a.c, b.r * 32 + b.c AS to_, k, w * (a.z - b.z) AS slope FROM cells a, off, cells b WHERE b.r = a.r + dr AND b.c = a.c + dc),
+cand AS (SELECT a.r, a.c, b.r * @N + b.c AS to_, k, w * (a.z - b.z) AS slope FROM cells a, off, cells b WHERE b.r = a.r + dr AND b.c = a.c + dc),
 best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY slope DESC, k) = 1),
-nodes AS (SELECT CAST(a.r * 32 + a.c AS BIGINT) AS node, a.r, a.c, a.z, CAST(CASE WHEN slope > 0 THEN to_ ELSE a.r * 32 + a.c END AS BIGINT) AS recv, CASE WHEN slope > 0 THEN 1 + k % 2 ELSE 0 END AS flc FROM cells a LEFT JOIN best b ON a.r = b.r AND a.c = b.c)"""
+nodes AS (SELECT CAST(a.r * @N + a.c AS BIGINT) AS node, a.r, a.c, a.z, CAST(CASE WHEN slope > 0 THEN to_ ELSE a.r * @N + a.c END AS BIGINT) AS recv, CASE WHEN slope > 0 THEN 1 + k % 2 ELSE 0 END AS flc FROM cells a LEFT JOIN best b ON a.r = b.r AND a.c = b.c)"""
 AREA = """, anc(top, node) AS (SELECT node, node FROM nodes UNION ALL SELECT a.top, n.node FROM anc a JOIN nodes n ON n.recv = a.node AND n.node <> n.recv),
 area AS (SELECT top AS node, count(*) AS ncontrib FROM anc GROUP BY top), full_ AS (SELECT nodes.*, ncontrib FROM nodes JOIN area USING (node))"""
 SRC = ", src AS (SELECT node, r, c FROM full_ f WHERE ncontrib >= 10 AND NOT EXISTS (SELECT 1 FROM full_ d WHERE d.recv = f.node AND d.node <> f.node AND d.ncontrib >= 10))"
 
 
 def nodes(spark, d):
-    return R.receivers(cells(spark, d), COLS)
+    return R.receivers(cells(spark, d), side(spark, d))
 
 
 def routed(spark, d):
@@ -133,15 +160,15 @@ def r2(spark, d):
 
 
 @query("r3_receivers_from_directions", sql(""", t AS (SELECT r, c, (r * 5 + c * 3) % 11 - 2 AS d FROM cells), co(d, dr, dc) AS (VALUES (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1), (8, 0, 1))
-SELECT CAST(t.r * 32 + t.c AS BIGINT) AS node, CAST(coalesce(b.r * 32 + b.c, t.r * 32 + t.c) AS BIGINT) AS recv, CASE WHEN b.r IS NULL THEN 0 WHEN dr <> 0 AND dc <> 0 THEN 2 ELSE 1 END AS flc FROM t LEFT JOIN co ON co.d = abs(t.d) LEFT JOIN cells b ON b.r = t.r + dr AND b.c = t.c + dc""", "cells"))
+SELECT CAST(t.r * @N + t.c AS BIGINT) AS node, CAST(coalesce(b.r * @N + b.c, t.r * @N + t.c) AS BIGINT) AS recv, CASE WHEN b.r IS NULL THEN 0 WHEN dr <> 0 AND dc <> 0 THEN 2 ELSE 1 END AS flc FROM t LEFT JOIN co ON co.d = abs(t.d) LEFT JOIN cells b ON b.r = t.r + dr AND b.c = t.c + dc""", "cells"))
 def r3(spark, d):
     t = cells(spark, d).withColumn("d", (F.col("r") * 5 + F.col("c") * 3) % 11 - 2)
-    return R.receivers_from_directions(t, COLS).select("node", "recv", "flc")
+    return R.receivers_from_directions(t, side(spark, d)).select("node", "recv", "flc")
 
 
-@query("r4_encode_directions", sql(NODES + ", co(d, dr, dc) AS (VALUES (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1), (8, 0, 1)) SELECT r, c, coalesce(d, 0) AS d FROM nodes LEFT JOIN co ON recv // 32 - r = dr AND recv % 32 - c = dc", "cells"))
+@query("r4_encode_directions", sql(NODES + ", co(d, dr, dc) AS (VALUES (1, -1, 1), (2, -1, 0), (3, -1, -1), (4, 0, -1), (5, 1, -1), (6, 1, 0), (7, 1, 1), (8, 0, 1)) SELECT r, c, coalesce(d, 0) AS d FROM nodes LEFT JOIN co ON recv // @N - r = dr AND recv % @N - c = dc", "cells"))
 def r4(spark, d):
-    return R.directions(nodes(spark, d), COLS)
+    return R.directions(nodes(spark, d), side(spark, d))
 
 
 @query("r5_contributing_area", sql(NODES + AREA + " SELECT node, ncontrib FROM full_", "cells", recursive=True))
@@ -170,11 +197,78 @@ def r12(spark, d):
     return R.links(n, R.sources(n, 10))[1]
 
 
-@query("io6_stream_raster", sql(NODES + CHAN + " SELECT CAST(w.node // 32 AS INT) AS r, CAST(w.node % 32 AS INT) AS c, max(cat) AS cat FROM walk w JOIN lk USING (link) GROUP BY w.node", "cells", recursive=True))
+@query("io7_link_lines", sql(NODES + CHAN + ", t AS (SELECT a.cat, a.link, a.end_, coalesce(b.cat, 0) AS tostream FROM lk a LEFT JOIN lk b ON b.link = a.end_) SELECT cat, link % @N + 0.5::DOUBLE AS x1, @N - (link // @N) - 0.5::DOUBLE AS y1, end_ % @N + 0.5::DOUBLE AS x2, @N - (end_ // @N) - 0.5::DOUBLE AS y2, tostream FROM t", "cells", recursive=True))
+def io7(spark, d):
+    from ..sources.network import link_lines
+    from ..sources.raster import Region
+
+    n, size = routed(spark, d), side(spark, d)
+    return link_lines(*R.links(n, R.sources(n, 10)), n, Region(0.0, float(size), 1.0, 1.0, size, size)).drop("wkt")
+
+
+ORDERS = AREA + """, ch AS (SELECT node, recv FROM full_ WHERE ncontrib >= 10), ar AS (SELECT p.node, d.node AS donor FROM ch p LEFT JOIN ch d ON d.recv = p.node AND d.node <> p.node),
+so(it, node, ord) AS (SELECT 0, node, 1 FROM ch UNION ALL SELECT (SELECT max(it) + 1 FROM so), node, CASE WHEN o[1] IS NULL THEN 1 WHEN o[1] = o[2] THEN o[1] + 1 ELSE o[1] END FROM (SELECT ar.node, list_sort(list(s.ord), 'DESC', 'NULLS LAST') AS o FROM ar LEFT JOIN so s ON s.node = ar.donor GROUP BY ar.node) WHERE (SELECT max(it) FROM so) < 3 * @N),
+net AS (SELECT node, recv, arg_max(ord, it) AS ord FROM so JOIN ch USING (node) GROUP BY ALL), j AS (SELECT node, count(donor) <> 1 OR any_value(ch.recv) = node AS junction FROM ar JOIN ch USING (node) GROUP BY node)"""
+
+
+@query("r9_stream_network", sql(NODES + ORDERS + " SELECT node, recv, CAST(max(ord) AS INT) AS ord, junction FROM net JOIN j USING (node) GROUP BY ALL", "cells", recursive=True))
+def r9(spark, d):
+    return H.stream_network(routed(spark, d), 10)
+
+
+@query("r10_upstream_junctions", sql(NODES + AREA + """, ch AS (SELECT node, recv FROM full_ WHERE ncontrib >= 10), j AS (SELECT p.node, count(d.node) <> 1 OR any_value(p.recv) = p.node AS junction, max(d.node) AS donor FROM ch p LEFT JOIN ch d ON d.recv = p.node AND d.node <> p.node GROUP BY p.node),
+u(node, at_) AS (SELECT node, node FROM j UNION ALL SELECT u.node, j.donor FROM u JOIN j ON j.node = u.at_ WHERE NOT junction) SELECT u.node, at_ AS junction FROM u JOIN j ON j.node = u.at_ WHERE j.junction""", "cells", recursive=True))
+def r10(spark, d):
+    return H.upstream_junctions(keep(H.stream_network(routed(spark, d), 10), "network"))
+
+
+@query("r14_first_order_valleys", sql(NODES + AREA + SRC + " SELECT node, node AS junction FROM src", "cells", recursive=True))
+def r14(spark, d):
+    return H.first_order_valleys(routed(spark, d), 10)
+
+
+@query("r6_ordered_stack", sql(NODES + AREA + """, own AS (SELECT node, recv, ncontrib, CASE WHEN recv = node THEN (sum(ncontrib) OVER (PARTITION BY recv = node ORDER BY node)) - ncontrib ELSE 1 + coalesce(sum(ncontrib) OVER (PARTITION BY recv, recv = node ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS k FROM full_),
+st(node, place) AS (SELECT node, k FROM own WHERE recv = node UNION ALL SELECT o.node, place + k FROM st JOIN own o ON o.recv = st.node AND o.node <> o.recv) SELECT node, CAST(place AS BIGINT) AS place FROM st""", "cells", recursive=True))
+def r6(spark, d):
+    from ..operators.diagnostics import ordered_stack
+
+    return ordered_stack(routed(spark, d))
+
+
+@query("so2_heads_by_elevation", sql(NODES + AREA + SRC + " SELECT node, z, row_number() OVER (ORDER BY z DESC, node) AS place FROM src JOIN nodes USING (node)", "cells", recursive=True))
+def so2(spark, d):
+    n = routed(spark, d)
+    return H.by_elevation(R.sources(n, 10), n)
+
+
+@query("v14_mask_missing", sql(NODES + AREA + " SELECT r, c, CASE WHEN (r + c) % 5 <> 0 THEN ncontrib END AS ncontrib FROM full_", "cells", recursive=True))
+def v14(spark, d):
+    n = routed(spark, d)
+    return R.mask_missing(n.select("r", "c", "ncontrib"), n.select("r", "c", F.when((F.col("r") + F.col("c")) % 5 != 0, F.col("z")).alias("z")), "ncontrib")
+
+
+@query("x24_apexes", sql(NODES + AREA + SRC + """, dn(node, at_, fd) AS (SELECT node, recv, CASE flc WHEN 2 THEN sqrt(2.0) WHEN 1 THEN 1.0 ELSE 0.0 END FROM nodes UNION ALL SELECT d.node, n.recv, fd + CASE n.flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END FROM dn d JOIN nodes n ON n.node = d.at_ WHERE n.recv <> n.node), fds AS (SELECT node, max(fd) AS fd FROM dn GROUP BY node),
+m AS (SELECT a.top, max(round(fd, 6)) AS far FROM anc a JOIN src ON src.node = a.top JOIN fds ON fds.node = a.node GROUP BY a.top) SELECT top AS node, round(far - fd, 5) AS flow FROM m JOIN fds ON fds.node = m.top""", "cells", recursive=True))
+def x24(spark, d):
+    from ..operators.diagnostics import apexes
+
+    n = routed(spark, d)
+    return apexes(n, R.sources(n, 10)).select("node", F.round("flow", 5).alias("flow"))
+
+
+@query("j9_snap_to_channel", sql(NODES + AREA + ", p AS (SELECT id, x % @N AS x, y % @N AS y FROM suppliers), n AS (SELECT p.id AS id_a, f.node AS id_b, sqrt(power(p.x - f.c, 2) + power(p.y - f.r, 2)) AS d FROM p JOIN full_ f ON ncontrib BETWEEN 10 AND 100 AND sqrt(power(p.x - f.c, 2) + power(p.y - f.r, 2)) <= 6) SELECT id_a, id_b, round(d, 6) AS d FROM n QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY d, id_b) = 1", "suppliers", "cells", recursive=True))
+def j9(spark, d):
+    n, size = routed(spark, d), side(spark, d)
+    p = points(spark, d, "supplier").select("id", (F.col("x") % size).alias("x"), (F.col("y") % size).alias("y"))
+    channel = n.select(F.col("node").alias("id"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), "ncontrib")
+    return E.snap_to_channel(p, channel, 6.0, 10, 100).select("id_a", "id_b", F.round("d", 6).alias("d"))
+
+
+@query("io6_stream_raster", sql(NODES + CHAN + " SELECT CAST(w.node // @N AS INT) AS r, CAST(w.node % @N AS INT) AS c, max(cat) AS cat FROM walk w JOIN lk USING (link) GROUP BY w.node", "cells", recursive=True))
 def io6(spark, d):
     n = routed(spark, d)
     at, numbered = R.links(n, R.sources(n, 10))
-    return at.join(numbered, "link").groupBy("node").agg(F.max("cat").alias("cat")).select(F.expr("cast(node div 32 as int)").alias("r"), (F.col("node") % 32).cast("int").alias("c"), "cat")
+    return at.join(numbered, "link").groupBy("node").agg(F.max("cat").alias("cat")).select(F.expr(f"cast(node div {side(spark, d)} as int)").alias("r"), (F.col("node") % side(spark, d)).cast("int").alias("c"), "cat")
 
 
 LAB = CHAN + """, own AS (SELECT w.node, max(cat) AS lab FROM walk w JOIN lk USING (link) GROUP BY w.node),
@@ -192,25 +286,13 @@ def r13(spark, d):
     return R.divides(labels(spark, d))
 
 
-@query("r20_upslope_sets_part", sql(NODES + AREA + " SELECT top, node FROM anc WHERE top % 37 = 0", "cells", recursive=True))
-def r20_part(spark, d):
-    """Those rows of r20 that its SQL has."""
-    return r20(spark, d).filter("top % 37 = 0")
-
-
-@query("r20_upslope_sets")
+@query("r20_upslope_sets", sql(NODES + AREA + " SELECT top, node FROM anc", "cells", recursive=True))
 def r20(spark, d):
     n = keep(nodes(spark, d), "nodes")
     return R.ancestor_closure(n, n)
 
 
-@query("r19_trace_down_part", sql(NODES + ", w(start, i, node) AS (SELECT node, 0, node FROM nodes WHERE node % 41 = 3 UNION ALL SELECT start, i + 1, n.recv FROM w JOIN nodes n ON n.node = w.node WHERE n.recv <> n.node AND i < 15) SELECT start, CAST(i AS INT) AS i, node FROM w", "cells", recursive=True))
-def r19_part(spark, d):
-    """Those rows of r19 that its SQL has."""
-    return r19(spark, d).filter("start % 41 = 3 AND i <= 15")
-
-
-@query("r19_trace_down")
+@query("r19_trace_down", sql(NODES + ", w(start, i, node) AS (SELECT node, 0, node FROM nodes UNION ALL SELECT start, i + 1, n.recv FROM w JOIN nodes n ON n.node = w.node WHERE n.recv <> n.node AND i < 500) SELECT start, CAST(i AS INT) AS i, node FROM w", "cells", recursive=True))
 def r19(spark, d):
     n = routed(spark, d)
     return R.walk_down(n, n).select("start", "i", "node")
@@ -225,24 +307,29 @@ def r17(spark, d):
 
 @query("x4_descent_slope", sql(NODES + " SELECT a.node, round((a.z - b.z) / CASE a.flc WHEN 2 THEN sqrt(2.0) ELSE 1 END, 6) AS slope FROM nodes a JOIN nodes b ON b.node = a.recv WHERE a.recv <> a.node", "cells"))
 def x4(spark, d):
-    n = nodes(spark, d)
-    b = n.select(F.col("node").alias("n2"), F.col("z").alias("z2"))
-    return n.filter("recv <> node").join(b, F.col("recv") == F.col("n2")).select("node", F.round((F.col("z") - F.col("z2")) / F.when(F.col("flc") == 2, F.sqrt(F.lit(2.0))).otherwise(1), 6).alias("slope"))
+    from ..operators.diagnostics import descent_slopes
 
+    return descent_slopes(nodes(spark, d)).select("node", F.round("slope", 6).alias("slope"))
 
-@query("x20_giver_receiver", sql(NODES + " SELECT c * 32 + r AS giver, CAST((recv % 32) * 32 + recv // 32 AS BIGINT) AS receiver FROM nodes WHERE recv <> node", "cells"))
+
+@query("x20_giver_receiver", sql(NODES + " SELECT CAST(c * @N + r AS BIGINT) AS giver, CAST((recv % @N) * @N + recv // @N AS BIGINT) AS receiver FROM nodes WHERE recv <> node", "cells"))
 def x20(spark, d):
-    return nodes(spark, d).filter("recv <> node").select((F.col("c") * 32 + F.col("r")).alias("giver"), ((F.col("recv") % 32) * 32 + F.expr("recv div 32")).cast("long").alias("receiver"))
+    from ..operators.diagnostics import givers
+
+    n = side(spark, d)
+    return givers(nodes(spark, d), n, n)
 
 
 @query("ag2_donor_count", sql(NODES + " SELECT recv AS node, count(*) AS n FROM nodes WHERE recv <> node GROUP BY recv", "cells"))
 def ag2(spark, d):
-    return nodes(spark, d).filter("recv <> node").groupBy(F.col("recv").alias("node")).agg(F.count("*").alias("n"))
+    from ..operators.diagnostics import donor_counts
+
+    return donor_counts(nodes(spark, d))
 
 
-@query("ag10_block_mean", sql(" SELECT CAST(r // 5 AS INT) AS br, CAST(c // 5 AS INT) AS bc, round(avg(z), 6) AS z FROM cells WHERE r < 30 AND c < 30 GROUP BY r // 5, c // 5", "cells"))
+@query("ag10_block_mean", sql(" SELECT CAST(r // 5 AS INT) AS br, CAST(c // 5 AS INT) AS bc, round(avg(z), 6) AS z FROM cells WHERE r < @N // 5 * 5 AND c < @N // 5 * 5 GROUP BY r // 5, c // 5", "cells"))
 def ag10(spark, d):
-    return R.block_mean(cells(spark, d), 5, 32, 32).select("br", "bc", F.round("z", 6).alias("z"))
+    return R.block_mean(cells(spark, d), 5, side(spark, d), side(spark, d)).select("br", "bc", F.round("z", 6).alias("z"))
 
 
 def _curvature_sql() -> str:
@@ -261,17 +348,19 @@ def r11(spark, d):
 
 @query("ag11_curvature_quantile", _curvature_sql().replace("SELECT r, c, round(", "SELECT round(quantile_cont(").replace(", 5) AS curvature FROM p", ", 0.9), 5) AS threshold FROM p"))
 def ag11(spark, d):
-    return R.tangential_curvature(cells(spark, d), 2.0, 1.0).agg(F.round(F.percentile("curvature", F.lit(0.9)), 5).alias("threshold"))
+    return R.curvature_threshold(R.tangential_curvature(cells(spark, d), 2.0, 1.0), 0.9).select(F.round("threshold", 5).alias("threshold"))
 
 
-@query("r1_fill_level")
+@query("r1_fill_level", sql(""", p AS (SELECT r, c, r * @N + c AS node, CASE WHEN (r * 7 + c * 3) % 17 = 0 THEN z - 300 ELSE z END AS z FROM cells), adj AS (SELECT a.node, a.z, b.node AS nb FROM p a JOIN p b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.node <> b.node),
+lv(node, lvl) USING KEY (node) AS (SELECT node, z FROM adj GROUP BY node, z HAVING count(*) < 8 UNION SELECT a.node, min(greatest(a.z, lv.lvl)) FROM lv JOIN adj a ON a.nb = lv.node LEFT JOIN recurring.lv AS old ON old.node = a.node WHERE old.lvl IS NULL OR greatest(a.z, lv.lvl) < old.lvl GROUP BY a.node)
+SELECT p.r, p.c, p.z, coalesce(lvl, p.z) AS filled FROM p LEFT JOIN lv USING (node)""", "cells", recursive=True))
 def r1(spark, d):
     return R.fill_flat(cells(spark, d).withColumn("z", F.when((F.col("r") * 7 + F.col("c") * 3) % 17 == 0, F.col("z") - 300).otherwise(F.col("z"))))
 
 
 @query("r1_fill_gradient")
 def r1g(spark, d):
-    return K.fill(cells(spark, d).withColumn("raster_id", F.lit(1).cast("long")), 0.01)
+    return K.fill_ordered(cells(spark, d).withColumn("raster_id", F.lit(1).cast("long")), 0.01)
 
 
 @query("e1_evolve")
@@ -281,41 +370,62 @@ def e1(spark, d):
 
 # ---- divides
 
-EDGES = """, ed AS (SELECT CAST(a.r * 33 + a.c + 1 AS BIGINT) AS a, CAST((a.r + 1) * 33 + a.c + 1 AS BIGINT) AS b FROM lab a JOIN lab b ON b.r = a.r AND b.c = a.c + 1 WHERE a.lab <> b.lab
-UNION ALL SELECT CAST((a.r + 1) * 33 + a.c AS BIGINT), CAST((a.r + 1) * 33 + a.c + 1 AS BIGINT) FROM lab a JOIN lab b ON b.r = a.r + 1 AND b.c = a.c WHERE a.lab <> b.lab)"""
+EDGES = """, ed AS (SELECT CAST(a.r * @W + a.c + 1 AS BIGINT) AS a, CAST((a.r + 1) * @W + a.c + 1 AS BIGINT) AS b FROM lab a JOIN lab b ON b.r = a.r AND b.c = a.c + 1 WHERE a.lab <> b.lab
+UNION ALL SELECT CAST((a.r + 1) * @W + a.c AS BIGINT), CAST((a.r + 1) * @W + a.c + 1 AS BIGINT) FROM lab a JOIN lab b ON b.r = a.r + 1 AND b.c = a.c WHERE a.lab <> b.lab)"""
 
 
 @query("dv1_divide_edges", sql(NODES + LAB + EDGES + " SELECT a, b FROM ed", "cells", recursive=True))
 def dv1(spark, d):
-    return D.edges(labels(spark, d), COLS)
+    return D.edges(labels(spark, d), side(spark, d))
 
 
-@query("dv3_diagonal_corners", sql(NODES + ", g AS (SELECT node, r, c, recv // 32 - r AS dr, recv % 32 - c AS dc FROM nodes) SELECT CAST((r + CASE WHEN dr > 0 THEN 1 ELSE 0 END) * 33 + c + CASE WHEN dc > 0 THEN 1 ELSE 0 END AS BIGINT) AS corner, CAST(arg_max(CASE WHEN dr * dc > 0 THEN 1 ELSE 2 END, node) AS INT) AS fx FROM g WHERE abs(dr) = 1 AND abs(dc) = 1 GROUP BY 1", "cells"))
+@query("dv3_diagonal_corners", sql(NODES + ", g AS (SELECT node, r, c, recv // @N - r AS dr, recv % @N - c AS dc FROM nodes) SELECT CAST((r + CASE WHEN dr > 0 THEN 1 ELSE 0 END) * @W + c + CASE WHEN dc > 0 THEN 1 ELSE 0 END AS BIGINT) AS corner, CAST(arg_max(CASE WHEN dr * dc > 0 THEN 1 ELSE 2 END, node) AS INT) AS fx FROM g WHERE abs(dr) = 1 AND abs(dc) = 1 GROUP BY 1", "cells"))
 def dv3(spark, d):
-    return D.diagonal_corners(nodes(spark, d), COLS)
+    return D.diagonal_corners(nodes(spark, d), side(spark, d))
 
 
 @query("dv5_corner_degree", sql(NODES + LAB + EDGES + ", x AS (SELECT a AS corner FROM ed UNION ALL SELECT b FROM ed) SELECT corner, count(*) AS degree FROM x GROUP BY corner", "cells", recursive=True))
 def dv5(spark, d):
-    return D.corners(D.edges(labels(spark, d), COLS))
+    return D.corners(D.edges(labels(spark, d), side(spark, d)))
+
+
+@query("dv5_segments", sql(NODES + LAB + EDGES + """, e AS (SELECT DISTINCT a * 2147483648 + b AS id, a, b FROM ed), x AS (SELECT id, unnest([a, b]) AS corner FROM e), p AS (SELECT corner, min(id) AS i, max(id) AS k FROM x GROUP BY corner HAVING count(*) = 2), q AS (SELECT i AS a, k AS b FROM p UNION ALL SELECT k, i FROM p),
+reach(id, at_) AS (SELECT id, id FROM e UNION SELECT r.id, q.b FROM reach r JOIN q ON q.a = r.at_), s AS (SELECT id, min(at_) AS seg FROM reach GROUP BY id) SELECT seg, count(*) AS n FROM s GROUP BY seg""", "cells", recursive=True))
+def dv5_segments(spark, d):
+    return D.segments(D.edges(labels(spark, d), side(spark, d))).groupBy("seg").agg(F.count("*").alias("n"))
+
+
+@query("x18_segment_classes")
+def x18(spark, d):
+    from ..operators.diagnostics import classify_segments
+
+    lab, n = labels(spark, d), side(spark, d)
+    e = keep(D.edges(lab, n), "edges")
+    seg = keep(D.segments(e), "segments")
+    return classify_segments(seg, D.segment_ends(seg, D.corners(e)), lab, n)
 
 
 @query("dv7_divide_order")
 def dv7(spark, d):
     n = routed(spark, d)
     lab = keep(R.basin_labels(n, *R.links(n, R.sources(n, 10))), "labels")
-    e = keep(D.split_crossings(D.edges(lab, COLS), D.diagonal_corners(n, COLS), COLS), "edges")
+    e = keep(D.split_crossings(D.edges(lab, side(spark, d)), D.diagonal_corners(n, side(spark, d)), side(spark, d)), "edges")
     deg = keep(D.corners(e), "corners")
     return D.order(keep(D.segment_ends(D.segments(e), deg), "ends"), deg, "strahler")
 
 
 # ---- heads
 
-SPLIT = """, b AS (SELECT cat, seq, s AS x0, z AS y0, count(*) OVER (PARTITION BY cat) AS n, avg(s) OVER (PARTITION BY cat) AS mx, avg(z) OVER (PARTITION BY cat) AS my FROM vertices),
-p AS (SELECT cat, seq, n, x0 - mx AS x, y0 - my AS y FROM b WHERE n >= 20), q AS (SELECT *, coalesce(x - lag(x) OVER w, 0) AS dx, coalesce(y - lag(y) OVER w, 0) AS dy FROM p WINDOW w AS (PARTITION BY cat ORDER BY seq)),
+def split_sql(source: str, least: int) -> str:
+    """Scores t (cat, seq, score) of the splits of profiles (cat, seq, s, z)."""
+    return f""", b AS (SELECT cat, seq, s AS x0, z AS y0, count(*) OVER (PARTITION BY cat) AS n, avg(s) OVER (PARTITION BY cat) AS mx, avg(z) OVER (PARTITION BY cat) AS my FROM {source}),
+p AS (SELECT cat, seq, n, x0 - mx AS x, y0 - my AS y FROM b WHERE n >= {2 * least}), q AS (SELECT *, coalesce(x - lag(x) OVER w, 0) AS dx, coalesce(y - lag(y) OVER w, 0) AS dy FROM p WINDOW w AS (PARTITION BY cat ORDER BY seq)),
 h AS (SELECT cat, seq, n, regr_sxx(y, x) OVER a AS hx, regr_sxy(y, x) OVER a AS hxy, regr_syy(y, x) OVER a AS hy, regr_r2(y, x) OVER f AS r2, sum(dx * dx) OVER a AS ddx, sum(dx * dy) OVER a AS dxy, sum(dy * dy) OVER a AS ddy FROM q
   WINDOW a AS (PARTITION BY cat ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY cat ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-t AS (SELECT cat, seq, r2 - ((power(hxy / hx, 2) * ddx - 2 * hxy / hx * dxy + ddy) / (hy - hxy * hxy / hx) - 2) / 2 AS score FROM h WHERE seq >= 10 AND n - seq >= 10)"""
+t AS (SELECT cat, seq, r2 - ((power(hxy / hx, 2) * ddx - 2 * hxy / hx * dxy + ddy) / greatest(hy - hxy * hxy / hx, 1e-10) - 2) / 2 AS score FROM h WHERE seq >= {least} AND n - seq >= {least})"""
+
+
+SPLIT = split_sql("vertices", 10)
 
 
 def split_input(spark, d):
@@ -332,7 +442,26 @@ def ch6(spark, d):
     return H.uppermost_split(split_input(spark, d)).select("profile", "i", F.round("score", 5).alias("score"))
 
 
-@query("ch7_first_order_heads")
+@query("ch4_heads_single_precision")
+def ch4(spark, d):
+    n = routed(spark, d)
+    return H.heads_from_valleys(n, H.first_order_valleys(n, 10), 10, 3, min_profile_nodes=7, precision=32)
+
+
+@query("ch7_heads_to_next_junction")
+def ch7_extended(spark, d):
+    n = routed(spark, d)
+    return H.heads_from_valleys(n, H.first_order_valleys(n, 10), 10, 3, extend_to_junction=True, rule="uppermost")
+
+
+HEADS = AREA + SRC + """, dn(node, at_, sa, sb) AS (SELECT node, recv, CASE flc WHEN 1 THEN 1 ELSE 0 END, CASE flc WHEN 2 THEN 1 ELSE 0 END FROM nodes UNION ALL SELECT d.node, n.recv, sa + CASE n.flc WHEN 1 THEN 1 ELSE 0 END, sb + CASE n.flc WHEN 2 THEN 1 ELSE 0 END FROM dn d JOIN nodes n ON n.node = d.at_ WHERE n.recv <> n.node),
+fds AS (SELECT node, max(sa + sb) AS steps, arg_max(sa + sb * sqrt(2.0), sa + sb) AS fd FROM dn GROUP BY node), tops AS (SELECT a.top AS cat, arg_max(a.node, (fd, -a.node)) AS hill FROM anc a JOIN src ON src.node = a.top JOIN fds ON fds.node = a.node GROUP BY a.top),
+way(cat, seq, node, most) AS (SELECT cat, 0, hill, x.steps - y.steps FROM tops JOIN fds x ON x.node = hill JOIN fds y ON y.node = cat UNION ALL SELECT cat, seq + 1, n.recv, most FROM way JOIN nodes n USING (node) WHERE seq < most AND n.recv <> n.node),
+prof AS (SELECT w.cat, seq, w.node, f.z, CASE WHEN seq < most THEN CASE flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END * power(1000.0 / ncontrib, 0.525) ELSE 0 END AS term FROM way w JOIN full_ f USING (node)),
+chi AS (SELECT *, sum(term) OVER (PARTITION BY cat ORDER BY seq DESC) AS s FROM prof)""" + split_sql("chi", 3) + """, pick AS (SELECT cat, arg_max(seq, (score, -seq)) AS seq FROM t GROUP BY cat), hd AS (SELECT DISTINCT chi.node FROM pick JOIN chi USING (cat, seq) JOIN nodes n ON n.node = chi.node WHERE n.recv <> n.node)"""
+
+
+@query("ch7_first_order_heads", sql(NODES + HEADS + " SELECT n.node, n.r, n.c FROM hd JOIN nodes n USING (node) WHERE NOT EXISTS (SELECT 1 FROM anc a JOIN hd g ON g.node = a.node WHERE a.top = hd.node AND a.node <> hd.node)", "cells", recursive=True))
 def ch7(spark, d):
     return H.first_order_heads(routed(spark, d), 10, 3)
 
@@ -361,9 +490,10 @@ def ag18(spark, d):
     return t.select("n_known", "n_found", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "median_d")))
 
 
-@query("j10_snap_to_max", sql(", p AS (SELECT id, CAST(x % 32 AS INT) AS r, CAST(y % 32 AS INT) AS c FROM suppliers), m AS (SELECT id, b.r, b.c, b.z FROM p JOIN cells b ON abs(b.r - p.r) <= 2 AND abs(b.c - p.c) <= 2) SELECT id, r, c, z FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY z DESC, r, c) = 1", "suppliers", "cells"))
+@query("j10_snap_to_max", sql(", p AS (SELECT id, CAST(x % @N AS INT) AS r, CAST(y % @N AS INT) AS c FROM suppliers), m AS (SELECT id, b.r, b.c, b.z FROM p JOIN cells b ON abs(b.r - p.r) <= 2 AND abs(b.c - p.c) <= 2) SELECT id, r, c, z FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY z DESC, r, c) = 1", "suppliers", "cells"))
 def j10(spark, d):
-    p = points(spark, d, "supplier").select("id", (F.col("x") % 32).cast("int").alias("r"), (F.col("y") % 32).cast("int").alias("c"))
+    n = side(spark, d)
+    p = points(spark, d, "supplier").select("id", (F.col("x") % n).cast("int").alias("r"), (F.col("y") % n).cast("int").alias("c"))
     return E.snap_to_max(p, cells(spark, d), 2, "z")
 
 
@@ -372,12 +502,13 @@ def j11(spark, d):
     return E.within_hull(points(spark, d, "customer"), E.hull([(100.0, 100.0), (800.0, 200.0), (500.0, 900.0), (500.0, 400.0)]))
 
 
-@query("j2_point_sample", sql(", p AS (SELECT id, x / 30 AS x, y / 30 AS y FROM customers), g AS (SELECT id, CASE WHEN x <= 32 AND y <= 32 THEN least(CAST(floor(32 - y) AS INT), 31) END AS r, CASE WHEN x <= 32 AND y <= 32 THEN least(CAST(floor(x) AS INT), 31) END AS c FROM p) SELECT id, z FROM g LEFT JOIN cells USING (r, c)", "customers", "cells"))
+@query("j2_point_sample", sql(", p AS (SELECT id, x * @N / 960.0::DOUBLE AS x, y * @N / 960.0::DOUBLE AS y FROM customers), g AS (SELECT id, CASE WHEN x <= @N AND y <= @N THEN least(CAST(floor(@N - y) AS INT), @N - 1) END AS r, CASE WHEN x <= @N AND y <= @N THEN least(CAST(floor(x) AS INT), @N - 1) END AS c FROM p) SELECT id, z FROM g LEFT JOIN cells USING (r, c)", "customers", "cells"))
 def j2(spark, d):
     from ..functions.scalar import cell_of
 
-    p = points(spark, d, "customer").withColumn("x", F.col("x") / 30).withColumn("y", F.col("y") / 30)
-    r, c = cell_of(F.col("x"), F.col("y"), 0.0, 32.0, 1.0, 1.0, 32, 32)
+    n = side(spark, d)
+    p = points(spark, d, "customer").withColumn("x", F.col("x") * n / 960.0).withColumn("y", F.col("y") * n / 960.0)
+    r, c = cell_of(F.col("x"), F.col("y"), 0.0, float(n), 1.0, 1.0, n, n)
     return p.select("id", r.alias("r"), c.alias("c")).join(cells(spark, d), ["r", "c"], "left").select("id", "z")
 
 
@@ -421,9 +552,13 @@ def x23(spark, d):
     return E.at_density(t, 50.5).select("method", F.round("metric", 6).alias("metric"))
 
 
-@query("w11_clean_edges")
+@query("w11_clean_edges", sql(""", d AS (SELECT cat, seq, z, list(z) OVER w AS near, count(*) OVER (PARTITION BY cat) AS n FROM vertices WINDOW w AS (PARTITION BY cat ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+m AS (SELECT *, list_median(near) AS mid FROM d), g AS (SELECT *, list_median(list_transform(near, lambda x: abs(x - mid))) AS mad FROM m), b AS (SELECT *, seq > 0 AND seq < n - 1 AND mad > 0 AND abs(0.6745 * (z - mid) / mad) > 2.0 AS bad FROM g),
+s AS (SELECT cat, seq, n, z, bad, list_median(list(CASE WHEN bad THEN NULL ELSE z END) OVER w) AS sound FROM b WINDOW w AS (PARTITION BY cat ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)), c AS (SELECT cat, seq, n, CASE WHEN bad AND n > 2 THEN sound ELSE z END AS z FROM s),
+j(it, cat, seq, n, z) AS (SELECT 0, cat, seq, n, z FROM c UNION ALL SELECT it + 1, cat, seq, n, CASE WHEN seq = 0 OR seq = n - 1 THEN z WHEN n = 3 THEN (lag(z) OVER w + lead(z) OVER w) / 2 ELSE z + 0.85 * 0.5 * (lag(z) OVER w - 2 * z + lead(z) OVER w) END FROM j WHERE it < 50 WINDOW w AS (PARTITION BY cat ORDER BY seq))
+SELECT cat, CAST(seq AS INT) AS seq, round(z, 6) AS z FROM j WHERE it = 50""", "vertices", recursive=True))
 def w11(spark, d):
-    return K.clean_edges(vertices(spark, d), window=5, steps=50)
+    return K.clean_edges(vertices(spark, d), window=5, steps=50).withColumn("z", F.round("z", 6))
 
 
 assert SQL

@@ -94,15 +94,9 @@ def w16(spark, d):
     return S.within(cells(spark, d).withColumn("d", F.col("z").cast("long") % 11 == 0), "d", 3).select("r", "c", "w_left", "w_right", "w_up", "w_down")
 
 
-@query("w7_downstream_profile_part", sql(""", up(head, cat, ord) AS (SELECT s.cat, s.cat, 0 FROM segments s WHERE s.cat % 97 = 5 AND NOT EXISTS (SELECT 1 FROM segments t WHERE t.tostream = s.cat)
+@query("w7_downstream_profile", sql(""", up(head, cat, ord) AS (SELECT s.cat, s.cat, 0 FROM segments s WHERE NOT EXISTS (SELECT 1 FROM segments t WHERE t.tostream = s.cat)
 UNION ALL SELECT head, tostream, ord + 1 FROM up JOIN segments USING (cat) WHERE tostream > 0)
 SELECT head, CAST(ord AS INT) AS ord, up.cat, len, CAST(sum(len) OVER (PARTITION BY head ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS s FROM up JOIN segments s ON s.cat = up.cat""", "segments", recursive=True))
-def w7_part(spark, d):
-    """Those rows of w7 that its SQL has."""
-    return w7(spark, d).filter("head % 97 = 5")
-
-
-@query("w7_downstream_profile")
 def w7(spark, d):
     from ..operators.network import downstream_paths, headwaters, profile_distance
 
@@ -173,10 +167,23 @@ def x10(spark, d):
     return S.gradient(S.chi(vertices(spark, d)), "z", "chi", "ksn").select("cat", "seq", F.round("ksn", 4).alias("ksn"))
 
 
+ROLL = """, n AS (SELECT cat, seq, z, power(1.0 / A, 0.5) * abs(s - lead(s) OVER (PARTITION BY cat ORDER BY seq)) AS t FROM vertices),
+c AS (SELECT cat, seq, z, coalesce(sum(t) OVER (PARTITION BY cat ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS x FROM n)"""
+
+
+def _gradient_sql(source: str, y: str, out: str, name: str) -> str:
+    return f""", h{name} AS (SELECT *, x - lag(x) OVER w AS h1, lead(x) OVER w - x AS h2, lag({y}) OVER w AS y1, lead({y}) OVER w AS y2 FROM {source} WINDOW w AS (PARTITION BY cat ORDER BY seq)),
+{name} AS (SELECT cat, seq, z, x, {"ksn, " if out != "ksn" else ""}CASE WHEN h1 IS NULL THEN (y2 - {y}) / nullif(h2, 0) WHEN h2 IS NULL THEN ({y} - y1) / nullif(h1, 0) ELSE (h1 * h1 * y2 + (h2 * h2 - h1 * h1) * {y} - h2 * h2 * y1) / nullif(h1 * h2 * (h1 + h2), 0) END AS {out} FROM h{name})"""
+
+
+@query("x10_rollovers", sql(ROLL + _gradient_sql("c", "z", "ksn", "k1") + _gradient_sql("k1", "ksn", "kc", "k2") + " SELECT cat, CAST(arg_max(seq, (abs(kc), -seq)) AS INT) AS seq, round(arg_max(kc, (abs(kc), -seq)), 3) AS ksn_change FROM k2 WHERE kc IS NOT NULL GROUP BY cat", "vertices"))
+def x10_rollovers(spark, d):
+    return S.rollovers(S.chi(vertices(spark, d))).select("cat", "seq", F.round("ksn_change", 3).alias("ksn_change"))
+
+
 @query("x9_windowed_regression_slope", sql(" SELECT cat, CAST(seq AS INT) AS seq, round(abs(CASE WHEN count(*) OVER w >= 3 THEN regr_slope(z, s) OVER w END), 6) AS slope FROM vertices WINDOW w AS (PARTITION BY cat ORDER BY s RANGE BETWEEN 60000 PRECEDING AND 60000 FOLLOWING)", "vertices"))
 def x9(spark, d):
-    w = "OVER (PARTITION BY cat ORDER BY s RANGE BETWEEN 60000.0D PRECEDING AND 60000.0D FOLLOWING)"
-    return vertices(spark, d).selectExpr("cat", "seq", f"round(abs(CASE WHEN count(*) {w} >= 3 THEN regr_slope(z, s) {w} END), 6) AS slope")
+    return S.windowed_slope(vertices(spark, d), 120000.0).select("cat", "seq", *r6("slope"))
 
 
 @query("f1_steady_state_slope", sql(" SELECT cat, CAST(seq AS INT) AS seq, round(power(0.001 / 0.00001, 1.0) * power(A, -0.5), 6) AS slope FROM vertices", "vertices"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Rows and columns of the terrain: about sixteen line items a cell."""
+    return max(8, math.isqrt(table(spark, sf_dir, "lineitem").count() // 16))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terrain (r, c, z): a ramp down to the south with deterministic relief."""
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 32).cast("int").alias("r"), (F.col("l_partkey") % 32).cast("int").alias("c"), F.col("l_quantity").cast("long").alias("q"))
-    return rows.groupBy("r", "c").agg((F.lit(40) * (31 - F.col("r")) + F.sum("q") % 97).cast("double").alias("z"))
+    n = side(spark, sf_dir)
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % n).cast("int").alias("r"), (F.col("l_partkey") % n).cast("int").alias("c"), F.col("l_quantity").cast("long").alias("q"))
+    return rows.groupBy("r", "c").agg((F.lit(40) * (n - 1 - F.col("r")) + F.sum("q") % 97).cast("double").alias("z"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +54,7 @@ def points(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: The views as common table expressions.
 SQL = {
-    "cells": "cells AS (SELECT CAST(l_orderkey % 32 AS INT) AS r, CAST(l_partkey % 32 AS INT) AS c, CAST(40 * (31 - l_orderkey % 32) + sum(CAST(l_quantity AS BIGINT)) % 97 AS DOUBLE) AS z FROM lineitem GROUP BY l_orderkey % 32, l_partkey % 32)",
+    "cells": "side AS (SELECT greatest(8, CAST(floor(sqrt(count(*) // 16)) AS INT)) AS n FROM lineitem), cells AS (SELECT CAST(l_orderkey % n AS INT) AS r, CAST(l_partkey % n AS INT) AS c, CAST(40 * (n - 1 - l_orderkey % n) + sum(CAST(l_quantity AS BIGINT)) % 97 AS DOUBLE) AS z FROM lineitem, side GROUP BY n, l_orderkey % n, l_partkey % n)",
     "segments": "segments AS (SELECT c_custkey AS cat, c_custkey // 2 AS tostream, 10 + c_custkey * 37 % 50 AS len FROM customer WHERE c_custkey > 0)",
     "vertices": "vertices AS (SELECT user_id AS cat, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS s, value AS z, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS A FROM events)",
     "verticesxy": "verticesxy AS (SELECT *, s / 1000 AS x, CAST(seq % 7 AS DOUBLE) AS y FROM vertices)",
@@ -56,5 +64,9 @@ SQL = {
 
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:
-    """DuckDB SQL over the named views; body may go on with further expressions after a comma."""
+    """DuckDB SQL over the named views; body may go on with further expressions after a comma.
+
+    @N stands for the terrain's columns, @W for the corners in a row.
+    """
+    body = body.replace("@N", "(SELECT n FROM side)").replace("@W", "((SELECT n FROM side) + 1)")
     return f"WITH {'RECURSIVE ' * recursive}" + ", ".join(SQL[n] for n in names) + body
