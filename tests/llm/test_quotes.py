@@ -146,3 +146,22 @@ def test_very_long_texts_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pos long").withColumn("lines", __import__("pyspark").sql.functions.lit(1))
     got = {r.turn: r for r in Q.ordered(df).collect()}
     assert got[1].reply_to == 0 and (got[1].n_quoted, got[1].n_linked) == (1000, 1000) and got[1].text == "yes" and got[0].text == long.strip()
+
+
+def test_long_conversations_are_ranked_by_ranges(spark, monkeypatch):
+    from thalweg.llm import common
+
+    r = random.Random(11)
+    rows = []
+    for c, n in ((1, 90), (2, 3), (3, 41), (None, 30)):
+        said = []
+        for t in range(n):
+            lines = [f"line {c} {r.randint(0, 60)} of talk" for _ in range(r.randint(0, 2))]
+            if said and r.random() < 0.3:
+                lines.insert(0, "> " + r.choice(said))
+            said += [x for x in lines if x[0] != ">"]
+            rows.append((c, t if t % 9 else 0, "user" + str(t % 4), "\n".join(lines)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(repr, Q.ordered(df).collect()))
+    monkeypatch.setattr(common, "GROUP_ROWS", 10)
+    assert sorted(map(repr, Q.ordered(df.repartition(3)).collect())) == whole and len(whole) == len(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to Python, so that batches of very long texts stay small.
@@ -103,6 +103,54 @@ class Spread:
         return dealt.join(copies.hint("merge"), [self.key, "_part"], how).drop("_part")
 
 
+#: Rows of one group that a window takes in one task; larger groups are ranked by ranges.
+GROUP_ROWS = 100_000
+
+
+class Groups:
+    """Numbers and running marks in the groups of a column, whatever a group's size.
+
+    Groups of up to `most` rows are windows. Larger ones, of which there can be no more than HUBS_MOST, are
+    sorted in ranges or taken in blocks of `most` rows, with a number carried from one to the next.
+    """
+
+    def __init__(self, df: DataFrame, by: str, scratch: Scratch):
+        self.by, self.scratch = by, scratch
+        self.most = max(GROUP_ROWS, -(-df.count() // HUBS_MOST))
+        found = [(r[by],) for r in df.groupBy(by).agg(F.count("*").alias("_n")).filter(F.col("_n") > self.most).collect()]
+        self.large = F.broadcast(df.sparkSession.createDataFrame(found, f"_large {df.schema[by].dataType.simpleString()}")) if found else None
+
+    def numbered(self, df: DataFrame, order: list[Column], name: str) -> DataFrame:
+        """The rows with their number, from 1, in their group by order."""
+        by = self.by
+        is_large = F.col(by).eqNullSafe(F.col("_large"))
+        small = df if self.large is None else df.join(self.large, is_large, "left_anti")
+        out = small.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+        if self.large is None:
+            return out
+        keys = [F.col(by).asc_nulls_first(), *order]
+        hot = df.join(self.large, is_large, "left_semi").repartitionByRange(*keys).sortWithinPartitions(*keys)
+        at = self.scratch.keep(hot.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+        part = F.shiftright("_at", 33)  # the range; the rest is the place in it
+        runs = at.groupBy(part.alias("_part"), F.col(by).alias("_by")).agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
+        earlier = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        before = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))  # a row for each group and range that meet
+        j = at.withColumn("_p", part).join(F.broadcast(before), (F.col("_p") == F.col("_part")) & F.col(by).eqNullSafe(F.col("_by")))
+        return out.unionByName(j.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_from") + 1).cast("int").alias(name)))
+
+    def last_marked(self, df: DataFrame, place: str, marked: Column, name: str) -> DataFrame:
+        """The rows with the last marked place up to their own in their group; places are numbers from 1."""
+        by = self.by
+        t = df.withColumn("_mark", F.when(marked, F.col(place))).withColumn("_block", F.floor((F.col(place) - 1) / self.most))
+        out = t.withColumn(name, F.max("_mark").over(Window.partitionBy(by, "_block").orderBy(place)))
+        if self.large is not None:
+            tops = t.join(self.large, F.col(by).eqNullSafe(F.col("_large")), "left_semi").groupBy(F.col(by).alias("_by"), F.col("_block").alias("_b")).agg(F.max("_mark").alias("_top"))
+            earlier = Window.partitionBy("_by").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+            carried = tops.withColumn("_carried", F.max("_top").over(earlier)).drop("_top")  # a row for each block of a large group
+            out = out.join(F.broadcast(carried), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b")), "left").withColumn(name, F.coalesce(name, "_carried")).drop("_by", "_b", "_carried")
+        return out.drop("_mark", "_block")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for each row, whatever the optimizer inlines."""
     return F.element_at(F.transform(F.array(value), body), 1)

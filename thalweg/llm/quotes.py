@@ -10,6 +10,7 @@ A message answers the message that most of its shallowest quoted lines come from
 before it. Conversations come out in reply order (a message, then its answers depth first) without quotes
 or the lines that introduce them. n_quoted and n_linked count lines.
 
+A conversation of any length is ranked by ranges of its messages rather than in one task (`Groups`).
 Own lines are reduced to one row for each conversation and hash before the join, so a line that a third
 of all messages share joins as one row. Answers that follow one another form runs; only runs that a quote
 attaches elsewhere need the graph, whose paths are found by doubling with tables written between rounds.
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from .common import Groups, Scratch, let
 
 MARK = r"^[ \t]{0,3}(?:>[ \t]?)+"
 INTRODUCES = r"(?i)^(?:on|am|le|el|at)\b.*\b(?:wrote|writes|schrieb|écrit|escribió)[ \t]?:$"
@@ -62,11 +63,10 @@ def unquoted(parsed: Column) -> Column:
     return F.btrim(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), F.lit(" \t\r\n"))
 
 
-def messages(conversations: DataFrame) -> DataFrame:
+def messages(conversations: DataFrame, groups: Groups) -> DataFrame:
     """The rows with their place in the conversation (`pos`, from 1), level and content of each line."""
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("pos", F.row_number().over(w))
-    return rows.withColumn("lines", parse(F.col("text")))
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    return groups.numbered(conversations.select("conv_id", "turn", "role", "text"), order, "pos").withColumn("lines", parse(F.col("text")))
 
 
 def _first_two(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
@@ -144,14 +144,14 @@ def _paths(runs: DataFrame, scratch: Scratch) -> DataFrame:
 def ordered(conversations: DataFrame) -> DataFrame:
     """A row for each message: conv_id, reply_order, turn, role, reply_to (turn), n_quoted, n_linked, source_conv_id, text."""
     scratch = Scratch(conversations.sparkSession)
-    rows = messages(conversations)
+    groups = Groups(conversations.select("conv_id"), "conv_id", scratch)
+    rows = messages(conversations, groups)
     found = links(rows, scratch)
     f = found.select(F.col("conv_id").alias("fc"), F.col("pos").alias("fp"), "n_quoted", "n_linked", "parent", "source_conv_id")
     linked = rows.join(f, F.col("conv_id").eqNullSafe(F.col("fc")) & (F.col("pos") == F.col("fp")), "left")
     linked = linked.select("conv_id", "pos", "turn", "role", unquoted(F.col("lines")).alias("text"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent", "source_conv_id")
-    by_pos = Window.partitionBy("conv_id").orderBy("pos")
     starts = (F.col("pos") == 1) | (F.col("parent") < F.col("pos") - 1)
-    msgs = scratch.keep(linked.withColumn("run", F.max(F.when(starts, F.col("pos"))).over(by_pos)), "messages")
+    msgs = scratch.keep(groups.last_marked(linked, "pos", F.coalesce(starts, F.lit(False)), "run"), "messages")
     heads = msgs.filter("run = pos").select("conv_id", "run", F.when(F.col("pos") > 1, F.col("parent")).alias("parent"))
     place = msgs.select(F.col("conv_id").alias("pc"), F.col("pos").alias("pp"), F.col("run").alias("up"), F.col("turn").alias("parent_turn"))
     runs = heads.join(place, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("parent") == F.col("pp")), "left").select("conv_id", "run", "parent", "up")
@@ -159,5 +159,5 @@ def ordered(conversations: DataFrame) -> DataFrame:
     out = msgs.join(paths, F.col("conv_id").eqNullSafe(F.col("xc")) & (F.col("run") == F.col("xr")))
     answers = F.when(F.col("pos") > 1, F.coalesce("parent", F.col("pos") - 1))
     out = out.withColumn("answers", answers).join(place, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("answers") == F.col("pp")), "left")
-    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("path", "pos"))
-    return out.select("conv_id", order.cast("long").alias("reply_order"), "turn", "role", F.col("parent_turn").alias("reply_to"), F.col("n_quoted").cast("long").alias("n_quoted"), F.col("n_linked").cast("long").alias("n_linked"), "source_conv_id", "text")
+    out = groups.numbered(out.drop("pc", "pp", "up", "xc", "xr"), [F.col("path"), F.col("pos")], "reply_order")
+    return out.select("conv_id", F.col("reply_order").cast("long").alias("reply_order"), "turn", "role", F.col("parent_turn").alias("reply_to"), F.col("n_quoted").cast("long").alias("n_quoted"), F.col("n_linked").cast("long").alias("n_linked"), "source_conv_id", "text")
