@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, limit_batches
+from .common import Scratch, Spread, limit_batches
 
 GROUP_BYTES = 2 << 20
 #: Hosts of more than one group that are broadcast; beyond, they are joined by exchange.
@@ -386,7 +386,8 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host, F.col("html").cast("string"))
     weight = F.octet_length(F.coalesce("html", F.lit("")))
     sizes = rows.groupBy("host").agg(F.ceil(F.sum(weight.cast("long")) / F.lit(GROUP_BYTES)).alias("parts"))
-    hot = Scratch(pages.sparkSession).keep(sizes.filter("parts > 1"), "hosts")
+    scratch = Scratch(pages.sparkSession)
+    hot = scratch.keep(sizes.filter("parts > 1"), "hosts")
     n_hot = hot.count()
     few = n_hot <= BROADCAST_HOSTS  # else both sides are dealt by host for the join, and again by group
     salted = rows.mapInArrow(_parse, PARSED).join(F.broadcast(hot) if few else hot, "host", "left")
@@ -397,5 +398,8 @@ def extract(pages: DataFrame) -> DataFrame:
     if not n_hot:
         return dealt.applyInArrow(lambda t: _group(t), out)
     runs = salted.filter("parts > 1").select(group.alias("group"), "host", "body", "states").mapInArrow(_runs, "run long, lo long, hi long, group string")
-    shared = runs.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("group").alias("groups")).filter("lo < hi")
-    return dealt.cogroup(shared.select(F.explode("groups").alias("group"), "run").groupBy("group")).applyInArrow(lambda t, r: _group(t, r), out)
+    runs = scratch.keep(runs.groupBy("run", "group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "runs")
+    shared = runs.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("run")
+    # A run that all of a large host's groups have meets its verdict in parts.
+    told = Spread(runs, "run", "group").meet(runs.filter("group IS NOT NULL").select("run", "group"), shared)
+    return dealt.cogroup(told.select("group", "run").groupBy("group")).applyInArrow(lambda t, r: _group(t, r), out)
