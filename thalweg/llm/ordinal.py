@@ -44,7 +44,7 @@ LEAST_Z = 3.0
 STEPS = 250
 RATE = 0.15
 SHRINK = 1e-5
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 SYMBOLS = "#*$%&|<>"
 EDGE = re.compile(r"^\W+|\W+$")
 

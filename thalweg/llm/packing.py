@@ -34,7 +34,7 @@ from .common import limit_batches
 
 MOST = 2048
 END = 1
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 WORD_MOST = 64
 UNSAFE = re.compile(r"\s ")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
