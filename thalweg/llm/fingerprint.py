@@ -37,7 +37,7 @@ GRAM = 4
 LEVELS = 3
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 #: Stored bytes of one range of doc_ids, and the most ranges.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
 RANGES_MOST = 100_000
 
 
@@ -228,14 +228,14 @@ def _stored_bytes(docs: DataFrame) -> int:
 
 
 def _cuts(keys: DataFrame, ranges: int) -> list[int]:
-    """Keys that divide the rows into about equal ranges, from a sample of about 20 keys a range.
+    """Keys that divide the rows into about equal ranges, from a sample of about 50 keys a range.
 
     The sample decides where rows are worked on, not what comes out.
     """
     n = keys.count()
     if ranges < 2 or not n:
         return []
-    some = sorted(r.o for r in keys.sample(min(1.0, 20 * ranges / n), seed=1).collect())
+    some = sorted(r.o for r in keys.sample(min(1.0, 50 * ranges / n), seed=1).collect())
     return sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
 
 
