@@ -28,7 +28,8 @@ def link_network(lines: DataFrame) -> DataFrame:
     return N.link(ends.select("cat", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2")))
 
 
-def profiles(v: DataFrame, seg: DataFrame, cat: int, direction: str = "downstream", values: tuple[str, ...] = ("z", "A"), dx_target: float | None = None, window: float | None = None) -> DataFrame:
+def profiles(v: DataFrame, seg: DataFrame, cat: int, direction: str = "downstream",
+    values: tuple[str, ...] = ("z", "A"), dx_target: float | None = None, window: float | None = None) -> DataFrame:
     """Long profiles (head, i, cat, s, values) from a segment down to the outlet, or from each headwater down to it.
 
     Segments are resampled to dx_target and smoothed over a window, each on its own, before they are joined.
@@ -66,24 +67,36 @@ def plot_tables(profile: DataFrame, plots: tuple[str, ...] = tuple(PLOTS), units
             continue
         shown = [F.col("s") / 1000 if c == "s" else F.col(f"{c}_smoothed" if f"{c}_smoothed" in profile.columns else c) for c in PLOTS[name]]
         kept = profile.filter(F.col("A") > 0) if "A" in PLOTS[name] else profile
-        out[name] = kept.select("head", "i", *(c.alias(n) for c, n in zip(shown, "xy")), *(F.lit(labels[c]).alias(f"{n}_label") for c, n in zip(PLOTS[name], "xy")))
+        out[name] = kept.select(
+            "head", "i", *(c.alias(n) for c, n in zip(shown, "xy")),
+            *(F.lit(labels[c]).alias(f"{n}_label") for c, n in zip(PLOTS[name], "xy")))
     return out
 
 
-def fluvial_profiler(v: DataFrame, seg: DataFrame, cat: int, direction: str = "downstream", values: tuple[str, ...] = ("z", "A"), dx_target: float | None = None, window: float | None = None,
-                     outfile: str | None = None, outjson: str | None = None, plots: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, DataFrame]]:
+def fluvial_profiler(
+    v: DataFrame, seg: DataFrame, cat: int, direction: str = "downstream", values: tuple[str, ...] = ("z", "A"),
+    dx_target: float | None = None, window: float | None = None,
+                     outfile: str | None = None, outjson: str | None = None,
+                         plots: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The profiles and the plots' tables; writes the text table and the sub-network's node-link records if asked."""
     got = keep(profiles(v, seg, cat, direction, values, dx_target, window), "profiles")
     if outfile:
         write_profiles(got, outfile)
     if outjson:
-        write_subnetwork(*N.build_graph(v.select("cat", "seq", *values), seg.select("cat", "tostream"), list(values)), got.select("cat").distinct(), outjson, keep_outlet=direction != "upstream")
+        write_subnetwork(
+            *N.build_graph(v.select("cat", "seq", *values), seg.select("cat", "tostream"), list(values)),
+            got.select("cat").distinct(), outjson, keep_outlet=direction != "upstream")
     return got, plot_tables(got, plots)
 
 
-def channel_heads(source: DataFrame, method: str = "slope_area", *, ncols: int | None = None, threshold: int = 100, a_0: float = 1000.0, m_over_n: float = 0.525, n_connecting_nodes: int = 10, min_segment_length: int = 10,
-                  window_radius: float = 7.0, tan_curv_threshold: float = 0.1, cellsize: float = 1.0, window: float = 0.0, min_slope: float = 1e-4, max_area: float | None = None, head_rule: str = "global",
-                  min_profile_nodes: int = 0, extend_to_junction: bool = False, filled: DataFrame | None = None, curvature: DataFrame | None = None, direction: DataFrame | None = None, precision: int = 64) -> DataFrame:
+def channel_heads(source: DataFrame, method: str = "slope_area", *, ncols: int | None = None, threshold: int = 100,
+    a_0: float = 1000.0, m_over_n: float = 0.525, n_connecting_nodes: int = 10, min_segment_length: int = 10,
+                  window_radius: float = 7.0, tan_curv_threshold: float = 0.1, cellsize: float = 1.0,
+                      window: float = 0.0, min_slope: float = 1e-4, max_area: float | None = None,
+                      head_rule: str = "global",
+                  min_profile_nodes: int = 0, extend_to_junction: bool = False, filled: DataFrame | None = None,
+                      curvature: DataFrame | None = None, direction: DataFrame | None = None,
+                      precision: int = 64) -> DataFrame:
     """Where channels begin.
 
     slope_area: source are vertices (cat, seq, s, x, y, z, A); the break's area and its crossings (cat, x, y, a_star).
@@ -108,16 +121,22 @@ def channel_heads(source: DataFrame, method: str = "slope_area", *, ncols: int |
     else:
         same_extent(direction, source)
         codes = direction.select(F.col("r").alias("_r"), F.col("c").alias("_c"), "d")
-        nodes = R.receivers_from_directions(surface.join(codes, (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")), "left").select("r", "c", "z", "d"), ncols)
+        nodes = R.receivers_from_directions(
+            surface.join(codes, (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")), "left").select(
+                "r", "c", "z", "d"), ncols)
     nodes = keep(R.accumulate(keep(nodes, "nodes"), cellsize), "routed")
     if method == "divides":
         found = H.first_order_valleys(nodes, threshold)
         min_profile_nodes = min_profile_nodes or 2 * min_segment_length + 1
     else:
-        curved = (R.tangential_curvature(surface, window_radius, cellsize) if curvature is None else curvature).select(F.col("r").alias("_r"), F.col("c").alias("_c"), "curvature")
-        gated = nodes.join(curved, (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")), "left").drop("_r", "_c").withColumn("gate", F.col("curvature") > tan_curv_threshold)
+        curved = (R.tangential_curvature(surface, window_radius, cellsize) if curvature is None else curvature).select(
+            F.col("r").alias("_r"), F.col("c").alias("_c"), "curvature")
+        gated = nodes.join(curved, (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")), "left").drop(
+            "_r", "_c").withColumn("gate", F.col("curvature") > tan_curv_threshold)
         found = H.valleys(keep(gated, "gated"), "gate", threshold, n_connecting_nodes)
-    heads = keep(H.heads_from_valleys(nodes, keep(found, "valleys"), threshold, min_segment_length, a_0, m_over_n, cellsize, min_profile_nodes, extend_to_junction, head_rule, precision), "heads")
+    heads = keep(H.heads_from_valleys(
+            nodes, keep(found, "valleys"), threshold, min_segment_length, a_0, m_over_n, cellsize, min_profile_nodes,
+            extend_to_junction, head_rule, precision), "heads")
     if not heads.limit(1).count():
         raise NothingFound("no channel heads")
     return heads
@@ -136,7 +155,9 @@ def route(cells: DataFrame, ncols: int, min_slope: float = 0.0, cellsize: float
     return R.accumulate(keep(R.receivers(z, ncols), "nodes"), cellsize)
 
 
-def evolve(cells: DataFrame, nsteps: int = 0, k: float = 1e-5, m: float = 0.5, n: float = 1.0, uplift: float = 1e-3, dt: float = 1000.0, min_slope: float = 1e-4, cellsize: float = 1.0, boundary: str | None = "edges", record_every: int = 0) -> DataFrame:
+def evolve(cells: DataFrame, nsteps: int = 0, k: float = 1e-5, m: float = 0.5, n: float = 1.0, uplift: float = 1e-3,
+    dt: float = 1000.0, min_slope: float = 1e-4, cellsize: float = 1.0, boundary: str | None = "edges",
+    record_every: int = 0) -> DataFrame:
     """Cells (raster_id, step, r, c, z) after nsteps of landscape evolution, with snapshots if asked for; no step leaves them as they are.
 
     boundary: edges, mask (a boolean column fixed) or None. A raster is evolved in one task.
@@ -145,20 +166,24 @@ def evolve(cells: DataFrame, nsteps: int = 0, k: float = 1e-5, m: float = 0.5, n
     return K.evolve(cells, nsteps, boundary, record_every, k, m=m, n=n, uplift=uplift, dt=dt, min_slope=min_slope, cellsize=cellsize)
 
 
-def clean_coarsen(v: DataFrame, despike_window: int = 100, despike_k: float = 2.0, alpha: float = 0.85, n_iters: int = 2000, keep_fraction: float = 0.1) -> DataFrame:
+def clean_coarsen(v: DataFrame, despike_window: int = 100, despike_k: float = 2.0, alpha: float = 0.85,
+    n_iters: int = 2000, keep_fraction: float = 0.1) -> DataFrame:
     """Edges (cat, seq, s, z) despiked, smoothed between their ends and resampled to a fraction of their vertices."""
     clean = K.clean_edges(v, despike_window, despike_k, alpha, n_iters)
     return S.coarsen(v.drop("z").join(clean, ["cat", "seq"]), keep_fraction, ["z"])
 
 
-def clean_network(nodes: DataFrame, edges: DataFrame, outlet_drop: float = 4e-4, keep_fraction: float = 0.1, outjson: str | None = None, **cleaning) -> tuple[DataFrame, DataFrame]:
+def clean_network(nodes: DataFrame, edges: DataFrame, outlet_drop: float = 4e-4, keep_fraction: float = 0.1,
+    outjson: str | None = None, **cleaning) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with outlets given an elevation below their inflow, edges cleaned and coarsened; written if asked, NaN as such.
 
     nodes: (node, z); edges: (src, dst, cat, seq, s, z).
     """
     out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
     inflow = edges.groupBy("dst", "cat").agg(F.max_by("z", "seq").alias("z")).select(F.col("dst").alias("node"), "z")
-    fixed = S.set_outlet_elevations(nodes.select("node", "z").join(out, "node", "left").fillna(0, ["n_out"]), inflow, outlet_drop).select("node", "z")
+    fixed = S.set_outlet_elevations(
+        nodes.select("node", "z").join(out, "node", "left").fillna(0, ["n_out"]), inflow, outlet_drop).select(
+        "node", "z")
     done = clean_coarsen(edges.select("cat", "seq", "s", "z"), keep_fraction=keep_fraction, **cleaning)
     links = done.join(edges.select("cat", "src", "dst").distinct(), "cat").select("src", "dst", "cat", "seq", "s", "z")
     if outjson:

@@ -27,7 +27,8 @@ ACCUMULATION_LABELS = {"m2": "Drainage area (m^2)", "km2": "Drainage area (km^2)
 
 
 def accumulation_label(units: Column) -> Column:
-    return reduce(lambda acc, kv: acc.when(units == kv[0], kv[1]), ACCUMULATION_LABELS.items(), F.when(F.lit(False), "")).otherwise("Flow accumulation")
+    return reduce(lambda acc, kv: acc.when(units == kv[0], kv[1]), ACCUMULATION_LABELS.items(),
+        F.when(F.lit(False), "")).otherwise("Flow accumulation")
 
 
 def unit_scaled(a: Column, factor: float) -> Column:

@@ -18,7 +18,8 @@ from .tiles import stencil, windows
 def segment_topology(nodes: DataFrame, seg: str = "seg") -> DataFrame:
     """(seg, tostream): where the boundary cell of greatest accumulation of each segment drains to; 0 off the map."""
     to = nodes.select(F.col("node").alias("n2"), F.col(seg).alias("to"))
-    j = nodes.filter(F.col(seg).isNotNull()).join(to, F.col("recv") == F.col("n2"), "left").filter((F.col("recv") == F.col("node")) | ~F.col("to").eqNullSafe(F.col(seg)))
+    j = nodes.filter(F.col(seg).isNotNull()).join(to, F.col("recv") == F.col("n2"), "left").filter(
+        (F.col("recv") == F.col("node")) | ~F.col("to").eqNullSafe(F.col(seg)))
     target = F.when(F.col("recv") == F.col("node"), 0).otherwise(F.coalesce("to", F.lit(0)))
     return j.groupBy(seg).agg(F.max_by(target, F.struct("ncontrib", (-F.col("node")).alias("k"))).cast("long").alias("tostream"))
 
@@ -36,8 +37,11 @@ def knee(points: DataFrame, bins: int = 45, least: int = 30, theta: float = 0.2)
     b = binned_medians(points, bins, least)
     w = Window.orderBy("bin")  # at most `bins` rows
     t = b.withColumn("local", -(F.col("y") - F.lag("y").over(w)) / (F.col("x") - F.lag("x").over(w)))
-    peak = t.agg(F.max(F.struct("y", (-F.col("bin")).alias("k"), "x")).alias("p")).select((-F.col("p.k")).alias("pb"), F.col("p.x").alias("peak_x"))
-    return t.crossJoin(F.broadcast(peak)).groupBy("peak_x").agg(F.min(F.when((F.col("bin") > F.col("pb")) & (F.col("local") >= theta), F.struct("bin", "x"))).alias("k")).select("peak_x", F.col("k.x").alias("knee_x"))
+    peak = t.agg(F.max(F.struct("y", (-F.col("bin")).alias("k"), "x")).alias("p")).select(
+        (-F.col("p.k")).alias("pb"), F.col("p.x").alias("peak_x"))
+    return t.crossJoin(F.broadcast(peak)).groupBy("peak_x").agg(
+        F.min(F.when((F.col("bin") > F.col("pb")) & (F.col("local") >= theta), F.struct("bin", "x"))).alias(
+            "k")).select("peak_x", F.col("k.x").alias("knee_x"))
 
 
 def tributary_steps(path: DataFrame, share: float = 0.2) -> DataFrame:
@@ -50,18 +54,25 @@ def tributary_steps(path: DataFrame, share: float = 0.2) -> DataFrame:
 def cross_contrast(labels: DataFrame, value: str) -> DataFrame:
     """(r, c, contrast): greatest difference to a 4-neighbour of another label."""
     g = gather(labels, ["lab", value], ((-1, 0), (0, 1), (1, 0), (0, -1)))
-    return g.select("r", "c", F.array_max(F.transform(F.filter("near", lambda x: x["v"]["lab"] != F.col("own.lab")), lambda x: F.abs(x["v"][value] - F.col(f"own.{value}")))).alias("contrast")).filter("contrast IS NOT NULL")
+    return g.select("r", "c",
+        F.array_max(F.transform(
+            F.filter("near", lambda x: x["v"]["lab"] != F.col("own.lab")),
+                lambda x: F.abs(x["v"][value] - F.col(f"own.{value}")))).alias("contrast")).filter(
+        "contrast IS NOT NULL")
 
 
 def rims(nodes: DataFrame, heads: DataFrame) -> DataFrame:
     """(top, node, linear, flow): catchment cells of each head with a neighbour outside, and their distances to it."""
     members = ancestor_closure(nodes, heads).join(nodes.select("node", "r", "c", "fd"), "node")
     steps = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b, _ in RING)))
-    sent = members.select("top", "r", "c", steps.alias("o")).select("top", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
+    sent = members.select("top", "r", "c", steps.alias("o")).select(
+        "top", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
     inner = sent.groupBy("top", "r", "c").agg(F.count("*").alias("n")).filter("n = 8")
     rim = members.join(inner.drop("n"), ["top", "r", "c"], "left_anti")
     at = nodes.select(F.col("node").alias("top"), F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("fd").alias("fd0"))
-    return rim.join(at, "top").select("top", "node", F.sqrt((F.col("r") - F.col("r0")) ** 2 + (F.col("c") - F.col("c0")) ** 2).alias("linear"), (F.col("fd") - F.col("fd0")).alias("flow"))
+    return rim.join(at, "top").select(
+        "top", "node", F.sqrt((F.col("r") - F.col("r0")) ** 2 + (F.col("c") - F.col("c0")) ** 2).alias("linear"),
+        (F.col("fd") - F.col("fd0")).alias("flow"))
 
 
 def valley_axes(points: DataFrame, by: str = "id") -> DataFrame:
@@ -77,7 +88,8 @@ def surface(cells: DataFrame, size: float = 1.0) -> DataFrame:
     g = gather(cells, ["z"], ((-1, 0), (0, 1), (1, 0), (0, -1))).filter("size(near) = 4")
     at = lambda k: F.element_at(F.filter("near", lambda x: x["k"] == k), 1)["v"]["z"]
     n, e, s, w, z = at(0), at(1), at(2), at(3), F.col("own.z")
-    return g.select("r", "c", (F.sqrt((e - w) ** 2 + (n - s) ** 2) / (2 * size)).alias("gradient"), ((n + e + s + w - 4 * z) / (size * size)).alias("laplacian"))
+    return g.select("r", "c", (F.sqrt((e - w) ** 2 + (n - s) ** 2) / (2 * size)).alias("gradient"),
+        ((n + e + s + w - 4 * z) / (size * size)).alias("laplacian"))
 
 
 def smooth(cells: DataFrame, sigma: float) -> DataFrame:
@@ -106,11 +118,13 @@ def signature_match(a: DataFrame, b: DataFrame, scales: dict[str, float]) -> Dat
     for _ in names:
         offs = [o + [k] for o in offs for k in (-1, 0, 1)]
     around = F.explode(F.array(*(F.struct(*(F.lit(k).alias(n) for n, k in zip(names, o, strict=True))) for o in offs)))
-    left = a.select(F.col("id").alias("id_a"), *(F.col(n).alias(f"a_{n}") for n in names), *(grid[n].alias(f"ga_{n}") for n in names)).withColumn("o", around)
+    left = a.select(F.col("id").alias("id_a"), *(F.col(n).alias(f"a_{n}") for n in names),
+        *(grid[n].alias(f"ga_{n}") for n in names)).withColumn("o", around)
     left = left.select("id_a", *(f"a_{n}" for n in names), *((F.col(f"ga_{n}") + F.col(f"o.{n}")).alias(f"g_{n}") for n in names))
     right = b.select(F.col("id").alias("id_b"), *(F.col(n).alias(f"b_{n}") for n in names), *(grid[n].alias(f"g_{n}") for n in names))
     d2 = sum((((F.col(f"a_{n}") - F.col(f"b_{n}")) / s) ** 2 for n, s in scales.items()), F.lit(0.0))
-    return left.join(right, [f"g_{n}" for n in names]).withColumn("d2", d2).filter("d2 < 1").groupBy("id_a").agg(F.min(F.struct("d2", "id_b")).alias("m")).select("id_a", "m.id_b", "m.d2")
+    return left.join(right, [f"g_{n}" for n in names]).withColumn("d2", d2).filter("d2 < 1").groupBy("id_a").agg(
+        F.min(F.struct("d2", "id_b")).alias("m")).select("id_a", "m.id_b", "m.d2")
 
 
 def accumulate_and_prune(seg: DataFrame, v: DataFrame, gate, least: int = 20) -> DataFrame:
@@ -145,8 +159,11 @@ def accumulate_and_prune(seg: DataFrame, v: DataFrame, gate, least: int = 20) ->
                 taken.update(pool)
         return pd.DataFrame(rows, columns=["cat", "logA_star", "theta"]).astype({"cat": "int64", "logA_star": float, "theta": float})
 
-    pts = v.groupBy("cat").agg(F.collect_list(F.struct("seq", "logA", "logS")).alias("p")).select("cat", F.array_sort("p").alias("p"))  # a segment's own vertices
-    t = seg.join(pts, "cat", "left").select("root", "cat", "tostream", F.coalesce(F.col("p.logA"), F.array().cast("array<double>")).alias("logA"), F.coalesce(F.col("p.logS"), F.array().cast("array<double>")).alias("logS"))
+    pts = v.groupBy("cat").agg(F.collect_list(F.struct("seq", "logA", "logS")).alias("p")).select(
+        "cat", F.array_sort("p").alias("p"))  # a segment's own vertices
+    t = seg.join(pts, "cat", "left").select(
+        "root", "cat", "tostream", F.coalesce(F.col("p.logA"), F.array().cast("array<double>")).alias("logA"),
+        F.coalesce(F.col("p.logS"), F.array().cast("array<double>")).alias("logS"))
     return t.groupBy("root").applyInPandas(one, "cat long, logA_star double, theta double")
 
 
@@ -160,7 +177,8 @@ def detection_by_scale(t: DataFrame, bins: int = 12) -> DataFrame:
     """(bin, n, share): detected fraction on equal-width bins of the log of a scale ratio."""
     e = t.agg(F.log10(F.min("ratio")).alias("lo"), F.log10(F.max("ratio")).alias("hi"))
     b = F.least(F.lit(bins - 1), F.floor((F.log10("ratio") - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))))
-    return t.crossJoin(F.broadcast(e)).groupBy(F.coalesce(b, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col("found").cast("double")).alias("share"))
+    return t.crossJoin(F.broadcast(e)).groupBy(F.coalesce(b, F.lit(0)).cast("int").alias("bin")).agg(
+        F.count("*").alias("n"), F.avg(F.col("found").cast("double")).alias("share"))
 
 
 def wrap(v: DataFrame, window: int = 3, by: str = "cat") -> DataFrame:
@@ -168,7 +186,8 @@ def wrap(v: DataFrame, window: int = 3, by: str = "cat") -> DataFrame:
     w = Window.partitionBy(by).orderBy("seq")
     near = w.rowsBetween(-window, window)
     t = v.withColumn("_x", F.avg("x").over(near)).withColumn("_y", F.avg("y").over(near))
-    ax, ay, bx, by_ = F.col("_x") - F.lag("_x").over(w), F.col("_y") - F.lag("_y").over(w), F.lead("_x").over(w) - F.col("_x"), F.lead("_y").over(w) - F.col("_y")
+    ax, ay, bx, by_ = F.col("_x") - F.lag("_x").over(w), F.col("_y") - F.lag("_y").over(w), F.lead("_x").over(
+        w) - F.col("_x"), F.lead("_y").over(w) - F.col("_y")
     t = t.withColumn("_c", (ax * bx + ay * by_) / F.nullif(F.sqrt((ax * ax + ay * ay) * (bx * bx + by_ * by_)), F.lit(0.0)))
     return t.select(by, "seq", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_c")))).alias("angle"))
 
@@ -185,7 +204,8 @@ def downstream_sum(nodes: DataFrame, term) -> DataFrame:
 
     def step(cur: DataFrame) -> DataFrame:
         to = cur.select(F.col("node").alias("n2"), F.col("jump").alias("j2"), F.col("total").alias("t2"))
-        moved = cur.filter("jump IS NOT NULL").join(to, F.col("jump") == F.col("n2"), "left").select("node", F.col("j2").alias("jump"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))
+        moved = cur.filter("jump IS NOT NULL").join(to, F.col("jump") == F.col("n2"), "left").select(
+            "node", F.col("j2").alias("jump"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"))
         return cur.filter("jump IS NULL").unionByName(moved)
 
     return fixpoint(start, step, "jump IS NOT NULL").drop("jump")
@@ -200,16 +220,21 @@ def ordered_stack(nodes: DataFrame) -> DataFrame:
     """
     sibling = Window.partitionBy("recv").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     inner = nodes.filter("recv <> node").withColumn("own", 1 + F.coalesce(F.sum("ncontrib").over(sibling), F.lit(0)))
-    tops = prefix_sums(nodes.filter("recv = node"), ["node"], F.col("ncontrib"), "upto").withColumn("own", F.col("upto") - F.col("ncontrib")).drop("upto")
+    tops = prefix_sums(nodes.filter("recv = node"), ["node"], F.col("ncontrib"), "upto").withColumn(
+        "own", F.col("upto") - F.col("ncontrib")).drop("upto")
     t = keep(inner.unionByName(tops).select("node", "recv", "root", F.col("own").cast("double").alias("own")), "stack")
     base = t.filter("recv = node").select(F.col("node").alias("base"), F.col("own").alias("first"))
-    return downstream_sum(t, F.col("own")).join(t.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2")).join(base, F.col("root") == F.col("base")).select("node", (F.col("total") + F.col("first")).cast("long").alias("place"))
+    return downstream_sum(t, F.col("own")).join(
+        t.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2")).join(
+        base, F.col("root") == F.col("base")).select(
+        "node", (F.col("total") + F.col("first")).cast("long").alias("place"))
 
 
 def claimed_cells(nodes: DataFrame, mouths: DataFrame) -> DataFrame:
     """(node, mouth): the catchment each cell belongs to; of nested ones that of the largest mouth (the smallest id of equal ones)."""
     up = ancestor_closure(nodes, mouths).join(nodes.select(F.col("node").alias("top"), "ncontrib"), "top")
-    return up.groupBy("node").agg(F.max(F.struct("ncontrib", (-F.col("top")).alias("k"))).alias("b")).select("node", (-F.col("b.k")).alias("mouth"))
+    return up.groupBy("node").agg(F.max(F.struct("ncontrib", (-F.col("top")).alias("k"))).alias("b")).select(
+        "node", (-F.col("b.k")).alias("mouth"))
 
 
 def stream_corners(channel: DataFrame, ncols: int) -> DataFrame:
@@ -221,7 +246,9 @@ def stream_corners(channel: DataFrame, ncols: int) -> DataFrame:
 def criteria_drift(t: DataFrame, by: str, value: str) -> DataFrame:
     """(by, n, median, iqr, cv): median, interquartile range and population coefficient of variation of a criterion at each resolution."""
     got = exact_quantiles(t, value, [0.25, 0.5, 0.75], by)  # few resolutions
-    mids = t.sparkSession.createDataFrame([(g, q[1], q[2] - q[0]) for g, q in got.items()], f"{by} {t.schema[by].dataType.simpleString()}, median double, iqr double")
+    mids = t.sparkSession.createDataFrame(
+        [(g, q[1], q[2] - q[0]) for g, q in got.items()],
+        f"{by} {t.schema[by].dataType.simpleString()}, median double, iqr double")
     per = t.groupBy(by).agg(F.count("*").alias("n"), (F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0.0))).alias("cv"))
     return per.join(F.broadcast(mids), by, "left").select(by, "n", "median", "iqr", "cv")
 
@@ -231,11 +258,14 @@ def floodplain_cut(cells: DataFrame, flat: float = 1e-3, most: float = 0.4, band
     cells = keep(cells.select("z", "slope"), "cells")
     cuts = exact_quantiles(cells, "z", [k / bands for k in range(bands + 1)]).get(None, [])
     p = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    per = cells.withColumn("band", F.least(F.lit(bands - 1), F.size(F.filter(p, lambda x: x <= F.col("z"))) - 1)).groupBy("band").agg(F.avg((F.col("slope") < flat).cast("double")).alias("share"))
+    per = cells.withColumn(
+        "band", F.least(F.lit(bands - 1), F.size(F.filter(p, lambda x: x <= F.col("z"))) - 1)).groupBy("band").agg(
+        F.avg((F.col("slope") < flat).cast("double")).alias("share"))
     return per.filter(F.col("share") < most).agg(F.min("band").alias("band")).select("band", F.get(p, F.col("band")).alias("z"))
 
 
-def false_negatives(cells: DataFrame, hollows: DataFrame, tol_area: float = 0.30, tol_slope: float = 0.30, reach: float = 300.0, least: int = 8) -> tuple[DataFrame, DataFrame]:
+def false_negatives(cells: DataFrame, hollows: DataFrame, tol_area: float = 0.30, tol_slope: float = 0.30,
+    reach: float = 300.0, least: int = 8) -> tuple[DataFrame, DataFrame]:
     """Unresolved cells (id, x, y, logA, logS, seg) that look like a found hollow: (cells with missed, branches).
 
     missed: within one unit of a hollow in log area, log slope and distance, each over its tolerance.
@@ -244,16 +274,20 @@ def false_negatives(cells: DataFrame, hollows: DataFrame, tol_area: float = 0.30
     scales = {"logA": tol_area, "logS": tol_slope, "x": reach, "y": reach}
     hit = signature_match(cells, hollows, scales).select(F.col("id_a").alias("id"))
     marked = cells.join(hit.withColumn("_hit", F.lit(True)), "id", "left").withColumn("missed", F.coalesce("_hit", F.lit(False))).drop("_hit")
-    per = marked.filter("seg IS NOT NULL").groupBy("seg").agg(F.count("*").alias("n"), F.count_if("missed").alias("n_missed")).filter(F.col("n") >= least)
+    per = marked.filter("seg IS NOT NULL").groupBy("seg").agg(
+        F.count("*").alias("n"), F.count_if("missed").alias("n_missed")).filter(F.col("n") >= least)
     return marked, per.withColumn("share", F.col("n_missed") / F.col("n"))
 
 
 def coverage(seg: DataFrame, v: DataFrame, cells: DataFrame) -> DataFrame:
     """(cat, max_area, n_cells, ratio): cells (lab) in the basins of a segment and its ancestors against its greatest area."""
-    own = seg.select("cat", "tostream").join(cells.groupBy(F.col("lab").alias("cat")).agg(F.count("*").alias("own")), "cat", "left").fillna(0, ["own"])
+    own = seg.select("cat", "tostream").join(
+        cells.groupBy(F.col("lab").alias("cat")).agg(F.count("*").alias("own")), "cat", "left").fillna(0, ["own"])
     most = v.groupBy("cat").agg(F.max("A").alias("max_area"))
     got = upstream_sum(own, "own").join(most, "cat")
-    return got.select("cat", "max_area", F.col("total").cast("long").alias("n_cells"), (F.col("total") / F.greatest(F.lit(1.0), "max_area")).alias("ratio"))
+    return got.select(
+        "cat", "max_area", F.col("total").cast("long").alias("n_cells"),
+        (F.col("total") / F.greatest(F.lit(1.0), "max_area")).alias("ratio"))
 
 
 def classify_segments(seg: DataFrame, ends: DataFrame, labels: DataFrame, ncols: int) -> DataFrame:
@@ -268,9 +302,13 @@ def apexes(nodes: DataFrame, at: DataFrame) -> DataFrame:
     """(node, apex, flow, relief, straight): from each given node to its farthest upslope node."""
     top = farthest_upslope(nodes, at)
     here = nodes.select(F.col("node").alias("top"), "r", "c", "z", "fd")
-    there = nodes.select(F.col("node").alias("hilltop"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("z").alias("z2"), F.col("fd").alias("fd2"))
+    there = nodes.select(
+        F.col("node").alias("hilltop"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("z").alias("z2"),
+        F.col("fd").alias("fd2"))
     straight = F.sqrt((F.col("r2") - F.col("r")) ** 2 + (F.col("c2") - F.col("c")) ** 2)
-    return top.join(here, "top").join(there, "hilltop").select(F.col("top").alias("node"), F.col("hilltop").alias("apex"), (F.col("fd2") - F.col("fd")).alias("flow"), (F.col("z2") - F.col("z")).alias("relief"), straight.alias("straight"))
+    return top.join(here, "top").join(there, "hilltop").select(
+        F.col("top").alias("node"), F.col("hilltop").alias("apex"), (F.col("fd2") - F.col("fd")).alias("flow"),
+        (F.col("z2") - F.col("z")).alias("relief"), straight.alias("straight"))
 
 
 def apex_control(nodes: DataFrame, heads: DataFrame, most: int = 500) -> DataFrame:
@@ -283,7 +321,9 @@ def apex_control(nodes: DataFrame, heads: DataFrame, most: int = 500) -> DataFra
     lo, hi = exact_quantiles(mine, "ncontrib", [0.1, 0.9]).get(None, (None, None))
     pool = nodes.filter(F.col("ncontrib").between(lo, hi)).orderBy(F.xxhash64("node"), "node").limit(most)
     both = apexes(nodes, mine).withColumn("group", F.lit("heads")).unionByName(apexes(nodes, pool).withColumn("group", F.lit("control")))
-    return both.groupBy("group").agg(F.count("*").alias("n"), F.avg("flow").alias("mean"), F.stddev_pop("flow").alias("sd"), (F.stddev_pop("flow") / F.nullif(F.avg("flow"), F.lit(0.0))).alias("cv"))
+    return both.groupBy("group").agg(
+        F.count("*").alias("n"), F.avg("flow").alias("mean"), F.stddev_pop("flow").alias("sd"),
+        (F.stddev_pop("flow") / F.nullif(F.avg("flow"), F.lit(0.0))).alias("cv"))
 
 
 def outcome_census(t: DataFrame, by: str, outcome: str) -> DataFrame:
@@ -302,15 +342,20 @@ def compare_sides(points: DataFrame) -> DataFrame:
     """(side, n, median_logS, theta): slope-area figures of each side."""
     got = exact_quantiles(points, "logS", [0.5], "side")
     mids = points.sparkSession.createDataFrame([(g, m[0]) for g, m in got.items()], "side int, median_logS double")
-    return points.groupBy("side").agg(F.count("*").alias("n"), F.regr_slope("logS", "logA").alias("theta")).join(mids, "side").select("side", "n", "median_logS", "theta")
+    return points.groupBy("side").agg(F.count("*").alias("n"), F.regr_slope("logS", "logA").alias("theta")).join(
+        mids, "side").select("side", "n", "median_logS", "theta")
 
 
 def area_ratio(t: DataFrame, found: str, known: str, close: float = 2.0, star: float | None = None) -> DataFrame:
     """One row of the ratio found / known: p25, p50, p75, mean and sd of its log10, shares within a factor `close` and found below star."""
-    r = t.filter((F.col(found) > 0) & (F.col(known) > 0)).select(F.log10(F.col(found) / F.col(known)).alias("x"), (F.col(found) < F.lit(star)).alias("low"))
+    r = t.filter((F.col(found) > 0) & (F.col(known) > 0)).select(
+        F.log10(F.col(found) / F.col(known)).alias("x"), (F.col(found) < F.lit(star)).alias("low"))
     r = keep(r, "ratios")
     p = exact_quantiles(r, "x", [0.25, 0.5, 0.75]).get(None, [None] * 3)
-    return r.agg(*(F.lit(v).cast("double").alias(n) for n, v in zip(("p25", "p50", "p75"), p)), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.avg((F.abs("x") <= math.log10(close)).cast("double")).alias("close"), F.avg(F.col("low").cast("double")).alias("below"))
+    return r.agg(*(F.lit(v).cast("double").alias(n) for n, v in zip(("p25", "p50", "p75"), p)),
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"),
+        F.avg((F.abs("x") <= math.log10(close)).cast("double")).alias("close"),
+        F.avg(F.col("low").cast("double")).alias("below"))
 
 
 def slope_floor_sweep(points: DataFrame, floors: list[float]) -> DataFrame:

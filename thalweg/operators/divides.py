@@ -33,7 +33,8 @@ def diagonal_corners(nodes: DataFrame, ncols: int) -> DataFrame:
     t = nodes.withColumn("dr", dr).withColumn("dc", dc).filter("abs(dr) = 1 AND abs(dc) = 1")
     corner = (F.col("r") + (F.col("dr") > 0).cast("int")) * (ncols + 1) + F.col("c") + (F.col("dc") > 0).cast("int")
     # Of two flows through one corner the cell later in row order decides.
-    return t.groupBy(corner.cast("long").alias("corner")).agg(F.max_by(F.when(F.col("dr") * F.col("dc") > 0, 1).otherwise(2), "node").alias("fx"))
+    return t.groupBy(corner.cast("long").alias("corner")).agg(
+        F.max_by(F.when(F.col("dr") * F.col("dc") > 0, 1).otherwise(2), "node").alias("fx"))
 
 
 def split_crossings(e: DataFrame, fx: DataFrame, ncols: int) -> DataFrame:
@@ -63,7 +64,9 @@ def segments(e: DataFrame) -> DataFrame:
     Least labels spread along the chain and jump to their own label, so rounds grow with the logarithm
     of its length.
     """
-    t = keep(e.select((F.least("a", "b") * F.lit(1 << 31) + F.greatest("a", "b")).alias("id"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    t = keep(e.select(
+            (F.least("a", "b") * F.lit(1 << 31) + F.greatest("a", "b")).alias("id"), F.least("a", "b").alias("a"),
+            F.greatest("a", "b").alias("b")).distinct(), "edges")
     ends = t.select("id", F.explode(F.array("a", "b")).alias("corner"))
     through = ends.groupBy("corner").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).filter("n = 2 AND x <> y")
     pairs = keep(through.select("x", "y").union(through.select("y", "x")).toDF("id", "other"), "pairs")
@@ -81,10 +84,13 @@ def segments(e: DataFrame) -> DataFrame:
 
 def segment_ends(seg: DataFrame, degree: DataFrame) -> DataFrame:
     """(seg, u, v, n): the end corners and number of steps of each segment; null ends for closed rings."""
-    at = seg.select("seg", F.explode(F.array("a", "b")).alias("corner")).groupBy("seg", "corner").agg(F.count("*").alias("m")).join(degree, "corner")
+    at = seg.select("seg", F.explode(F.array("a", "b")).alias("corner")).groupBy("seg", "corner").agg(
+        F.count("*").alias("m")).join(degree, "corner")
     end = F.when((F.col("degree") != 2) | (F.col("m") == 1), F.col("corner"))
     one = at.groupBy("seg").agg(F.min(end).alias("u"), F.max(end).alias("v"))
-    return one.join(seg.groupBy("seg").agg(F.count("*").alias("n")), "seg").select("seg", F.when(F.col("u") != F.col("v"), F.col("u")).alias("u"), F.when(F.col("u") != F.col("v"), F.col("v")).alias("v"), "n")
+    return one.join(seg.groupBy("seg").agg(F.count("*").alias("n")), "seg").select(
+        "seg", F.when(F.col("u") != F.col("v"), F.col("u")).alias("u"),
+        F.when(F.col("u") != F.col("v"), F.col("v")).alias("v"), "n")
 
 
 def order(ends: DataFrame, degree: DataFrame, scheme: str = "topo", leaves: DataFrame | None = None) -> DataFrame:
@@ -100,18 +106,24 @@ def order(ends: DataFrame, degree: DataFrame, scheme: str = "topo", leaves: Data
     if leaves is None:
         tips = degree.filter("degree = 1").select("corner")
         leaves = t.select("seg", F.explode(F.array("u", "v")).alias("corner")).join(tips, "corner", "left_semi").select("seg").distinct()
-    done = keep(t.join(leaves.select("seg").distinct(), "seg", "left_semi").select("seg", F.lit(1).cast("long").alias("ord"), F.col("n").cast("double").alias("dd")), "order")
+    done = keep(t.join(leaves.select("seg").distinct(), "seg", "left_semi").select(
+            "seg", F.lit(1).cast("long").alias("ord"), F.col("n").cast("double").alias("dd")), "order")
     sides = keep(t.select("seg", "n", F.explode(F.array("u", "v")).alias("corner")), "sides")
     while True:
         at = sides.join(done, "seg", "left").groupBy("corner").agg(
-            F.count_if(F.col("ord").isNull()).alias("left"), F.count("ord").alias("have"), F.max(F.when(F.col("ord").isNull(), F.col("seg"))).alias("seg"), F.max("ord").alias("top"), F.sum("ord").alias("total"),
+            F.count_if(F.col("ord").isNull()).alias("left"), F.count("ord").alias("have"),
+                F.max(F.when(F.col("ord").isNull(), F.col("seg"))).alias("seg"), F.max("ord").alias("top"),
+                F.sum("ord").alias("total"),
             F.max("dd").alias("far"), F.array_sort(F.collect_list("ord")).alias("all"))
         shared = F.size(F.filter("all", lambda o: o == F.col("top"))) >= 2
         rule = {"topo": F.col("top") + 1, "strahler": F.col("top") + shared.cast("int"), "shreve": F.col("total")}[scheme]
         ready = at.filter("left = 1 AND have > 0").select("seg", rule.cast("long").alias("ord"), F.col("far").alias("dd"))
-        new = ready.groupBy("seg").agg(F.min(F.struct("ord", "dd")).alias("b")).join(t.select("seg", "n"), "seg").select("seg", F.col("b.ord").alias("ord"), (F.col("b.dd") + F.col("n")).alias("dd"))
+        new = ready.groupBy("seg").agg(F.min(F.struct("ord", "dd")).alias("b")).join(
+            t.select("seg", "n"), "seg").select(
+            "seg", F.col("b.ord").alias("ord"), (F.col("b.dd") + F.col("n")).alias("dd"))
         new = keep(new, "order")
         if not new.limit(1).count():
             break
         done = keep(done.unionByName(new), "order")
-    return ends.select("seg").join(done, "seg", "left").select("seg", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), F.coalesce("dd", F.lit(0.0)).alias("dd"))
+    return ends.select("seg").join(done, "seg", "left").select(
+        "seg", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), F.coalesce("dd", F.lit(0.0)).alias("dd"))

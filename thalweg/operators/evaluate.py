@@ -16,7 +16,9 @@ def near_pairs(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     """(id_a, id_b, d): pairs of points within reach, met in squares of that size: an equi-join on nine squares."""
     square = lambda c: F.floor(F.col(c) / reach)
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = a.select(F.col("id").alias("id_a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.explode(around).alias("o")).withColumn("gx", square("xa") + F.col("o.i")).withColumn("gy", square("ya") + F.col("o.j"))
+    left = a.select(F.col("id").alias("id_a"), F.col("x").alias("xa"), F.col("y").alias("ya"),
+        F.explode(around).alias("o")).withColumn("gx", square("xa") + F.col("o.i")).withColumn(
+        "gy", square("ya") + F.col("o.j"))
     right = b.select(F.col("id").alias("id_b"), F.col("x").alias("xb"), F.col("y").alias("yb"), square("x").alias("gx"), square("y").alias("gy"))
     d = F.sqrt((F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2)
     return left.join(right, ["gx", "gy"]).withColumn("d", d).filter(F.col("d") <= reach).select("id_a", "id_b", "d")
@@ -43,7 +45,8 @@ def nearest_of_all(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else nearest(left, b, reach)
 
 
-def snap_to_channel(a: DataFrame, channel: DataFrame, reach: float, least: float | None = None, most: float | None = None, area: str = "ncontrib") -> DataFrame:
+def snap_to_channel(a: DataFrame, channel: DataFrame, reach: float, least: float | None = None,
+    most: float | None = None, area: str = "ncontrib") -> DataFrame:
     """(id_a, id_b, d): each point's nearest channel cell (id, x, y, area) whose area lies in the window."""
     b = channel if least is None else channel.filter(F.col(area) >= least)
     return nearest(a, b if most is None else b.filter(F.col(area) <= most), reach)
@@ -57,42 +60,58 @@ def match_quality(found: DataFrame, known: DataFrame, tolerance: float) -> DataF
     right = nearest(found, known, tolerance).agg(F.count("*").alias("right"))
     n, m = known.agg(F.count("*").alias("n_known")), found.agg(F.count("*").alias("n_found"))
     t = hit.crossJoin(right).crossJoin(n).crossJoin(m)  # four single rows
-    return t.select("n_known", "n_found", (F.col("hits") / F.nullif("n_known", F.lit(0))).alias("recall"), (F.col("right") / F.nullif("n_found", F.lit(0))).alias("precision"), "median_d")
+    return t.select("n_known", "n_found", (F.col("hits") / F.nullif("n_known", F.lit(0))).alias("recall"),
+        (F.col("right") / F.nullif("n_found", F.lit(0))).alias("precision"), "median_d")
 
 
 def snap_to_max(points: DataFrame, cells: DataFrame, reach: int, value: str) -> DataFrame:
     """(id, r, c, value): the cell of largest value within reach rows and columns of each point's cell."""
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    p = points.select("id", F.explode(around).alias("o"), "r", "c").select("id", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
-    return p.join(cells.select("r", "c", F.col(value).alias("v")), ["r", "c"]).groupBy("id").agg(F.max(F.struct("v", (-F.col("r")).alias("a"), (-F.col("c")).alias("b"))).alias("m")).select("id", (-F.col("m.a")).alias("r"), (-F.col("m.b")).alias("c"), F.col("m.v").alias(value))
+    p = points.select("id", F.explode(around).alias("o"), "r", "c").select(
+        "id", (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"))
+    return p.join(cells.select("r", "c", F.col(value).alias("v")), ["r", "c"]).groupBy("id").agg(
+        F.max(F.struct("v", (-F.col("r")).alias("a"), (-F.col("c")).alias("b"))).alias("m")).select(
+        "id", (-F.col("m.a")).alias("r"), (-F.col("m.b")).alias("c"), F.col("m.v").alias(value))
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: P(positive above negative) + half P(equal), by counts per distinct score and running sums over them."""
-    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    per = prefix_sums(per, ["s"], F.col("n"), "upto").select(F.col("p").cast("double").alias("p"), F.col("n").cast("double").alias("n"), (F.col("upto") - F.col("n")).cast("double").alias("b"))
+    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
+        F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    per = prefix_sums(per, ["s"], F.col("n"), "upto").select(
+        F.col("p").cast("double").alias("p"), F.col("n").cast("double").alias("n"),
+        (F.col("upto") - F.col("n")).cast("double").alias("b"))
     return per.agg((F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
 def structure_function(cells: DataFrame, lags: list[int]) -> DataFrame:
     """(lag, gamma, n): mean squared difference of z at each lag along rows and columns."""
-    steps = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.lit(k * i).alias("dr"), F.lit(k * (1 - i)).alias("dc")) for k in lags for i in (0, 1))))
-    a = cells.select("r", "c", "z", steps.alias("o")).select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.lag").alias("lag"), F.col("z").alias("z0"))
+    steps = F.explode(
+        F.array(*(F.struct(F.lit(k).alias("lag"), F.lit(k * i).alias("dr"),
+                    F.lit(k * (1 - i)).alias("dc")) for k in lags for i in (0, 1))))
+    a = cells.select("r", "c", "z", steps.alias("o")).select(
+        (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.lag").alias("lag"),
+        F.col("z").alias("z0"))
     d = F.col("z") - F.col("z0")
     return a.join(cells.select("r", "c", "z"), ["r", "c"]).groupBy("lag").agg(F.avg(d * d).alias("gamma"), F.count("*").alias("n"))
 
 
 def hurst(gamma: DataFrame) -> DataFrame:
     """One row: half the slope of ln gamma on ln lag."""
-    return gamma.filter("gamma > 0").agg((F.regr_slope(F.log("gamma"), F.log("lag")) / 2).alias("hurst"), F.corr(F.log("lag"), F.log("gamma")).alias("r"))
+    return gamma.filter("gamma > 0").agg(
+        (F.regr_slope(F.log("gamma"), F.log("lag")) / 2).alias("hurst"),
+        F.corr(F.log("lag"), F.log("gamma")).alias("r"))
 
 
 def edge_overlap(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """One row: recall, precision and Jaccard of undirected edges (a, b)."""
     flat = lambda e, n: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn(n, F.lit(1))
-    t = flat(ours, "o").join(flat(theirs, "t"), ["a", "b"], "full").agg(F.count("o").alias("o"), F.count("t").alias("t"), F.count_if(F.col("o").isNotNull() & F.col("t").isNotNull()).alias("both"))
+    t = flat(ours, "o").join(flat(theirs, "t"), ["a", "b"], "full").agg(
+        F.count("o").alias("o"), F.count("t").alias("t"),
+        F.count_if(F.col("o").isNotNull() & F.col("t").isNotNull()).alias("both"))
     rate = lambda x: F.col("both") / F.nullif(x, F.lit(0))
-    return t.select(rate(F.col("t")).alias("recall"), rate(F.col("o")).alias("precision"), rate(F.col("o") + F.col("t") - F.col("both")).alias("jaccard"), "both")
+    return t.select(rate(F.col("t")).alias("recall"), rate(F.col("o")).alias("precision"),
+        rate(F.col("o") + F.col("t") - F.col("both")).alias("jaccard"), "both")
 
 
 def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -126,7 +145,8 @@ def within_hull(points: DataFrame, corners: list[tuple[float, float]], buffer: f
 def distinct_near(cells: DataFrame, label: str, reach: int) -> DataFrame:
     """(r, c, n): distinct labels within reach rows and columns of each cell."""
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    sent = cells.select(F.explode(around).alias("o"), "r", "c", F.col(label).alias("l")).select((F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), "l")
+    sent = cells.select(F.explode(around).alias("o"), "r", "c", F.col(label).alias("l")).select(
+        (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), "l")
     return sent.groupBy("r", "c").agg(F.count_distinct("l").alias("n")).join(cells.select("r", "c"), ["r", "c"], "left_semi")
 
 
@@ -140,8 +160,11 @@ def usable_resolution(t: DataFrame, least: float = 0.5) -> DataFrame:
 def at_density(t: DataFrame, density: float) -> DataFrame:
     """(method, metric): the metric of each method interpolated at a density between the two runs around it."""
     w = Window.partitionBy("method").orderBy("density")
-    n = t.withColumn("d2", F.lead("density").over(w)).withColumn("m2", F.lead("metric").over(w)).filter((F.col("density") <= density) & (F.col("d2") > density))
-    return n.select("method", (F.col("metric") + (F.lit(density) - F.col("density")) / (F.col("d2") - F.col("density")) * (F.col("m2") - F.col("metric"))).alias("metric"))
+    n = t.withColumn("d2", F.lead("density").over(w)).withColumn("m2", F.lead("metric").over(w)).filter(
+        (F.col("density") <= density) & (F.col("d2") > density))
+    return n.select("method",
+        (F.col("metric") + (F.lit(density) - F.col("density")) / (F.col("d2") - F.col("density")) * (F.col(
+                    "m2") - F.col("metric"))).alias("metric"))
 
 
 def radial_spectrum(cells: DataFrame, by: str = "block") -> DataFrame:

@@ -22,7 +22,8 @@ def split_scores(p: DataFrame, least: int = 10, by: str = "profile") -> DataFram
     w = whole.orderBy("i")
     t = p.withColumn("n", F.count("*").over(whole)).filter(F.col("n") >= 2 * least)
     t = t.withColumn("x", F.col("chi") - F.avg("chi").over(whole)).withColumn("y", F.col("z") - F.avg("z").over(whole))
-    t = t.withColumn("dx", F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0))).withColumn("dy", F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(0.0)))
+    t = t.withColumn("dx", F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(0.0))).withColumn(
+        "dy", F.coalesce(F.col("y") - F.lag("y").over(w), F.lit(0.0)))
     t = t.withColumn("pos", F.row_number().over(w) - 1)
     above, below = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
     x, y = F.col("x"), F.col("y")
@@ -33,7 +34,10 @@ def split_scores(p: DataFrame, least: int = 10, by: str = "profile") -> DataFram
 
     hx, hxy, hy = sums(above, F.nullif("pos", F.lit(0)))
     cx, cxy, cy = sums(below, F.col("n") - F.col("pos"))
-    t = t.withColumns({"hx": hx, "hxy": hxy, "hy": hy, "cx": cx, "cxy": cxy, "cy": cy, "ddx": F.sum(F.col("dx") * F.col("dx")).over(above), "dxy": F.sum(F.col("dx") * F.col("dy")).over(above), "ddy": F.sum(F.col("dy") * F.col("dy")).over(above)})
+    t = t.withColumns(
+        {"hx": hx, "hxy": hxy, "hy": hy, "cx": cx, "cxy": cxy, "cy": cy,
+            "ddx": F.sum(F.col("dx") * F.col("dx")).over(above), "dxy": F.sum(F.col("dx") * F.col("dy")).over(above),
+            "ddy": F.sum(F.col("dy") * F.col("dy")).over(above)})
     t = t.filter((F.col("pos") >= least) & (F.col("n") - F.col("pos") >= least))
     tiny = lambda s, q: F.abs(F.col(s)) <= 1e-12 * F.greatest(F.col(q), F.lit(1e-300))
     m = F.col("hxy") / F.nullif("hx", F.lit(0.0))
@@ -47,7 +51,8 @@ def split_scores(p: DataFrame, least: int = 10, by: str = "profile") -> DataFram
 def chi_split(p: DataFrame, least: int = 10, by: str = "profile") -> DataFrame:
     """(by, i, score): the best split of each profile, the first of equal ones; short profiles give none."""
     s = split_scores(p, least, by)
-    return s.groupBy(by).agg(F.max(F.struct("score", (-F.col("pos")).alias("k"), "i")).alias("b")).select(by, F.col("b.i").alias("i"), F.col("b.score").alias("score"))
+    return s.groupBy(by).agg(F.max(F.struct("score", (-F.col("pos")).alias("k"), "i")).alias("b")).select(
+        by, F.col("b.i").alias("i"), F.col("b.score").alias("score"))
 
 
 def uppermost_split(p: DataFrame, least: int = 10, share: float = 0.9, by: str = "profile") -> DataFrame:
@@ -56,10 +61,12 @@ def uppermost_split(p: DataFrame, least: int = 10, share: float = 0.9, by: str =
     whole = Window.partitionBy(by)
     w = whole.orderBy("pos")
     t = s.withColumn("top", F.max("score").over(whole)).withColumn("a", F.lag("score").over(w)).withColumn("b", F.lead("score").over(w))
-    ok = (F.col("score") >= F.lit(share) * F.col("top")) & (F.col("a").isNull() | (F.col("score") >= F.col("a"))) & (F.col("b").isNull() | (F.col("score") >= F.col("b")))
+    ok = (F.col("score") >= F.lit(share) * F.col("top")) & (F.col(
+        "a").isNull() | (F.col("score") >= F.col("a"))) & (F.col("b").isNull() | (F.col("score") >= F.col("b")))
     first = F.min(F.when(ok, F.struct("pos", "i", "score")))
     best = F.max(F.struct("score", (-F.col("pos")).alias("k"), "i"))
-    return t.groupBy(by).agg(first.alias("f"), best.alias("g")).select(by, F.coalesce("f.i", "g.i").alias("i"), F.coalesce("f.score", "g.score").alias("score"))
+    return t.groupBy(by).agg(first.alias("f"), best.alias("g")).select(
+        by, F.coalesce("f.i", "g.i").alias("i"), F.coalesce("f.score", "g.score").alias("score"))
 
 
 def depths(nodes: DataFrame) -> DataFrame:
@@ -69,7 +76,8 @@ def depths(nodes: DataFrame) -> DataFrame:
     return downstream_sum(nodes, F.lit(1.0)).select("node", F.col("total").cast("long").alias("depth"))
 
 
-def profiles(nodes: DataFrame, junctions: DataFrame, a0: float = 1000.0, m_over_n: float = 0.525, res: float = 1.0, min_nodes: int = 0) -> DataFrame:
+def profiles(nodes: DataFrame, junctions: DataFrame, a0: float = 1000.0, m_over_n: float = 0.525, res: float = 1.0,
+    min_nodes: int = 0) -> DataFrame:
     """(profile, i, node, z, chi, ncontrib, flc): from the hilltop of each junction (node, end) down to its end node.
 
     A profile of fewer than min_nodes nodes goes on below its end until it has as many, or to base level.
@@ -77,17 +85,24 @@ def profiles(nodes: DataFrame, junctions: DataFrame, a0: float = 1000.0, m_over_
     """
     d = keep(depths(nodes), "depths")
     tops = keep(farthest_upslope(nodes, junctions), "tops").join(junctions.select(F.col("node").alias("top"), "end"), "top")
-    high, low = d.select(F.col("node").alias("hilltop"), F.col("depth").alias("d1")), d.select(F.col("node").alias("end"), F.col("depth").alias("d2"))
-    starts = tops.join(high, "hilltop").join(low, "end").select(F.col("top").alias("start"), F.col("hilltop").alias("node"), F.greatest(F.col("d1") - F.col("d2"), F.lit(min_nodes - 1)).cast("int").alias("most"))
+    high, low = d.select(F.col("node").alias("hilltop"), F.col("depth").alias("d1")), d.select(
+        F.col("node").alias("end"), F.col("depth").alias("d2"))
+    starts = tops.join(high, "hilltop").join(low, "end").select(
+        F.col("top").alias("start"), F.col("hilltop").alias("node"),
+        F.greatest(F.col("d1") - F.col("d2"), F.lit(min_nodes - 1)).cast("int").alias("most"))
     path = walk(steps_of(nodes), keep(starts, "starts")).select(F.col("start").alias("top"), "i", "node")
     t = path.join(nodes.select(F.col("node").alias("n4"), "z", "ncontrib", "flc"), F.col("node") == F.col("n4"))
     w = Window.partitionBy("top").orderBy("i")
     dx = F.when(F.col("flc") == 2, math.sqrt(2.0) * res).otherwise(res)
     term = F.when(F.lead("node").over(w).isNotNull(), dx * F.pow(F.lit(a0) / (F.col("ncontrib") * res * res), F.lit(m_over_n))).otherwise(0.0)
-    return t.withColumn("_t", term).select(F.col("top").alias("profile"), "i", "node", "z", F.sum("_t").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("chi"), "ncontrib", "flc")
+    return t.withColumn("_t", term).select(
+        F.col("top").alias("profile"), "i", "node", "z",
+        F.sum("_t").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("chi"), "ncontrib", "flc")
 
 
-def single_precision_heads(p: DataFrame, least: int = 10, rule: str = "global", a0: float = 1000.0, m_over_n: float = 0.525, res: float = 1.0) -> DataFrame:
+def single_precision_heads(
+    p: DataFrame, least: int = 10, rule: str = "global", a0: float = 1000.0, m_over_n: float = 0.525,
+    res: float = 1.0) -> DataFrame:
     """(profile, i, node): the split of each profile (from `profiles`) in 32-bit arithmetic, summed in order.
 
     Chi is summed from below, each step rounded to 32 bits. Rule global: the first best positive score;
@@ -187,16 +202,20 @@ def stream_network(nodes: DataFrame, threshold: int) -> DataFrame:
     A junction is known by its node; numbers for junctions would only be keys.
     """
     on = keep(nodes.filter(F.col("ncontrib") >= threshold).select("node", "recv"), "channel")
-    seg = on.select((F.col("node") + 1).alias("cat"), F.when(F.col("recv") == F.col("node"), OUTLET).otherwise(F.col("recv") + 1).alias("tostream"))
+    seg = on.select((F.col("node") + 1).alias("cat"),
+        F.when(F.col("recv") == F.col("node"), OUTLET).otherwise(F.col("recv") + 1).alias("tostream"))
     order = strahler(seg).select((F.col("cat") - 1).alias("n2"), "ord")
     fed = on.filter("recv <> node").groupBy(F.col("recv").alias("n3")).agg(F.count("*").alias("n"))
     t = on.join(order, F.col("node") == F.col("n2")).join(fed, F.col("node") == F.col("n3"), "left")
-    return t.select("node", "recv", "ord", (F.coalesce("n", F.lit(0)) != 1).alias("fork"), (F.col("recv") == F.col("node")).alias("base")).select("node", "recv", "ord", (F.col("fork") | F.col("base")).alias("junction"))
+    return t.select("node", "recv", "ord", (F.coalesce("n", F.lit(0)) != 1).alias("fork"),
+        (F.col("recv") == F.col("node")).alias("base")).select(
+        "node", "recv", "ord", (F.col("fork") | F.col("base")).alias("junction"))
 
 
 def upstream_junctions(net: DataFrame) -> DataFrame:
     """(node, junction): the first junction at or above each channel cell, along the one donor it has where it is none."""
-    donor = net.filter("recv <> node").select(F.col("recv").alias("n2"), F.col("node").alias("up")).join(net.filter("NOT junction").select(F.col("node").alias("n3")), F.col("n2") == F.col("n3")).select("n2", "up")
+    donor = net.filter("recv <> node").select(F.col("recv").alias("n2"), F.col("node").alias("up")).join(
+        net.filter("NOT junction").select(F.col("node").alias("n3")), F.col("n2") == F.col("n3")).select("n2", "up")
     steps = net.select("node").join(donor, F.col("node") == F.col("n2"), "left").select("node", F.col("up").alias("to"))
     return nearest_below(steps, net.filter("junction")).select("node", F.col("at").alias("junction"))
 
@@ -244,7 +263,10 @@ def valleys(nodes: DataFrame, gate: str, threshold: int, run: int = 10) -> DataF
     return tagged.join(upstream_junctions(net), F.col("end") == F.col("node")).select(F.col("end").alias("node"), "junction")
 
 
-def heads_from_valleys(nodes: DataFrame, found: DataFrame, threshold: int, least: int = 10, a0: float = 1000.0, m_over_n: float = 0.525, res: float = 1.0, min_profile_nodes: int = 0, extend_to_junction: bool = False, rule: str = "global", precision: int = 64) -> DataFrame:
+def heads_from_valleys(
+    nodes: DataFrame, found: DataFrame, threshold: int, least: int = 10, a0: float = 1000.0, m_over_n: float = 0.525,
+    res: float = 1.0, min_profile_nodes: int = 0, extend_to_junction: bool = False, rule: str = "global",
+    precision: int = 64) -> DataFrame:
     """(node, r, c): the head of each valley (node, junction), those with another head upstream left out.
 
     A profile runs from the hilltop to the junction; with extend_to_junction to the next junction below
@@ -259,17 +281,22 @@ def heads_from_valleys(nodes: DataFrame, found: DataFrame, threshold: int, least
         steps = net.select("node", F.when(F.col("recv") != F.col("node"), F.col("recv")).alias("to"))
         below = nearest_below(steps, net.filter("junction")).select(F.col("node").alias("n2"), "at")
         first = net.select(F.col("node").alias("n3"), "recv")
-        ends = ends.join(first, F.col("node") == F.col("n3")).join(below, F.col("recv") == F.col("n2"), "left").select("node", F.coalesce("at", "end").alias("end"))
+        ends = ends.join(first, F.col("node") == F.col("n3")).join(below, F.col("recv") == F.col("n2"), "left").select(
+            "node", F.coalesce("at", "end").alias("end"))
     p = keep(profiles(nodes, keep(ends, "ends"), a0, m_over_n, res, 0 if extend_to_junction else min_profile_nodes), "profiles")
     if precision == 32:
         picked = single_precision_heads(p, least, rule, a0, m_over_n, res).select("node")
     else:
         best = (chi_split if rule == "global" else uppermost_split)(p, least)
-        picked = p.join(best.select(F.col("profile").alias("p2"), F.col("i").alias("i2")), (F.col("profile") == F.col("p2")) & (F.col("i") == F.col("i2"))).select("node")
+        picked = p.join(
+            best.select(F.col("profile").alias("p2"), F.col("i").alias("i2")),
+            (F.col("profile") == F.col("p2")) & (F.col("i") == F.col("i2"))).select("node")
     return keep_uppermost(nodes, keep(picked, "heads"))
 
 
-def first_order_heads(nodes: DataFrame, threshold: int, least: int = 10, a0: float = 1000.0, m_over_n: float = 0.525, rule: str = "global", **more) -> DataFrame:
+def first_order_heads(
+    nodes: DataFrame, threshold: int, least: int = 10, a0: float = 1000.0, m_over_n: float = 0.525,
+    rule: str = "global", **more) -> DataFrame:
     """(node, r, c): heads of the first-order valleys, one sought in the profile of each channel source."""
     return heads_from_valleys(nodes, first_order_valleys(nodes, threshold), threshold, least, a0, m_over_n, rule=rule, **more)
 

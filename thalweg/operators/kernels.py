@@ -148,7 +148,9 @@ def fill(cells: DataFrame, min_slope: float = 0.0, cellsize: float = 1.0, tile:
         moved = ~((new == old) | (np.isnan(new) & np.isnan(old)))
         return out[[*own, "r", "c", "z"]].assign(f=new, moved=moved)
 
-    cur = keep(cells.filter("z IS NOT NULL").select(*own, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("z").cast("double").alias("z"), F.lit(None).cast("double").alias("f")), "fill")
+    cur = keep(cells.filter("z IS NOT NULL").select(
+            *own, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"),
+            F.col("z").cast("double").alias("z"), F.lit(None).cast("double").alias("f")), "fill")
     while True:
         nxt = keep(dealt(cur, 1, tile).groupBy(*own, "tr", "tc").applyInPandas(one, schema), "fill")
         drop(cur)
@@ -203,7 +205,8 @@ def lowered(drop_: np.ndarray, erosion: np.ndarray, n: float) -> np.ndarray:
     return d
 
 
-def evolution(z: np.ndarray, k, m: float = 0.5, n: float = 1.0, uplift=1e-3, dt: float = 1000.0, cellsize: float = 1.0, fixed: np.ndarray | None = None, min_slope: float = 1e-4) -> Iterator[np.ndarray]:
+def evolution(z: np.ndarray, k, m: float = 0.5, n: float = 1.0, uplift=1e-3, dt: float = 1000.0, cellsize: float = 1.0,
+    fixed: np.ndarray | None = None, min_slope: float = 1e-4) -> Iterator[np.ndarray]:
     """The surface after each step of uplift and implicit stream-power incision, without end.
 
     Water is routed over the filled surface, the unfilled one is cut: nodes a step further from base level
@@ -251,13 +254,19 @@ def evolve(cells: DataFrame, steps: int = 100, boundary: str | None = "edges", r
         pdf = pdf.dropna(subset=["z"])
         g, r0, c0 = grid_of(pdf, "z")
         rates = {"k": k} | settings | {c: np.nan_to_num(grid_of(pdf, c)[0]) for c in own}
-        fixed = edges_of(g) if boundary == "edges" else np.nan_to_num(grid_of(pdf.assign(fixed=pdf["fixed"].astype(float)), "fixed")[0]) > 0 if mask else None
+        fixed = edges_of(g) if boundary == "edges" else np.nan_to_num(
+            grid_of(pdf.assign(fixed=pdf["fixed"].astype(float)), "fixed")[0]) > 0 if mask else None
         if not steps:
             return _rows(g.astype(np.float32), r0, c0, "z", raster_id=key[0], step=-1)
-        kept = [(i, z) for i, z in zip(range(steps), evolution(g, fixed=fixed, **rates)) if i == steps - 1 or record_every and i % record_every == 0]
-        return pd.concat([_rows(z.astype(np.float32), r0, c0, "z", raster_id=key[0], step=i) for i, z in kept])[["raster_id", "step", "r", "c", "z"]]
-
-    return cells.select("raster_id", "r", "c", "z", *own, *mask).groupBy("raster_id").applyInPandas(one, "raster_id long, step int, r int, c int, z double")
+        kept = [(i, z) for i,
+            z in zip(range(steps),
+                evolution(g, fixed=fixed, **rates)) if i == steps - 1 or record_every and i % record_every == 0]
+        return pd.concat(
+            [_rows(z.astype(np.float32), r0, c0, "z", raster_id=key[0], step=i) for i, z in kept])[["raster_id", "step",
+                "r", "c", "z"]]
+
+    return cells.select("raster_id", "r", "c", "z", *own, *mask).groupBy("raster_id").applyInPandas(
+        one, "raster_id long, step int, r int, c int, z double")
 
 
 # ---- cleaning

@@ -20,7 +20,8 @@ def link(ends: DataFrame, strict: bool = True) -> DataFrame:
     No match drains off the map (0). Several matches diverge: an error if strict, else the smallest cat.
     """
     heads = ends.groupBy(F.col("x1").alias("hx"), F.col("y1").alias("hy")).agg(F.min("cat").alias("to"), F.count("*").alias("n"))
-    out = ends.join(heads, (F.col("x2") == F.col("hx")) & (F.col("y2") == F.col("hy")), "left").select("cat", F.coalesce("to", F.lit(OUTLET)).cast("long").alias("tostream"), F.coalesce("n", F.lit(0)).alias("n"))
+    out = ends.join(heads, (F.col("x2") == F.col("hx")) & (F.col("y2") == F.col("hy")), "left").select(
+        "cat", F.coalesce("to", F.lit(OUTLET)).cast("long").alias("tostream"), F.coalesce("n", F.lit(0)).alias("n"))
     if strict and (bad := out.filter("n > 1").select("cat").limit(5).collect()):
         raise InvalidNetwork(f"diverging: several segments start where {sorted(r.cat for r in bad)} end")
     return out.select("cat", "tostream")
@@ -44,12 +45,18 @@ def distances(seg: DataFrame) -> DataFrame:
 
     Every round doubles the hop, so rounds grow with the logarithm of the deepest path. A cycle raises.
     """
-    start = seg.select("cat", F.nullif("tostream", F.lit(OUTLET)).alias("next"), F.col("len").cast("double").alias("s"), F.lit(1).cast("long").alias("depth"), F.col("cat").alias("root"))
+    start = seg.select(
+        "cat", F.nullif("tostream", F.lit(OUTLET)).alias("next"), F.col("len").cast("double").alias("s"),
+        F.lit(1).cast("long").alias("depth"), F.col("cat").alias("root"))
 
     def step(cur: DataFrame) -> DataFrame:
-        to = cur.select(F.col("cat").alias("c2"), F.col("next").alias("n2"), F.col("s").alias("s2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
+        to = cur.select(
+            F.col("cat").alias("c2"), F.col("next").alias("n2"), F.col("s").alias("s2"), F.col("depth").alias("d2"),
+            F.col("root").alias("r2"))
         moved = cur.filter("next IS NOT NULL").join(to, F.col("next") == F.col("c2"), "left")
-        moved = moved.select("cat", F.col("n2").alias("next"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
+        moved = moved.select(
+            "cat", F.col("n2").alias("next"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"),
+            (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
         return cur.filter("next IS NULL").unionByName(moved)
 
     rounds = max(2, seg.count().bit_length() + 1)  # no path without a cycle is longer than the segments are many
@@ -70,7 +77,9 @@ def ancestors(seg: DataFrame, cat: int) -> DataFrame:
     def step(cur: DataFrame) -> DataFrame:
         to = cur.select(F.col("cat").alias("c2"), F.col("next").alias("n2"), F.col("level").alias("l2"), F.col("root").alias("r2"))
         moved = cur.filter("next IS NOT NULL").join(to, F.col("next") == F.col("c2"), "left")
-        moved = moved.select("cat", F.col("n2").alias("next"), (F.col("level") + F.coalesce("l2", F.lit(0))).alias("level"), F.coalesce("r2", "root").alias("root"))
+        moved = moved.select(
+            "cat", F.col("n2").alias("next"), (F.col("level") + F.coalesce("l2", F.lit(0))).alias("level"),
+            F.coalesce("r2", "root").alias("root"))
         return cur.filter("next IS NULL").unionByName(moved)
 
     return fixpoint(start, step, "next IS NOT NULL").filter(F.col("root") == cat).select("cat", "level")
@@ -101,7 +110,9 @@ def assemble_profile(paths: DataFrame, v: DataFrame, values: list[str]) -> DataF
     length = v.groupBy("cat").agg(F.max("s_up").alias("_len"))
     w = Window.partitionBy("head").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
     p = paths.join(length, "cat").withColumn("_below", F.coalesce(F.sum("_len").over(w), F.lit(0.0)))
-    j = p.join(v, "cat").withColumn("_first", F.row_number().over(Window.partitionBy("head", "ord").orderBy("seq")) == 1).filter("ord = 0 OR NOT _first")
+    j = p.join(v, "cat").withColumn(
+        "_first", F.row_number().over(Window.partitionBy("head", "ord").orderBy("seq")) == 1).filter(
+        "ord = 0 OR NOT _first")
     i = F.row_number().over(Window.partitionBy("head").orderBy("ord", "seq")) - 1
     return j.select("head", i.alias("i"), "cat", (F.col("_below") + F.col("s_up")).alias("s"), *values)
 
@@ -114,21 +125,29 @@ def strahler(seg: DataFrame) -> DataFrame:
     form, so chains of them shorten by half each round while known segments are taken in by those below.
     Rounds grow with the logarithm of the number of segments, however long the chains are.
     """
-    donors = seg.filter(F.col("tostream") != OUTLET).groupBy(F.col("tostream").alias("t")).agg(F.count("*").alias("need"), F.sum("cat").alias("left"))
+    donors = seg.filter(F.col("tostream") != OUTLET).groupBy(F.col("tostream").alias("t")).agg(
+        F.count("*").alias("need"), F.sum("cat").alias("left"))
     none = F.lit(None).cast("int")
     cur = keep(seg.join(donors, F.col("cat") == F.col("t"), "left").select(
-        "cat", "tostream", F.coalesce("need", F.lit(0)).cast("int").alias("need"), F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("top"), F.lit(0).alias("times"),
-        F.when(F.col("need").isNull(), 1).alias("ord"), F.lit(None).cast(seg.schema["cat"].dataType).alias("child"), none.alias("at"), none.alias("low"), F.col("need").isNull().alias("fresh")), "order")
+        "cat", "tostream", F.coalesce("need", F.lit(0)).cast("int").alias("need"),
+            F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("top"), F.lit(0).alias("times"),
+        F.when(F.col("need").isNull(), 1).alias("ord"), F.lit(None).cast(seg.schema["cat"].dataType).alias("child"),
+                none.alias("at"), none.alias("low"), F.col("need").isNull().alias("fresh")), "order")
     rounds = 4 * max(2, seg.count().bit_length() + 1)
     while cur.filter("ord IS NULL").limit(1).count():
         if not (rounds := rounds - 1):
             raise InvalidNetwork("the network has a cycle")
         # donors that have just become known, taken in by what they drain into
-        given = cur.filter((F.col("tostream") != OUTLET) & F.col("fresh")).groupBy(F.col("tostream").alias("t"), F.col("ord").alias("o")).agg(F.count("*").cast("int").alias("n"), F.sum("cat").alias("ids"))
+        given = cur.filter((F.col("tostream") != OUTLET) & F.col("fresh")).groupBy(
+            F.col("tostream").alias("t"), F.col("ord").alias("o")).agg(
+            F.count("*").cast("int").alias("n"), F.sum("cat").alias("ids"))
         given = given.groupBy("t").agg(F.sum("n").cast("int").alias("came"), F.sum("ids").alias("ids"), F.max(F.struct("o", "n")).alias("m"))
         t = cur.join(given, F.col("cat") == F.col("t"), "left").withColumn("o", F.col("m.o")).withColumn("n", F.col("m.n"))
-        times = F.when(F.col("o").isNull() | (F.col("o") < F.col("top")), F.col("times")).when(F.col("o") > F.col("top"), F.col("n")).otherwise(F.col("times") + F.col("n"))
-        t = t.withColumn("times", times).withColumn("top", F.greatest("top", F.coalesce("o", F.lit(0)))).withColumn("need", F.col("need") - F.coalesce("came", F.lit(0))).withColumn("left", F.col("left") - F.coalesce("ids", F.lit(0)))
+        times = F.when(F.col("o").isNull() | (F.col("o") < F.col("top")), F.col("times")).when(
+            F.col("o") > F.col("top"), F.col("n")).otherwise(F.col("times") + F.col("n"))
+        t = t.withColumn("times", times).withColumn("top", F.greatest("top", F.coalesce("o", F.lit(0)))).withColumn(
+            "need", F.col("need") - F.coalesce("came", F.lit(0))).withColumn(
+            "left", F.col("left") - F.coalesce("ids", F.lit(0)))
         ready = F.col("ord").isNull() & (F.col("need") == 0)
         unary = F.col("ord").isNull() & (F.col("need") == 1) & F.col("child").isNull()
         twice = F.col("times") >= 2
@@ -139,15 +158,20 @@ def strahler(seg: DataFrame) -> DataFrame:
         t = t.withColumn("ord", F.when(ready, F.col("top") + twice.cast("int")).otherwise(F.col("ord")))
         t = keep(t.select("cat", "tostream", "need", "left", "top", "times", "ord", "child", "at", "low", "was"), "order")
         # functions applied to a known order, or composed with the function of the segment that they wait for
-        c = t.select(F.col("cat").alias("c2"), F.col("ord").alias("o2"), F.col("child").alias("ch2"), F.col("at").alias("at2"), F.col("low").alias("low2")).filter("o2 IS NOT NULL OR ch2 IS NOT NULL")
+        c = t.select(
+            F.col("cat").alias("c2"), F.col("ord").alias("o2"), F.col("child").alias("ch2"), F.col("at").alias("at2"),
+            F.col("low").alias("low2")).filter("o2 IS NOT NULL OR ch2 IS NOT NULL")
         open_ = F.col("ord").isNull() & F.col("child").isNotNull()
         j = t.filter(open_).join(c, F.col("child") == F.col("c2"), "left")
         x = F.coalesce("o2", "low2")  # what the composed function gives below its own step
         value = F.when(x < F.col("at"), F.col("low")).otherwise(F.greatest(F.col("low") + 1, x))
         known, both = F.col("o2").isNotNull(), F.col("ch2").isNotNull() & F.col("o2").isNull()
         above = F.col("low2") + 1  # the inner function gives max(above, x) from at2 on
-        step_at = F.when(above < F.col("at"), F.col("at")).when((F.col("low2") >= F.col("at")) & (F.col("low2") <= F.col("low")), value + 1).otherwise(F.col("at2"))
-        j = j.select("cat", "tostream", "need", "left", "top", "times", F.when(known, value).alias("ord"), F.when(both, F.col("ch2")).otherwise(F.col("child")).alias("child"),
+        step_at = F.when(above < F.col("at"), F.col("at")).when(
+            (F.col("low2") >= F.col("at")) & (F.col("low2") <= F.col("low")), value + 1).otherwise(F.col("at2"))
+        j = j.select(
+            "cat", "tostream", "need", "left", "top", "times", F.when(known, value).alias("ord"),
+            F.when(both, F.col("ch2")).otherwise(F.col("child")).alias("child"),
                      F.when(both, step_at).otherwise(F.col("at")).alias("at"), F.when(both, value).otherwise(F.col("low")).alias("low"), "was")
         nxt = t.filter(~open_).unionByName(j).withColumn("fresh", F.col("ord").isNotNull() & ~F.col("was")).drop("was")
         done, cur = cur, keep(nxt, "order")
@@ -165,7 +189,8 @@ def upstream_sum(seg: DataFrame, value: str) -> DataFrame:
         gain = live.groupBy(F.col("next").alias("gc")).agg(F.sum("total").alias("gain"))
         to = cur.select(F.col("cat").alias("c2"), F.col("next").alias("n2"))
         moved = live.join(to, F.col("next") == F.col("c2"), "left").select("cat", F.col("n2").alias("next"), "total")
-        return cur.filter("next IS NULL").unionByName(moved).join(gain, F.col("cat") == F.col("gc"), "left").select("cat", "next", (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"))
+        return cur.filter("next IS NULL").unionByName(moved).join(gain, F.col("cat") == F.col("gc"), "left").select(
+            "cat", "next", (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"))
 
     return fixpoint(start, step, "next IS NOT NULL").select("cat", "total")
 
@@ -178,7 +203,8 @@ def select_paths(seg: DataFrame, cat: int, direction: str = "downstream") -> Dat
         return downstream_paths(seg, seg.filter(F.col("cat") == cat))
     if direction != "upstream":
         raise ValueError("direction must be downstream or upstream")
-    inside = seg.join(ancestors(seg, cat).select("cat"), "cat", "left_semi").withColumn("tostream", F.when(F.col("cat") == cat, OUTLET).otherwise(F.col("tostream")))
+    inside = seg.join(ancestors(seg, cat).select("cat"), "cat", "left_semi").withColumn(
+        "tostream", F.when(F.col("cat") == cat, OUTLET).otherwise(F.col("tostream")))
     return downstream_paths(inside, headwaters(inside))
 
 
@@ -201,11 +227,15 @@ def build_graph(v: DataFrame, tostream: DataFrame, values: list[str]) -> tuple[D
     """
     if not tostream.filter(F.col("tostream") == OUTLET).limit(1).count():
         raise InvalidNetwork("no segment drains off the map")
-    ends = v.withColumn("_last", F.max("seq").over(Window.partitionBy("cat"))).withColumn("_firsts", F.min("seq").over(Window.partitionBy("cat")))
+    ends = v.withColumn("_last", F.max("seq").over(Window.partitionBy("cat"))).withColumn(
+        "_firsts", F.min("seq").over(Window.partitionBy("cat")))
     j = ends.join(tostream, "cat")
     nodes = j.filter("seq = _firsts").select(F.col("cat").alias("id"), *(F.array(c).alias(c) for c in values))
-    outlet = v.sparkSession.range(1).select(F.lit(OUTLET).cast("long").alias("id"), *(F.array(F.lit(0 if c in ("s", "s_upstream") else None).cast(v.schema[c].dataType)).alias(c) for c in values))
-    edges = j.filter(f"seq > _firsts AND (seq < _last OR tostream = {OUTLET})").select(F.col("cat").alias("src"), F.col("tostream").alias("dst"), "cat", "seq", *values)
+    outlet = v.sparkSession.range(1).select(
+        F.lit(OUTLET).cast("long").alias("id"),
+        *(F.array(F.lit(0 if c in ("s", "s_upstream") else None).cast(v.schema[c].dataType)).alias(c) for c in values))
+    edges = j.filter(f"seq > _firsts AND (seq < _last OR tostream = {OUTLET})").select(
+        F.col("cat").alias("src"), F.col("tostream").alias("dst"), "cat", "seq", *values)
     return nodes.unionByName(outlet), edges
 
 

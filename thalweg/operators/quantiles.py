@@ -32,7 +32,9 @@ def exact_quantiles(rows: DataFrame, value: str, shares: list[float], by: str |
         if not left:
             break
         spans = sorted({(g, lo, hi) for (g, _), (lo, hi, _) in left.items()}, key=str)
-        table = rows.sparkSession.createDataFrame([(k, *s) for k, s in enumerate(spans)], f"span int, g2 {t.schema['g'].dataType.simpleString()}, lo double, hi double")
+        table = rows.sparkSession.createDataFrame(
+            [(k, *s) for k, s in enumerate(spans)],
+            f"span int, g2 {t.schema['g'].dataType.simpleString()}, lo double, hi double")
         met = t.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("g2")) & F.col("x").between(F.col("lo"), F.col("hi")))
         part = F.least(F.lit(CUTS - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CUTS))
         parts: dict[int, list] = {}
@@ -56,4 +58,5 @@ def group_medians(rows: DataFrame, by: str, values: list[str]) -> DataFrame:
     got = [exact_quantiles(rows, v, [0.5], by) for v in values]
     n = {r[by]: r.n for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
     table = [(g, k, *(m[g][0] if g in m else None for m in got)) for g, k in n.items()]
-    return rows.sparkSession.createDataFrame(table, f"{by} {rows.schema[by].dataType.simpleString()}, n long, " + ", ".join(f"{v} double" for v in values))
+    return rows.sparkSession.createDataFrame(
+        table, f"{by} {rows.schema[by].dataType.simpleString()}, n long, " + ", ".join(f"{v} double" for v in values))

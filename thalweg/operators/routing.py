@@ -16,7 +16,8 @@ from ..plans.iterate import fixpoint, keep, nearest_below, prefix_sums, walk
 from .tiles import stencil, windows
 
 #: Neighbours in the order that decides ties: N NE E SE S SW W NW, with the share of a diagonal's drop.
-RING = ((-1, 0, 1.0), (-1, 1, 0.707106781), (0, 1, 1.0), (1, 1, 0.707106781), (1, 0, 1.0), (1, -1, 0.707106781), (0, -1, 1.0), (-1, -1, 0.707106781))
+RING = ((-1, 0, 1.0), (-1, 1, 0.707106781), (0, 1, 1.0), (1, 1, 0.707106781), (1, 0, 1.0), (1, -1, 0.707106781),
+    (0, -1, 1.0), (-1, -1, 0.707106781))
 
 
 class FlowLoop(ValueError):
@@ -25,22 +26,33 @@ class FlowLoop(ValueError):
 
 def gather(cells: DataFrame, values: list[str], offsets=tuple((a, b) for a, b, _ in RING)) -> DataFrame:
     """(r, c, own, near): a cell's own values and those of its neighbours with their place k in offsets."""
-    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc")) for k, (dr, dc) in enumerate([*offsets, (0, 0)])))
+    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc")) for k,
+            (dr, dc) in enumerate([*offsets, (0, 0)])))
     sent = cells.select(F.explode(steps).alias("o"), "r", "c", F.struct(*values).alias("v"))
-    to = sent.select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.k").alias("k"), F.col("r").alias("nr"), F.col("c").alias("nc"), "v")
+    to = sent.select(
+        (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), F.col("o.k").alias("k"),
+        F.col("r").alias("nr"), F.col("c").alias("nc"), "v")
     mine = F.col("k") == len(offsets)
-    return to.groupBy("r", "c").agg(F.max(F.when(mine, F.col("v"))).alias("own"), F.collect_list(F.when(~mine, F.struct("k", "nr", "nc", "v"))).alias("near")).filter("own IS NOT NULL")
+    return to.groupBy("r", "c").agg(
+        F.max(F.when(mine, F.col("v"))).alias("own"),
+        F.collect_list(F.when(~mine, F.struct("k", "nr", "nc", "v"))).alias("near")).filter("own IS NOT NULL")
 
 
 def receivers(cells: DataFrame, ncols: int) -> DataFrame:
     """(node, r, c, z, recv, flc): steepest drop, the first of equal ones; a cell without a drop receives itself."""
     g = gather(cells.filter("z IS NOT NULL"), ["z"])
     share = F.array(*(F.lit(w) for *_, w in RING))
-    slopes = F.transform("near", lambda x: F.struct((F.get(share, x["k"]) * (F.col("own.z") - x["v"]["z"])).alias("slope"), (-x["k"]).alias("k"), (x["nr"] * ncols + x["nc"]).alias("to")))
+    slopes = F.transform(
+        "near", lambda x: F.struct(
+            (F.get(share, x["k"]) * (F.col("own.z") - x["v"]["z"])).alias("slope"), (-x["k"]).alias("k"),
+            (x["nr"] * ncols + x["nc"]).alias("to")))
     node = F.col("r") * ncols + F.col("c")
     best = F.array_max("slopes")
     down = F.coalesce(best["slope"] > 0, F.lit(False))
-    out = g.withColumn("slopes", slopes).select(node.cast("long").alias("node"), "r", "c", F.col("own.z").alias("z"), F.when(down, best["to"]).otherwise(node).cast("long").alias("recv"), F.when(~down, 0).when(best["k"] % 2 == 0, 1).otherwise(2).alias("flc"))
+    out = g.withColumn("slopes", slopes).select(
+        node.cast("long").alias("node"), "r", "c", F.col("own.z").alias("z"),
+        F.when(down, best["to"]).otherwise(node).cast("long").alias("recv"),
+        F.when(~down, 0).when(best["k"] % 2 == 0, 1).otherwise(2).alias("flc"))
     return out
 
 
@@ -48,12 +60,15 @@ def receivers_from_directions(cells: DataFrame, ncols: int) -> DataFrame:
     """As `receivers` from a column d of D8 codes: negative codes route as positive ones; no code, no target: itself."""
     code = F.create_map(*(x for k, dr, dc in D8 for x in (F.lit(k), F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")))))
     step = F.element_at(code, F.when(F.abs("d").isin([k for k, *_ in D8]), F.abs("d").cast("int")))
-    t = cells.filter("z IS NOT NULL").withColumn("_s", step).withColumn("_tr", F.col("r") + F.col("_s.dr")).withColumn("_tc", F.col("c") + F.col("_s.dc"))
+    t = cells.filter("z IS NOT NULL").withColumn("_s", step).withColumn("_tr", F.col("r") + F.col("_s.dr")).withColumn(
+        "_tc", F.col("c") + F.col("_s.dc"))
     there = cells.filter("z IS NOT NULL").select(F.col("r").alias("_r2"), F.col("c").alias("_c2"))
     j = t.join(there, (F.col("_tr") == F.col("_r2")) & (F.col("_tc") == F.col("_c2")), "left")
     ok = F.col("_r2").isNotNull()
     node = (F.col("r") * ncols + F.col("c")).cast("long")
-    return j.select(node.alias("node"), "r", "c", "z", F.when(ok, (F.col("_r2") * ncols + F.col("_c2")).cast("long")).otherwise(node).alias("recv"), F.when(~ok, 0).when((F.col("_s.dr") != 0) & (F.col("_s.dc") != 0), 2).otherwise(1).alias("flc"))
+    return j.select(node.alias("node"), "r", "c", "z",
+        F.when(ok, (F.col("_r2") * ncols + F.col("_c2")).cast("long")).otherwise(node).alias("recv"),
+        F.when(~ok, 0).when((F.col("_s.dr") != 0) & (F.col("_s.dc") != 0), 2).otherwise(1).alias("flc"))
 
 
 def directions(nodes: DataFrame, ncols: int) -> DataFrame:
@@ -80,10 +95,15 @@ def accumulate(nodes: DataFrame, res: float = 1.0) -> DataFrame:
     def step(cur: DataFrame) -> DataFrame:
         live = cur.filter("jump IS NOT NULL")  # finished nodes don't meet at the outlets
         gain = live.groupBy(F.col("jump").alias("gn")).agg(F.sum("ncontrib").alias("gain"))
-        to = cur.select(F.col("node").alias("tn"), F.col("jump").alias("j2"), F.col("straight").alias("a2"), F.col("slant").alias("b2"), F.col("root").alias("root2"))
+        to = cur.select(
+            F.col("node").alias("tn"), F.col("jump").alias("j2"), F.col("straight").alias("a2"),
+            F.col("slant").alias("b2"), F.col("root").alias("root2"))
         more = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0))).alias(x)
-        moved = live.join(to, F.col("jump") == F.col("tn"), "left").select("node", F.col("j2").alias("jump"), "ncontrib", more("straight", "a2"), more("slant", "b2"), F.coalesce("root2", "root").alias("root"))
-        return cur.filter("jump IS NULL").unionByName(moved).join(gain, F.col("node") == F.col("gn"), "left").select("node", "jump", more("ncontrib", "gain"), "straight", "slant", "root")
+        moved = live.join(to, F.col("jump") == F.col("tn"), "left").select(
+            "node", F.col("j2").alias("jump"), "ncontrib", more("straight", "a2"), more("slant", "b2"),
+            F.coalesce("root2", "root").alias("root"))
+        return cur.filter("jump IS NULL").unionByName(moved).join(gain, F.col("node") == F.col("gn"), "left").select(
+            "node", "jump", more("ncontrib", "gain"), "straight", "slant", "root")
 
     rounds = max(1, int(math.ceil(math.log2(max(2, nodes.count())))) + 1)
     try:
@@ -123,32 +143,42 @@ def links(nodes: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     on = keep(downstream_of(nodes, heads).select("node", "recv", "fd"), "channel")
     fed = on.filter("recv <> node").groupBy(F.col("recv").alias("n2")).agg(F.count("*").alias("n"), F.max("node").alias("donor"))
-    t = keep(on.join(fed, F.col("node") == F.col("n2"), "left").select("node", "recv", "fd", F.coalesce("n", F.lit(0)).alias("indeg"), F.when(F.col("n") == 1, F.col("donor")).alias("up")), "channel")
+    t = keep(on.join(fed, F.col("node") == F.col("n2"), "left").select(
+            "node", "recv", "fd", F.coalesce("n", F.lit(0)).alias("indeg"),
+            F.when(F.col("n") == 1, F.col("donor")).alias("up")), "channel")
 
     def step(cur: DataFrame) -> DataFrame:
         u = cur.select(F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("link").alias("l2"))
         return cur.join(u, F.col("up") == F.col("n2"), "left").select("node", F.col("up2").alias("up"), F.coalesce("l2", "link").alias("link"))
 
-    named = t.join(fixpoint(t.select("node", "up", F.coalesce("up", "node").alias("link")), step, "up IS NOT NULL").select(F.col("node").alias("n3"), "link"), F.col("node") == F.col("n3")).drop("n3")
+    named = t.join(fixpoint(
+            t.select("node", "up", F.coalesce("up", "node").alias("link")), step, "up IS NOT NULL").select(
+            F.col("node").alias("n3"), "link"), F.col("node") == F.col("n3")).drop("n3")
     named = keep(named, "links")
     nxt = named.select(F.col("node").alias("n2"), F.col("link").alias("l2"), F.col("fd").alias("fd2"))
-    ends = named.filter("recv <> node").join(nxt, F.col("recv") == F.col("n2")).filter("link <> l2").select("link", F.col("recv").alias("node"), F.col("fd2").alias("fd"))
+    ends = named.filter("recv <> node").join(nxt, F.col("recv") == F.col("n2")).filter("link <> l2").select(
+        "link", F.col("recv").alias("node"), F.col("fd2").alias("fd"))
     all_cells = named.select("link", "node", "fd").unionByName(ends)
-    all_cells = all_cells.withColumn("i", F.row_number().over(Window.partitionBy("link").orderBy(F.desc("fd"))) - 1).withColumn("n", F.count("*").over(Window.partitionBy("link"))).filter("n >= 2").drop("n", "fd")
+    all_cells = all_cells.withColumn(
+        "i", F.row_number().over(Window.partitionBy("link").orderBy(F.desc("fd"))) - 1).withColumn(
+        "n", F.count("*").over(Window.partitionBy("link"))).filter("n >= 2").drop("n", "fd")
     heads_ = all_cells.groupBy("link").agg(F.max_by("node", "i").alias("end"))
     numbered = keep(prefix_sums(heads_, ["link"], F.lit(1).cast("long"), "cat"), "numbered")
     to = numbered.select(F.col("link").alias("l2"), F.col("cat").alias("to"))
-    return all_cells, numbered.join(to, F.col("end") == F.col("l2"), "left").select("cat", "link", "end", F.coalesce("to", F.lit(0)).cast("long").alias("tostream"))
+    return all_cells, numbered.join(to, F.col("end") == F.col("l2"), "left").select(
+        "cat", "link", "end", F.coalesce("to", F.lit(0)).cast("long").alias("tostream"))
 
 
 def basin_labels(nodes: DataFrame, all_cells: DataFrame, numbered: DataFrame) -> DataFrame:
     """(node, r, c, lab): the link each cell drains into (the highest cat of a shared cell), -1 for none."""
     own = all_cells.join(numbered.select("link", "cat"), "link").groupBy(F.col("node").alias("n2")).agg(F.max("cat").alias("lab"))
-    start = nodes.join(own, F.col("node") == F.col("n2"), "left").select("node", F.when(F.col("lab").isNull() & (F.col("recv") != F.col("node")), F.col("recv")).alias("jump"), "lab")
+    start = nodes.join(own, F.col("node") == F.col("n2"), "left").select(
+        "node", F.when(F.col("lab").isNull() & (F.col("recv") != F.col("node")), F.col("recv")).alias("jump"), "lab")
 
     def step(cur: DataFrame) -> DataFrame:
         to = cur.select(F.col("node").alias("n2"), F.col("jump").alias("j2"), F.col("lab").alias("l2"))
-        moved = cur.filter("jump IS NOT NULL").join(to, F.col("jump") == F.col("n2"), "left").select("node", F.col("j2").alias("jump"), F.col("l2").alias("lab"))
+        moved = cur.filter("jump IS NOT NULL").join(to, F.col("jump") == F.col("n2"), "left").select(
+            "node", F.col("j2").alias("jump"), F.col("l2").alias("lab"))
         return cur.filter("jump IS NULL").unionByName(moved)
 
     got = fixpoint(start, step, "jump IS NOT NULL").select("node", F.coalesce("lab", F.lit(-1)).cast("long").alias("lab"))
@@ -158,7 +188,9 @@ def basin_labels(nodes: DataFrame, all_cells: DataFrame, numbered: DataFrame) ->
 def divides(labels: DataFrame) -> DataFrame:
     """Adds divide: does an 8-neighbour with a label drain elsewhere?"""
     g = gather(labels, ["lab"])
-    return g.select("r", "c", F.col("own.lab").alias("lab"), ((F.col("own.lab") >= 0) & F.exists("near", lambda x: (x["v"]["lab"] >= 0) & (x["v"]["lab"] != F.col("own.lab")))).alias("divide"))
+    return g.select("r", "c", F.col("own.lab").alias("lab"),
+        ((F.col("own.lab") >= 0) & F.exists(
+            "near", lambda x: (x["v"]["lab"] >= 0) & (x["v"]["lab"] != F.col("own.lab")))).alias("divide"))
 
 
 def fill_flat(cells: DataFrame) -> DataFrame:
@@ -179,7 +211,8 @@ def curvature_kernels(radius: float, cellsize: float) -> list[tuple[int, int, li
     import numpy as np
 
     k = int(math.ceil(radius / cellsize))
-    at = [(i * cellsize, j * cellsize) for i in range(-k, k + 1) for j in range(-k, k + 1) if math.floor(math.hypot(i * cellsize, j * cellsize)) <= radius]
+    at = [(i * cellsize, j * cellsize) for i in range(-k, k + 1) for j in range(-k, k + 1) if math.floor(
+        math.hypot(i * cellsize, j * cellsize)) <= radius]
     basis = np.array([[x * x, y * y, x * y, x, y, 1.0] for x, y in at])
     normal = basis.T @ basis
     if len(at) < 6 or np.linalg.matrix_rank(normal) < 6:
@@ -235,7 +268,8 @@ def walk_down(nodes: DataFrame, starts: DataFrame, most: int = 500, most_area: i
         return path
     # Area grows downstream, so what lies beyond the limit is the rest of the path.
     area = nodes.select(F.col("node").alias("n2"), "ncontrib")
-    return path.join(area, F.col("node") == F.col("n2")).filter((F.col("i") == 0) | (F.col("ncontrib") <= most_area)).select("start", "i", "node")
+    return path.join(area, F.col("node") == F.col("n2")).filter(
+        (F.col("i") == 0) | (F.col("ncontrib") <= most_area)).select("start", "i", "node")
 
 
 def ancestor_closure(nodes: DataFrame, of: DataFrame) -> DataFrame:
@@ -246,8 +280,10 @@ def ancestor_closure(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """
     steps = nodes.select("node", F.when(F.col("recv") != F.col("node"), F.col("recv")).alias("to"))
     near = keep(nearest_below(steps, of).filter("at IS NOT NULL"), "near")
-    next_ = of.select(F.col("node").alias("top")).distinct().join(steps_of(nodes), F.col("top") == F.col("node")).join(near.select(F.col("node").alias("n2"), F.col("at").alias("a2")), F.col("to") == F.col("n2"))
-    chain = walk(keep(next_.select(F.col("top").alias("node"), F.col("a2").alias("to")), "chain"), of.select(F.col("node").alias("start")).distinct())
+    next_ = of.select(F.col("node").alias("top")).distinct().join(steps_of(nodes), F.col("top") == F.col("node")).join(
+        near.select(F.col("node").alias("n2"), F.col("at").alias("a2")), F.col("to") == F.col("n2"))
+    chain = walk(keep(next_.select(F.col("top").alias("node"), F.col("a2").alias("to")), "chain"),
+        of.select(F.col("node").alias("start")).distinct())
     return near.join(chain.select("start", F.col("node").alias("top")), F.col("at") == F.col("start")).select("top", "node")
 
 
@@ -261,7 +297,8 @@ def mask_missing(values: DataFrame, dem: DataFrame, value: str) -> DataFrame:
 def farthest_upslope(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """(top, hilltop): the node of greatest flow distance that drains through each, the smallest id of equal ones."""
     up = ancestor_closure(nodes, of).join(nodes.select("node", "fd"), "node")
-    return up.groupBy("top").agg(F.max(F.struct("fd", (-F.col("node")).alias("k"))).alias("b")).select("top", F.when(F.col("b.fd") > 0, -F.col("b.k")).otherwise(F.col("top")).alias("hilltop"))
+    return up.groupBy("top").agg(F.max(F.struct("fd", (-F.col("node")).alias("k"))).alias("b")).select(
+        "top", F.when(F.col("b.fd") > 0, -F.col("b.k")).otherwise(F.col("top")).alias("hilltop"))
 
 
 def nearest_drainage(nodes: DataFrame, channel: DataFrame) -> DataFrame:
@@ -269,4 +306,5 @@ def nearest_drainage(nodes: DataFrame, channel: DataFrame) -> DataFrame:
     steps = nodes.select("node", F.when(F.col("recv") != F.col("node"), F.col("recv")).alias("to"))
     got = nearest_below(steps, channel).select(F.col("node").alias("n3"), F.col("at").alias("drain"))
     below = nodes.select(F.col("node").alias("n4"), F.col("z").alias("z4"), F.col("fd").alias("fd4"))
-    return nodes.join(got, F.col("node") == F.col("n3")).join(below, F.col("drain") == F.col("n4"), "left").select("node", "drain", (F.col("z") - F.col("z4")).alias("height"), (F.col("fd") - F.col("fd4")).alias("dist"))
+    return nodes.join(got, F.col("node") == F.col("n3")).join(below, F.col("drain") == F.col("n4"), "left").select(
+        "node", "drain", (F.col("z") - F.col("z4")).alias("height"), (F.col("fd") - F.col("fd4")).alias("dist"))

@@ -12,7 +12,8 @@ from .sequence import channel_slope, moving_average
 KNOTS = 200
 
 
-def cloud(v: DataFrame, window: float | None = None, log: bool = True, min_slope: float | None = None, max_area: float | None = None) -> DataFrame:
+def cloud(v: DataFrame, window: float | None = None, log: bool = True, min_slope: float | None = None,
+    max_area: float | None = None) -> DataFrame:
     """(cat, seq, logA, logS) of vertices with positive area and slope (A, slope if not log)."""
     area = "A"
     if window:
@@ -36,38 +37,54 @@ def break_scan(points: DataFrame, min_side: int = 10, knots: int = KNOTS) -> Dat
     """
     points = keep(points.select("logA", "logS"), "cloud")
     lo, hi = exact_quantiles(points, "logA", [0.05, 0.95]).get(None, (None, None))
-    ends = points.agg(F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), F.avg("logA").alias("mx"), F.avg("logS").alias("my"), F.count("*").alias("n"))
+    ends = points.agg(
+        F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"), F.avg("logA").alias("mx"),
+        F.avg("logS").alias("my"), F.count("*").alias("n"))
     t = points.crossJoin(F.broadcast(ends))  # one row
     step = (F.col("hi") - F.col("lo")) / (knots - 1)
     # number of knots below logA: the point is right of those
     below = F.greatest(F.lit(0), F.least(F.lit(knots), F.ceil((F.col("logA") - F.col("lo")) / F.nullif(step, F.lit(0.0))))).cast("int")
     below = F.when(step > 0, below).otherwise(F.when(F.col("logA") > F.col("lo"), knots).otherwise(0))
     x, y = F.col("logA") - F.col("mx"), F.col("logS") - F.col("my")
-    sums = t.groupBy(below.alias("b")).agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.sum(y * y).alias("yy"))
+    sums = t.groupBy(below.alias("b")).agg(
+        F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"),
+        F.sum(x * y).alias("xy"), F.sum(y * y).alias("yy"))
     ks = points.sparkSession.range(knots).select(F.col("id").cast("int").alias("k"))
-    right = ks.join(F.broadcast(sums), F.col("b") > F.col("k"), "left").groupBy("k").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "x", "y", "xx", "xy")))
+    right = ks.join(F.broadcast(sums), F.col("b") > F.col("k"), "left").groupBy("k").agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "x", "y", "xx", "xy")))
     whole = sums.agg(F.sum("yy").alias("syy"))
     u = right.withColumnRenamed("n", "n_right").crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(whole))
     knot = F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (knots - 1)
     u = u.withColumn("knot", knot).withColumn("q", F.col("knot") - F.col("mx"))
     n = F.col("n").cast("double")
-    u = u.withColumn("su", F.col("x") - F.col("q") * F.col("n_right")).withColumn("suu", F.col("xx") - 2 * F.col("q") * F.col("x") + F.col("q") * F.col("q") * F.col("n_right") - F.col("su") * F.col("su") / n).withColumn("suy", F.col("xy") - F.col("q") * F.col("y"))
+    u = u.withColumn("su", F.col("x") - F.col("q") * F.col("n_right")).withColumn(
+        "suu", F.col("xx") - 2 * F.col("q") * F.col("x") + F.col("q") * F.col("q") * F.col("n_right") - F.col(
+            "su") * F.col("su") / n).withColumn("suy", F.col("xy") - F.col("q") * F.col("y"))
     slope = F.col("suy") / F.nullif(F.col("suu"), F.lit(0.0))
-    u = u.withColumn("slope", slope).withColumn("h", F.col("my") - F.col("slope") * F.col("su") / n).withColumn("rss", F.col("syy") - F.col("slope") * F.col("suy")).withColumn("n_left", F.col("n") - F.col("n_right"))
-    return u.filter((F.col("n_left") >= min_side) & (F.col("n_right") >= min_side) & F.col("rss").isNotNull() & (F.col("n") >= 2 * min_side)).select("k", "knot", "n_left", "n_right", "h", "slope", "rss")
+    u = u.withColumn("slope", slope).withColumn("h", F.col("my") - F.col("slope") * F.col("su") / n).withColumn(
+        "rss", F.col("syy") - F.col("slope") * F.col("suy")).withColumn("n_left", F.col("n") - F.col("n_right"))
+    return u.filter((F.col("n_left") >= min_side) & (F.col("n_right") >= min_side) & F.col(
+            "rss").isNotNull() & (F.col("n") >= 2 * min_side)).select(
+        "k", "knot", "n_left", "n_right", "h", "slope", "rss")
 
 
 def fit_break(points: DataFrame, min_side: int = 10) -> DataFrame:
     """The knot of least residual (the first of equal ones): one row, or none with too few points."""
-    best = break_scan(points, min_side).agg(F.min(F.struct("rss", "k", "knot", "h", "slope", (F.col("n_left") + F.col("n_right")).alias("n"))).alias("b")).filter("b IS NOT NULL")
-    return best.select(F.col("b.k").alias("k"), F.col("b.knot").alias("logA_star"), F.pow(F.lit(10.0), "b.knot").alias("A_star"), (-F.col("b.slope")).alias("theta"), F.col("b.h").alias("hillslope_logS"), F.col("b.rss").alias("rss"), F.col("b.n").alias("n"))
+    best = break_scan(points, min_side).agg(
+        F.min(F.struct("rss", "k", "knot", "h", "slope", (F.col("n_left") + F.col("n_right")).alias("n"))).alias(
+            "b")).filter("b IS NOT NULL")
+    return best.select(
+        F.col("b.k").alias("k"), F.col("b.knot").alias("logA_star"), F.pow(F.lit(10.0), "b.knot").alias("A_star"),
+        (-F.col("b.slope")).alias("theta"), F.col("b.h").alias("hillslope_logS"), F.col("b.rss").alias("rss"),
+        F.col("b.n").alias("n"))
 
 
 def transitions(v: DataFrame, a_star: float) -> DataFrame:
     """(cat, x, y): where each segment's area first reaches a_star going downstream, linear between vertices."""
     w = Window.partitionBy("cat").orderBy("seq")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = v.withColumn("_flip", F.first("A").over(whole) > F.last("A").over(whole)).withColumn("_i", F.when(F.col("_flip"), -F.col("seq")).otherwise(F.col("seq")))
+    t = v.withColumn("_flip", F.first("A").over(whole) > F.last("A").over(whole)).withColumn(
+        "_i", F.when(F.col("_flip"), -F.col("seq")).otherwise(F.col("seq")))
     w = Window.partitionBy("cat").orderBy("_i")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     t = t.withColumn("_a0", F.first("A").over(whole)).withColumn("_a1", F.last("A").over(whole)).withColumn("_n", F.count("*").over(whole))
@@ -155,7 +172,9 @@ def _of_medians(points: DataFrame, bins: int, least: int, fit, schema: str, clos
 
 def binned_break(points: DataFrame, bins: int = 18, least: int = 8) -> DataFrame:
     """One row (logA_star, theta, hillslope_logS, R, edge, accepted) from `stick` over binned medians, or none."""
-    return _of_medians(points, bins, least, stick, "logA_star double, theta double, hillslope_logS double, R double, edge double, accepted boolean")
+    return _of_medians(
+        points, bins, least, stick,
+        "logA_star double, theta double, hillslope_logS double, R double, edge double, accepted boolean")
 
 
 def tent(points: DataFrame, bins: int = 12, least: int = 2) -> DataFrame:
@@ -183,7 +202,9 @@ def area_survival(v: DataFrame, levels: int = 60) -> DataFrame:
     k = F.least(F.lit(levels - 1), F.floor((F.log10("A") - F.col("lo")) / F.nullif(step, F.lit(0.0)) + 1e-9)).cast("int")
     counts = t.groupBy(F.coalesce(k, F.lit(0)).alias("k0")).agg(F.count("*").alias("m"))
     ks = v.sparkSession.range(levels).select(F.col("id").cast("int").alias("k"))
-    return ks.join(F.broadcast(counts), F.col("k0") >= F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m")).crossJoin(F.broadcast(e)).select("k", F.pow(F.lit(10.0), F.col("lo") + F.col("k") * step).alias("a"), (F.col("m") / F.col("n")).alias("p"))
+    return ks.join(F.broadcast(counts), F.col("k0") >= F.col("k"), "left").groupBy("k").agg(
+        F.coalesce(F.sum("m"), F.lit(0)).alias("m")).crossJoin(F.broadcast(e)).select(
+        "k", F.pow(F.lit(10.0), F.col("lo") + F.col("k") * step).alias("a"), (F.col("m") / F.col("n")).alias("p"))
 
 
 def snap_dedup(points: DataFrame, snap: float) -> DataFrame:

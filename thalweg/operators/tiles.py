@@ -43,7 +43,8 @@ def stencil(cells: DataFrame, value: str, halo: int, compute: Callable[[np.ndarr
         found = compute(grid)[mine.r.to_numpy() - r0, mine.c.to_numpy() - c0]
         return mine[["r", "c"]].assign(**{name: np.where(np.isnan(found), None, found)})
 
-    rows = cells.filter(F.col(value).isNotNull()).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col(value).cast("double").alias(value))
+    rows = cells.filter(F.col(value).isNotNull()).select(
+        F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col(value).cast("double").alias(value))
     return dealt(rows, halo, tile).groupBy("tr", "tc").applyInPandas(one, f"r int, c int, {name} double")
 
 

@@ -60,8 +60,12 @@ def prefix_sums(df: DataFrame, order: list, value, name: str) -> DataFrame:
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = keep(df.withColumn("_value", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = t.groupBy("_range").agg(F.sum("_value").alias("_sum"))
-    before = sums.select(F.col("_range").alias("_r2"), F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
-    return t.join(F.broadcast(before), F.col("_range") == F.col("_r2")).withColumn(name, F.col("_before") + F.sum("_value").over(w)).drop("_value", "_range", "_r2", "_before")
+    before = sums.select(
+        F.col("_range").alias("_r2"),
+        F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0)).alias("_before"))  # a row a range
+    return t.join(F.broadcast(before), F.col("_range") == F.col("_r2")).withColumn(
+        name, F.col("_before") + F.sum("_value").over(w)).drop("_value", "_range", "_r2", "_before")
 
 
 def walk(steps: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
@@ -75,7 +79,8 @@ def walk(steps: DataFrame, starts: DataFrame, most: int | None = None) -> DataFr
     """
     size = steps.count()
     there = steps.select(F.col("node").alias("n2")).distinct()
-    jump = keep(steps.select("node", "to").join(there, F.col("to") == F.col("n2"), "left").select("node", "to", F.col("n2").isNull().alias("ends")), "jump")
+    jump = keep(steps.select("node", "to").join(there, F.col("to") == F.col("n2"), "left").select(
+            "node", "to", F.col("n2").isNull().alias("ends")), "jump")
     first = F.col("node" if "node" in starts.columns else "start").alias("node")
     bound = F.col("most").cast("int").alias("most") if "most" in starts.columns else F.lit(most).cast("int").alias("most")
     parts = [keep(starts.select("start", F.lit(0).alias("i"), first, bound).distinct(), "walk")]
@@ -84,14 +89,17 @@ def walk(steps: DataFrame, starts: DataFrame, most: int | None = None) -> DataFr
     while most is None or reach <= most:
         here = jump.select(F.col("node").alias("n2"), "to", "ends")
         old = reduce(DataFrame.unionByName, parts).filter(F.col("most").isNull() | (F.col("i") + reach <= F.col("most")))
-        more = keep(old.join(here, F.col("node") == F.col("n2")).select("start", (F.col("i") + reach).alias("i"), F.col("to").alias("node"), "most"), "walk")
+        more = keep(old.join(here, F.col("node") == F.col("n2")).select(
+                "start", (F.col("i") + reach).alias("i"), F.col("to").alias("node"), "most"), "walk")
         if not more.limit(1).count():
             break
         if not bounded and reach > size:
             raise Endless("a path leads in a circle")
         parts.append(more)
         on = jump.select(F.col("node").alias("n2"), F.col("to").alias("t2"), F.col("ends").alias("e2"))
-        done, jump = jump, keep(jump.filter("NOT ends").join(on, F.col("to") == F.col("n2")).select("node", F.col("t2").alias("to"), F.col("e2").alias("ends")), "jump")
+        done, jump = jump, keep(
+            jump.filter("NOT ends").join(on, F.col("to") == F.col("n2")).select(
+                "node", F.col("t2").alias("to"), F.col("e2").alias("ends")), "jump")
         drop(done)
         reach *= 2
     return reduce(DataFrame.unionByName, parts).drop("most")
@@ -103,11 +111,13 @@ def nearest_below(steps: DataFrame, marked: DataFrame) -> DataFrame:
     Null where there is none. By doubling; only rows still under way are joined.
     """
     m = marked.select(F.col("node").alias("m")).distinct()
-    start = steps.join(m, F.col("node") == F.col("m"), "left").select("node", F.when(F.col("m").isNull(), F.col("to")).alias("jump"), F.col("m").alias("at"))
+    start = steps.join(m, F.col("node") == F.col("m"), "left").select(
+        "node", F.when(F.col("m").isNull(), F.col("to")).alias("jump"), F.col("m").alias("at"))
 
     def step(cur: DataFrame) -> DataFrame:
         on = cur.select(F.col("node").alias("n2"), F.col("jump").alias("j2"), F.col("at").alias("a2"))
-        moved = cur.filter("jump IS NOT NULL").join(on, F.col("jump") == F.col("n2"), "left").select("node", F.col("j2").alias("jump"), F.col("a2").alias("at"))
+        moved = cur.filter("jump IS NOT NULL").join(on, F.col("jump") == F.col("n2"), "left").select(
+            "node", F.col("j2").alias("jump"), F.col("a2").alias("at"))
         return cur.filter("jump IS NULL").unionByName(moved)
 
     return fixpoint(start, step, "jump IS NOT NULL").drop("jump")

@@ -20,14 +20,17 @@ def side(spark: SparkSession, sf_dir: str) -> int:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terrain (r, c, z): a ramp down to the south with deterministic relief."""
     n = side(spark, sf_dir)
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % n).cast("int").alias("r"), (F.col("l_partkey") % n).cast("int").alias("c"), F.col("l_quantity").cast("long").alias("q"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % n).cast("int").alias("r"), (F.col("l_partkey") % n).cast("int").alias("c"),
+        F.col("l_quantity").cast("long").alias("q"))
     return rows.groupBy("r", "c").agg((F.lit(40) * (n - 1 - F.col("r")) + F.sum("q") % 97).cast("double").alias("z"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A converging binary tree (cat, tostream, len) whose root drains to 0."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter("c_custkey > 0").select(k.alias("cat"), F.expr("c_custkey div 2").alias("tostream"), (10 + k * 37 % 50).alias("len"))
+    return table(spark, sf_dir, "customer").filter("c_custkey > 0").select(
+        k.alias("cat"), F.expr("c_custkey div 2").alias("tostream"), (10 + k * 37 % 50).alias("len"))
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +40,9 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", us.alias("us"))
     first = F.min("us").over(Window.partitionBy("user_id"))
     seq = F.row_number().over(w) - 1
-    return rows.select(F.col("user_id").alias("cat"), seq.alias("seq"), ((F.col("us") - first) / F.lit(1e6)).alias("s"), F.col("value").alias("z"), (seq + 1).cast("double").alias("A"))
+    return rows.select(
+        F.col("user_id").alias("cat"), seq.alias("seq"), ((F.col("us") - first) / F.lit(1e6)).alias("s"),
+        F.col("value").alias("z"), (seq + 1).cast("double").alias("A"))
 
 
 def vertices_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +54,8 @@ def points(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Points (id, x, y) in a 1000 by 1000 square from the keys of supplier or customer."""
     key = F.col({"supplier": "s_suppkey", "customer": "c_custkey"}[name])
     a, b = {"supplier": (7919, 104729), "customer": (6151, 9973)}[name]
-    return table(spark, sf_dir, name).select(key.alias("id"), (key * a % 1000).cast("double").alias("x"), (key * b % 1000).cast("double").alias("y"))
+    return table(spark, sf_dir, name).select(
+        key.alias("id"), (key * a % 1000).cast("double").alias("x"), (key * b % 1000).cast("double").alias("y"))
 
 
 #: The views as common table expressions.

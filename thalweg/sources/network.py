@@ -19,7 +19,8 @@ def topology(df: DataFrame) -> DataFrame:
     return df.select(F.col("cat").cast("long").alias("cat"), F.col("tostream").cast("long").alias("tostream"))
 
 
-def read_records(lines: DataFrame, rasters: dict[str, DataFrame], region: Region, accum_mult: float = 1.0, assume_complete: bool = False) -> DataFrame:
+def read_records(lines: DataFrame, rasters: dict[str, DataFrame], region: Region, accum_mult: float = 1.0,
+    assume_complete: bool = False) -> DataFrame:
     """Vertices (cat, seq, x, y, s_down, s_up and one column a raster) of lines (cat, seq, x, y), validated where A is among them."""
     v = drop_coincident(lines.filter("cat IS NOT NULL").select("cat", "seq", "x", "y"))
     for name, cells in rasters.items():
@@ -34,7 +35,8 @@ def read_records(lines: DataFrame, rasters: dict[str, DataFrame], region: Region
 def write_profiles(profile: DataFrame, path: str) -> None:
     """Space-separated text in order of path and vertex, a segment that several paths share written with the first of them."""
     first = profile.groupBy("cat").agg(F.min("head").alias("head"))
-    profile.join(first, ["cat", "head"]).withColumn("cat", F.col("cat").cast("long")).orderBy("head", "i").drop("head", "i").write.mode("overwrite").option("sep", " ").option("header", True).csv(path)
+    profile.join(first, ["cat", "head"]).withColumn("cat", F.col("cat").cast("long")).orderBy("head", "i").drop(
+        "head", "i").write.mode("overwrite").option("sep", " ").option("header", True).csv(path)
 
 
 def json_safe(df: DataFrame) -> DataFrame:
@@ -49,13 +51,15 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*(safe(f.name, f.dataType).alias(f.name) for f in df.schema.fields))
 
 
-def read_segments(lines: DataFrame, rasters: dict[str, DataFrame], region: Region, accum_mult: float = 1.0, assume_complete: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_segments(lines: DataFrame, rasters: dict[str, DataFrame], region: Region, accum_mult: float = 1.0,
+    assume_complete: bool = False) -> tuple[DataFrame, DataFrame]:
     """(vertices, topology) of lines without a topology: as `read_records`, every segment draining to 0."""
     v = read_records(lines, rasters, region, accum_mult, assume_complete)
     return v, v.select("cat").distinct().withColumn("tostream", F.lit(0).cast("long"))
 
 
-def read_graph(lines: DataFrame, table: DataFrame, rasters: dict[str, DataFrame], region: Region, accum_mult: float = 1.0, assume_complete: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_graph(lines: DataFrame, table: DataFrame, rasters: dict[str, DataFrame], region: Region,
+    accum_mult: float = 1.0, assume_complete: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a linked network in one call."""
     v = read_records(lines, rasters, region, accum_mult, assume_complete)
     return build_graph(v, topology(table), [c for c in v.columns if c not in ("cat", "seq")])
@@ -91,9 +95,13 @@ def link_lines(all_cells: DataFrame, numbered: DataFrame, nodes: DataFrame, regi
     """(cat, x1, y1, x2, y2, tostream, wkt): each link as a polyline through its cells' centres."""
     at = all_cells.join(numbered, "link").join(cell_centres(nodes.select("node", "r", "c"), region).select("node", "x", "y"), "node")
     lines = at.groupBy("cat", "tostream").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))  # a link's own cells
-    text = F.concat(F.lit("LINESTRING ("), F.array_join(F.transform("p", lambda q: F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string"))), ", "), F.lit(")"))
+    text = F.concat(F.lit("LINESTRING ("),
+        F.array_join(F.transform("p", lambda q: F.concat_ws(" ", q["x"].cast("string"), q["y"].cast("string"))), ", "),
+        F.lit(")"))
     end = lambda k, c: F.element_at("p", k)[c]
-    return lines.select("cat", end(1, "x").alias("x1"), end(1, "y").alias("y1"), end(-1, "x").alias("x2"), end(-1, "y").alias("y2"), "tostream", text.alias("wkt"))
+    return lines.select(
+        "cat", end(1, "x").alias("x1"), end(1, "y").alias("y1"), end(-1, "x").alias("x2"), end(-1, "y").alias("y2"),
+        "tostream", text.alias("wkt"))
 
 
 def field_heads(table: DataFrame, site: str, least_northing: float | None = None, most_northing: float | None = None) -> DataFrame:
@@ -106,7 +114,9 @@ def field_heads(table: DataFrame, site: str, least_northing: float | None = None
 
 def document(nodes: DataFrame, links: DataFrame) -> str:
     """One node-link document on the driver, for networks that fit it."""
-    rows = lambda df: ", ".join(r.j for r in json_safe(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator())
+    rows = lambda df: ", ".join(
+        r.j for r in json_safe(df).select(
+            F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator())
     return f'{{"directed": true, "multigraph": false, "graph": {{}}, "nodes": [{rows(nodes)}], "links": [{rows(links)}]}}'
 
 

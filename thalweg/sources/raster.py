@@ -45,7 +45,8 @@ def read_header(spark: SparkSession, path: str) -> tuple[Region, float | None, s
     half = 0.5 * size if "xllcenter" in got else 0.0
     west, south = float(got.get("xllcorner", got.get("xllcenter", 0))) - half, float(got.get("yllcorner", got.get("yllcenter", 0))) - half
     missing = float(got["nodata_value"]) if "nodata_value" in got else None
-    return Region(west, south + rows * size, size, size, rows, cols), missing, "<" if got.get("byteorder", "lsbfirst").lower().startswith("l") else ">"
+    return Region(west, south + rows * size, size, size, rows, cols), missing, "<" if got.get(
+        "byteorder", "lsbfirst").lower().startswith("l") else ">"
 
 
 def read_flt(spark: SparkSession, path: str, header: str | None = None) -> tuple[DataFrame, Region]:
@@ -93,7 +94,9 @@ def _read_grid(spark: SparkSession, path: str, header: str | None, kind: str) ->
                     part = grid[r0:r0 + 256]
                     ok = np.isfinite(part) if missing is None else np.isfinite(part) & (part != part.dtype.type(missing))
                     r, c = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays([pa.array((r + r0).astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(part[r, c].astype(np.float64))], names=["r", "c", "v"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((r + r0).astype(np.int32)), pa.array(c.astype(np.int32)),
+                            pa.array(part[r, c].astype(np.float64))], names=["r", "c", "v"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cells, "r int, c int, v double"), region
 
@@ -102,7 +105,8 @@ def write_cells(cells: DataFrame, path: str, value: str = "v", tile: int = 512)
     """Parquet partitioned by tile, NaN and infinities as absent values, so that windows prune partitions."""
     v = F.col(value)
     clean = cells.filter(v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v) < float("inf")))
-    clean.withColumns({"tr": F.expr(f"r div {tile}"), "tc": F.expr(f"c div {tile}")}).repartition("tr", "tc").write.mode("overwrite").partitionBy("tr", "tc").parquet(path)
+    clean.withColumns({"tr": F.expr(f"r div {tile}"), "tc": F.expr(f"c div {tile}")}).repartition(
+        "tr", "tc").write.mode("overwrite").partitionBy("tr", "tc").parquet(path)
 
 
 def read_window(spark: SparkSession, path: str, r0: int, r1: int, c0: int, c1: int, tile: int = 512) -> DataFrame:
@@ -131,7 +135,8 @@ def sample(points: DataFrame, cells: DataFrame, region: Region, value: str = "v"
 
 def cell_centres(cells: DataFrame, region: Region) -> DataFrame:
     """x, y of the middle of each cell."""
-    return cells.withColumn("x", F.lit(region.west) + (F.col("c") + 0.5) * region.ewres).withColumn("y", F.lit(region.north) - (F.col("r") + 0.5) * region.nsres)
+    return cells.withColumn("x", F.lit(region.west) + (F.col("c") + 0.5) * region.ewres).withColumn(
+        "y", F.lit(region.north) - (F.col("r") + 0.5) * region.nsres)
 
 
 def write_points(points: DataFrame, path: str, *columns: str) -> None:
