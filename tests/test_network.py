@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thalweg.operators import network as N
+from thalweg.operators.diagnostics import accumulate_and_prune
 from thalweg.operators import sequence as S
 from thalweg.plans.iterate import Endless, prefix_sums, walk
 
@@ -136,3 +137,26 @@ def test_validation(spark):
     assert without == 1 and clean.filter("A < 0").count() == 0
     with pytest.raises(N.InvalidNetwork, match="accumulation"):
         N.validate(v.withColumn("A", F.lit(None).cast("double")))
+
+
+def test_accumulating_and_pruning_one_after_another(spark):
+    r = random.Random(9)
+    to = {k: 0 if k < 3 else r.randint(1, k - 1) for k in range(1, 60)}
+    cloud = {k: [(r.random() * k, r.random()) for _ in range(r.randint(0, 9))] for k in to}
+    gate = lambda x, y: (float(x.mean()), float(y.mean())) if 0.45 < y.mean() < 0.5 else None
+    seg = spark.createDataFrame([(1, c, t) for c, t in to.items()], "root int, cat long, tostream long")
+    v = spark.createDataFrame([(c, i, a, s) for c, ps in cloud.items() for i, (a, s) in enumerate(ps)], "cat long, seq int, logA double, logS double")
+    got = {x.cat: (round(x.logA_star, 9), round(x.theta, 9)) for x in accumulate_and_prune(seg, v, gate, 12).collect()}
+
+    def above(c):
+        return [c] + [x for k in to if to[k] == c for x in above(k)]
+
+    want, taken = {}, set()
+    for c in sorted(to, key=lambda c: (max((a for a, _ in cloud[c]), default=-1e9), c)):
+        points = [p for k in above(c) for p in cloud[k]]
+        if c not in taken and len(points) >= 12:
+            x, y = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+            if 0.45 < y < 0.5:
+                want[c] = (round(x, 9), round(y, 9))
+                taken |= set(above(c))
+    assert got == want and len(want) >= 2

@@ -241,10 +241,10 @@ def so2(spark, d):
     return H.by_elevation(R.sources(n, 10), n)
 
 
-@query("v14_mask_missing", sql(NODES + AREA + " SELECT r, c, CASE WHEN (r + c) % 5 <> 0 THEN ncontrib END AS ncontrib FROM full_", "cells", recursive=True))
+@query("v14_mask_missing", sql(NODES + AREA + " SELECT r, c, CAST(CASE WHEN (r + c) % 5 <> 0 THEN ncontrib END AS DOUBLE) AS ncontrib FROM full_", "cells", recursive=True))
 def v14(spark, d):
     n = routed(spark, d)
-    return R.mask_missing(n.select("r", "c", "ncontrib"), n.select("r", "c", F.when((F.col("r") + F.col("c")) % 5 != 0, F.col("z")).alias("z")), "ncontrib")
+    return R.mask_missing(n.select("r", "c", F.col("ncontrib").cast("double").alias("ncontrib")), n.select("r", "c", F.when((F.col("r") + F.col("c")) % 5 != 0, F.col("z")).alias("z")), "ncontrib")
 
 
 @query("x24_apexes", sql(NODES + AREA + SRC + """, dn(node, at_, fd) AS (SELECT node, recv, CASE flc WHEN 2 THEN sqrt(2.0) WHEN 1 THEN 1.0 ELSE 0.0 END FROM nodes UNION ALL SELECT d.node, n.recv, fd + CASE n.flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END FROM dn d JOIN nodes n ON n.node = d.at_ WHERE n.recv <> n.node), fds AS (SELECT node, max(fd) AS fd FROM dn GROUP BY node),
@@ -395,7 +395,10 @@ def dv5_segments(spark, d):
     return D.segments(D.edges(labels(spark, d), side(spark, d))).groupBy("seg").agg(F.count("*").alias("n"))
 
 
-@query("x18_segment_classes")
+@query("x18_segment_classes", sql(NODES + LAB + EDGES + """, e AS (SELECT DISTINCT a * 2147483648 + b AS id, a, b FROM ed), x AS (SELECT id, unnest([a, b]) AS corner FROM e), p AS (SELECT corner, min(id) AS i, max(id) AS k FROM x GROUP BY corner HAVING count(*) = 2), q AS (SELECT i AS a, k AS b FROM p UNION ALL SELECT k, i FROM p),
+reach(id, at_) AS (SELECT id, id FROM e UNION SELECT r.id, q.b FROM reach r JOIN q ON q.a = r.at_), s AS (SELECT id, min(at_) AS seg FROM reach GROUP BY id), dg AS (SELECT corner, count(*) AS d FROM x GROUP BY corner),
+m AS (SELECT seg, corner, count(*) AS m FROM s JOIN x USING (id) GROUP BY seg, corner), bare AS (SELECT DISTINCT (r + i) * @W + c + j AS corner FROM lab, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) WHERE lab = -1),
+n AS (SELECT seg, count(*) AS n FROM s GROUP BY seg) SELECT seg, any_value(n) AS n, count(DISTINCT m.corner) FILTER (d <> 2 OR m = 1) < 2 AS ring, bool_or(bare.corner IS NOT NULL) AS beside_missing FROM m JOIN dg USING (corner) JOIN n USING (seg) LEFT JOIN bare ON bare.corner = m.corner GROUP BY seg""", "cells", recursive=True))
 def x18(spark, d):
     from ..operators.diagnostics import classify_segments
 
@@ -405,7 +408,20 @@ def x18(spark, d):
     return classify_segments(seg, D.segment_ends(seg, D.corners(e)), lab, n)
 
 
-@query("dv7_divide_order")
+def half(here: str, other: str, f: str) -> str:
+    """The half of a doubled corner that an edge ends in."""
+    return f"{here} * 2 + CASE WHEN {f} IS NULL THEN 0 WHEN {other} // @W < {here} // @W THEN 0 WHEN {other} // @W > {here} // @W THEN 1 WHEN ({other} > {here}) = ({f} = 1) THEN 0 ELSE 1 END"
+
+
+@query("dv7_divide_order", sql(NODES + LAB + EDGES + """, g AS (SELECT node, r, c, recv // @N - r AS dr, recv % @N - c AS dc FROM nodes), fx AS (SELECT (r + CASE WHEN dr > 0 THEN 1 ELSE 0 END) * @W + c + CASE WHEN dc > 0 THEN 1 ELSE 0 END AS corner, arg_max(CASE WHEN dr * dc > 0 THEN 1 ELSE 2 END, node) AS fx FROM g WHERE abs(dr) = 1 AND abs(dc) = 1 GROUP BY 1),
+sp AS (SELECT HALF1 AS a, HALF2 AS b FROM ed LEFT JOIN fx f ON f.corner = ed.a LEFT JOIN fx h ON h.corner = ed.b), e AS (SELECT DISTINCT least(a, b) * 2147483648 + greatest(a, b) AS id, least(a, b) AS a, greatest(a, b) AS b FROM sp),
+x AS (SELECT id, unnest([a, b]) AS corner FROM e), p AS (SELECT corner, min(id) AS i, max(id) AS k FROM x GROUP BY corner HAVING count(*) = 2), q AS (SELECT i AS a, k AS b FROM p UNION ALL SELECT k, i FROM p), reach(id, at_) AS (SELECT id, id FROM e UNION SELECT r.id, q.b FROM reach r JOIN q ON q.a = r.at_), s AS (SELECT id, min(at_) AS seg FROM reach GROUP BY id),
+dg AS (SELECT corner, count(*) AS d FROM (SELECT unnest([a, b]) AS corner FROM sp) GROUP BY corner), m AS (SELECT seg, corner, count(*) AS m FROM s JOIN x USING (id) GROUP BY seg, corner), n AS (SELECT seg, count(*) AS n FROM s GROUP BY seg),
+sg AS (SELECT seg, min(corner) FILTER (d <> 2 OR m = 1) AS u, max(corner) FILTER (d <> 2 OR m = 1) AS v, bool_or(d = 1 AND (d <> 2 OR m = 1)) AS leaf FROM m JOIN dg USING (corner) GROUP BY seg),
+sd AS (SELECT seg, unnest([u, v]) AS corner FROM sg WHERE u <> v),
+o(it, seg, ord, dd) AS (SELECT 0, seg, CASE WHEN leaf THEN 1 END, CASE WHEN leaf THEN n END FROM sg JOIN n USING (seg) WHERE u <> v
+UNION ALL SELECT it + 1, o.seg, coalesce(o.ord, w.ord), coalesce(o.dd, w.dd + n.n) FROM o JOIN n USING (seg) LEFT JOIN (SELECT seg, min(ord) AS ord, arg_min(far, (ord, far)) AS dd FROM (SELECT max(seg) FILTER (o.ord IS NULL) AS seg, max(far) AS far, list_sort(list(o.ord) FILTER (o.ord IS NOT NULL), 'DESC') AS os, os[1] + CASE WHEN os[1] = os[2] THEN 1 ELSE 0 END AS ord FROM (SELECT *, o.dd AS far FROM sd JOIN o USING (seg)) o GROUP BY corner HAVING count(*) FILTER (o.ord IS NULL) = 1 AND count(o.ord) > 0) GROUP BY seg) w ON w.seg = o.seg WHERE it < (SELECT count(*) FROM sg))
+SELECT sg.seg, CAST(coalesce(max(ord), 0) AS BIGINT) AS ord, CAST(coalesce(max(dd), 0) AS DOUBLE) AS dd FROM sg LEFT JOIN o ON o.seg = sg.seg GROUP BY sg.seg""".replace("HALF1", half("ed.a", "ed.b", "f.fx")).replace("HALF2", half("ed.b", "ed.a", "h.fx")), "cells", recursive=True))
 def dv7(spark, d):
     n = routed(spark, d)
     lab = keep(R.basin_labels(n, *R.links(n, R.sources(n, 10))), "labels")
@@ -448,20 +464,31 @@ def ch4(spark, d):
     return H.heads_from_valleys(n, H.first_order_valleys(n, 10), 10, 3, min_profile_nodes=7, precision=32)
 
 
-@query("ch7_heads_to_next_junction")
+def heads_sql(feet: str, pick: str) -> str:
+    """Heads hd (node) of the valleys above the sources: profiles end at ft (cat, foot), pick chooses a split (cat, seq) of each."""
+    return AREA + SRC + """, dn(node, at_, sa, sb) AS (SELECT node, recv, CASE flc WHEN 1 THEN 1 ELSE 0 END, CASE flc WHEN 2 THEN 1 ELSE 0 END FROM nodes UNION ALL SELECT d.node, n.recv, sa + CASE n.flc WHEN 1 THEN 1 ELSE 0 END, sb + CASE n.flc WHEN 2 THEN 1 ELSE 0 END FROM dn d JOIN nodes n ON n.node = d.at_ WHERE n.recv <> n.node),
+fds AS (SELECT node, max(sa + sb) AS steps, arg_max(sa + sb * sqrt(2.0), sa + sb) AS fd FROM dn GROUP BY node), tops AS (SELECT a.top AS cat, arg_max(a.node, (fd, -a.node)) AS hill FROM anc a JOIN src ON src.node = a.top JOIN fds ON fds.node = a.node GROUP BY a.top)""" + feet + """,
+way(cat, seq, node, most) AS (SELECT cat, 0, hill, x.steps - y.steps FROM tops JOIN ft USING (cat) JOIN fds x ON x.node = hill JOIN fds y ON y.node = foot UNION ALL SELECT cat, seq + 1, n.recv, most FROM way JOIN nodes n USING (node) WHERE seq < most AND n.recv <> n.node),
+prof AS (SELECT w.cat, seq, w.node, f.z, CASE WHEN seq < most THEN CASE flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END * power(1000.0 / ncontrib, 0.525) ELSE 0 END AS term FROM way w JOIN full_ f USING (node)),
+chi AS (SELECT *, sum(term) OVER (PARTITION BY cat ORDER BY seq DESC) AS s FROM prof)""" + split_sql("chi", 3) + pick + """, hd AS (SELECT DISTINCT chi.node FROM pick JOIN chi USING (cat, seq) JOIN nodes n ON n.node = chi.node WHERE n.recv <> n.node)
+SELECT n.node, n.r, n.c FROM hd JOIN nodes n USING (node) WHERE NOT EXISTS (SELECT 1 FROM anc a JOIN hd g ON g.node = a.node WHERE a.top = hd.node AND a.node <> hd.node)"""
+
+
+BEST_SPLIT = ", pick AS (SELECT cat, arg_max(seq, (score, -seq)) AS seq FROM t GROUP BY cat)"
+UPPERMOST_SPLIT = """, u AS (SELECT *, max(score) OVER (PARTITION BY cat) AS top, lag(score) OVER w AS la, lead(score) OVER w AS lb FROM t WINDOW w AS (PARTITION BY cat ORDER BY seq)),
+pick AS (SELECT cat, coalesce(min(seq) FILTER (k), arg_max(seq, (score, -seq))) AS seq FROM (SELECT *, score >= 0.9 * top AND (la IS NULL OR score >= la) AND (lb IS NULL OR score >= lb) AS k FROM u) GROUP BY cat)"""
+AT_SOURCE = ", ft AS (SELECT cat, cat AS foot FROM tops)"
+AT_NEXT_JUNCTION = """, ch AS (SELECT node, recv FROM full_ WHERE ncontrib >= 10), jn AS (SELECT p.node, count(d.node) <> 1 OR any_value(p.recv) = p.node AS junction FROM ch p LEFT JOIN ch d ON d.recv = p.node AND d.node <> p.node GROUP BY p.node),
+dw(cat, at_) AS (SELECT cat, recv FROM tops JOIN nodes ON node = cat UNION ALL SELECT cat, n.recv FROM dw JOIN jn ON jn.node = at_ JOIN nodes n ON n.node = at_ WHERE NOT junction), ft AS (SELECT cat, at_ AS foot FROM dw JOIN jn ON jn.node = at_ WHERE junction)"""
+
+
+@query("ch7_heads_to_next_junction", sql(NODES + heads_sql(AT_NEXT_JUNCTION, UPPERMOST_SPLIT), "cells", recursive=True))
 def ch7_extended(spark, d):
     n = routed(spark, d)
     return H.heads_from_valleys(n, H.first_order_valleys(n, 10), 10, 3, extend_to_junction=True, rule="uppermost")
 
 
-HEADS = AREA + SRC + """, dn(node, at_, sa, sb) AS (SELECT node, recv, CASE flc WHEN 1 THEN 1 ELSE 0 END, CASE flc WHEN 2 THEN 1 ELSE 0 END FROM nodes UNION ALL SELECT d.node, n.recv, sa + CASE n.flc WHEN 1 THEN 1 ELSE 0 END, sb + CASE n.flc WHEN 2 THEN 1 ELSE 0 END FROM dn d JOIN nodes n ON n.node = d.at_ WHERE n.recv <> n.node),
-fds AS (SELECT node, max(sa + sb) AS steps, arg_max(sa + sb * sqrt(2.0), sa + sb) AS fd FROM dn GROUP BY node), tops AS (SELECT a.top AS cat, arg_max(a.node, (fd, -a.node)) AS hill FROM anc a JOIN src ON src.node = a.top JOIN fds ON fds.node = a.node GROUP BY a.top),
-way(cat, seq, node, most) AS (SELECT cat, 0, hill, x.steps - y.steps FROM tops JOIN fds x ON x.node = hill JOIN fds y ON y.node = cat UNION ALL SELECT cat, seq + 1, n.recv, most FROM way JOIN nodes n USING (node) WHERE seq < most AND n.recv <> n.node),
-prof AS (SELECT w.cat, seq, w.node, f.z, CASE WHEN seq < most THEN CASE flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END * power(1000.0 / ncontrib, 0.525) ELSE 0 END AS term FROM way w JOIN full_ f USING (node)),
-chi AS (SELECT *, sum(term) OVER (PARTITION BY cat ORDER BY seq DESC) AS s FROM prof)""" + split_sql("chi", 3) + """, pick AS (SELECT cat, arg_max(seq, (score, -seq)) AS seq FROM t GROUP BY cat), hd AS (SELECT DISTINCT chi.node FROM pick JOIN chi USING (cat, seq) JOIN nodes n ON n.node = chi.node WHERE n.recv <> n.node)"""
-
-
-@query("ch7_first_order_heads", sql(NODES + HEADS + " SELECT n.node, n.r, n.c FROM hd JOIN nodes n USING (node) WHERE NOT EXISTS (SELECT 1 FROM anc a JOIN hd g ON g.node = a.node WHERE a.top = hd.node AND a.node <> hd.node)", "cells", recursive=True))
+@query("ch7_first_order_heads", sql(NODES + heads_sql(AT_SOURCE, BEST_SPLIT), "cells", recursive=True))
 def ch7(spark, d):
     return H.first_order_heads(routed(spark, d), 10, 3)
 
