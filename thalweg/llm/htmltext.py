@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, Spread, limit_batches
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 512 << 10
 #: Hosts of more than one group that are broadcast; beyond, they are joined by exchange.
 BROADCAST_HOSTS = 50_000
 #: A recurring run is boilerplate from this many blocks or characters on.
@@ -43,7 +43,8 @@ RUN_CHARS = 30
 #: A recurring string is boilerplate from this many tokens on, wherever it begins (a power of two).
 RUN_WORDS = 32
 
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|template|noscript|iframe|svg|select|button|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|template|noscript|iframe|svg|select|button|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>",
+    re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose ends matter; all others only part blocks.
@@ -56,13 +57,16 @@ PARTS = frozenset("address header".split())
 NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|complementary|consent|contentinfo|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation"
-    r"|newsletter|notice|pagination|popup|promo|promoted|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+    r"|newsletter|notice|pagination|popup|promo|promoted|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
+        re.I)
 OPEN, CONTENT, AWAY = 0, 1, 2
 
 
 def _named(attributes: str) -> bool:
     """Do the names say furniture? `has-sidebar` and the like speak of a layout, not of the element."""
-    return any(WORDS.search(x) for a, b, c in NAMED.findall(attributes) for x in (a or b or c).split() if not x.lower().startswith(("has-", "with-", "no-", "without-")))
+    return any(WORDS.search(x) for a, b,
+        c in NAMED.findall(attributes) for x in (a or b or c).split() if not x.lower().startswith(
+            ("has-", "with-", "no-", "without-")))
 
 
 def _main_role(attributes: str) -> bool:
@@ -128,7 +132,8 @@ def _blocks(page: str | None, trust_names: bool) -> list[tuple[str, int]]:
         elif name == "article" or attributes and _main_role(attributes):
             bars = named
             state = AWAY if named or any(x for _, _, x in stack) else CONTENT
-        elif name in FURNITURE and not (state == CONTENT and name in PARTS and not named) or named and state != CONTENT or named and name != "section":
+        elif name in FURNITURE and not (
+            state == CONTENT and name in PARTS and not named) or named and state != CONTENT or named and name != "section":
             bars = name in FURNITURE and name not in WRAPS or named and trust_names
             state = AWAY
         stack.append((name, state, bars))
@@ -284,7 +289,8 @@ def window_hashes(host: str, tokens: list[str]) -> np.ndarray:
     """A hash of each window of RUN_WORDS tokens."""
     memo: dict[str, int] = {}
     first = xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass"))
-    h = np.array([memo.get(w) or memo.setdefault(w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), first)) for w in tokens], np.uint64)
+    h = np.array([memo.get(w) or memo.setdefault(
+            w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), first)) for w in tokens], np.uint64)
     k = 1
     while k < RUN_WORDS:
         if len(h) <= k:
@@ -347,7 +353,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = blocks(h.as_py())
             bodies.append("\n".join(x for x, _ in got))
             states.append(bytes(s for _, s in got))
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bodies, pa.string()), pa.array(states, pa.binary())], names=["page_id", "url", "host", "body", "states"])
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns[:3], pa.array(bodies, pa.string()), pa.array(states, pa.binary())],
+            names=["page_id", "url", "host", "body", "states"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,14 +377,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 note(h, group if open_ and OPEN in left[i:i + n] else None, page)
             for h in window_hashes(host, words_of(stream)).tolist():
                 note(h, group if open_ else None, page)
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([lo for lo, _ in seen.values()], pa.int64()), pa.array([hi for _, hi in seen.values()], pa.int64()), pa.array([g for _, g in seen], pa.string())], names=["run", "lo", "hi", "group"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([h for h, _ in seen], pa.int64()), pa.array([lo for lo, _ in seen.values()], pa.int64()),
+                pa.array([hi for _, hi in seen.values()], pa.int64()), pa.array([g for _, g in seen], pa.string())],
+            names=["run", "lo", "hi", "group"])
 
 
 def _group(table: pa.Table, runs: pa.Table | None = None) -> pa.Table:
     bodies, states = table.column("body").to_pylist(), table.column("states").to_pylist()
     host = table.column("host")[0].as_py() if table.num_rows else ""
-    texts = main_texts([(b.split("\n") if s else [], s) for b, s in zip(bodies, states, strict=True)], host, frozenset(runs.column("run").to_pylist() if runs else ()))
-    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+    texts = main_texts(
+        [(b.split("\n") if s else [], s) for b, s in zip(bodies, states, strict=True)], host,
+        frozenset(runs.column("run").to_pylist() if runs else ()))
+    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"),
+            "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -397,7 +411,8 @@ def extract(pages: DataFrame) -> DataFrame:
     out = "page_id long, url string, text string, n_chars long"
     if not n_hot:
         return dealt.applyInArrow(lambda t: _group(t), out)
-    runs = salted.filter("parts > 1").select(group.alias("group"), "host", "body", "states").mapInArrow(_runs, "run long, lo long, hi long, group string")
+    runs = salted.filter("parts > 1").select(group.alias("group"), "host", "body", "states").mapInArrow(
+        _runs, "run long, lo long, hi long, group string")
     runs = scratch.keep(runs.groupBy("run", "group").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "runs")
     shared = runs.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("run")
     # A run that all of a large host's groups have meets its verdict in parts.
