@@ -42,7 +42,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("ngram_jaccard_join", near_duplicates), ("secret_scans", secret_scan), ("packing", pack)]
+STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("ngram_jaccard_join", near_duplicates),
+    ("secret_scans", secret_scan), ("packing", pack)]
 
 #: The classifier can't be said in SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None

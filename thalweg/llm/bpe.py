@@ -230,7 +230,9 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
                 counts.append(i.count(" ") + 1 if i else 0)
                 sums.append(_hex(i))
                 texts.append(_hex(d))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     limit_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

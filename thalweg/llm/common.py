@@ -144,10 +144,13 @@ class Groups:
         t = df.withColumn("_mark", F.when(marked, F.col(place))).withColumn("_block", F.floor((F.col(place) - 1) / self.most))
         out = t.withColumn(name, F.max("_mark").over(Window.partitionBy(by, "_block").orderBy(place)))
         if self.large is not None:
-            tops = t.join(self.large, F.col(by).eqNullSafe(F.col("_large")), "left_semi").groupBy(F.col(by).alias("_by"), F.col("_block").alias("_b")).agg(F.max("_mark").alias("_top"))
+            tops = t.join(self.large, F.col(by).eqNullSafe(F.col("_large")), "left_semi").groupBy(
+                F.col(by).alias("_by"), F.col("_block").alias("_b")).agg(F.max("_mark").alias("_top"))
             earlier = Window.partitionBy("_by").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
             carried = tops.withColumn("_carried", F.max("_top").over(earlier)).drop("_top")  # a row for each block of a large group
-            out = out.join(F.broadcast(carried), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b")), "left").withColumn(name, F.coalesce(name, "_carried")).drop("_by", "_b", "_carried")
+            out = out.join(
+                F.broadcast(carried), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b")),
+                "left").withColumn(name, F.coalesce(name, "_carried")).drop("_by", "_b", "_carried")
         return out.drop("_mark", "_block")
 
 
@@ -175,6 +178,10 @@ def scan(values: Column, op, kind: str = "array<bigint>", block: int = 128) -> C
 
     def blocked(xs: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.size(xs) - 1, F.lit(block)), lambda b: run(F.slice(xs, b + 1, F.lit(block))))
-        return let(parts, lambda p: let(run(F.transform(p, lambda x: F.element_at(x, -1))), lambda ends: F.flatten(F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda v: op(F.get(ends, i - 1), v)))))))
+        return let(parts,
+            lambda p: let(run(F.transform(p, lambda x: F.element_at(x, -1))),
+                lambda ends: F.flatten(
+                F.transform(p, lambda x,
+                        i: F.when(i == 0, x).otherwise(F.transform(x, lambda v: op(F.get(ends, i - 1), v)))))))
 
     return let(values, lambda xs: F.when(F.size(xs) <= 1, xs).when(F.size(xs) <= block, run(xs)).otherwise(blocked(xs)))

@@ -186,7 +186,9 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
+        ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
+        ("near_next", pa.float64())])
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _, k, t, f = held
                 e = edited(t, text)
                 g = f if e == t else fingerprint(e)
-                rows.append((k, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g), likeness(f, print_)))
+                rows.append(
+                    (k, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g),
+                        likeness(f, print_)))
             held = None if guest else (part, key, text, print_)
             if len(rows) >= 500:
                 yield give()
@@ -255,9 +259,11 @@ def with_following(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("int")
     def part_of(o):
-        return o.map(dict(zip(o.unique(), np.searchsorted(cuts, o.unique()).tolist(), strict=True))).astype("int32") if len(o) else o.astype("int32")
+        return o.map(dict(zip(o.unique(), np.searchsorted(cuts, o.unique()).tolist(), strict=True))).astype(
+            "int32") if len(o) else o.astype("int32")
 
-    tops = {r["part"]: r["o"] for r in rows.select("o", part_of("o").alias("part")).groupBy("part").agg(F.max("o").alias("o")).collect()}  # one for each range
+    tops = {r["part"]: r["o"] for r in rows.select("o", part_of("o").alias("part")).groupBy("part").agg(
+        F.max("o").alias("o")).collect()}  # one for each range
     order = sorted(tops, reverse=True)
     taker = {here: order[k - 1] for k, here in enumerate(order)}  # the part before, in falling order; the last takes the first's
 
@@ -267,13 +273,15 @@ def with_following(docs: DataFrame) -> DataFrame:
         return o.__class__([[p, taker[p]] if tops[p] == x else [p] for p, x in zip(parts, o.tolist(), strict=True)], dtype=object)
 
     both = rows.select(F.posexplode(parts_of("o")).alias("copy", "part"), "key", "text", "o").withColumn("guest", F.col("copy") == 1)
-    return both.repartition(ranges, "part").sortWithinPartitions("part", "guest", F.desc("o"), F.xxhash64("text"), "text").select("part", "key", "text", "guest")
+    return both.repartition(ranges, "part").sortWithinPartitions(
+        "part", "guest", F.desc("o"), F.xxhash64("text"), "text").select("part", "key", "text", "guest")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns: fingerprints of every text and of its edited text, and their likeness."""
     limit_batches(docs.sparkSession)
-    return with_following(docs).mapInArrow(_stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_following(docs).mapInArrow(
+        _stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -63,7 +63,9 @@ def marks(words: list[str], distinct: int, symbols: int) -> list[int]:
     n = len(words)
     again = sum(map(eq, words, words[1:]))
     step = lambda x: min(8, int(20 * x / max(1, n)))
-    return [_bucket(f"\\x00{k}{v}") for k, v in (("n", min(n, 1 << 14).bit_length() if n < 16 else 5), ("again", step(again)), ("symbol", step(symbols)), ("distinct", min(9, 10 * distinct // max(1, n)) if n < 400 else 10))]
+    return [_bucket(f"\\x00{k}{v}") for k,
+        v in (("n", min(n, 1 << 14).bit_length() if n < 16 else 5), ("again", step(again)), ("symbol", step(symbols)),
+            ("distinct", min(9, 10 * distinct // max(1, n)) if n < 400 else 10))]
 
 
 def split(text: str) -> tuple[list[str], set[str], list[int]]:
@@ -152,23 +154,31 @@ def features(text: str) -> tuple[int, np.ndarray, np.ndarray]:
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [features(t.as_py() or "") for t in b.column(2)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _, _ in got], pa.int32()), pa.array([f for _, f, _ in got], pa.list_(pa.int32())), pa.array([c for _, _, c in got], pa.list_(pa.int32()))], names=["id", "grade", "n", "f", "c"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array([n for n, _, _ in got], pa.int32()),
+                pa.array([f for _, f, _ in got], pa.list_(pa.int32())),
+                pa.array([c for _, _, c in got], pa.list_(pa.int32()))], names=["id", "grade", "n", "f", "c"])
 
 
 def graded(labels: DataFrame) -> DataFrame:
     """(doc_id, grade) of the labelled rows."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
-    return labels.filter(F.col("toxic").isNotNull() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), grade.alias("_grade"))
+    return labels.filter(
+        F.col("toxic").isNotNull() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").alias("_id"), grade.alias("_grade"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     chosen = graded(labels).orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
     limit_batches(docs.sparkSession)
     # The broadcast side has at most `sample` rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_grade", "text").mapInArrow(_training, "id long, grade int, n int, f array<int>, c array<int>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
+        "_id", "_grade", "text").mapInArrow(_training, "id long, grade int, n int, f array<int>, c array<int>")
     # In one order, so that the sums, and so the model, are the same every time.
     got = rows.orderBy("id", "grade", "n", F.xxhash64("f")).select("grade", "n", "f", "c").toArrow()
-    flat = lambda k: np.concatenate([x.values.to_numpy()[x.offsets[0].as_py():x.offsets[-1].as_py()] for x in got.column(k).chunks] or [np.empty(0, np.int32)])
+    flat = lambda k: np.concatenate(
+        [x.values.to_numpy()[x.offsets[0].as_py():x.offsets[-1].as_py()] for x in got.column(k).chunks] or [np.empty(
+            0, np.int32)])
     lengths = got.column(2).combine_chunks().value_lengths().to_numpy() if got.num_rows else np.empty(0, np.int32)
     return fit(got.column(0).to_numpy(), got.column(1).to_numpy(), lengths, flat(2), flat(3))
 

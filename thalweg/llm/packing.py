@@ -74,7 +74,10 @@ def _plain(spec: dict) -> bool:
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
         return False
-    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+    if model.get("type") != "BPE" or any(
+        model.get(k) for k in (
+            "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback",
+            "ignore_merges")):
         return False
     merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
     made = [model["vocab"].get(a + b, -1) for a, b in merges]

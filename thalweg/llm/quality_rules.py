@@ -36,14 +36,24 @@ def mask(policy: str, version: int) -> int:
 def _repeat_words(w: Column) -> Column:
     """Words inside a WINDOW-word run that occurs twice or more, each counted once."""
     hashes = F.transform(w, lambda x: F.xxhash64(x))
-    windows = let(hashes, lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW)))), 1, F.size(h) - (WINDOW - 1)))
+    windows = let(hashes,
+        lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW)))), 1,
+            F.size(h) - (WINDOW - 1)))
 
     def starts(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         twin = lambda s, j, e: F.coalesce(F.get(s, j)["h"] == e["h"], F.lit(False))
-        return let(pairs, lambda s: F.array_sort(F.array_remove(F.transform(s, lambda e, j: F.when(twin(s, j - 1, e) | twin(s, j + 1, e), e["i"]).otherwise(F.lit(-1))), -1)))
-
-    covered = lambda h: let(starts(h), lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x))
+        return let(pairs,
+            lambda s: F.array_sort(
+                F.array_remove(F.transform(
+                        s, lambda e, j: F.when(twin(s, j - 1, e) | twin(s, j + 1, e), e["i"]).otherwise(F.lit(-1))),
+                    -1)))
+
+    covered = lambda h: let(
+        starts(h), lambda p: F.aggregate(
+            F.transform(p, lambda x,
+                j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))).cast("long")),
+            F.lit(0).cast("long"), lambda a, x: a + x))
     some = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
     return F.when(F.size(w) < WINDOW, F.lit(0).cast("long")).otherwise(some)
 
@@ -108,7 +118,9 @@ def ablations(book: DataFrame, policy: str = "standard", version: int = 1) -> Da
         one = 1 << RULES.index(r)
         counts += [F.count_if(bits.bitwiseAND(F.lit(one)) != 0).alias(f"f_{r}"), F.count_if(bits == one).alias(f"o_{r}")]
     wide = book.agg(*counts)
-    rows = [F.struct(F.lit(r).alias("rule"), F.col(f"f_{r}").alias("n_failed"), F.col(f"o_{r}").alias("n_only"), (F.col("kept") + F.col(f"o_{r}")).alias("n_kept_without")) for r in used]
+    rows = [F.struct(
+        F.lit(r).alias("rule"), F.col(f"f_{r}").alias("n_failed"), F.col(f"o_{r}").alias("n_only"),
+        (F.col("kept") + F.col(f"o_{r}")).alias("n_kept_without")) for r in used]
     return wide.select(F.inline(F.array(*rows)))
 
 
@@ -118,7 +130,8 @@ def digest(docs: DataFrame) -> DataFrame:
     base = m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"]
     return ledger(docs.select("doc_id", "text")).select(
         "doc_id", *(c.alias(n) for c, n in zip(base, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), strict=True)),
-        (~passes(F.col("ql_failed"), "base", 1)).alias("base_failed"), passes(F.col("ql_failed")).alias("kept"), F.col("ql_failed").alias("failed_bits"),
+        (~passes(F.col("ql_failed"), "base", 1)).alias("base_failed"), passes(F.col("ql_failed")).alias("kept"),
+            F.col("ql_failed").alias("failed_bits"),
     )
 
 

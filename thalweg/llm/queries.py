@@ -58,7 +58,9 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op2_warc_zstd, op3_quality_classifier, op4_ngram_jaccard_join, op5_quality_rules, op6_quotation_linking, op7_html_extraction, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
+    return {f.__name__: f for f in (
+        op1_document_fingerprints, op2_warc_zstd, op3_quality_classifier, op4_ngram_jaccard_join, op5_quality_rules,
+        op6_quotation_linking, op7_html_extraction, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
 
 
 def oracle_sql() -> dict[str, str]:

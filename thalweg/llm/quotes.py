@@ -59,7 +59,9 @@ def passages(parsed: Column) -> Column:
 
 def unquoted(parsed: Column) -> Column:
     """What the message says itself, without blank edges."""
-    own = F.filter(parsed, lambda x, i: (x["level"] == 0) & ~(F.btrim(x["content"]).rlike(INTRODUCES) & (F.coalesce(F.get(parsed, i + 1)["level"], F.lit(0)) > 0)))
+    own = F.filter(parsed, lambda x,
+        i: (x["level"] == 0) & ~(F.btrim(x["content"]).rlike(
+            INTRODUCES) & (F.coalesce(F.get(parsed, i + 1)["level"], F.lit(0)) > 0)))
     return F.btrim(F.array_join(F.transform(own, lambda x: x["content"]), "\n"), F.lit(" \t\r\n"))
 
 
@@ -85,37 +87,49 @@ def sources(far: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
     known = far.join(who, F.col("h") == F.col("wh")).filter(other)
     best = F.max("whole").over(Window.partitionBy("conv_id", "pos", "k"))  # a passage's units
     lines = known.withColumn("best", best).filter("whole = best").groupBy("conv_id", "pos", "h", "convs").agg(F.sum("n").alias("n"))
-    sets = lines.groupBy("conv_id", "pos").agg(F.sum("n").alias("n_far"), F.sort_array(F.collect_list(F.struct((-F.col("convs")).alias("c"), "h", "n"))).alias("set"))
+    sets = lines.groupBy("conv_id", "pos").agg(
+        F.sum("n").alias("n_far"),
+        F.sort_array(F.collect_list(F.struct((-F.col("convs")).alias("c"), "h", "n"))).alias("set"))
     sets = scratch.keep(sets.withColumn("sig", F.xxhash64("set")), "quoted")
-    asked = scratch.keep(sets.dropDuplicates(["sig"]).select("sig", F.posexplode("set").alias("k", "x")).select("sig", "k", "x.h", "x.n"), "asked")
+    asked = scratch.keep(
+        sets.dropDuplicates(["sig"]).select("sig", F.posexplode("set").alias("k", "x")).select(
+            "sig", "k", "x.h", "x.n"), "asked")
     told = told.join(asked.select("h").distinct(), "h", "left_semi")
     kinds = told.groupBy("src").agg(F.xxhash64(F.sort_array(F.collect_list("h"))).alias("kind"))
     told = scratch.keep(told.join(_first_two(kinds, "kind", "src").select("src"), "src", "left_semi").select("src", "h"), "told")
     top = asked.filter("k = 0").select("sig", F.col("h").alias("th"), F.col("n").alias("tn"))
     rest = asked.filter("k > 0").join(told, "h").groupBy("sig", "src").agg(F.sum("n").alias("n")).join(top, "sig")
     also = told.select(F.col("src").alias("s2"), F.col("h").alias("h2"))
-    rest = rest.join(also, (F.col("src") == F.col("s2")) & (F.col("th") == F.col("h2")), "left").select("sig", "src", (F.col("n") + F.when(F.col("s2").isNotNull(), F.col("tn")).otherwise(0)).alias("n"))
+    rest = rest.join(also, (F.col("src") == F.col("s2")) & (F.col("th") == F.col("h2")), "left").select(
+        "sig", "src", (F.col("n") + F.when(F.col("s2").isNotNull(), F.col("tn")).otherwise(0)).alias("n"))
     alone = top.join(_first_two(told, "h", "src"), F.col("th") == F.col("h")).select("sig", "src", F.col("tn").alias("n"))
     best = _first_two(rest.unionByName(alone).groupBy("sig", "src").agg(F.max("n").alias("n")), "sig", F.col("n").desc(), "src")
     best = best.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "src"))).alias("two"))
     one, two = (F.get("two", F.lit(k))["src"] for k in (0, 1))
-    return sets.join(best, "sig").select("conv_id", "pos", "n_far", F.when(one.eqNullSafe(F.col("conv_id")), two).otherwise(one).alias("source_conv_id"))
+    return sets.join(best, "sig").select(
+        "conv_id", "pos", "n_far", F.when(one.eqNullSafe(F.col("conv_id")), two).otherwise(one).alias("source_conv_id"))
 
 
 def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, pos, n_quoted, n_linked, parent, source_conv_id): where each quoting message's passages come from."""
     cut = rows.select("conv_id", "pos", F.posexplode(passages(F.col("lines"))).alias("k", "p"))
-    cut = cut.select("conv_id", "pos", "k", "p.level", F.xxhash64(F.array_join("p.lines", " ")).alias("passage"), F.transform("p.lines", lambda x: F.xxhash64(x)).alias("hs"))
+    cut = cut.select(
+        "conv_id", "pos", "k", "p.level", F.xxhash64(F.array_join("p.lines", " ")).alias("passage"),
+        F.transform("p.lines", lambda x: F.xxhash64(x)).alias("hs"))
     said = cut.filter("level = 0").select("conv_id", "pos", F.explode(F.array_distinct(F.concat(F.array("passage"), "hs"))).alias("h"))
     own = scratch.keep(said.groupBy("conv_id", "h").agg(F.min("pos").alias("first")), "own")
     unit = lambda h, whole, n: F.struct(h.alias("h"), F.lit(whole).alias("whole"), n.alias("n"))
     singly = F.when(F.size("hs") > 1, F.transform("hs", lambda h: unit(h, False, F.lit(1)))).otherwise(F.array())
-    units = cut.filter("level > 0").select("conv_id", "pos", "k", "level", F.inline(F.concat(F.array(unit(F.col("passage"), True, F.size("hs"))), singly)))
+    units = cut.filter("level > 0").select(
+        "conv_id", "pos", "k", "level", F.inline(F.concat(F.array(unit(F.col("passage"), True, F.size("hs"))), singly)))
     units = units.groupBy("conv_id", "pos", "k", "level", "whole", "h").agg(F.sum("n").alias("n"))
     o = own.select(F.col("conv_id").alias("oc"), F.col("h").alias("oh"), "first")
-    near = units.join(o, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("h") == F.col("oh")) & (F.col("first") < F.col("pos")), "left").select("conv_id", "pos", "k", "level", "whole", "h", "n", "first")
+    near = units.join(
+        o, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("h") == F.col("oh")) & (F.col("first") < F.col("pos")),
+        "left").select("conv_id", "pos", "k", "level", "whole", "h", "n", "first")
     passage = Window.partitionBy("conv_id", "pos", "k")
-    found = near.withColumn("as_whole", F.max(F.when(F.col("whole"), F.col("first"))).over(passage)).withColumn("any", F.max("first").over(passage)).withColumn("units", F.count("*").over(passage))
+    found = near.withColumn("as_whole", F.max(F.when(F.col("whole"), F.col("first"))).over(passage)).withColumn(
+        "any", F.max("first").over(passage)).withColumn("units", F.count("*").over(passage))
     found = scratch.keep(found, "found")
     votes = found.filter("CASE WHEN as_whole IS NOT NULL OR units = 1 THEN whole ELSE NOT whole END")
     per = votes.groupBy("conv_id", "pos", "first").agg(F.min("level").alias("level"), F.sum("n").alias("n"))
@@ -126,7 +140,9 @@ def links(rows: DataFrame, scratch: Scratch) -> DataFrame:
     far = sources(away.select("conv_id", "pos", "k", "whole", "h", "n"), own, scratch)
     f = far.select(F.col("conv_id").alias("sc"), F.col("pos").alias("sp"), "n_far", "source_conv_id")
     best = best.join(f, F.col("conv_id").eqNullSafe(F.col("sc")) & (F.col("pos") == F.col("sp")), "left")
-    return best.select("conv_id", "pos", "n_quoted", (F.col("n_near") + F.coalesce("n_far", F.lit(0))).alias("n_linked"), F.col("top.first").alias("parent"), "source_conv_id")
+    return best.select(
+        "conv_id", "pos", "n_quoted", (F.col("n_near") + F.coalesce("n_far", F.lit(0))).alias("n_linked"),
+        F.col("top.first").alias("parent"), "source_conv_id")
 
 
 def _paths(runs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -136,7 +152,10 @@ def _paths(runs: DataFrame, scratch: Scratch) -> DataFrame:
     while cur.filter("up IS NOT NULL").limit(1).count():
         above = cur.select(F.col("conv_id").alias("c2"), F.col("run").alias("r2"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         joined = cur.join(above, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("r2")), "left")
-        done, cur = cur, scratch.keep(joined.select("conv_id", "run", F.col("up2").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")), "runs")
+        done, cur = cur, scratch.keep(
+            joined.select("conv_id", "run", F.col("up2").alias("up"),
+                F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")),
+            "runs")
         scratch.drop(done)
     return cur.drop("up")
 
@@ -149,15 +168,23 @@ def ordered(conversations: DataFrame) -> DataFrame:
     found = links(rows, scratch)
     f = found.select(F.col("conv_id").alias("fc"), F.col("pos").alias("fp"), "n_quoted", "n_linked", "parent", "source_conv_id")
     linked = rows.join(f, F.col("conv_id").eqNullSafe(F.col("fc")) & (F.col("pos") == F.col("fp")), "left")
-    linked = linked.select("conv_id", "pos", "turn", "role", unquoted(F.col("lines")).alias("text"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent", "source_conv_id")
+    linked = linked.select(
+        "conv_id", "pos", "turn", "role", unquoted(F.col("lines")).alias("text"),
+        F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+        "parent", "source_conv_id")
     starts = (F.col("pos") == 1) | (F.col("parent") < F.col("pos") - 1)
     msgs = scratch.keep(groups.last_marked(linked, "pos", F.coalesce(starts, F.lit(False)), "run"), "messages")
     heads = msgs.filter("run = pos").select("conv_id", "run", F.when(F.col("pos") > 1, F.col("parent")).alias("parent"))
     place = msgs.select(F.col("conv_id").alias("pc"), F.col("pos").alias("pp"), F.col("run").alias("up"), F.col("turn").alias("parent_turn"))
-    runs = heads.join(place, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("parent") == F.col("pp")), "left").select("conv_id", "run", "parent", "up")
+    runs = heads.join(
+        place, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("parent") == F.col("pp")), "left").select(
+        "conv_id", "run", "parent", "up")
     paths = _paths(runs, scratch).select(F.col("conv_id").alias("xc"), F.col("run").alias("xr"), "path")
     out = msgs.join(paths, F.col("conv_id").eqNullSafe(F.col("xc")) & (F.col("run") == F.col("xr")))
     answers = F.when(F.col("pos") > 1, F.coalesce("parent", F.col("pos") - 1))
     out = out.withColumn("answers", answers).join(place, F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("answers") == F.col("pp")), "left")
     out = groups.numbered(out.drop("pc", "pp", "up", "xc", "xr"), [F.col("path"), F.col("pos")], "reply_order")
-    return out.select("conv_id", F.col("reply_order").cast("long").alias("reply_order"), "turn", "role", F.col("parent_turn").alias("reply_to"), F.col("n_quoted").cast("long").alias("n_quoted"), F.col("n_linked").cast("long").alias("n_linked"), "source_conv_id", "text")
+    return out.select(
+        "conv_id", F.col("reply_order").cast("long").alias("reply_order"), "turn", "role",
+        F.col("parent_turn").alias("reply_to"), F.col("n_quoted").cast("long").alias("n_quoted"),
+        F.col("n_linked").cast("long").alias("n_linked"), "source_conv_id", "text")

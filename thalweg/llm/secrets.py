@@ -25,9 +25,12 @@ KINDS = {
     "assign": (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, "secret"),
     "access": (r"AKIA[A-Z0-9]{12,}", None, 0, "access"),
     "hex": (r"[0-9a-f]{32,}", None, 0, "secret"),
-    "weak_id": (r"\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})", None, 0, "access"),
-    "weak_secret": (r"\b(?i:pass|pwd|auth|credentials?|private_?key|key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,})", None, 0, "secret"),
-    "endpoint": (r"\b(?i:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|amqps?|mongodb|s3|ftp)://[A-Za-z0-9._~:@%/?&=+-]{3,}|\b(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}(?::[0-9]{1,5})?", None, 0, "endpoint"),
+    "weak_id": (r"\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})",
+            None, 0, "access"),
+    "weak_secret": (r"\b(?i:pass|pwd|auth|credentials?|private_?key|key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=!@#$%^&*-]{6,})",
+            None, 0, "secret"),
+    "endpoint": (r"\b(?i:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|redis|amqps?|mongodb|s3|ftp)://[A-Za-z0-9._~:@%/?&=+-]{3,}|\b(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}(?::[0-9]{1,5})?",
+            None, 0, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
 NAMES = tuple(KINDS)
@@ -43,7 +46,10 @@ def find(text: Column, kind: str) -> Column:
 
     def placed(h: Column) -> Column:
         sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(h)), h, lambda a, b: (F.length(a) + F.length(b)).cast("long"))
-        return let(scan(sizes, lambda a, b: a + b), lambda ends: F.zip_with(h, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), F.lit(number).alias("ord"), e.alias("end"))))
+        return let(scan(sizes, lambda a, b: a + b),
+            lambda ends: F.zip_with(
+                h, ends, lambda x, e: F.struct(
+                (e - F.length(x)).alias("start"), F.lit(number).alias("ord"), e.alias("end"))))
 
     spans = let(hits, placed)
     if group:
@@ -88,7 +94,8 @@ def link(docs: DataFrame) -> DataFrame:
         near = {r: (x["p"]["start"] - x["b"][r] <= SCOPE) | (x["f"][r] - x["p"]["end"] <= SCOPE) for r in ROLES}
         backed = near["base"] | near["endpoint"]
         kind = lambda k: x["p"]["ord"] == NAMES.index(k)
-        return (kind("weak_id") & near["secret"] & backed) | (kind("weak_secret") & near["access"] & backed) | (kind("endpoint") & near["access"] & near["secret"])
+        return (kind("weak_id") & near["secret"] & backed) | (kind("weak_secret") & near["access"] & backed) | (kind(
+                "endpoint") & near["access"] & near["secret"])
 
     linked = F.transform(F.filter("sec_zip", complete), lambda x: x["p"])
     out = out.withColumn("sec_zip", zipped).withColumn("sec_all", F.array_sort(F.concat("sec_base", linked)))
@@ -117,7 +124,12 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by MARK."""
     def body(s: Column) -> Column:
         return let(scan(F.transform(s, lambda x: x["end"]), F.greatest), lambda top: F.concat(
-            F.concat_ws("", F.transform(s, lambda x, i: let(F.coalesce(F.get(top, i - 1), F.lit(0).cast("long")), lambda at: F.when((i > 0) & (x["start"] < at), F.lit("")).otherwise(F.concat(F.substring(text, (at + 1).cast("int"), (x["start"] - at).cast("int")), F.lit(MARK)))))),
+            F.concat_ws(
+                "", F.transform(s, lambda x,
+                    i: let(F.coalesce(F.get(top, i - 1), F.lit(0).cast("long")),
+                            lambda at: F.when((i > 0) & (x["start"] < at), F.lit("")).otherwise(
+                            F.concat(F.substring(text, (at + 1).cast("int"), (x["start"] - at).cast("int")),
+                                    F.lit(MARK)))))),
             F.substring(text, (F.element_at(top, -1) + 1).cast("int"), F.length(text)),
         ))
 
@@ -140,4 +152,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """The query's columns."""
     found = scan_texts(docs.select("doc_id", "text"))
     count = lambda k: F.size(F.filter("sec_base", lambda s: s["ord"] == NAMES.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(written(F.col("sec_base")).cast("binary"), 256).alias("base_sha256"), written(F.col("sec_all")).alias("spans"))
+    return found.select(
+        "doc_id", *(count(k) for k in BASE),
+        F.sha2(written(F.col("sec_base")).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("sec_all")).alias("spans"))

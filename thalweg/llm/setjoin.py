@@ -184,7 +184,10 @@ def signature_rows(docs: DataFrame, words: int, percent: int, rows: int) -> Data
 
             def give() -> pa.RecordBatch:
                 sig = np.concatenate([_signed(np.array(whole, U64)), *map(_signed, sigs)])
-                doc = pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(np.repeat([d for d, _ in owners], [c for _, c in owners]) if owners else [], pa.int64())])
+                doc = pa.concat_arrays(
+                    [pa.array(ids, pa.int64()),
+                        pa.array(np.repeat([d for d, _ in owners], [c for _, c in owners]) if owners else [],
+                            pa.int64())])
                 n = pa.concat_arrays([pa.array(sizes, pa.int32()), pa.nulls(len(sig) - len(sizes), pa.int32())])
                 for x in (sigs, owners, whole, ids, sizes):
                     x.clear()
@@ -223,7 +226,11 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sets = [shingles(t.as_py(), words) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int32()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))], names=["doc", "n", "cells", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(map(len, sets), pa.int32()),
+                        pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                        pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))],
+                    names=["doc", "n", "cells", "tokens"])
 
     limit_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc long, n int, cells array<bigint>, tokens array<bigint>")
@@ -270,7 +277,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         around = spread.meet(both, cur.select(F.col("doc").alias("other"), "comp")).groupBy("doc").agg(F.min("comp").alias("near"))
         low = cur.join(around, "doc").select("doc", "comp", F.least("comp", "near").alias("low"))
         upper = cur.select(F.col("doc").alias("low"), F.col("comp").alias("top"))
-        new = scratch.keep(low.join(upper, "low", "left").select("doc", F.least("low", "top").alias("comp"), (F.least("low", "top") < F.col("comp")).alias("moved")), "labels")
+        new = scratch.keep(
+            low.join(upper, "low", "left").select(
+                "doc", F.least("low", "top").alias("comp"), (F.least("low", "top") < F.col("comp")).alias("moved")),
+            "labels")
         scratch.drop(cur)
         moved = bool(new.filter("moved").limit(1).count())
         cur = new.drop("moved")
@@ -306,11 +316,13 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     comps = components(links, scratch)
 
     def with_class(members: DataFrame) -> DataFrame:
-        return members.join(comps.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").withColumn("comp", F.coalesce("comp", "doc")).drop("_d")
+        return members.join(comps.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").withColumn(
+            "comp", F.coalesce("comp", "doc")).drop("_d")
 
     for across in (False, True):
         labelled = with_class(shared)
-        split = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc").alias("one")).filter("low < high")
+        split = labelled.groupBy("sig").agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("doc").alias("one")).filter("low < high")
         left = scratch.keep(labelled.drop("first").join(split, "sig").select("sig", "doc", "comp", "low", "one"), "split")
         if not left.limit(1).count():
             break
@@ -319,19 +331,29 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             # The sketches are part of the join's condition: what it gives are pairs that are almost certainly similar.
             known = sets.select(F.col("doc").alias("_d"), "n", "cells")
             held = scratch.keep(left.join(known, F.col("doc") == F.col("_d")).select("sig", "doc", "comp", "low", "n", "cells"), "held")
-            out = held.filter("comp > low").select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
-            other = held.select(F.col("sig").alias("sig_b"), F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
-            pairs = out.join(other, (F.col("sig") == F.col("sig_b")) & (F.col("ca") > F.col("cb")) & maybe_similar(percent)).select("a", "b").distinct()
+            out = held.filter("comp > low").select(
+                "sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n_a"),
+                F.col("cells").alias("cells_a"))
+            other = held.select(
+                F.col("sig").alias("sig_b"), F.col("doc").alias("b"), F.col("comp").alias("cb"),
+                F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
+            pairs = out.join(
+                other, (F.col("sig") == F.col("sig_b")) & (F.col("ca") > F.col("cb")) & maybe_similar(percent)).select(
+                "a", "b").distinct()
             pairs = scratch.keep(pairs, "pairs")
             found = scratch.keep(verified(pairs, Spread(pairs, "b", "a"), sets, percent), "links")
         else:
             firsts = left.groupBy("sig", "comp").agg(F.min("doc").alias("a"))  # one of each class
-            found = tried(firsts.join(split.select("sig", F.col("low"), "one"), "sig").filter("comp > low AND a <> one").select("a", F.col("one").alias("b")).distinct())
+            found = tried(
+                firsts.join(split.select("sig", F.col("low"), "one"), "sig").filter("comp > low AND a <> one").select(
+                    "a", F.col("one").alias("b")).distinct())
         if found.limit(1).count():
             links = links.union(found)
             comps = components(links, scratch)
     c = comps.select(F.col("doc").alias("_d"), "comp")
-    return info.join(c, F.col("doc") == F.col("_d"), "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))
+    return info.join(c, F.col("doc") == F.col("_d"), "left").select(
+        F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("comp", "doc").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -62,9 +62,12 @@ def header(fields: list[tuple[str, str]]) -> bytes:
 
 def record(key: str, kind: str, refers: str | None, uri: str, digest: bytes, payload: bytes, length: int) -> bytes:
     """One WARC record; a revisit has no block."""
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:thalweg:record:{key}>"), ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Target-URI", uri or "about:blank"), ("WARC-Payload-Digest", f"sha1:{_b32(digest)}")]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:thalweg:record:{key}>"),
+        ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Target-URI", uri or "about:blank"),
+        ("WARC-Payload-Digest", f"sha1:{_b32(digest)}")]
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:thalweg:record:{refers}>"), ("X-Payload-Length", str(length))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", f"<urn:thalweg:record:{refers}>"), ("X-Payload-Length", str(length))]
         payload = b""
     fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
     return header(fields) + payload + b"\r\n\r\n"
@@ -103,7 +106,8 @@ def unchunked(body: bytes) -> bytes | None:
 
 def payload_of(head: dict[str, str], block: bytes) -> bytes:
     """What a record's block carries: an HTTP message's body, else the whole block."""
-    if not head.get("content-type", "").lower().replace(" ", "").startswith("application/http") or head["warc-type"] not in ("response", "request", "revisit"):
+    if not head.get("content-type", "").lower().replace(" ", "").startswith(
+        "application/http") or head["warc-type"] not in ("response", "request", "revisit"):
         return block
     top, _, body = block.partition(b"\r\n\r\n")
     if b"transfer-encoding: chunked" in top.lower() and (plain := unchunked(body)) is not None:
@@ -170,7 +174,9 @@ def read_archive(content: bytes, name: str = "archive") -> Iterator[tuple[dict[s
         if magic != FRAME_MAGIC:
             raise ValueError(f"{name}: no frame at {at}")
         if tool is None:
-            tool = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(given) if given and given[:4] == b"\x37\xa4\x30\xec" else _dictionary(given) if given else None)
+            tool = zstandard.ZstdDecompressor(
+                dict_data=zstandard.ZstdCompressionDict(
+                    given) if given and given[:4] == b"\x37\xa4\x30\xec" else _dictionary(given) if given else None)
         work, parts, start = tool.decompressobj(), [], at
         while not work.eof:
             if at >= total:
@@ -202,12 +208,16 @@ def plan_records(pages: DataFrame, key: str = "page_id", uri: str = "url", paylo
     no hot task.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(uri, F.lit("")).alias("uri"), body.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
+    rows = pages.select(
+        F.col(key).cast("long").alias("key"), F.coalesce(uri, F.lit("")).alias("uri"),
+        body.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     ids = rows.filter(F.octet_length("payload") >= MIN_REVISIT).select("key", "digest")
-    shared = ids.groupBy("digest").agg(F.max("key").alias("refers"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("refers").isNotNull()).drop("n")
+    shared = ids.groupBy("digest").agg(F.max("key").alias("refers"), F.count("*").alias("n")).filter(
+        (F.col("n") > 1) & F.col("refers").isNotNull()).drop("n")
     revisits = ids.join(shared, "digest").filter(~F.col("key").eqNullSafe(F.col("refers"))).distinct()
     theirs = revisits.select(F.col("key").alias("k2"), F.col("digest").alias("d2"), "refers")
-    return rows.join(theirs, F.col("key").eqNullSafe(F.col("k2")) & (F.col("digest") == F.col("d2")), "left").select("key", "uri", "payload", "refers")
+    return rows.join(theirs, F.col("key").eqNullSafe(F.col("k2")) & (F.col("digest") == F.col("d2")), "left").select(
+        "key", "uri", "payload", "refers")
 
 
 def archives(records: DataFrame, dictionary: bytes = COMMON) -> DataFrame:
@@ -221,7 +231,9 @@ def archives(records: DataFrame, dictionary: bytes = COMMON) -> DataFrame:
 
         def give() -> pa.RecordBatch:
             nonlocal count, size, parts
-            out = pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{count:06d}.warc.zst"]), pa.array([b"".join(parts)], pa.binary())], names=["archive", "content"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([f"{task:06d}-{count:06d}.warc.zst"]), pa.array([b"".join(parts)], pa.binary())],
+                names=["archive", "content"])
             count, size, parts = count + 1, 0, [opening(dictionary)]
             return out
 
@@ -230,7 +242,9 @@ def archives(records: DataFrame, dictionary: bytes = COMMON) -> DataFrame:
                 data, to = payload.as_py(), refers.as_py()
                 name = lambda k: "null" if k is None else str(k)
                 kind = "response" if to is None else "revisit"
-                one = record(name(key.as_py()), kind, name(to), "".join(c if c > " " else "%20" for c in uri.as_py()), hashlib.sha1(data).digest(), data, len(data))
+                one = record(
+                    name(key.as_py()), kind, name(to), "".join(c if c > " " else "%20" for c in uri.as_py()),
+                    hashlib.sha1(data).digest(), data, len(data))
                 parts.append(tool.compress(one))
                 size += len(one)
                 if size >= ARCHIVE_BYTES:
@@ -242,7 +256,9 @@ def archives(records: DataFrame, dictionary: bytes = COMMON) -> DataFrame:
     return records.mapInArrow(run, "archive string, content binary")
 
 
-ROW = pa.schema([("key", pa.int64()), ("record_id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+ROW = pa.schema([("key", pa.int64()), ("record_id", pa.string()), ("uri", pa.string()), ("record_type", pa.string()),
+        ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
 def _stated(head: dict[str, str]) -> tuple[int | None, str | None]:
@@ -296,9 +312,13 @@ def resolved(found: DataFrame) -> DataFrame:
     Responses that very many revisits refer to are met in parts.
     """
     again = found.filter("record_type = 'revisit'").select("key", "refers_to_id", F.col("payload_digest").alias("stated"), "refers_to")
-    there = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), "payload_bytes", "payload_digest").distinct()
-    met = Spread(again, "refers_to_id", "key").meet(again, there, "left").filter("payload_digest IS NULL OR stated IS NULL OR stated = payload_digest")
-    ok = met.select("key", F.lit("revisit").alias("record_type"), "refers_to", F.coalesce("payload_bytes", F.raise_error(F.concat(F.lit("no response "), "refers_to_id")).cast("long")).alias("payload_bytes"), "payload_digest")
+    there = found.filter("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to_id"), "payload_bytes", "payload_digest").distinct()
+    met = Spread(again, "refers_to_id", "key").meet(again, there, "left").filter(
+        "payload_digest IS NULL OR stated IS NULL OR stated = payload_digest")
+    ok = met.select("key", F.lit("revisit").alias("record_type"), "refers_to",
+        F.coalesce("payload_bytes", F.raise_error(F.concat(F.lit("no response "), "refers_to_id")).cast("long")).alias(
+            "payload_bytes"), "payload_digest")
     rest = found.filter("record_type <> 'revisit'").select("key", "record_type", "refers_to", "payload_bytes", "payload_digest")
     return rest.unionByName(ok)
 
