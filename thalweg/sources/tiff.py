@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .raster import Region
+from .raster import Region, warn_unless_square
 
 #: Tags (fixed by the format) that the reader uses.
 WIDTH, LENGTH, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 317
@@ -83,4 +83,6 @@ def read_tiff(spark: SparkSession, path: str) -> tuple[DataFrame, Region]:
 
     files = spark.read.format("binaryFile").load(path).select("content")
     found = files.mapInArrow(region, "west double, north double, ewres double, nsres double, rows long, cols long").first()
-    return files.mapInArrow(cells, "r int, c int, v double"), Region(**found.asDict())
+    where = Region(**found.asDict())
+    warn_unless_square(where)
+    return files.mapInArrow(cells, "r int, c int, v double"), where
