@@ -224,8 +224,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stored_bytes(docs: DataFrame) -> int:
-    """Size by the plan's statistics, which need no scan; by the texts where these say nothing."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the tables behind the plan by their statistics, which need no scan; by the texts where these say nothing."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     if size < 1 << 56:
         return size
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -254,7 +255,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("o", F.coalesce("key", F.lit(-(1 << 63)).cast("long")))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(RANGES_MOST, max(least, -(-_stored_bytes(docs.select("text")) // RANGE_BYTES)))
+    ranges = min(RANGES_MOST, max(least, -(-_stored_bytes(docs) // RANGE_BYTES)))
     cuts = np.array(_cuts(rows.select("o"), ranges), np.int64)
 
     @F.pandas_udf("int")
@@ -273,7 +274,7 @@ def with_following(docs: DataFrame) -> DataFrame:
         return o.__class__([[p, taker[p]] if tops[p] == x else [p] for p, x in zip(parts, o.tolist(), strict=True)], dtype=object)
 
     both = rows.select(F.posexplode(parts_of("o")).alias("copy", "part"), "key", "text", "o").withColumn("guest", F.col("copy") == 1)
-    return both.repartition(ranges, "part").sortWithinPartitions(
+    return both.repartitionById(ranges, F.col("part")).sortWithinPartitions(
         "part", "guest", F.desc("o"), F.xxhash64("text"), "text").select("part", "key", "text", "guest")
 
 
