@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import Endless, drop, fixpoint, keep, walk
+from ..plans.iterate import Endless, drop, fixpoint, keep, together, walk
 
 OUTLET = 0
 
@@ -123,61 +123,54 @@ def strahler(seg: DataFrame) -> DataFrame:
     By tree contraction. A segment with all but one of its donors known is a function of the last one's
     order x, which has the form `low` if x < at, else max(low + 1, x); such functions compose to the same
     form, so chains of them shorten by half each round while known segments are taken in by those below.
-    Rounds grow with the logarithm of the number of segments, however long the chains are.
+    Rounds grow with the logarithm of the number of segments, however long the chains are. A round writes one
+    table of the segments still open and those that have just become known.
     """
     donors = seg.filter(F.col("tostream") != OUTLET).groupBy(F.col("tostream").alias("t")).agg(
         F.count("*").alias("need"), F.sum("cat").alias("left"))
     none = F.lit(None).cast("int")
     cur = keep(seg.join(donors, F.col("cat") == F.col("t"), "left").select(
-        "cat", "tostream", F.coalesce("need", F.lit(0)).cast("int").alias("need"),
-            F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).alias("top"), F.lit(0).alias("times"),
-        F.when(F.col("need").isNull(), 1).alias("ord"), F.lit(None).cast(seg.schema["cat"].dataType).alias("child"),
-                none.alias("at"), none.alias("low"), F.col("need").isNull().alias("fresh")), "order")
-    rounds = 4 * max(2, seg.count().bit_length() + 1)
-    while cur.filter("ord IS NULL").limit(1).count():
+        "cat", "tostream", F.coalesce("need", F.lit(0)).cast("int").alias("need"), F.coalesce("left", F.lit(0)).alias("left"),
+        F.lit(0).alias("top"), F.lit(0).alias("times"), F.when(F.col("need").isNull(), 1).alias("ord"),
+        F.lit(None).cast(seg.schema["cat"].dataType).alias("child"), none.alias("at"), none.alias("low")), "order")
+    rounds, tables = 4 * max(2, seg.count().bit_length() + 1), []
+    while True:
+        tables.append(cur)
+        known = cur.filter("ord IS NOT NULL")
+        done = together(tables).filter("ord IS NOT NULL").select("cat", "ord")
+        if not cur.filter("ord IS NULL").limit(1).count():
+            return done
         if not (rounds := rounds - 1):
             raise InvalidNetwork("the network has a cycle")
         # donors that have just become known, taken in by what they drain into
-        given = cur.filter((F.col("tostream") != OUTLET) & F.col("fresh")).groupBy(
-            F.col("tostream").alias("t"), F.col("ord").alias("o")).agg(
+        given = known.filter(F.col("tostream") != OUTLET).groupBy(F.col("tostream").alias("t"), F.col("ord").alias("o")).agg(
             F.count("*").cast("int").alias("n"), F.sum("cat").alias("ids"))
-        given = given.groupBy("t").agg(F.sum("n").cast("int").alias("came"), F.sum("ids").alias("ids"), F.max(F.struct("o", "n")).alias("m"))
-        t = cur.join(given, F.col("cat") == F.col("t"), "left").withColumn("o", F.col("m.o")).withColumn("n", F.col("m.n"))
-        times = F.when(F.col("o").isNull() | (F.col("o") < F.col("top")), F.col("times")).when(
-            F.col("o") > F.col("top"), F.col("n")).otherwise(F.col("times") + F.col("n"))
-        t = t.withColumn("times", times).withColumn("top", F.greatest("top", F.coalesce("o", F.lit(0)))).withColumn(
-            "need", F.col("need") - F.coalesce("came", F.lit(0))).withColumn(
-            "left", F.col("left") - F.coalesce("ids", F.lit(0)))
-        ready = F.col("ord").isNull() & (F.col("need") == 0)
-        unary = F.col("ord").isNull() & (F.col("need") == 1) & F.col("child").isNull()
-        twice = F.col("times") >= 2
-        t = t.withColumn("was", F.col("ord").isNotNull())
-        t = t.withColumn("low", F.when(unary, F.col("top") + twice.cast("int")).otherwise(F.col("low")))
-        t = t.withColumn("at", F.when(unary, F.col("top") + 2 * twice.cast("int")).otherwise(F.col("at")))
-        t = t.withColumn("child", F.when(unary, F.col("left")).otherwise(F.col("child")))
-        t = t.withColumn("ord", F.when(ready, F.col("top") + twice.cast("int")).otherwise(F.col("ord")))
-        t = keep(t.select("cat", "tostream", "need", "left", "top", "times", "ord", "child", "at", "low", "was"), "order")
-        # functions applied to a known order, or composed with the function of the segment that they wait for
-        c = t.select(
-            F.col("cat").alias("c2"), F.col("ord").alias("o2"), F.col("child").alias("ch2"), F.col("at").alias("at2"),
-            F.col("low").alias("low2")).filter("o2 IS NOT NULL OR ch2 IS NOT NULL")
-        open_ = F.col("ord").isNull() & F.col("child").isNotNull()
-        j = t.filter(open_).join(c, F.col("child") == F.col("c2"), "left")
-        x = F.coalesce("o2", "low2")  # what the composed function gives below its own step
+        given = given.groupBy("t").agg(
+            F.sum("n").cast("int").alias("came"), F.sum("ids").alias("ids"), F.max(F.struct("o", "n")).alias("m"))
+        # what the segment that a function waits for has become: known, or a function itself
+        c = done.select(F.col("cat").alias("c2"), F.col("ord").alias("o2")).unionByName(cur.filter("ord IS NULL AND child IS NOT NULL").select(
+            F.col("cat").alias("c2"), F.col("child").alias("ch2"), F.col("at").alias("at2"), F.col("low").alias("low2")), allowMissingColumns=True)
+        t = cur.filter("ord IS NULL").join(given, F.col("cat") == F.col("t"), "left").join(c, F.col("child") == F.col("c2"), "left")
+        o, n = F.col("m.o"), F.col("m.n")
+        times = F.when(o.isNull() | (o < F.col("top")), F.col("times")).when(o > F.col("top"), n).otherwise(F.col("times") + n)
+        t = t.withColumns({"times": times, "top": F.greatest("top", F.coalesce(o, F.lit(0))),
+            "need": F.col("need") - F.coalesce("came", F.lit(0)), "left": F.col("left") - F.coalesce("ids", F.lit(0))})
+        twice = (F.col("times") >= 2).cast("int")
+        waits = F.col("child").isNotNull()
+        x = F.coalesce("o2", "low2")  # what a composed function gives below its own step
         value = F.when(x < F.col("at"), F.col("low")).otherwise(F.greatest(F.col("low") + 1, x))
-        known, both = F.col("o2").isNotNull(), F.col("ch2").isNotNull() & F.col("o2").isNull()
         above = F.col("low2") + 1  # the inner function gives max(above, x) from at2 on
         step_at = F.when(above < F.col("at"), F.col("at")).when(
             (F.col("low2") >= F.col("at")) & (F.col("low2") <= F.col("low")), value + 1).otherwise(F.col("at2"))
-        j = j.select(
-            "cat", "tostream", "need", "left", "top", "times", F.when(known, value).alias("ord"),
-            F.when(both, F.col("ch2")).otherwise(F.col("child")).alias("child"),
-                     F.when(both, step_at).otherwise(F.col("at")).alias("at"), F.when(both, value).otherwise(F.col("low")).alias("low"), "was")
-        nxt = t.filter(~open_).unionByName(j).withColumn("fresh", F.col("ord").isNotNull() & ~F.col("was")).drop("was")
-        done, cur = cur, keep(nxt, "order")
-        drop(done)
-        drop(t)
-    return cur.select("cat", "ord")
+        ord_ = F.when(F.col("need") == 0, F.col("top") + twice).when(waits & F.col("o2").isNotNull(), value)
+        both = waits & F.col("o2").isNull() & F.col("ch2").isNotNull()
+        fresh = ~waits & (F.col("need") == 1)
+        nxt = t.select(
+            "cat", "tostream", "need", "left", "top", "times", ord_.alias("ord"),
+            F.when(both, F.col("ch2")).when(fresh, F.col("left")).otherwise(F.col("child")).alias("child"),
+            F.when(both, step_at).when(fresh, F.col("top") + 2 * twice).otherwise(F.col("at")).alias("at"),
+            F.when(both, value).when(fresh, F.col("top") + twice).otherwise(F.col("low")).alias("low"))
+        cur = keep(nxt, "order")
 
 
 def upstream_sum(seg: DataFrame, value: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +28,12 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Kept tables of one schema as one scan, whose plan doesn't grow with their number."""
+    folders = [f for df in tables for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}]
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*folders)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that keep() gave and that nothing will read again."""
     session = df.sparkSession.sparkContext
@@ -88,7 +93,7 @@ def walk(steps: DataFrame, starts: DataFrame, most: int | None = None) -> DataFr
     reach = 1
     while most is None or reach <= most:
         here = jump.select(F.col("node").alias("n2"), "to", "ends")
-        old = reduce(DataFrame.unionByName, parts).filter(F.col("most").isNull() | (F.col("i") + reach <= F.col("most")))
+        old = together(parts).filter(F.col("most").isNull() | (F.col("i") + reach <= F.col("most")))
         more = keep(old.join(here, F.col("node") == F.col("n2")).select(
                 "start", (F.col("i") + reach).alias("i"), F.col("to").alias("node"), "most"), "walk")
         if not more.limit(1).count():
@@ -102,7 +107,7 @@ def walk(steps: DataFrame, starts: DataFrame, most: int | None = None) -> DataFr
                 "node", F.col("t2").alias("to"), F.col("e2").alias("ends")), "jump")
         drop(done)
         reach *= 2
-    return reduce(DataFrame.unionByName, parts).drop("most")
+    return together(parts).drop("most")
 
 
 def nearest_below(steps: DataFrame, marked: DataFrame) -> DataFrame:
