@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, htmltext, ordinal, packing, quality_rules, quotes, secrets, setjoin, warc
+from . import bpe, collocations, fingerprint, htmltext, infill, ordinal, packing, quality_rules, quotes, secrets, setjoin, urlfilter, warc
 from .common import table
 
 
@@ -57,11 +57,25 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(table(spark, sf_dir, "pages"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_document_fingerprints, op2_warc_zstd, op3_quality_classifier, op4_ngram_jaccard_join, op5_quality_rules,
-        op6_quotation_linking, op7_html_extraction, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse)}
+        op6_quotation_linking, op7_html_extraction, op8_power_of_two_packing, op9_secret_scans, op10_bpe_chunk_reuse, op11_phrase_collocations, op12_url_filter_cascade, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_zstd": warc.SQL, "op5_quality_rules": quality_rules.SQL}
+    return {
+        "op2_warc_zstd": warc.SQL, "op5_quality_rules": quality_rules.SQL, "op11_phrase_collocations": collocations.SQL,
+        "op12_url_filter_cascade": urlfilter.SQL, "op13_fill_in_middle": infill.SQL}
