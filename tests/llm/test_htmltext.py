@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from thalweg.llm import htmltext as H
 
@@ -156,3 +159,47 @@ def test_extract_equals_brute_force_whole_and_in_groups(spark, monkeypatch):
     monkeypatch.setattr(H, "GROUP_BYTES", 700)
     assert {x.page_id: x.text for x in H.extract(df).collect()} == want
     assert any("own" in t and "middle" not in t for t in want.values())
+
+
+@pytest.mark.parametrize("page, wanted", [
+    ('<article><p>a</p><svg class="i"/><p>b</p></article>', ["a", "b"]),
+    ("<article><!--><p>a</p><!-- <p>x --><!---><p>b</p><!-- y --!>c</article>", ["a", "b", "c"]),
+    ("<article><button>x<p>b</p></article>", ["x", "b"]),
+    ("<article><button>x<p>b</p><button>gone</button>c</article>", ["x", "b", "c"]),
+    ("<article><p class=foo'>The dog doesn't bark</p></article>", ["The dog doesn't bark"]),
+    ('<main><div class="article-body promo">text</div></main>', ["text"]),
+    ('<main><div class="promo">no</div><p>yes</p></main>', ["yes"]),
+    ('<article><p>t</p><p class="share">Share this</p><p class="comment-count">3</p><section class="header">h</section>u</article>', ["t", "u"]),
+    ('<article><p class="share">Share<p>next</article>', ["next"]),
+    ("<article>a < b <3 c</article>", ["a < b <3 c"]),
+    ("<article><svg><svg></svg>no</svg>yes</article>", ["yes"]),
+    ('<article>x<a href="foo>y</a>z</article>', ["xyz"]),
+    ('<article>A<script>if (a < b) { "</p>" }</SCRIPT >B<title>T', ["A B"]),
+    ("<article>A<svg>never closed<p>B</p></article>", ["A never closed", "B"]),
+    ("<article>A</ bogus>B<?php x ?>C<!doctype html>D</article>", ["A B C D"]),
+    ('<article data-x="a>b" title=\'c>d\'>t</article>', ["t"]),
+    ("<article>t</article", ["t"]),
+])
+def test_markup_of_real_pages(page, wanted):
+    assert [x for x, state in H.blocks(page) if state == H.CONTENT] == wanted
+
+
+@pytest.mark.parametrize("part", ['<a "', "<script ", '<a x=">"', '<a x="', "<button>", "<svg>", "<!--", "<p class='", "<div>", "</div>", "<div><p>", "<", "</", "<svg></svg", "<button></button", "<article><p>", "&", "<main>"])
+def test_hostile_pages_take_linear_time(part):
+    def took(n):
+        page, least = part * (n // len(part)), 99.0
+        for _ in range(2):
+            began = time.process_time()
+            H.blocks(page)
+            least = min(least, time.process_time() - began)
+        return least
+
+    assert took(400_000) < 8 * took(100_000) + 0.5
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>word{i} goes on</p>" for i in range(60_000)) + "</article>"
+    rows = [(1, "http://h/1", long, 7, "x"), (2, "http://h/2", '<a "' * 100_000, 8, "y"), (3, None, None, 9, "z")]
+    got = {r.page_id: r for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host int, text string")).collect()}
+    assert got[1].text == "\n".join(f"word{i} goes on" for i in range(60_000)) and got[1].n_chars == len(got[1].text)
+    assert got[2].text == got[3].text == ""

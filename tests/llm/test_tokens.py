@@ -65,8 +65,21 @@ def test_packed_ids_and_batches(docs):
     assert all(len(r.ids) == r.length for r in got)
     sizes = {}
     for r in got:
-        sizes[r.bucket, r.batch] = sizes.get((r.bucket, r.batch), 0) + 1
-    assert all(r.length == 1 << r.bucket for r in got) and sizes
+        k = r.sequence_id >> 33, r.length, r.batch
+        sizes[k] = sizes.get(k, 0) + 1
+    assert all(r.length == 1 << r.bucket for r in got)
+    last = {k[:2]: max(b for p, n, b in sizes if (p, n) == k[:2]) for k in sizes}
+    for (p, n, b), size in sizes.items():  # all are full but the last
+        assert size <= max(1, 4096 // n) and (b == last[p, n] or size == max(1, 4096 // n)) and 0 <= b <= last[p, n]
+    assert max(b for *_, b in sizes) > 3
+
+
+def test_batches_of_equal_sequences(spark):
+    rows = [(i, 1024, 10, (i % 2 << 33) + i) for i in range(100)] + [(100, 8192, 13, 5), (101, 8192, 13, 6), (102, 4, 2, None)]
+    packed = spark.createDataFrame(rows, "doc_id long, length long, bucket int, sequence_id long")
+    got = packing.batches(packed, 4096).groupBy("length", "batch").count().collect()
+    assert sorted((r["length"], r["batch"], r["count"]) for r in got if r["batch"] is not None) == [(1024, k, 8 if k < 12 else 4) for k in range(13)] + [(8192, 0, 1), (8192, 1, 1)]
+    assert [r["length"] for r in got if r["batch"] is None] == [4] and packing.batches(packed.limit(0)).count() == 0
 
 
 def test_empty_tables(docs):

@@ -102,3 +102,20 @@ def test_revisits_take_their_figures_from_the_response(spark, monkeypatch):
     lost = spark.createDataFrame([(1, "a", "revisit", 2, "b", 5, "d")], "key long, record_id string, record_type string, refers_to long, refers_to_id string, payload_bytes long, payload_digest string")
     with pytest.raises(Exception, match="no response b"):
         W.resolved(lost).collect()
+
+
+def test_a_revisit_of_another_digest_raises(spark):
+    rows = [(1, "a", "response", None, None, 5, "aa"), (2, "b", "revisit", 1, "a", None, "bb"), (3, "c", "revisit", 1, "a", None, "aa")]
+    kind = "key long, record_id string, record_type string, refers_to long, refers_to_id string, payload_bytes long, payload_digest string"
+    with pytest.raises(Exception, match="another digest than its response a"):
+        W.resolved(spark.createDataFrame(rows, kind)).collect()
+    assert {r.key: r.payload_digest for r in W.resolved(spark.createDataFrame(rows[::2], kind)).collect()} == {1: "aa", 3: "aa"}
+
+
+def test_very_long_payloads_and_clashing_columns(spark):
+    big = "x<é>" * 700_000
+    rows = [(1, "http://a", big, "p", 1), (2, "http://b", big, "q", 2), (3, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, key int")
+    got = {r.page_id: r for r in W.digest(pages).collect()}
+    assert got[1].record_type == "revisit" and got[1].refers_to == 2 and got[2].record_type == got[3].record_type == "response"
+    assert got[1].payload_bytes == got[2].payload_bytes == len(big.encode()) and got[3].payload_bytes == 0

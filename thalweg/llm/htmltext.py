@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,12 +44,21 @@ RUN_CHARS = 30
 #: A recurring string is boilerplate from this many tokens on, wherever it begins (a power of two).
 RUN_WORDS = 32
 
-RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|template|noscript|iframe|svg|select|button|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>",
-    re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: Elements whose content is text to the parser, up to their own end tag or the page's end.
+RAW = frozenset("script style title textarea iframe noscript noembed noframes xmp".split())
+#: Elements that are left out with all that they hold, if they end at all; svg and math may close themselves.
+DROPPED = frozenset("template svg select button object canvas math".split())
+FOREIGN = frozenset("svg math".split())
+FLAT = frozenset("select button".split())
+#: A tag from its `<` on. A quote counts only after `=`, and one that nothing closes is a letter like others; no part of
+#: the pattern gives back what it took, so a tag costs its length.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+COMMENT_END = re.compile(r"--!?>")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose ends matter; all others only part blocks.
-TRACKED = frozenset("address article aside dialog div footer form header li main menu nav ol section table td ul fieldset figure details".split())
+TRACKED = frozenset("address article aside dialog div footer form header li main menu nav ol section table td ul fieldset figure details p pre blockquote dl dd".split())
+#: Elements that an open paragraph ends at, if it hasn't ended before.
+ENDS_P = TRACKED | frozenset("center dir dt h1 h2 h3 h4 h5 h6 hgroup hr search summary tr th thead tbody tfoot caption figcaption".split())
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset address header".split())
 #: Furniture that whole pages may be wrapped in, so an article inside it is one all the same.
 WRAPS = frozenset("form fieldset address header".split())
@@ -62,11 +72,19 @@ WORDS = re.compile(
 OPEN, CONTENT, AWAY = 0, 1, 2
 
 
-def _named(attributes: str) -> bool:
+#: Names of an element that holds an article's text whatever else they say, where a page has no other content.
+BODY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|post|story|text)(?:$|[\s_-])", re.I)
+#: What names are asked about: everything; furniture, but not whether an article may stand in it; nor where they say body.
+ALL_NAMES, INSIDE_ONLY, NOT_OF_BODIES = 2, 1, 0
+
+
+def _names(attributes: str) -> list[str]:
+    return [x for a, b, c in NAMED.findall(attributes) for x in (a or b or c).split()]
+
+
+def _named(names: list[str]) -> bool:
     """Do the names say furniture? `has-sidebar` and the like speak of a layout, not of the element."""
-    return any(WORDS.search(x) for a, b,
-        c in NAMED.findall(attributes) for x in (a or b or c).split() if not x.lower().startswith(
-            ("has-", "with-", "no-", "without-")))
+    return any(WORDS.search(x) for x in names if not x.lower().startswith(("has-", "with-", "no-", "without-")))
 
 
 def _main_role(attributes: str) -> bool:
@@ -76,20 +94,101 @@ def _main_role(attributes: str) -> bool:
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """(text, what markup says) of a page's blocks in order.
 
-    Names alone may be wrong about an element that holds the page's only article: if nothing turns out to
-    be content, names of its ancestors are not asked.
+    Names alone may be wrong about an element that holds the page's only article, or its body: if nothing turns
+    out to be content, names of its ancestors are not asked, and then not those of elements also named as a body.
     """
-    out = _blocks(page, True)
-    if not any(s == CONTENT for _, s in out) and re.search(r"<article\b|role\s*=\s*[\"']?article\b|articleBody", page or "", re.I):
-        again = _blocks(page, False)
-        return again if any(s == CONTENT for _, s in again) else out
+    out = _blocks(page, ALL_NAMES)
+    if not any(s == CONTENT for _, s in out) and re.search(r"<(?:article|main)\b|role\s*=\s*[\"']?(?:article|main)\b|articleBody", page or "", re.I):
+        for asked in (INSIDE_ONLY, NOT_OF_BODIES):
+            again = _blocks(page, asked)
+            if any(s == CONTENT for _, s in again):
+                return again
     return out
 
 
-def _blocks(page: str | None, trust_names: bool) -> list[tuple[str, int]]:
+def scan(source: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, name, is it an end tag, attributes) of each tag that counts, in one pass; the rest as text before ''.
+
+    What the text between two yields skips: comments, declarations, elements in RAW and DROPPED. A `<` that begins no tag is
+    text; a tag that never ends is left out with what follows, as are comments and RAW elements that never end. DROPPED
+    elements that never end are tags like others.
+    """
+    at, text_from, size = 0, 0, len(source)
+    before: list[str] = []
+    endless: set[str] = set()  # names in DROPPED without a further end tag
+    while (lt := source.find("<", at)) >= 0 and lt + 1 < size:
+        nxt = source[lt + 1]
+        if nxt in "!?" or nxt == "/" and lt + 2 < size and not (source[lt + 2].isascii() and source[lt + 2].isalpha()):
+            before.append(source[text_from:lt])
+            if source.startswith("<!--", lt):
+                if source.startswith((">", "->"), lt + 4):
+                    at = source.index(">", lt) + 1
+                else:
+                    end = COMMENT_END.search(source, lt + 4)
+                    at = end.end() if end else size
+            else:
+                end = source.find(">", lt)
+                at = end + 1 if end >= 0 else size
+            text_from = at
+            before.append(" ")
+            continue
+        if not (nxt == "/" or nxt.isascii() and nxt.isalpha()):
+            at = lt + 1
+            continue
+        m = TAG.match(source, lt)
+        if m is None:
+            before.append(source[text_from:lt])
+            text_from = size
+            break
+        shut, name, attributes = bool(m[1]), m[2].lower(), m[3]
+        before.append(source[text_from:lt])
+        at = text_from = m.end()
+        if not shut and name in RAW:
+            end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(source, at)
+            close = TAG.match(source, end.start()) if end else None
+            at = text_from = close.end() if close else size
+            before.append(" ")
+        elif not shut and name in DROPPED and name not in endless and not (name in FOREIGN and attributes.endswith("/")):
+            end = _matching(source, name, at)
+            if end is None:
+                endless.add(name)
+            else:
+                at = text_from = end
+            before.append(" ")
+        elif name in DROPPED:
+            before.append(" ")
+        else:
+            yield "".join(before), name, shut, attributes
+            before = []
+    before.append(source[text_from:])
+    yield "".join(before), "", False, ""
+
+
+def _matching(source: str, name: str, at: int) -> int | None:
+    """Where the element that began before `at` ends, the ends of others of its name inside counted off; None if there is no end.
+
+    Buttons and selections don't hold others of their name: the next one ends them, and what lies between stays.
+    """
+    depth, last = 1, None
+    for m in re.compile(f"<(/?){name}(?=[\\s/>])[^>]*>", re.I).finditer(source, at):
+        if m[1]:
+            depth -= 1
+            last = m.end()
+            if not depth:
+                return last
+        elif name in FLAT:
+            return at
+        elif not m[0].endswith("/>"):
+            depth += 1
+    return last
+
+
+def _blocks(page: str | None, asked: int) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # tracked elements that are open: name, state inside, does it shut articles out
+    opened: Counter[str] = Counter()  # how many of each name are open
+    barred = 0  # open elements that shut articles out
     state = OPEN
 
     def close() -> None:
@@ -100,45 +199,50 @@ def _blocks(page: str | None, trust_names: bool) -> list[tuple[str, int]]:
             if text:
                 out.append((text, state))
 
-    source = RAW.sub(" ", page or "")
-    at = 0
-    for m in TAG.finditer(source):
-        if m.start() > at:
-            parts.append(source[at:m.start()])
-        at = m.end()
-        shut, name, attributes = m[1], m[2].lower(), m[3]
+    def shut_to(name: str) -> None:
+        nonlocal state, barred
+        while True:
+            last, _, bars = stack.pop()
+            opened[last] -= 1
+            barred -= bars
+            if last == name:
+                break
+        state = stack[-1][1] if stack else OPEN
+
+    for text, name, shut, attributes in scan(page or ""):
+        if text:
+            parts.append(text)
         if name in INLINE:
             continue
         if name == "br":
             parts.append(" ")
             continue
         close()
+        if not shut and name in ENDS_P and stack and stack[-1][0] == "p":
+            shut_to("p")
         if name not in TRACKED:
             continue
         if shut:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    state = stack[-1][1] if stack else OPEN
-                    break
+            if opened[name]:
+                shut_to(name)
             continue
         if attributes.endswith("/"):
             continue
-        named = bool(attributes) and _named(attributes)
+        names = _names(attributes) if attributes else []
+        named = _named(names) and not (asked == NOT_OF_BODIES and any(BODY.search(x) for x in names))
         main = name == "main" or bool(attributes) and bool(re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I))
         bars = False
         if main:
             state = CONTENT
         elif name == "article" or attributes and _main_role(attributes):
             bars = named
-            state = AWAY if named or any(x for _, _, x in stack) else CONTENT
-        elif name in FURNITURE and not (
-            state == CONTENT and name in PARTS and not named) or named and state != CONTENT or named and name != "section":
-            bars = name in FURNITURE and name not in WRAPS or named and trust_names
+            state = AWAY if named or barred else CONTENT
+        elif name in FURNITURE and not (state == CONTENT and name in PARTS and not named) or named:
+            bars = name in FURNITURE and name not in WRAPS or named and asked == ALL_NAMES
             state = AWAY
         stack.append((name, state, bars))
-    if at < len(source):
-        parts.append(source[at:])
+        opened[name] += 1
+        barred += bars
     close()
     return out
 

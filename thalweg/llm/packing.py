@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import limit_batches
@@ -174,12 +174,15 @@ def pack(docs: DataFrame, path: str, most: int = MOST, with_ids: bool = True, ke
 
 
 def batches(packed: DataFrame, tokens: int = 1 << 20) -> DataFrame:
-    """Adds `batch`: sequences of one length, `tokens` of them together a batch, numbered within a partition."""
-    per = F.greatest(F.lit(1), F.lit(tokens) / F.col("length")).cast("long")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("bucket", F.col("sequence_id") / F.lit(1 << 33).cast("long")).orderBy("sequence_id")) - 1
-    return packed.withColumn("batch", F.floor(place / per))
+    """Adds `batch`: sequences of one length, as many as have `tokens` tokens together, numbered from 0 in a partition and length.
+
+    A partition is what `pack` made in one task (the upper bits of sequence_id), so no batch waits for the whole table.
+    Sequences longer than `tokens`: one a batch. Null sequence_id or length: no batch (null). Empty table: empty.
+    """
+    per = F.greatest(F.lit(1), F.expr(f"{tokens} div length"))
+    part = F.shiftright("sequence_id", 33)
+    place = F.row_number().over(Window.partitionBy("length", part).orderBy("sequence_id")) - 1
+    return packed.withColumn("batch", F.when(F.col("sequence_id").isNotNull() & F.col("length").isNotNull(), F.floor(place / per)))
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

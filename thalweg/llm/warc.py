@@ -314,11 +314,12 @@ def resolved(found: DataFrame) -> DataFrame:
     again = found.filter("record_type = 'revisit'").select("key", "refers_to_id", F.col("payload_digest").alias("stated"), "refers_to")
     there = found.filter("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_id"), "payload_bytes", "payload_digest").distinct()
-    met = Spread(again, "refers_to_id", "key").meet(again, there, "left").filter(
-        "payload_digest IS NULL OR stated IS NULL OR stated = payload_digest")
+    met = Spread(again, "refers_to_id", "key").meet(again, there, "left")
+    wrong = F.when(F.col("payload_bytes").isNull(), F.lit("no response ")).when(
+        F.col("stated") != F.col("payload_digest"), F.lit("a revisit states another digest than its response "))
+    fault = F.raise_error(F.concat(wrong, F.coalesce("refers_to_id", F.lit("(no id)"))))
     ok = met.select("key", F.lit("revisit").alias("record_type"), "refers_to",
-        F.coalesce("payload_bytes", F.raise_error(F.concat(F.lit("no response "), "refers_to_id")).cast("long")).alias(
-            "payload_bytes"), "payload_digest")
+        F.when(wrong.isNotNull(), fault.cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest")
     rest = found.filter("record_type <> 'revisit'").select("key", "record_type", "refers_to", "payload_bytes", "payload_digest")
     return rest.unionByName(ok)
 
