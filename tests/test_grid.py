@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -449,3 +451,48 @@ def test_power_by_wave_number(spark):
     assert np.isclose(got[1, 2], np.mean([f(u, v) for u, v in at]))
     t = spark.createDataFrame([(1, k, float(k) ** -3) for k in range(1, 30)], "block int, k int, power double")
     assert np.isclose(E.spectral_slope(t, 2, 20).first().alpha, 3.0)
+
+
+def test_quantiles_end_with_infinite_and_extreme_values(spark):
+    from thalweg.operators.quantiles import exact_quantiles
+
+    inf = float("inf")
+    for values in ([*range(10), inf], [-inf, *range(10), inf, inf], [inf, inf], [-inf], [-1.7e308, 1.7e308, 0.0, 1.0, -3.0], [0.0, 5e-324, 1e-323], [1.0, None, float("nan"), 3.0]):
+        t = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+        shares = [0.0, 0.25, 0.5, 0.77, 1.0]
+        kept = sorted(float(v) for v in values if v is not None and v == v)
+        got = exact_quantiles(t, "x", shares)[None]
+        for s, g in zip(shares, got):
+            p = s * (len(kept) - 1)
+            a, b = kept[math.floor(p)], kept[math.ceil(p)]
+            assert g == a if a == b or p == int(p) else g == a + (p - math.floor(p)) * (b - a) or g != g
+
+
+def test_quantiles_of_many_values_need_few_passes(spark):
+    from thalweg.operators import quantiles as U
+
+    t = spark.range(300_000).selectExpr("rand(5) * 1000 - 400 AS x", "id % 3 AS g")
+    t = spark.createDataFrame(t.toPandas())
+    got, pdf = U.exact_quantiles(t, "x", [0.05, 0.5, 0.95], "g"), t.toPandas()
+    for g, part in pdf.groupby("g"):
+        assert np.allclose(got[g], np.quantile(part.x, [0.05, 0.5, 0.95]), rtol=0, atol=1e-12)
+
+
+def test_peak_equals_a_fit_a_peak():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(5, 16))
+        x, y = np.sort(rng.normal(3, 1, n)), rng.normal(0, 0.3, n)
+        y = y - np.abs(x - x[n // 2]) * rng.uniform(0, 1)
+        tried = []
+        for p in range(2, n - 2):
+            up, down = np.polyfit(x[:p + 1], y[:p + 1], 1), np.polyfit(x[p:], y[p:], 1)
+            if up[0] > A.TENT_RISE and down[0] < A.TENT_FALL:
+                tried.append((((y[:p + 1] - np.polyval(up, x[:p + 1])) ** 2).sum() + ((y[p + 1:] - np.polyval(down, x[p + 1:])) ** 2).sum(), x[p], -down[0]))
+        line = ((y - np.polyval(np.polyfit(x, y, 1), x)) ** 2).sum()
+        want = min(tried) if tried and n >= 7 else None
+        got = A.peak(x, y)
+        if want is None or 1 - want[0] / line < A.TENT_FIT:
+            assert got is None
+        else:
+            assert np.allclose(got, (want[1], 1 - want[0] / line, want[2]))

@@ -145,21 +145,41 @@ def stick(x, y) -> tuple | None:
     return float(knots[k]), float(-slope[k]), float(y.mean() - slope[k] * mid[k]), float(fit), float(edge), bool(ok)
 
 
+def _lines(x, y):
+    """(slope, intercept, residual) of the least-squares line through the first k + 1 points, for every k from 1.
+
+    All of them from running sums of the points around the first; entry 0 has no line (NaN).
+    """
+    import numpy as np
+
+    u, v = x - x[0], y - y[0]
+    n = np.arange(1.0, len(x) + 1)
+    su, sv, suu, suv, svv = (np.cumsum(t) for t in (u, v, u * u, u * v, v * v))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        uu, uv, vv = suu - su * su / n, suv - su * sv / n, svv - sv * sv / n
+        slope = uv / uu
+        return slope, (sv - slope * su) / n + y[0] - slope * x[0], np.maximum(0.0, vv - slope * uv)
+
+
 def peak(x, y) -> tuple | None:
-    """(peak, R, theta) of two lines through medians (x rising) that share a median, rising then falling; None if none does so well enough."""
+    """(peak, R, theta) of two lines through medians (x rising) that share a median, rising then falling; None if none does so well enough.
+
+    A line's residual over any start or end of the medians comes from running sums, so all peaks are weighed at once.
+    The shared median counts with the rising line.
+    """
     import numpy as np
 
-    if len(x) < 7:
+    n = len(x)
+    if n < 7:
         return None
-    line, best = _line_rss(x, y), None
-    for p in range(2, len(x) - 2):
-        (up, a), (down, b) = np.polyfit(x[:p + 1], y[:p + 1], 1), np.polyfit(x[p:], y[p:], 1)
-        if up > TENT_RISE and down < TENT_FALL:
-            miss = y - np.where(np.arange(len(x)) <= p, up * x + a, down * x + b)
-            if best is None or miss @ miss < best[0]:
-                best = miss @ miss, x[p], -down
-    fit = 1 - best[0] / line if best is not None and line > 0 else 0.0
-    return None if best is None or fit < TENT_FIT else (float(best[1]), float(fit), float(best[2]))
+    up, _, before = _lines(x, y)
+    down, base, after = (t[::-1] for t in _lines(x[::-1], y[::-1]))
+    miss = before + after - (y - down * x - base) ** 2
+    at = np.arange(n)
+    miss[(at < 2) | (at > n - 3) | ~(up > TENT_RISE) | ~(down < TENT_FALL)] = np.inf
+    top, line = int(miss.argmin()), _line_rss(x, y)
+    fit = 1 - miss[top] / line if line > 0 else 0.0
+    return (float(x[top]), float(fit), float(-down[top])) if np.isfinite(miss[top]) and fit >= TENT_FIT else None
 
 
 def _of_medians(points: DataFrame, bins: int, least: int, fit, schema: str, closed: bool = False) -> DataFrame:
@@ -183,14 +203,15 @@ def tent(points: DataFrame, bins: int = 12, least: int = 2) -> DataFrame:
 
 
 def stick_gate(x, y, bins: int = 18, least: int = 8) -> tuple[float, float] | None:
-    """(logA_star, theta) of a cloud in memory whose stick is accepted."""
-    import numpy as np
+    """(logA_star, theta) of a cloud in memory whose stick is accepted; bins as in `binned_medians`."""
+    import pandas as pd
 
-    if len(x) < 2 * least:
+    width = (x.max() - x.min()) / bins if len(x) >= 2 * least else 0.0
+    if not width > 0:
         return None
-    at = np.digitize(x, np.linspace(x.min(), x.max(), bins + 1))
-    kept = [at == k for k in range(1, bins + 1) if (at == k).sum() >= least]
-    got = stick(*(np.array([np.median(v[k]) for k in kept]) for v in (x, y)))
+    t = pd.DataFrame({"x": x, "y": y, "bin": ((x - x.min()) / width).astype(int)})[x < x.max()]
+    by = t.groupby("bin").filter(lambda g: len(g) >= least).groupby("bin")[["x", "y"]].median()
+    got = stick(by["x"].to_numpy(), by["y"].to_numpy())
     return got[:2] if got and got[-1] else None
 
 
