@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +33,9 @@ class Region:
         return abs(self.ewres - self.nsres) <= 1e-6 * self.nsres
 
 
-def read_header(spark: SparkSession, path: str) -> tuple[Region, float | None, str]:
-    """Region, no-data value and byte order of a grid's .hdr file."""
-    got = {}
-    for row in spark.read.text(path).limit(100).collect():  # a header has a dozen lines
-        parts = row.value.split()
-        if len(parts) > 1:
-            got[parts[0].lower()] = parts[1]
+def header_of(text: str) -> tuple[Region, float | None, str]:
+    """Region, no-data value and byte order that a grid's .hdr text tells."""
+    got = {parts[0].lower(): parts[1] for parts in map(str.split, text.splitlines()) if len(parts) > 1}
     rows, cols, size = int(got["nrows"]), int(got["ncols"]), float(got["cellsize"])
     half = 0.5 * size if "xllcenter" in got else 0.0
     west, south = float(got.get("xllcorner", got.get("xllcenter", 0))) - half, float(got.get("yllcorner", got.get("yllcenter", 0))) - half
@@ -49,18 +44,18 @@ def read_header(spark: SparkSession, path: str) -> tuple[Region, float | None, s
         "byteorder", "lsbfirst").lower().startswith("l") else ">"
 
 
-def read_flt(spark: SparkSession, path: str, header: str | None = None) -> tuple[DataFrame, Region]:
-    """Cells of a .flt grid (32-bit floats, rows from the north); no-data cells are absent.
+def read_flt(spark: SparkSession, path: str, header: str | None = None, window: tuple[int, int, int, int] | None = None) -> tuple[DataFrame, Region]:
+    """Cells of a .flt grid (32-bit floats, rows from the north) of any size, or of a window of it; no-data cells are absent."""
+    from .grid_source import read_grid
 
-    The file comes through Spark's binaryFile source, so one grid must fit a task (2 GB at most); larger
-    terrain is kept as tiles, one file each.
-    """
-    return _read_grid(spark, path, header, "f4")
+    return read_grid(spark, path, window, header=header or path.rsplit(".", 1)[0] + ".hdr", kind="f4")
 
 
 def read_int(spark: SparkSession, path: str, header: str | None = None) -> tuple[DataFrame, Region]:
     """Cells (r, c, v int) of a grid of 32-bit integers, such as categories or directions; no-data cells are absent."""
-    cells, region = _read_grid(spark, path, header, "i4")
+    from .grid_source import read_grid
+
+    cells, region = read_grid(spark, path, header=header or path.rsplit(".", 1)[0] + ".hdr", kind="i4")
     return cells.withColumn("v", F.col("v").cast("int")), region
 
 
@@ -83,24 +78,6 @@ def warn_unless_square(region: Region) -> None:
         warnings.warn(f"cells are not square ({region.ewres} by {region.nsres}); {region.nsres} is used", stacklevel=2)
 
 
-def _read_grid(spark: SparkSession, path: str, header: str | None, kind: str) -> tuple[DataFrame, Region]:
-    region, missing, order = read_header(spark, header or path.rsplit(".", 1)[0] + ".hdr")
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column(0):
-                grid = np.frombuffer(blob.as_buffer(), f"{order}{kind}").reshape(region.rows, region.cols)
-                for r0 in range(0, region.rows, 256):
-                    part = grid[r0:r0 + 256]
-                    ok = np.isfinite(part) if missing is None else np.isfinite(part) & (part != part.dtype.type(missing))
-                    r, c = np.nonzero(ok)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((r + r0).astype(np.int32)), pa.array(c.astype(np.int32)),
-                            pa.array(part[r, c].astype(np.float64))], names=["r", "c", "v"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cells, "r int, c int, v double"), region
-
-
 def write_cells(cells: DataFrame, path: str, value: str = "v", tile: int = 512) -> None:
     """Parquet partitioned by tile, NaN and infinities as absent values, so that windows prune partitions."""
     v = F.col(value)
