@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import divides as D
 from ..operators import evaluate as E
 from ..operators import heads as H
+from ..operators import incision as I
 from ..operators import kernels as K
+from ..operators import metrics as M
 from ..operators import network as N
 from ..operators import routing as R
 from ..operators import sequence as S
@@ -365,7 +367,21 @@ def r1g(spark, d):
 
 @query("e1_evolve")
 def e1(spark, d):
-    return K.evolve(cells(spark, d).withColumn("raster_id", F.lit(1).cast("long")), steps=3)
+    return I.evolve_tiled(cells(spark, d), 2, side(spark, d), cellsize=10.0)
+
+
+def eroding(spark, d):
+    """Routed terrain with pits dug into it after the water has found its way, and the erosion of each cell."""
+    z = F.when((F.col("r") * 5 + F.col("c") * 3) % 11 == 0, F.col("z") - 60).otherwise(F.col("z"))
+    step = F.when(F.col("flc") == 2, F.sqrt(F.lit(2.0))).otherwise(1.0)
+    return routed(spark, d).select("node", "r", "c", z.alias("z"), "recv", (0.5 * F.sqrt(F.col("ncontrib").cast("double")) / step).alias("erosion"))
+
+
+@query("e2_incise", sql(NODES + AREA + """, er AS (SELECT node, r, c, recv, CASE WHEN (r * 5 + c * 3) % 11 = 0 THEN z - 60 ELSE z END AS z, 0.5 * sqrt(ncontrib) / CASE flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END AS e FROM full_),
+st(node, y) AS (SELECT node, z FROM er WHERE recv = node UNION ALL SELECT d.node, greatest(st.y, (d.z + d.e * st.y) / (1 + d.e)) FROM st JOIN er d ON d.recv = st.node AND d.node <> d.recv)
+SELECT node, er.r, er.c, round(y, 5) AS z FROM st JOIN er USING (node)""", "cells", recursive=True))
+def e2(spark, d):
+    return I.incise(eroding(spark, d), side(spark, d)).withColumn("z", F.round("z", 5))
 
 
 # ---- divides
@@ -395,6 +411,50 @@ def dv5_segments(spark, d):
     return D.segments(D.edges(labels(spark, d), side(spark, d))).groupBy("seg").agg(F.count("*").alias("n"))
 
 
+HILL = """, hs(node, at_, d) AS (SELECT node, node, 0.0::DOUBLE FROM full_ UNION ALL SELECT g.node, n.recv, g.d + CASE b.flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END FROM hs g JOIN full_ b ON b.node = g.at_ AND b.ncontrib < 10 AND b.recv <> b.node JOIN full_ n ON n.node = g.at_),
+hd AS (SELECT g.node, n.z - f.z AS height, g.d AS dist FROM hs g JOIN full_ f ON f.node = g.at_ JOIN nodes n ON n.node = g.node WHERE f.ncontrib >= 10)"""
+SIDES = """, sd AS (SELECT CAST(a.r * @W + a.c + 1 AS BIGINT) AS a, CAST((a.r + 1) * @W + a.c + 1 AS BIGINT) AS b, a.node AS n1, b.node AS n2 FROM lab a JOIN lab b ON b.r = a.r AND b.c = a.c + 1 WHERE a.lab <> b.lab
+UNION ALL SELECT CAST((a.r + 1) * @W + a.c AS BIGINT), CAST((a.r + 1) * @W + a.c + 1 AS BIGINT), a.node, b.node FROM lab a JOIN lab b ON b.r = a.r + 1 AND b.c = a.c WHERE a.lab <> b.lab),
+dm AS (SELECT sd.*, x.height AS hr1, y.height AS hr2, (x.height + y.height) / 2 AS hr, (x.dist + y.dist) / 2 AS fd, abs(x.height - y.height) / nullif(x.height + y.height, 0) AS dai FROM sd LEFT JOIN hd x ON x.node = n1 LEFT JOIN hd y ON y.node = n2)"""
+
+
+def hillslopes(spark, d):
+    n = routed(spark, d)
+    return keep(R.nearest_drainage(n, n.filter("ncontrib >= 10")), "hillslopes")
+
+
+@query("dv9_divide_metrics", sql(NODES + LAB + HILL + SIDES + " SELECT a, b, n1, n2, hr1, hr2, hr, round(fd, 6) AS fd, round(dai, 6) AS dai FROM dm", "cells", recursive=True))
+def dv9(spark, d):
+    t = M.divide_metrics(D.edges(labels(spark, d), side(spark, d)), hillslopes(spark, d), side(spark, d))
+    return t.withColumns({c: F.round(c, 6) for c in ("fd", "dai")})
+
+
+@query("dv10_divide_metrics_by_segment", sql(NODES + LAB + HILL + SIDES + """, e AS (SELECT DISTINCT a * 2147483648 + b AS id, a, b FROM sd), x AS (SELECT id, unnest([a, b]) AS corner FROM e), p AS (SELECT corner, min(id) AS i, max(id) AS k FROM x GROUP BY corner HAVING count(*) = 2), q AS (SELECT i AS a, k AS b FROM p UNION ALL SELECT k, i FROM p),
+reach(id, at_) AS (SELECT id, id FROM e UNION SELECT r.id, q.b FROM reach r JOIN q ON q.a = r.at_), s AS (SELECT id, min(at_) AS seg FROM reach GROUP BY id)
+SELECT seg, count(hr) AS n, round(avg(hr), 5) AS hr, round(avg(fd), 5) AS fd, round(avg(dai), 5) AS dai FROM dm JOIN s ON s.id = dm.a * 2147483648 + dm.b GROUP BY seg""", "cells", recursive=True))
+def dv10(spark, d):
+    e = keep(D.edges(labels(spark, d), side(spark, d)), "edges")
+    t = M.divide_metrics(e, hillslopes(spark, d), side(spark, d))
+    return M.metrics_by(t, D.segments(e), "seg").withColumns({c: F.round(c, 5) for c in ("hr", "fd", "dai")})
+
+
+TIMES = """, tm AS (SELECT lab, node, dist, atan(height / dist) AS slope, dist * 0.2 / ((0.0001 * (1 + node % 3)) * sin(atan(height / dist))) AS tau_adv, dist * dist * 0.2 / ((0.0001 * (1 + node % 3)) * 1.5) AS tau_diff FROM hd JOIN lab USING (node) WHERE height > 0 AND dist > 0 AND lab >= 0)"""
+
+
+@query("rp1_recession_priors", sql(NODES + LAB + HILL + TIMES + """, pe AS (SELECT *, tau_diff / tau_adv AS peclet FROM tm), sh(share) AS (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)),
+q AS (SELECT lab, count(*) AS n, """ + ", ".join(f"quantile_cont({c}, [0.05, 0.5, 0.95]) AS {c}" for c in ("dist", "slope", "tau_adv", "tau_diff", "peclet")) + """ FROM pe GROUP BY lab)
+SELECT lab, n, [0.05, 0.5, 0.95][k]::DOUBLE AS share, """ + ", ".join(f"round({c}[k], 4) AS {c}" for c in ("dist", "slope", "tau_adv", "tau_diff", "peclet")) + " FROM q, (VALUES (1), (2), (3)) t(k)", "cells", recursive=True))
+def rp1(spark, d):
+    t = hillslopes(spark, d).join(labels(spark, d).filter("lab >= 0").select("node", "lab"), "node")
+    got = M.recession_priors(M.recession_times(t, "0.0001 * (1 + node % 3)", "0.2", "1.5"), "lab")
+    return got.withColumns({c: F.round(c, 4) for c in ("dist", "slope", "tau_adv", "tau_diff", "peclet")})
+
+
+@query("rp2_width_function", sql(NODES + LAB + HILL + " SELECT lab, CAST(floor(round(dist / 2.0, 9)) AS INT) AS bin, count(*) AS n FROM hd JOIN lab USING (node) WHERE lab >= 0 GROUP BY ALL", "cells", recursive=True))
+def rp2(spark, d):
+    return M.width_function(hillslopes(spark, d).join(labels(spark, d).filter("lab >= 0").select("node", "lab"), "node"), "lab", 2.0)
+
+
 @query("x18_segment_classes", sql(NODES + LAB + EDGES + """, e AS (SELECT DISTINCT a * 2147483648 + b AS id, a, b FROM ed), x AS (SELECT id, unnest([a, b]) AS corner FROM e), p AS (SELECT corner, min(id) AS i, max(id) AS k FROM x GROUP BY corner HAVING count(*) = 2), q AS (SELECT i AS a, k AS b FROM p UNION ALL SELECT k, i FROM p),
 reach(id, at_) AS (SELECT id, id FROM e UNION SELECT r.id, q.b FROM reach r JOIN q ON q.a = r.at_), s AS (SELECT id, min(at_) AS seg FROM reach GROUP BY id), dg AS (SELECT corner, count(*) AS d FROM x GROUP BY corner),
 m AS (SELECT seg, corner, count(*) AS m FROM s JOIN x USING (id) GROUP BY seg, corner), bare AS (SELECT DISTINCT (r + i) * @W + c + j AS corner FROM lab, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) WHERE lab = -1),

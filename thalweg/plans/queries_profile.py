@@ -200,3 +200,10 @@ def f2(spark, d):
 @query("io11_drop_coincident", sql(", q AS (SELECT cat, seq, round(z) AS x, 0.0 AS y FROM vertices), l AS (SELECT *, lag(x) OVER (PARTITION BY cat ORDER BY seq) AS px FROM q), k AS (SELECT cat, seq, x FROM l WHERE px IS NULL OR px <> x) SELECT cat, CAST(seq AS INT) AS seq, x FROM k QUALIFY count(*) OVER (PARTITION BY cat) >= 2", "vertices"))
 def io11(spark, d):
     return S.drop_coincident(vertices(spark, d).select("cat", "seq", F.round("z").alias("x"), F.lit(0.0).alias("y"))).select("cat", "seq", "x")
+
+
+@query("ks1_steepness_pieces")
+def ks1(spark, d):
+    from ..operators.metrics import steepness
+
+    return steepness(S.chi(vertices(spark, d)), penalty=2000.0, least=4)
