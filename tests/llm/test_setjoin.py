@@ -131,3 +131,22 @@ def test_repeated_rows_null_ids_and_keep_one(spark):
     kept = S.keep_one(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "1", "1", "4", "5", "None", "2", "3"][:6])
     assert S.classes(df.limit(0)).count() == 0
+
+
+def test_many_equal_texts_and_a_common_signature(spark, monkeypatch):
+    """20,000 copies of one text, and 5,000 unlike texts that share half of their words, hot as a sample tells."""
+    from thalweg.llm import setjoin as J
+
+    monkeypatch.setattr(J, "SAMPLED", 16)
+    monkeypatch.setattr(J, "HOT", 4)
+    monkeypatch.setattr(J, "ACROSS_ROWS", 500)
+    rng = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(30))
+    own = {i: common + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(28)) for i in range(20_000, 25_000)}
+    for k in range(20_000, 20_100, 2):  # some are alike
+        own[k + 1] = own[k] + " end"
+    rows = [(i, "the very same text with a few words more " + common) for i in range(20_000)] + list(own.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in J.classes(docs).collect()}
+    assert all(got[i] == 0 for i in range(20_000))
+    assert all(got[k] == (k - 1 if k % 2 and k < 20_100 else k) for k in own)

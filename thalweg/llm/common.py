@@ -79,14 +79,14 @@ class Scratch:
 class Spread:
     """Joins rows to a side by a key that hubs may dominate: a hub's rows are dealt to several parts by `other`.
 
-    A key with more than HUB_ROWS rows, or more than 1 in HUBS_MOST of all rows, is a hub; there can be no
+    A key with more than HUB_ROWS rows (or as many as are given), or more than 1 in HUBS_MOST of all rows, is a hub; there can be no
     more than HUBS_MOST of them, which bounds what is broadcast. A hub's row of the side goes to all its parts.
     `rows` is a kept table; joins merge sorted rows at every size, so that plans don't change with it.
     """
 
-    def __init__(self, rows: DataFrame, key: str, other: str):
+    def __init__(self, rows: DataFrame, key: str, other: str, hub_rows: int = HUB_ROWS):
         self.key, self.other = key, other
-        most = max(HUB_ROWS, -(-rows.count() // HUBS_MOST))
+        most = max(hub_rows, -(-rows.count() // HUBS_MOST))
         loads = rows.groupBy(key).agg(F.count("*").alias("_load")).filter(F.col("_load") > most)
         hubs = [(r[key], -(-r["_load"] // most)) for r in loads.collect()]
         kind = rows.schema[key].dataType.simpleString()

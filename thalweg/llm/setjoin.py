@@ -34,15 +34,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Spread, limit_batches, unused
+from .common import HUBS_MOST, Scratch, Spread, limit_batches, unused
 
 WORDS = 3
 PERCENT = 90
 SKETCH = 16  # 64-bit words of parities
 PAIR_COST = 20.0  # a candidate pair's cost in signatures
+#: One in so many documents tells which signatures are hot: those that HOT of them share.
+SAMPLED = 1024
+HOT = 32
+#: Rows of one signature that one task tries with all others of it.
+ACROSS_ROWS = 4096
 U64 = np.uint64
 
 
@@ -173,12 +178,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def signature_rows(docs: DataFrame, words: int, percent: int, rows: int) -> DataFrame:
     """(sig, doc, n): one row with n for each document, under a signature of its whole set, and its others.
 
-    A task gives the other signatures only for the first document of each set that it meets: equal sets
-    are linked by the first row, so copies send one row each.
+    A task gives signatures only for the first document of each set that it meets. A copy of that set is linked to it
+    then and there: its row has that document as sig and -n, so copies don't meet at a signature however many they are.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = bands(percent, rows)
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
         for b in batches:
             sigs, owners, whole, ids, sizes = [], [], [], [], []
 
@@ -198,11 +203,12 @@ def signature_rows(docs: DataFrame, words: int, percent: int, rows: int) -> Data
                 t = shingles(text.as_py(), words)
                 n = len(t)
                 ids.append(key)
-                sizes.append(n)
                 mark = xxhash.xxh3_128_digest(t.tobytes())
-                whole.append(int.from_bytes(mark[:8], "little") if n else xxhash.xxh3_64_intdigest(repr(key)))
-                if n and key is not None and mark not in seen:
-                    seen.add(mark)
+                copy = n and key is not None and mark in seen
+                sizes.append(-n if copy else n)
+                whole.append(seen[mark] & 0xFFFFFFFFFFFFFFFF if copy else int.from_bytes(mark[:8], "little") if n else xxhash.xxh3_64_intdigest(repr(key)))
+                if n and key is not None and not copy:
+                    seen[mark] = key
                     for band in probed(plan, n, percent):
                         if band.errors:
                             s = signatures(t, band)
@@ -275,19 +281,48 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     spread = Spread(both, "other", "doc")
     while True:
         around = spread.meet(both, cur.select(F.col("doc").alias("other"), "comp")).groupBy("doc").agg(F.min("comp").alias("near"))
-        low = cur.join(around, "doc").select("doc", "comp", F.least("comp", "near").alias("low"))
+        low = scratch.keep(cur.join(around, "doc").select("doc", "comp", F.least("comp", "near").alias("low")), "low")
         upper = cur.select(F.col("doc").alias("low"), F.col("comp").alias("top"))
-        new = scratch.keep(
-            low.join(upper, "low", "left").select(
-                "doc", F.least("low", "top").alias("comp"), (F.least("low", "top") < F.col("comp")).alias("moved")),
-            "labels")
+        met = Spread(low, "low", "doc").meet(low, upper, "left")  # all members of a class may carry one label
+        new = scratch.keep(met.select("doc", F.least("low", "top").alias("comp"), (F.least("low", "top") < F.col("comp")).alias("moved")), "labels")
         scratch.drop(cur)
+        scratch.drop(low)
         moved = bool(new.filter("moved").limit(1).count())
         cur = new.drop("moved")
         if not moved:
             return cur
 
 
+def _hot(docs: DataFrame, words: int, percent: int, rows: int) -> list[int]:
+    """Signatures that very many sets share, by 1 in SAMPLED documents: no more than HUBS_MOST."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SAMPLED)) == 0)
+    counts = signature_rows(some, words, percent, rows).filter("n IS NULL OR n > 0").groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT)
+    found = counts.orderBy(F.desc("c"), "sig").limit(HUBS_MOST).collect()
+    return [r["sig"] for r in found]
+
+
+def _first_and_last(by_sig: DataFrame, docs: DataFrame, words: int, percent: int, rows: int, scratch: Scratch) -> DataFrame:
+    """Signature rows with the first and last document of the signature: those shared by several, and each document's own.
+
+    A signature's rows meet in a window. Those that a sample shows to be very many are summed up by partial aggregates
+    instead and get the result back by broadcast; the sample decides how rows meet, not which.
+    """
+    real = F.when(F.col("n").isNull() | (F.col("n") >= 0), F.col("doc"))
+    w = Window.partitionBy("sig")
+    hot = _hot(docs, words, percent, rows) if rows > SAMPLED * HOT else []
+    rest = by_sig
+    if hot:
+        table = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in hot], "hot long"))
+        at = F.col("sig") == F.col("hot")
+        rest = by_sig.join(table, at, "left_anti")
+        theirs = scratch.keep(by_sig.join(table, at, "left_semi"), "hot")
+        ends = theirs.groupBy(F.col("sig").alias("_s")).agg(F.min(real).alias("first"), F.max(real).alias("last"))
+        theirs = theirs.join(F.broadcast(ends), F.col("sig") == F.col("_s")).drop("_s")
+    met = rest.withColumn("first", F.min(real).over(w)).withColumn("last", F.max(real).over(w))
+    met = met.unionByName(theirs) if hot else met
+    return met.filter((F.col("first") < F.col("last")) | F.col("n").isNotNull())
+
+
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark: SparkSession = docs.sparkSession
@@ -295,13 +330,10 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     docs = docs.select("doc_id", "text")
     rows = docs.count()
     by_sig = signature_rows(docs, words, percent, 1 << max(4, rows.bit_length()))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("sig")
-    met = by_sig.withColumn("first", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w))
-    met = scratch.keep(met.filter((F.col("first") < F.col("last")) | F.col("n").isNotNull()), "signatures")
-    info = met.filter("n IS NOT NULL").select("doc", "n")
-    shared = met.filter("first < last AND doc IS NOT NULL").select("sig", "doc", "first")
+    met = scratch.keep(_first_and_last(by_sig, docs, words, percent, rows, scratch), "signatures")
+    info = met.filter("n IS NOT NULL").select("doc", F.abs("n").alias("n"))
+    copies = met.filter("n < 0").select(F.col("doc").alias("a"), F.col("sig").alias("b")).filter("a <> b")
+    shared = met.filter("first < last AND doc IS NOT NULL AND (n IS NULL OR n > 0)").select("sig", "doc", "first")
     some = shared.select("doc").distinct()
     sets = scratch.keep(set_rows(docs.join(some.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left_semi"), words), "sets")
 
@@ -312,7 +344,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         spread = Spread(pairs, "b", "a")
         return scratch.keep(verified(sketched(pairs, spread, sets, percent), spread, sets, percent), "links")
 
-    links = tried(first)
+    links = tried(first).union(copies)
     comps = components(links, scratch)
 
     def with_class(members: DataFrame) -> DataFrame:
@@ -331,15 +363,13 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             # The sketches are part of the join's condition: what it gives are pairs that are almost certainly similar.
             known = sets.select(F.col("doc").alias("_d"), "n", "cells")
             held = scratch.keep(left.join(known, F.col("doc") == F.col("_d")).select("sig", "doc", "comp", "low", "n", "cells"), "held")
-            out = held.filter("comp > low").select(
-                "sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n_a"),
-                F.col("cells").alias("cells_a"))
+            out = scratch.keep(held.filter("comp > low").select(
+                "sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a")), "out")
             other = held.select(
-                F.col("sig").alias("sig_b"), F.col("doc").alias("b"), F.col("comp").alias("cb"),
-                F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
-            pairs = out.join(
-                other, (F.col("sig") == F.col("sig_b")) & (F.col("ca") > F.col("cb")) & maybe_similar(percent)).select(
-                "a", "b").distinct()
+                "sig", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
+            # What one signature has many of is dealt in blocks, each to a task with the signature's members.
+            blocks = Spread(out, "sig", "a", ACROSS_ROWS)
+            pairs = blocks.meet(out, other).filter((F.col("ca") > F.col("cb")) & maybe_similar(percent)).select("a", "b").distinct()
             pairs = scratch.keep(pairs, "pairs")
             found = scratch.keep(verified(pairs, Spread(pairs, "b", "a"), sets, percent), "links")
         else:
