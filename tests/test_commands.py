@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,26 @@ def test_route_only_and_cleaning(spark, v):
     line = spark.createDataFrame([(1, i, float(i), 10.0 - i + (5 if i == 9 else 0)) for i in range(30)], "cat long, seq int, s double, z double")
     got = C.clean_coarsen(line, despike_window=3, n_iters=10, keep_fraction=0.2).collect()
     assert len(got) == 6
+
+
+def test_a_raw_terrain_with_pits_gives_the_heads_of_the_filled_one(spark):
+    n = 24
+    z = [[100 - 0.5 * r - 3 * np.exp(-((c - n / 2) ** 2) / 8) + 1e-3 * ((r * 7 + c * 13) % 5) for c in range(n)] for r in range(n)]
+    for r, c in ((6, 12), (14, 11), (18, 5), (9, 20)):
+        z[r][c] -= 6.0
+    cells = spark.createDataFrame([(r, c, float(z[r][c])) for r in range(n) for c in range(n)], "r int, c int, z double")
+    more = {"ncols": n, "threshold": 15, "min_segment_length": 4}
+    heads, filled, nodes = C.channel_heads(cells, "divides", with_routing=True, **more)
+    same = C.channel_heads(filled, "divides", fill_dem=False, **more)
+    assert {r.node for r in heads.collect()} == {r.node for r in same.collect()}
+    assert nodes.filter("recv = node AND r > 0 AND r < 23 AND c > 0 AND c < 23").count() == 0 and filled.join(cells.withColumnRenamed("z", "z0"), ["r", "c"]).filter("z > z0 + 1").count() >= 4
+    raw = R.receivers(cells, n)
+    assert raw.filter("recv = node AND r > 0 AND r < 23 AND c > 0 AND c < 23").count() >= 4
+
+
+def test_edges_end_at_their_nodes(spark):
+    nodes = spark.createDataFrame([(1, 10.0), (2, 4.0)], "node long, z double")
+    edges = spark.createDataFrame([(1, 2, 7, i, float(i), z) for i, z in enumerate([30.0, 8.0, 7.0, 6.0, 0.0])], "src long, dst long, cat long, seq int, s double, z double")
+    _, links = C.clean_network(nodes.union(spark.createDataFrame([(3, 1.0)], nodes.schema)), edges.union(spark.createDataFrame([(2, 3, 8, 0, 0.0, 3.0), (2, 3, 8, 1, 1.0, 2.0)], edges.schema)), keep_fraction=1.0, n_iters=3, despike_window=2, despike_k=50.0)
+    got = {(r.cat, r.seq): r.z for r in links.collect()}
+    assert got[7, 0] == 10.0 and got[7, 4] == 4.0 and got[8, 0] == 4.0

@@ -299,7 +299,8 @@ def test_cleaning():
     y = np.array([1.0, 1.1, 9.0, 1.2, 1.3, 1.2, 1.4])
     assert K.despike(y)[2] < 2 and K.despike(y[:2]).tolist() == y[:2].tolist()
     assert K.diffuse(np.array([5.0]), 1.0, 3.0).tolist() == [2.0]
-    assert np.allclose(K.diffuse(np.array([9.0, -4.0, 7.0]), 0.0, 4.0), [1, 2, 3], atol=1e-6)
+    assert K.diffuse(np.array([9.0, 5.0, 9.0]), 1.0, 3.0, 0.35, 1).tolist() == [1.0, 5 + 0.35 * (2 - 5), 3.0]
+    assert np.allclose(K.diffuse(np.array([9.0, 5.0, -4.0, 7.0, 1.0]), 0.0, 4.0), [0, 1, 2, 3, 4], atol=1e-6)
 
 
 def test_walks_closures_and_the_stack_equal_plain_ones(spark):
@@ -496,3 +497,41 @@ def test_peak_equals_a_fit_a_peak():
             assert got is None
         else:
             assert np.allclose(got, (want[1], 1 - want[0] / line, want[2]))
+
+
+def test_the_hull_of_many_points_is_merged_from_partitions(spark, monkeypatch):
+    monkeypatch.setattr(E, "HULLS", 3)
+    rng = np.random.default_rng(3)
+    xy = rng.normal(0, 100, (20_000, 2)).round(1)
+    t = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double").repartition(10)
+    corners = E.hull_corners(t).first().corners
+    want = E.hull([tuple(p) for p in xy.tolist()])
+    assert {(p.x, p.y) for p in corners} == set(want) and len(corners) < 60
+    assert E.within_hull(t, t).count() == 20_000
+    inside = {r.id for r in E.within_hull(t, t.filter("abs(x) < 50 AND abs(y) < 50"), 10.0).collect()}
+    ring = E.hull([tuple(p) for p in xy.tolist() if abs(p[0]) < 50 and abs(p[1]) < 50])
+    assert inside == {r.id for r in E.within_hull(t, ring, 10.0).collect()} and len(inside) > 100
+    assert E.within_hull(t, t.limit(2)).count() == E.within_hull(t, t.limit(0)).count() == 0
+
+
+def test_long_profiles_split_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    n = 6000
+    chi, z = np.sort(rng.random(n).astype(np.float32) * 50)[::-1].copy(), np.cumsum(rng.random(n).astype(np.float32))[::-1].copy()
+    splits = np.arange(10, n - 9)[::40]
+    tracemalloc.start()
+    got = H.scores32(chi, z, splits)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6 and np.array_equal(got, np.concatenate([H._scores32(chi, z, splits[k:k + 1]) for k in range(len(splits))]), equal_nan=True)
+
+
+def test_distinct_labels_across_tiles(spark):
+    rng = np.random.default_rng(9)
+    lab = rng.integers(-1, 4, (13, 11))
+    rows = [(r, c, int(lab[r, c])) for r in range(13) for c in range(11) if (r + c) % 7]
+    there = {(r, c): v for r, c, v in rows}
+    got = {(x.r, x.c): x.n for x in E.distinct_near(spark.createDataFrame(rows, "r int, c int, lab int"), "lab", 2).collect()}
+    assert got == {(r, c): len({there[i, j] for i in range(r - 2, r + 3) for j in range(c - 2, c + 3) if (i, j) in there}) for r, c in there}

@@ -96,12 +96,14 @@ def channel_heads(source: DataFrame, method: str = "slope_area", *, ncols: int |
                       head_rule: str = "global",
                   min_profile_nodes: int = 0, extend_to_junction: bool = False, filled: DataFrame | None = None,
                       curvature: DataFrame | None = None, direction: DataFrame | None = None,
-                      precision: int = 64) -> DataFrame:
+                      precision: int = 64, fill_dem: bool = True, fill_slope: float = 1e-4, with_routing: bool = False):
     """Where channels begin.
 
     slope_area: source are vertices (cat, seq, s, x, y, z, A); the break's area and its crossings (cat, x, y, a_star).
-    divides: source are cells (r, c, z), filled; heads (node, r, c) in the valley of each source. Profiles have
+    divides: source are cells (r, c, z); heads (node, r, c) in the valley of each source. Profiles have
     at least twice min_segment_length and one nodes unless min_profile_nodes says otherwise.
+    The terrain's depressions are filled first, rising by fill_slope, unless fill_dem is False. with_routing gives
+    (heads, filled cells (r, c, z), routed nodes) instead of the heads alone.
     dreich: as divides, valleys chosen by tangential curvature.
     filled (r, c, z), curvature (r, c, curvature) and direction (r, c, d: D8 codes) take the place of the
     terrain, of what would be computed, and of steepest descent; direction must cover the same rows and
@@ -115,7 +117,10 @@ def channel_heads(source: DataFrame, method: str = "slope_area", *, ncols: int |
         return A.transitions(source, best.A_star).withColumn("a_star", F.lit(best.A_star))
     if method not in ("divides", "dreich"):
         raise ValueError("method must be slope_area, divides or dreich")
-    surface = source if filled is None else filled
+    if filled is not None:
+        surface = filled
+    else:
+        surface = keep(K.fill(source, fill_slope, cellsize).select("r", "c", F.col("filled").alias("z")), "filled") if fill_dem else source
     if direction is None:
         nodes = R.receivers(surface, ncols)
     else:
@@ -139,7 +144,7 @@ def channel_heads(source: DataFrame, method: str = "slope_area", *, ncols: int |
             extend_to_junction, head_rule, precision), "heads")
     if not heads.limit(1).count():
         raise NothingFound("no channel heads")
-    return heads
+    return (heads, surface, nodes) if with_routing else heads
 
 
 def same_extent(a: DataFrame, b: DataFrame) -> None:
@@ -167,15 +172,20 @@ def evolve(cells: DataFrame, nsteps: int = 0, k: float = 1e-5, m: float = 0.5, n
 
 
 def clean_coarsen(v: DataFrame, despike_window: int = 100, despike_k: float = 2.0, alpha: float = 0.85,
-    n_iters: int = 2000, keep_fraction: float = 0.1) -> DataFrame:
-    """Edges (cat, seq, s, z) despiked, smoothed between their ends and resampled to a fraction of their vertices."""
-    clean = K.clean_edges(v, despike_window, despike_k, alpha, n_iters)
+    n_iters: int = 2000, keep_fraction: float = 0.1, ends: DataFrame | None = None) -> DataFrame:
+    """Edges (cat, seq, s, z) despiked, smoothed between their ends and resampled to a fraction of their vertices.
+
+    ends: (cat, left, right), values of the nodes at an edge's ends; by default the edge's own.
+    """
+    clean = K.clean_edges(v, despike_window, despike_k, alpha, n_iters, ends)
     return S.coarsen(v.drop("z").join(clean, ["cat", "seq"]), keep_fraction, ["z"])
 
 
 def clean_network(nodes: DataFrame, edges: DataFrame, outlet_drop: float = 4e-4, keep_fraction: float = 0.1,
     outjson: str | None = None, **cleaning) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) with outlets given an elevation below their inflow, edges cleaned and coarsened; written if asked, NaN as such.
+    """(nodes, edges) with outlets given an elevation below their inflow, edges cleaned between their nodes' elevations and coarsened.
+
+    Written if asked, NaN as such.
 
     nodes: (node, z); edges: (src, dst, cat, seq, s, z).
     """
@@ -184,7 +194,9 @@ def clean_network(nodes: DataFrame, edges: DataFrame, outlet_drop: float = 4e-4,
     fixed = S.set_outlet_elevations(
         nodes.select("node", "z").join(out, "node", "left").fillna(0, ["n_out"]), inflow, outlet_drop).select(
         "node", "z")
-    done = clean_coarsen(edges.select("cat", "seq", "s", "z"), keep_fraction=keep_fraction, **cleaning)
+    at = [fixed.select(F.col("node").alias(x), F.col("z").alias(y)) for x, y in (("src", "left"), ("dst", "right"))]
+    ends = edges.select("cat", "src", "dst").distinct().join(at[0], "src", "left").join(at[1], "dst", "left").select("cat", "left", "right")
+    done = clean_coarsen(edges.select("cat", "seq", "s", "z"), keep_fraction=keep_fraction, ends=ends, **cleaning)
     links = done.join(edges.select("cat", "src", "dst").distinct(), "cat").select("src", "dst", "cat", "seq", "s", "z")
     if outjson:
         write_json(fixed.select(F.col("node").alias("id"), F.array("z").alias("z")), links, outjson, strict=False)

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import fixpoint, keep, prefix_sums
+from ..plans.iterate import fixpoint, keep, prefix_sums, walk
 from .quantiles import exact_quantiles
 from .network import upstream_sum
-from .routing import RING, ancestor_closure, farthest_upslope, gather
+from .routing import RING, farthest_upslope, gather, given_forest
 from .slopearea import binned_break, binned_medians
 from .tiles import stencil, windows
 
@@ -62,15 +62,26 @@ def cross_contrast(labels: DataFrame, value: str) -> DataFrame:
 
 
 def rims(nodes: DataFrame, heads: DataFrame) -> DataFrame:
-    """(top, node, linear, flow): catchment cells of each head with a neighbour outside, and their distances to it."""
-    members = ancestor_closure(nodes, heads).join(nodes.select("node", "r", "c", "fd"), "node")
-    steps = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b, _ in RING)))
-    sent = members.select("top", "r", "c", steps.alias("o")).select(
-        "top", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
-    inner = sent.groupBy("top", "r", "c").agg(F.count("*").alias("n")).filter("n = 8")
-    rim = members.join(inner.drop("n"), ["top", "r", "c"], "left_anti")
-    at = nodes.select(F.col("node").alias("top"), F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("fd").alias("fd0"))
-    return rim.join(at, "top").select(
+    """(top, node, linear, flow): catchment cells of each head with a neighbour outside, and their distances to it.
+
+    A catchment is a run of places in the ordered stack, so a cell lies on its rim if a neighbour is missing or has a
+    place outside the run. Catchments below hold those above: a cell that isn't on the rim of one is on none further
+    down, so the chains of heads are followed for the cells on the rim of their first one alone.
+    """
+    near, forest = given_forest(nodes, heads)
+    place = keep(ordered_stack(nodes).join(nodes.select(F.col("node").alias("n2"), "r", "c", "fd", "ncontrib"), F.col("node") == F.col("n2")).drop("n2"), "places")
+    g = gather(place, ["node", "place"])
+    around = g.select(
+        F.col("own.node").alias("node"), (F.size("near") < len(RING)).alias("bare"), F.array_min(F.transform("near", lambda x: x["v"]["place"])).alias("lo"),
+        F.array_max(F.transform("near", lambda x: x["v"]["place"])).alias("hi"))
+    run = place.select(F.col("node").alias("top"), F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("fd").alias("fd0"), F.col("place").alias("first"), F.col("ncontrib").alias("size"))
+    outside = F.col("bare") | (F.col("lo") < F.col("first")) | (F.col("hi") >= F.col("first") + F.col("size"))
+    edge = keep(near.join(around, "node").join(run, F.col("at") == F.col("top")).filter(outside).select("node", "at", "bare", "lo", "hi"), "edge")
+    chain = walk(keep(forest.filter("next IS NOT NULL").select(F.col("top").alias("node"), F.col("next").alias("to")), "chain"),
+        heads.select(F.col("node").alias("start")).distinct())
+    met = edge.join(chain.select("start", F.col("node").alias("top")), F.col("at") == F.col("start")).join(run, "top").filter(outside)
+    here = place.select("node", "r", "c", "fd")
+    return met.join(here, "node").select(
         "top", "node", F.sqrt((F.col("r") - F.col("r0")) ** 2 + (F.col("c") - F.col("c0")) ** 2).alias("linear"),
         (F.col("fd") - F.col("fd0")).alias("flow"))
 
@@ -231,10 +242,20 @@ def ordered_stack(nodes: DataFrame) -> DataFrame:
 
 
 def claimed_cells(nodes: DataFrame, mouths: DataFrame) -> DataFrame:
-    """(node, mouth): the catchment each cell belongs to; of nested ones that of the largest mouth (the smallest id of equal ones)."""
-    up = ancestor_closure(nodes, mouths).join(nodes.select(F.col("node").alias("top"), "ncontrib"), "top")
-    return up.groupBy("node").agg(F.max(F.struct("ncontrib", (-F.col("top")).alias("k"))).alias("b")).select(
-        "node", (-F.col("b.k")).alias("mouth"))
+    """(node, mouth): the catchment each cell belongs to; of nested ones that of the largest mouth.
+
+    Areas grow downstream, so that is the last mouth on the cell's way down: the first one, and then the end of the
+    mouths' own chain, by doubling.
+    """
+    near, forest = given_forest(nodes, mouths)
+
+    def step(cur: DataFrame) -> DataFrame:
+        on = cur.select(F.col("top").alias("t2"), F.col("jump").alias("j2"), F.col("last").alias("l2"))
+        moved = cur.filter("jump IS NOT NULL").join(on, F.col("jump") == F.col("t2")).select("top", F.col("j2").alias("jump"), F.col("l2").alias("last"))
+        return cur.filter("jump IS NULL").unionByName(moved)
+
+    last = fixpoint(forest.select("top", F.col("next").alias("jump"), F.col("top").alias("last")), step, "jump IS NOT NULL")
+    return near.join(last, F.col("at") == F.col("top")).select("node", F.col("last").alias("mouth"))
 
 
 def stream_corners(channel: DataFrame, ncols: int) -> DataFrame:
@@ -311,15 +332,17 @@ def apexes(nodes: DataFrame, at: DataFrame) -> DataFrame:
         (F.col("z2") - F.col("z")).alias("relief"), straight.alias("straight"))
 
 
-def apex_control(nodes: DataFrame, heads: DataFrame, most: int = 500) -> DataFrame:
+def apex_control(nodes: DataFrame, heads: DataFrame, most: int | None = 500) -> DataFrame:
     """(group, n, mean, sd, cv of flow): heads against other channel nodes with areas like theirs.
 
     The control is of nodes between the tenth and ninetieth percentile of the heads' areas, at most `most`
-    of them by the smallest hash of the node (a sample is what is asked for).
+    of them by the smallest hash of the node (a sample is what is asked for; None: all).
     """
     mine = nodes.join(heads.select("node").distinct(), "node", "left_semi")
     lo, hi = exact_quantiles(mine, "ncontrib", [0.1, 0.9]).get(None, (None, None))
-    pool = nodes.filter(F.col("ncontrib").between(lo, hi)).orderBy(F.xxhash64("node"), "node").limit(most)
+    pool = nodes.filter(F.col("ncontrib").between(lo, hi))
+    if most is not None:
+        pool = pool.orderBy(F.xxhash64("node"), "node").limit(most)
     both = apexes(nodes, mine).withColumn("group", F.lit("heads")).unionByName(apexes(nodes, pool).withColumn("group", F.lit("control")))
     return both.groupBy("group").agg(
         F.count("*").alias("n"), F.avg("flow").alias("mean"), F.stddev_pop("flow").alias("sd"),

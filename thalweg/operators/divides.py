@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import keep
+from ..plans.iterate import keep, together
 from .routing import gather
 
 
@@ -109,14 +109,17 @@ def order(ends: DataFrame, degree: DataFrame, scheme: str = "topo", leaves: Data
     done = keep(t.join(leaves.select("seg").distinct(), "seg", "left_semi").select(
             "seg", F.lit(1).cast("long").alias("ord"), F.col("n").cast("double").alias("dd")), "order")
     sides = keep(t.select("seg", "n", F.explode(F.array("u", "v")).alias("corner")), "sides")
+    parts = [done]
     while True:
-        at = sides.join(done, "seg", "left").groupBy("corner").agg(
-            F.count_if(F.col("ord").isNull()).alias("left"), F.count("ord").alias("have"),
-                F.max(F.when(F.col("ord").isNull(), F.col("seg"))).alias("seg"), F.max("ord").alias("top"),
-                F.sum("ord").alias("total"),
-            F.max("dd").alias("far"), F.array_sort(F.collect_list("ord")).alias("all"))
-        shared = F.size(F.filter("all", lambda o: o == F.col("top"))) >= 2
-        rule = {"topo": F.col("top") + 1, "strahler": F.col("top") + shared.cast("int"), "shreve": F.col("total")}[scheme]
+        done = together(parts)
+        # segments of one order at a corner first, so that ties need no list of a corner's orders
+        ranks = sides.join(done, "seg", "left").groupBy("corner", "ord").agg(F.count("*").alias("m"), F.max("seg").alias("seg"), F.max("dd").alias("dd"))
+        known = F.col("ord").isNotNull()
+        at = ranks.groupBy("corner").agg(
+            F.coalesce(F.max(F.when(~known, F.col("m"))), F.lit(0)).alias("left"), F.count("ord").alias("have"), F.max(F.when(~known, F.col("seg"))).alias("seg"),
+            F.max(F.when(known, F.struct("ord", "m"))).alias("top"), F.sum(F.col("ord") * F.col("m")).alias("total"), F.max("dd").alias("far"))
+        top, shared = F.col("top.ord"), F.col("top.m") >= 2
+        rule = {"topo": top + 1, "strahler": top + shared.cast("int"), "shreve": F.col("total")}[scheme]
         ready = at.filter("left = 1 AND have > 0").select("seg", rule.cast("long").alias("ord"), F.col("far").alias("dd"))
         new = ready.groupBy("seg").agg(F.min(F.struct("ord", "dd")).alias("b")).join(
             t.select("seg", "n"), "seg").select(
@@ -124,6 +127,6 @@ def order(ends: DataFrame, degree: DataFrame, scheme: str = "topo", leaves: Data
         new = keep(new, "order")
         if not new.limit(1).count():
             break
-        done = keep(done.unionByName(new), "order")
+        parts.append(new)
     return ends.select("seg").join(done, "seg", "left").select(
         "seg", F.coalesce("ord", F.lit(0)).cast("long").alias("ord"), F.coalesce("dd", F.lit(0.0)).alias("dd"))

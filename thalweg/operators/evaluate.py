@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.iterate import keep, prefix_sums
 from .quantiles import exact_quantiles
+from .tiles import stencil, windows
 
 
 def near_pairs(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
@@ -131,23 +132,76 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return side(p) + side(p[::-1])
 
 
-def within_hull(points: DataFrame, corners: list[tuple[float, float]], buffer: float = 0.0) -> DataFrame:
-    """Points inside a hull whose corners are moved outwards from its centre by a buffer."""
-    if buffer and corners:
-        cx, cy = (sum(c[i] for c in corners) / len(corners) for i in (0, 1))
-        corners = [(x + buffer * (x - cx) / d, y + buffer * (y - cy) / d) for x, y in corners if (d := math.hypot(x - cx, y - cy))]
-    ok: Column = F.lit(len(corners) > 2)
-    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
-        ok = ok & ((x2 - x1) * (F.col("y") - y1) - (y2 - y1) * (F.col("x") - x1) >= 0)
-    return points.filter(ok)
+#: Partial hulls that one task merges.
+HULLS = 64
+
+
+def hull_corners(points: DataFrame) -> DataFrame:
+    """One row (corners: array of (x, y), anticlockwise) of the points' convex hull: a hull a partition, merged as a tree."""
+    import pandas as pd
+
+    def partial(frames):
+        from pyspark import TaskContext
+
+        own: list = []
+        for pdf in frames:
+            own = hull([*own, *zip(pdf.x.tolist(), pdf.y.tolist())])
+        yield pd.DataFrame(own, columns=["x", "y"], dtype=float).assign(part=TaskContext.get().partitionId())
+
+    def merged(pdf):
+        return pd.DataFrame(hull(list(zip(pdf.x, pdf.y))), columns=["x", "y"], dtype=float).assign(part=pdf.part.iloc[0])
+
+    def whole(pdf):
+        return pd.DataFrame({"corners": [[{"x": x, "y": y} for x, y in hull(list(zip(pdf.x, pdf.y)))]]})
+
+    rows = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    parts, kind = rows.rdd.getNumPartitions(), "x double, y double, part long"
+    t = rows.mapInPandas(partial, kind)
+    while parts > HULLS:
+        t = t.withColumn("part", F.expr(f"part div {HULLS}")).groupBy("part").applyInPandas(merged, kind)
+        parts = -(-parts // HULLS)
+    return t.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(whole, "corners array<struct<x: double, y: double>>")
+
+
+def within_hull(points: DataFrame, corners: DataFrame | list[tuple[float, float]], buffer: float = 0.0) -> DataFrame:
+    """Points inside a hull whose corners are moved outwards from their centre by a buffer.
+
+    corners: points (x, y) to lay the hull around, in a table of any size, or a list of corners as `hull` gives them.
+    Each point is held against the edges of the one row that the hull is.
+    """
+    if isinstance(corners, list):
+        at = points.sparkSession.createDataFrame([([(float(x), float(y)) for x, y in corners],)], "corners array<struct<x: double, y: double>>")
+    else:
+        at = hull_corners(corners)
+    n = F.size("corners")
+    mean = lambda k: F.aggregate("corners", F.lit(0.0), lambda acc, p: acc + p[k]) / n
+    at = at.select("corners", mean("x").alias("cx"), mean("y").alias("cy"))
+
+    def moved(p):
+        d = F.sqrt((p["x"] - F.col("cx")) ** 2 + (p["y"] - F.col("cy")) ** 2)
+        by = F.lit(float(buffer)) / F.nullif(d, F.lit(0.0))
+        return F.struct((p["x"] + F.coalesce(by, F.lit(0.0)) * (p["x"] - F.col("cx"))).alias("x"), (p["y"] + F.coalesce(by, F.lit(0.0)) * (p["y"] - F.col("cy"))).alias("y"))
+
+    ring = at.select(F.transform("corners", moved).alias("corners"))
+    pairs = F.arrays_zip(F.col("corners").alias("p"), F.concat(F.slice("corners", 2, n), F.slice("corners", 1, 1)).alias("q"))
+    edges = ring.select(F.when(n > 2, pairs).alias("_edges"))
+    left = lambda e: (e["q"]["x"] - e["p"]["x"]) * (F.col("y") - e["p"]["y"]) - (e["q"]["y"] - e["p"]["y"]) * (F.col("x") - e["p"]["x"]) >= 0
+    return points.crossJoin(F.broadcast(edges)).filter(F.forall("_edges", left)).drop("_edges")  # one row
 
 
 def distinct_near(cells: DataFrame, label: str, reach: int) -> DataFrame:
-    """(r, c, n): distinct labels within reach rows and columns of each cell."""
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    sent = cells.select(F.explode(around).alias("o"), "r", "c", F.col(label).alias("l")).select(
-        (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), "l")
-    return sent.groupBy("r", "c").agg(F.count_distinct("l").alias("n")).join(cells.select("r", "c"), ["r", "c"], "left_semi")
+    """(r, c, n): distinct labels (whole numbers below 2^53) within reach rows and columns of each cell; by tiles with a rim."""
+    import numpy as np
+
+    def compute(grid):
+        at = windows(grid, reach)
+        out = np.empty(grid.shape)
+        for k in range(grid.shape[0]):  # a row of cells at a time, so that its neighbours' labels stay few
+            near = np.sort(np.stack([at(i, j)[k] for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]), axis=0)
+            out[k] = (~np.isnan(near)).any(axis=0) + (np.diff(near, axis=0) > 0).sum(axis=0)
+        return np.where(np.isnan(grid), np.nan, out)
+
+    return stencil(cells, label, reach, compute, "n").withColumn("n", F.col("n").cast("long"))
 
 
 def usable_resolution(t: DataFrame, least: float = 0.5) -> DataFrame:

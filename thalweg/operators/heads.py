@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import keep, nearest_below, prefix_sums, walk
+from ..plans.iterate import keep, nearest_below, prefix_sums, together, walk
 from .network import OUTLET, strahler
 from .routing import downstream_of, farthest_upslope, sources, steps_of
 
@@ -152,7 +152,19 @@ def chi32(cells, diagonal, a0: float, m_over_n: float, res: float):
     return out
 
 
+#: Numbers in a matrix of the 32-bit regressions.
+MATRIX = 1 << 20
+
+
 def scores32(x, y, splits):
+    """As `_scores32`, the splits taken in blocks so that memory stays in proportion to the profile."""
+    import numpy as np
+
+    size = max(1, MATRIX // max(1, len(x)))
+    return np.concatenate([_scores32(x, y, splits[k:k + size]) for k in range(0, len(splits), size)])
+
+
+def _scores32(x, y, splits):
     """R2 of the part from each split down less (Durbin-Watson of the part above - 2) / 2, in 32 bits.
 
     Row k of a matrix holds the terms of one regression, zeros elsewhere, so that a cumulative sum along it
@@ -228,37 +240,59 @@ def first_order_valleys(nodes: DataFrame, threshold: int) -> DataFrame:
 def valleys(nodes: DataFrame, gate: str, threshold: int, run: int = 10) -> DataFrame:
     """(node, junction): valleys found by walking down from each source through cells where `gate` holds.
 
-    nodes has ncontrib, root and the gate (null: no data). More than `run` gated cells in a row mark a
+    nodes has ncontrib, fd and the gate (null: no data). More than `run` gated cells in a row mark a
     valley; it is tagged at the last cell before the stream order next rises, with the first junction up
-    from there. Which walk comes first to a cell decides where the others stop, so the walks of one
-    drainage tree, over its channel cells, are taken one after another in a task; order and junctions come
-    from the network.
-    """
-    net = keep(stream_network(nodes, threshold), "network")
+    from there. A walk ends where it marks, at missing data, and where another from a smaller source has gone on.
 
-    def walks(pdf):
-        import pandas as pd
+    So of the walks that come to a cell the one with the smallest source goes on, and what counts of it are its source
+    and the gated cells behind it. Streams are taken order by order: when those of one order are done, all that flows
+    into the next is known, and each stream (cells of one order, one after another) is a group of its own.
+    """
+    import pandas as pd
 
-        below, open_ = dict(zip(pdf.node, pdf.recv, strict=True)), dict(zip(pdf.node, pdf[gate], strict=True))
-        passed, marked = set(), set()
-        for at in sorted(set(pdf.node) - set(pdf.recv[pdf.recv != pdf.node])):
-            row = 0
-            while open_[at] is not None and open_[at] == open_[at]:  # neither null nor NaN
-                passed.add(at)
-                row = (row + 1) * bool(open_[at])
-                if row > run:
-                    marked.add(at)
-                if row > run or below[at] in passed:
-                    break
-                at = below[at]
-        return pd.DataFrame({"node": sorted(marked)}, dtype="int64")
-
-    t = net.join(nodes.select(F.col("node").alias("n2"), "root", gate), F.col("node") == F.col("n2")).select("node", "recv", "root", gate)
-    hits = t.groupBy("root").applyInPandas(walks, "node long")
+    net = keep(stream_network(nodes, threshold), "network")
+    order = net.select(F.col("node").alias("n3"), F.col("ord").alias("o3"))
+    more = nodes.select(F.col("node").alias("n2"), "fd", F.col(gate).cast("boolean").alias("gate"))
+    there = keep(net.join(more, F.col("node") == F.col("n2")).join(order, F.col("recv") == F.col("n3")).select(
+            "node", "recv", "ord", "fd", "gate", ((F.col("o3") != F.col("ord")) | (F.col("recv") == F.col("node"))).alias("last")), "gated")
+    steps = there.select("node", F.when(~F.col("last"), F.col("recv")).alias("to"))
+    mouth = nearest_below(steps, there.filter("last")).select(F.col("node").alias("n2"), F.col("at").alias("stream"))
+    fed = there.filter("recv <> node").select(F.col("recv").alias("n3")).distinct()
+    streams = keep(there.join(mouth, F.col("node") == F.col("n2")).join(fed, F.col("node") == F.col("n3"), "left").select(
+            "node", "recv", "ord", "fd", "gate", "stream", F.col("n3").isNull().alias("source")), "streams")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("fd", ascending=False)
+        rows, walk_, behind = [], None, 0
+        for node, is_source, open_, s, k in zip(pdf.node.tolist(), pdf.source.tolist(), pdf.gate.tolist(), pdf.s.tolist(), pdf.k.tolist()):
+            if is_source:
+                s, k = node, 0
+            if s == s and s is not None and (walk_ is None or s < walk_):
+                walk_, behind = s, int(k)
+            if open_ is None or open_ != open_:
+                walk_ = None
+            if walk_ is None:
+                continue
+            behind = (behind + 1) * bool(open_)
+            if behind > run:
+                rows.append((node, None, None, None))
+                walk_ = None
+        if walk_ is not None:
+            rows.append((None, pdf.recv.iloc[-1], walk_, behind))
+        return pd.DataFrame(rows, columns=["mark", "to", "s", "k"]).astype({c: "Int64" for c in ("mark", "to", "s", "k")})
+
+    told = keep(streams.limit(0).select(F.col("node").alias("mark"), F.col("node").alias("to"), F.col("node").alias("s"), F.col("node").alias("k")), "walks")
+    parts = [told]
+    for level in range(1, (net.agg(F.max("ord")).first()[0] or 0) + 1):
+        come = together(parts).filter("to IS NOT NULL").groupBy(F.col("to").alias("n2")).agg(F.min(F.struct("s", "k")).alias("w"))
+        met = streams.filter(F.col("ord") == level).join(come, F.col("node") == F.col("n2"), "left").select(
+            "node", "recv", "fd", "gate", "stream", "source", F.col("w.s").alias("s"), F.col("w.k").alias("k"))
+        parts.append(keep(met.groupBy("stream").applyInPandas(one, "mark long, to long, s long, k long"), "walks"))
+    hits = together(parts).filter("mark IS NOT NULL").select(F.col("mark").alias("node"))
     up = net.select(F.col("node").alias("n3"), F.col("ord").alias("o3"))
     last = net.join(up, F.col("recv") == F.col("n3")).filter("o3 > ord").select("node")
-    steps = net.select("node", F.when(F.col("recv") != F.col("node"), F.col("recv")).alias("to"))
-    ends = nearest_below(steps, last).filter("at IS NOT NULL")
+    down = net.select("node", F.when(F.col("recv") != F.col("node"), F.col("recv")).alias("to"))
+    ends = nearest_below(down, last).filter("at IS NOT NULL")
     tagged = hits.join(ends.select(F.col("node").alias("n4"), "at"), F.col("node") == F.col("n4")).select(F.col("at").alias("end")).distinct()
     return tagged.join(upstream_junctions(net), F.col("end") == F.col("node")).select(F.col("end").alias("node"), "junction")
 

@@ -302,23 +302,30 @@ def despike(y: np.ndarray, window: int = 2, k: float = 3.5) -> np.ndarray:
 
 
 def diffuse(y: np.ndarray, left: float, right: float, alpha: float = 0.85, steps: int = 2000) -> np.ndarray:
-    """Jacobi smoothing between fixed end values."""
+    """Jacobi smoothing of an edge's values, whose first and last are replaced by the fixed ends; a single one by their mean."""
     y = np.asarray(y, float).copy()
     if len(y) == 1:
         return np.array([(left + right) / 2])
-    for _ in range(steps if len(y) else 0):
-        full = np.concatenate(([left], y, [right]))
-        y += alpha * 0.5 * (full[:-2] - 2 * y + full[2:])
+    if len(y):
+        y[[0, -1]] = left, right
+    for _ in range(steps if len(y) > 2 else 0):
+        y[1:-1] += alpha * (0.5 * (y[:-2] + y[2:]) - y[1:-1])
     return y
 
 
-def clean_edges(v: DataFrame, window: int = 100, k: float = 2.0, alpha: float = 0.85, steps: int = 2000) -> DataFrame:
-    """(cat, seq, z): each edge's inner values despiked and smoothed between its first and last."""
+def clean_edges(v: DataFrame, window: int = 100, k: float = 2.0, alpha: float = 0.85, steps: int = 2000, ends: DataFrame | None = None) -> DataFrame:
+    """(cat, seq, z): each edge's values despiked and smoothed between its nodes' values.
+
+    ends: (cat, left, right), the values of the nodes that an edge starts and ends at; without them, or where one is null,
+    the edge's own first and last value.
+    """
     def one(pdf):
         pdf = pdf.sort_values("seq")
         z = pdf.z.to_numpy(float)
-        if len(z) > 2:
-            z = np.concatenate((z[:1], diffuse(despike(z, window, k)[1:-1], z[0], z[-1], alpha, steps), z[-1:]))
-        return pdf[["cat", "seq"]].assign(z=z)
+        left, right = (z[i] if pdf[c].isna().iloc[0] else pdf[c].iloc[0] for i, c in ((0, "left"), (-1, "right")))
+        return pdf[["cat", "seq"]].assign(z=diffuse(despike(z, window, k), left, right, alpha, steps))
 
-    return v.select("cat", "seq", "z").groupBy("cat").applyInPandas(one, "cat long, seq int, z double")
+    none = F.lit(None).cast("double")
+    t = v.select("cat", "seq", "z")
+    t = t.select("*", none.alias("left"), none.alias("right")) if ends is None else t.join(ends.select("cat", F.col("left").cast("double").alias("left"), F.col("right").cast("double").alias("right")), "cat", "left")
+    return t.groupBy("cat").applyInPandas(one, "cat long, seq int, z double")

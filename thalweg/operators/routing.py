@@ -272,17 +272,42 @@ def walk_down(nodes: DataFrame, starts: DataFrame, most: int = 500, most_area: i
         (F.col("i") == 0) | (F.col("ncontrib") <= most_area)).select("start", "i", "node")
 
 
+def given_forest(nodes: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, at): the first given node (node) on each node's way down, itself first; and (top, next): the one after each given node, or null."""
+    steps = nodes.select("node", F.when(F.col("recv") != F.col("node"), F.col("recv")).alias("to"))
+    near = keep(nearest_below(steps, of).filter("at IS NOT NULL"), "near")
+    tops = of.select(F.col("node").alias("top")).distinct().join(steps.select(F.col("node").alias("top"), "to"), "top")
+    after = near.select(F.col("node").alias("n2"), F.col("at").alias("next"))
+    return near, keep(tops.join(after, F.col("to") == F.col("n2"), "left").select("top", "next"), "forest")
+
+
+def subtree_best(forest: DataFrame, best: DataFrame) -> DataFrame:
+    """(top, best): the greatest of the values (top, best) of each given node and all given nodes above it.
+
+    By doubling, as in `accumulate`: after round k a node has the greatest within 2^k steps up, so rows stay those of
+    the forest (top, next), whatever its depth.
+    """
+    start = forest.join(best, "top").select("top", F.col("next").alias("jump"), "best")
+
+    def step(cur: DataFrame) -> DataFrame:
+        live = cur.filter("jump IS NOT NULL")
+        gain = live.groupBy(F.col("jump").alias("gn")).agg(F.max("best").alias("gain"))
+        on = cur.select(F.col("top").alias("t2"), F.col("jump").alias("j2"))
+        moved = live.join(on, F.col("jump") == F.col("t2"), "left").select("top", F.col("j2").alias("jump"), "best")
+        return cur.filter("jump IS NULL").unionByName(moved).join(gain, F.col("top") == F.col("gn"), "left").select(
+            "top", "jump", F.greatest("best", "gain").alias("best"))
+
+    return fixpoint(start, step, "jump IS NOT NULL").select("top", "best")
+
+
 def ancestor_closure(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """(top, node): all nodes that drain through each given node, itself included.
 
     Each node finds the first given node below it; only the given nodes' own chain is walked. Both go by
     doubling, and no pair is made that isn't in the result.
     """
-    steps = nodes.select("node", F.when(F.col("recv") != F.col("node"), F.col("recv")).alias("to"))
-    near = keep(nearest_below(steps, of).filter("at IS NOT NULL"), "near")
-    next_ = of.select(F.col("node").alias("top")).distinct().join(steps_of(nodes), F.col("top") == F.col("node")).join(
-        near.select(F.col("node").alias("n2"), F.col("at").alias("a2")), F.col("to") == F.col("n2"))
-    chain = walk(keep(next_.select(F.col("top").alias("node"), F.col("a2").alias("to")), "chain"),
+    near, forest = given_forest(nodes, of)
+    chain = walk(keep(forest.filter("next IS NOT NULL").select(F.col("top").alias("node"), F.col("next").alias("to")), "chain"),
         of.select(F.col("node").alias("start")).distinct())
     return near.join(chain.select("start", F.col("node").alias("top")), F.col("at") == F.col("start")).select("top", "node")
 
@@ -295,10 +320,15 @@ def mask_missing(values: DataFrame, dem: DataFrame, value: str) -> DataFrame:
 
 
 def farthest_upslope(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """(top, hilltop): the node of greatest flow distance that drains through each, the smallest id of equal ones."""
-    up = ancestor_closure(nodes, of).join(nodes.select("node", "fd"), "node")
-    return up.groupBy("top").agg(F.max(F.struct("fd", (-F.col("node")).alias("k"))).alias("b")).select(
-        "top", F.when(F.col("b.fd") > 0, -F.col("b.k")).otherwise(F.col("top")).alias("hilltop"))
+    """(top, hilltop): the node of greatest flow distance that drains through each, the smallest id of equal ones.
+
+    Nodes are summed up at the first given node below them, and the sums go up the forest of given nodes by doubling;
+    no pair of a node and what lies above it is made.
+    """
+    near, forest = given_forest(nodes, of)
+    own = near.join(nodes.select(F.col("node").alias("n2"), "fd"), F.col("node") == F.col("n2")).groupBy(F.col("at").alias("top")).agg(
+        F.max(F.struct("fd", (-F.col("node")).alias("k"))).alias("best"))
+    return subtree_best(forest, own).select("top", F.when(F.col("best.fd") > 0, -F.col("best.k")).otherwise(F.col("top")).alias("hilltop"))
 
 
 def nearest_drainage(nodes: DataFrame, channel: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics as G
+from ..operators import routing as R
 from ..operators import slopearea as A
 from .iterate import keep
 from .queries_network import AREA, LAB, NODES, labels, nodes, routed
@@ -163,6 +164,16 @@ def sa5(spark, d):
     return G.accumulate_and_prune(seg, v, A.stick_gate, 60)
 
 
+@query("x24_apex_control", sql(NODES + AREA + """, dn(node, at_, fd) AS (SELECT node, recv, CASE flc WHEN 2 THEN sqrt(2.0) WHEN 1 THEN 1.0 ELSE 0.0 END FROM nodes UNION ALL SELECT d.node, n.recv, fd + CASE n.flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END FROM dn d JOIN nodes n ON n.node = d.at_ WHERE n.recv <> n.node), fds AS (SELECT node, max(fd) AS fd FROM dn GROUP BY node),
+src AS (SELECT node, ncontrib FROM full_ f WHERE ncontrib >= 10 AND NOT EXISTS (SELECT 1 FROM full_ d WHERE d.recv = f.node AND d.node <> f.node AND d.ncontrib >= 10)), q AS (SELECT quantile_cont(ncontrib, 0.1) AS lo, quantile_cont(ncontrib, 0.9) AS hi FROM src),
+pool AS (SELECT node FROM full_, q WHERE ncontrib BETWEEN lo AND hi), gr AS (SELECT 'heads' AS grp, node FROM src UNION ALL SELECT 'control', node FROM pool),
+fl AS (SELECT a.top, max(round(u.fd, 6)) - max(round(t.fd, 6)) AS flow FROM anc a JOIN fds u ON u.node = a.node JOIN fds t ON t.node = a.top GROUP BY a.top)
+SELECT grp AS "group", count(*) AS n, round(avg(flow), 4) AS mean, round(stddev_pop(flow), 4) AS sd, round(stddev_pop(flow) / avg(flow), 4) AS cv FROM gr JOIN fl ON fl.top = gr.node GROUP BY grp""", "cells", recursive=True))
+def x24_control(spark, d):
+    n = routed(spark, d)
+    return G.apex_control(n, R.sources(n, 10), most=None).withColumns({c: F.round(c, 4) for c in ("mean", "sd", "cv")})
+
+
 @query("ag16_drainage_density", sql(NODES + AREA + " SELECT round(sum(CASE WHEN ncontrib >= 10 THEN CASE flc WHEN 2 THEN sqrt(2.0) WHEN 1 THEN 1.0 ELSE 0.0 END ELSE 0.0 END) / count(*), 6) AS density FROM full_", "cells", recursive=True))
 def ag16(spark, d):
     return G.drainage_density(routed(spark, d), 10).select(F.round("density", 6).alias("density"))

@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..operators import network as N
 from ..operators import routing as R
 from ..operators import sequence as S
+from ..operators import spill as P
 from .iterate import keep
 from .views import SQL, cells, points, segments, side, sql, table, vertices
 
@@ -353,16 +354,28 @@ def ag11(spark, d):
     return R.curvature_threshold(R.tangential_curvature(cells(spark, d), 2.0, 1.0), 0.9).select(F.round("threshold", 5).alias("threshold"))
 
 
-@query("r1_fill_level", sql(""", p AS (SELECT r, c, r * @N + c AS node, CASE WHEN (r * 7 + c * 3) % 17 = 0 THEN z - 300 ELSE z END AS z FROM cells), adj AS (SELECT a.node, a.z, b.node AS nb FROM p a JOIN p b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.node <> b.node),
+FILL_LEVEL = sql(""", p AS (SELECT r, c, r * @N + c AS node, CASE WHEN (r * 7 + c * 3) % 17 = 0 THEN z - 300 ELSE z END AS z FROM cells), adj AS (SELECT a.node, a.z, b.node AS nb FROM p a JOIN p b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.node <> b.node),
 lv(node, lvl) USING KEY (node) AS (SELECT node, z FROM adj GROUP BY node, z HAVING count(*) < 8 UNION SELECT a.node, min(greatest(a.z, lv.lvl)) FROM lv JOIN adj a ON a.nb = lv.node LEFT JOIN recurring.lv AS old ON old.node = a.node WHERE old.lvl IS NULL OR greatest(a.z, lv.lvl) < old.lvl GROUP BY a.node)
-SELECT p.r, p.c, p.z, coalesce(lvl, p.z) AS filled FROM p LEFT JOIN lv USING (node)""", "cells", recursive=True))
+SELECT p.r, p.c, p.z, coalesce(lvl, p.z) AS filled FROM p LEFT JOIN lv USING (node)""", "cells", recursive=True)
+
+
+def pitted(spark, d):
+    return cells(spark, d).withColumn("z", F.when((F.col("r") * 7 + F.col("c") * 3) % 17 == 0, F.col("z") - 300).otherwise(F.col("z")))
+
+
+@query("r1_fill_level", FILL_LEVEL)
 def r1(spark, d):
-    return R.fill_flat(cells(spark, d).withColumn("z", F.when((F.col("r") * 7 + F.col("c") * 3) % 17 == 0, F.col("z") - 300).otherwise(F.col("z"))))
+    return R.fill_flat(pitted(spark, d))
+
+
+@query("r1_fill_by_passes", FILL_LEVEL)
+def r1p(spark, d):
+    return P.fill_by_passes(pitted(spark, d), side(spark, d), tile=64)
 
 
 @query("r1_fill_gradient")
 def r1g(spark, d):
-    return K.fill_ordered(cells(spark, d).withColumn("raster_id", F.lit(1).cast("long")), 0.01)
+    return P.fill_by_passes(pitted(spark, d), side(spark, d), 0.01, tile=64)
 
 
 @query("e1_evolve")
@@ -589,6 +602,20 @@ def j11(spark, d):
     return E.within_hull(points(spark, d, "customer"), E.hull([(100.0, 100.0), (800.0, 200.0), (500.0, 900.0), (500.0, 400.0)]))
 
 
+@query("ag15_radial_spectrum")
+def ag15(spark, d):
+    t = cells(spark, d).withColumn("block", F.expr("cast(r div 16 * 4096 + c div 16 as int)"))
+    whole = t.groupBy("block").agg(F.count("*").alias("n")).filter("n = 256").select("block")
+    return E.radial_spectrum(t.join(whole, "block"))
+
+
+@query("j11_points_in_hull_of_points", sql(""", p AS (SELECT id, x, y FROM suppliers), u AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM (SELECT DISTINCT x, y FROM p) a, (SELECT DISTINCT x, y FROM p) b WHERE (a.x, a.y) <> (b.x, b.y)),
+hl AS (SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE (x2 - x1) * (p.y - y1) - (y2 - y1) * (p.x - x1) < 0))
+SELECT id, x, y FROM customers c WHERE NOT EXISTS (SELECT 1 FROM hl WHERE (x2 - x1) * (c.y - y1) - (y2 - y1) * (c.x - x1) < 0)""", "suppliers", "customers"))
+def j11_points(spark, d):
+    return E.within_hull(points(spark, d, "customer"), points(spark, d, "supplier"))
+
+
 @query("j2_point_sample", sql(", p AS (SELECT id, x * @N / 960.0::DOUBLE AS x, y * @N / 960.0::DOUBLE AS y FROM customers), g AS (SELECT id, CASE WHEN x <= @N AND y <= @N THEN least(CAST(floor(@N - y) AS INT), @N - 1) END AS r, CASE WHEN x <= @N AND y <= @N THEN least(CAST(floor(x) AS INT), @N - 1) END AS c FROM p) SELECT id, z FROM g LEFT JOIN cells USING (r, c)", "customers", "cells"))
 def j2(spark, d):
     from ..functions.scalar import cell_of
@@ -639,13 +666,30 @@ def x23(spark, d):
     return E.at_density(t, 50.5).select("method", F.round("metric", 6).alias("metric"))
 
 
-@query("w11_clean_edges", sql(""", d AS (SELECT cat, seq, z, list(z) OVER w AS near, count(*) OVER (PARTITION BY cat) AS n FROM vertices WINDOW w AS (PARTITION BY cat ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
-m AS (SELECT *, list_median(near) AS mid FROM d), g AS (SELECT *, list_median(list_transform(near, lambda x: abs(x - mid))) AS mad FROM m), b AS (SELECT *, seq > 0 AND seq < n - 1 AND mad > 0 AND abs(0.6745 * (z - mid) / mad) > 2.0 AS bad FROM g),
-s AS (SELECT cat, seq, n, z, bad, list_median(list(CASE WHEN bad THEN NULL ELSE z END) OVER w) AS sound FROM b WINDOW w AS (PARTITION BY cat ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)), c AS (SELECT cat, seq, n, CASE WHEN bad AND n > 2 THEN sound ELSE z END AS z FROM s),
-j(it, cat, seq, n, z) AS (SELECT 0, cat, seq, n, z FROM c UNION ALL SELECT it + 1, cat, seq, n, CASE WHEN seq = 0 OR seq = n - 1 THEN z WHEN n = 3 THEN (lag(z) OVER w + lead(z) OVER w) / 2 ELSE z + 0.85 * 0.5 * (lag(z) OVER w - 2 * z + lead(z) OVER w) END FROM j WHERE it < 50 WINDOW w AS (PARTITION BY cat ORDER BY seq))
-SELECT cat, CAST(seq AS INT) AS seq, round(z, 6) AS z FROM j WHERE it = 50""", "vertices", recursive=True))
+# Despiking needs a point's window alone; smoothing goes step by step over all vertices, ends fixed at the nodes' values:
+# each edge starts at the mean of its first two values and ends at the last one's floor.
+W11_ALPHA, W11_STEPS = 0.35, 5
+W11_NODES = ", nd AS (SELECT cat, (max(z) FILTER (seq = 0) + coalesce(max(z) FILTER (seq = 1), max(z) FILTER (seq = 0))) / 2 AS l, floor(arg_max(z, seq)) AS r FROM vertices GROUP BY cat)"
+
+
+def _w11_sql() -> str:
+    body = W11_NODES + """, w AS (SELECT cat, seq, z, list(z) OVER (PARTITION BY cat ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near, count(*) OVER (PARTITION BY cat) AS n FROM vertices),
+m AS (SELECT *, list_median(near) AS md FROM w), sp AS (SELECT *, list_median(list_transform(near, lambda x: abs(x - md))) AS mad FROM m),
+b AS (SELECT *, seq > 0 AND seq < n - 1 AND n > 2 AND mad > 0 AND abs(0.6745 * (z - md) / mad) > 2 AS bad FROM sp),
+g AS (SELECT *, list(CASE WHEN NOT bad THEN z END) OVER (PARTITION BY cat ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS good FROM b),
+y0 AS (SELECT g.cat, seq, n, l, r, CASE WHEN n = 1 THEN (l + r) / 2 WHEN seq = 0 THEN l WHEN seq = n - 1 THEN r WHEN bad THEN list_median(list_filter(good, lambda x: x IS NOT NULL)) ELSE z END AS y FROM g JOIN nd ON nd.cat = g.cat)"""
+    for k in range(W11_STEPS):
+        body += f", y{k + 1} AS (SELECT cat, seq, n, l, r, CASE WHEN seq = 0 OR seq = n - 1 THEN y ELSE y + {W11_ALPHA} * (0.5 * (lag(y) OVER q + lead(y) OVER q) - y) END AS y FROM y{k} WINDOW q AS (PARTITION BY cat ORDER BY seq))"
+    return sql(body + f" SELECT cat, CAST(seq AS INT) AS seq, round(y, 6) AS z FROM y{W11_STEPS}", "vertices")
+
+
+@query("w11_clean_edges", _w11_sql())
 def w11(spark, d):
-    return K.clean_edges(vertices(spark, d), window=5, steps=50).withColumn("z", F.round("z", 6))
+    v = keep(vertices(spark, d), "vertices")
+    first = F.max(F.when(F.col("seq") == 0, F.col("z")))
+    second = F.max(F.when(F.col("seq") == 1, F.col("z")))
+    ends = v.groupBy("cat").agg(((first + F.coalesce(second, first)) / 2).alias("left"), F.floor(F.max_by("z", "seq")).cast("double").alias("right"))
+    return K.clean_edges(v, 5, alpha=W11_ALPHA, steps=W11_STEPS, ends=ends).withColumn("z", F.round("z", 6))
 
 
 assert SQL
