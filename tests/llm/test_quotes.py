@@ -165,3 +165,26 @@ def test_long_conversations_are_ranked_by_ranges(spark, monkeypatch):
     whole = sorted(map(repr, Q.ordered(df).collect()))
     monkeypatch.setattr(common, "GROUP_ROWS", 10)
     assert sorted(map(repr, Q.ordered(df.repartition(3)).collect())) == whole and len(whole) == len(rows)
+
+
+def test_sets_that_share_common_lines_meet_kinds_not_conversations(spark, monkeypatch):
+    """n writers of two common lines, n others that quote both with lines between: rows in proportion to n."""
+    from thalweg.llm import quotes as Q
+
+    monkeypatch.setattr(Q, "COMMON", 5)
+    made = []
+    inner = Q.Scratch.keep
+
+    def keep(self, df, name):
+        out = inner(self, df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(Q.Scratch, "keep", keep)
+    n = 60
+    rows = [(i, 0, "a", f"thanks\nhi\nown line {i}") for i in range(n)]
+    rows += [(1000 + i, 0, "a", f"> thanks\n> a foreign line {i}\n> hi\nreply") for i in range(n)]
+    rows += [(2000, 0, "a", "> thanks\n> own line 7\n> hi\nyes"), (2001, 0, "a", "> own line 9\n> something else\n> hi\nyes")]
+    got = {r.conv_id: r.source_conv_id for r in Q.ordered(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).filter("n_quoted > 0").collect()}
+    assert all(got[1000 + i] == 0 for i in range(n)) and got[2000] == 7 and got[2001] == 9
+    assert max(c for _, c in made) < 12 * n

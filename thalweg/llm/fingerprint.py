@@ -36,9 +36,12 @@ GRAM = 4
 #: Signatures in a fingerprint, each at twice the block size of the one before.
 LEVELS = 3
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-#: Stored bytes of one range of doc_ids, and the most ranges.
+#: Stored bytes of one range of doc_ids, up to so many ranges; beyond, ranges grow to RANGE_BYTES_MOST, then in number again.
 RANGE_BYTES = 4 << 20
-RANGES_MOST = 100_000
+RANGES_SMALL = 25_000
+RANGE_BYTES_MOST = 128 << 20
+#: Sampled keys a range that the cuts come from.
+KEYS_A_RANGE = 50
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -233,29 +236,29 @@ def _stored_bytes(docs: DataFrame) -> int:
 
 
 def _cuts(keys: DataFrame, ranges: int) -> list[int]:
-    """Keys that divide the rows into about equal ranges, from a sample of about 50 keys a range.
+    """Keys that divide the rows into about equal ranges, from a sample of KEYS_A_RANGE keys a range (an array of numbers).
 
     The sample decides where rows are worked on, not what comes out.
     """
     n = keys.count()
     if ranges < 2 or not n:
         return []
-    some = sorted(r.o for r in keys.sample(min(1.0, 50 * ranges / n), seed=1).collect())
-    return sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
+    some = np.sort(keys.sample(min(1.0, KEYS_A_RANGE * ranges / n), seed=1).toArrow().column(0).to_numpy())
+    return np.unique(some[len(some) * np.arange(1, ranges) // ranges]).tolist() if len(some) else []
 
 
 def with_following(docs: DataFrame) -> DataFrame:
     """Rows (part, key, text, guest) in falling order of doc_id within a part.
 
     The row after a part's last goes to that part too, as its guest. Texts are read and exchanged once; what
-    the driver sees are a few keys for each range. Ranges are of RANGE_BYTES, larger ones where that would
-    make more than RANGES_MOST of them.
+    the driver sees are a few keys for each range, whose number follows the table's size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("o", F.coalesce("key", F.lit(-(1 << 63)).cast("long")))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(RANGES_MOST, max(least, -(-_stored_bytes(docs) // RANGE_BYTES)))
+    stored = _stored_bytes(docs)
+    ranges = max(least, min(RANGES_SMALL, -(-stored // RANGE_BYTES)), -(-stored // RANGE_BYTES_MOST))
     cuts = np.array(_cuts(rows.select("o"), ranges), np.int64)
 
     @F.pandas_udf("int")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import limit_batches
+from .common import Scratch, limit_batches
 
 BITS = 18
 SAMPLE = 6000
@@ -84,19 +84,16 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def _telling(cols: np.ndarray, grade: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _telling(hits: np.ndarray, grades: np.ndarray) -> np.ndarray:
     """Features in LEAST_TEXTS texts or more whose share in a grade is at least LEAST_Z standard errors off.
 
-    cols: features, each once a text; grade: that of the text, for each.
+    hits: texts of each grade (a row) that a feature stands in; grades: how many texts have each grade.
     """
-    n = len(y)
-    seen = np.bincount(cols, minlength=1 << BITS)
-    out = np.zeros(1 << BITS, bool)
-    for k in range(GRADES):
-        share = (y == k).mean()
-        hits = np.bincount(cols[grade == k], minlength=1 << BITS)
+    n, seen = grades.sum(), hits.sum(axis=0)
+    out = np.zeros(hits.shape[1], bool)
+    for k, share in enumerate(grades / n):
         # the variance of a share allows for overlap between the seen texts and all texts
-        out |= np.abs(hits - share * seen) >= LEAST_Z * np.sqrt(np.maximum(share * (1 - share) * seen * (1 - seen / n), 1e-9))
+        out |= np.abs(hits[k] - share * seen) >= LEAST_Z * np.sqrt(np.maximum(share * (1 - share) * seen * (1 - seen / n), 1e-9))
     return out & (seen >= LEAST_TEXTS)
 
 
@@ -111,7 +108,9 @@ def fit(y: np.ndarray, sizes: np.ndarray, marked: np.ndarray, cols: np.ndarray,
         return None
     n = len(y)
     row = np.repeat(np.arange(n, dtype=np.int32), marked)
-    keep = _telling(cols, y.astype(np.int8)[row], y)[cols]
+    grade = y[row]
+    hits = np.stack([np.bincount(cols[grade == k], minlength=1 << BITS) for k in range(GRADES)])
+    keep = _telling(hits, np.bincount(y, minlength=GRADES))[cols]
     cols, row, counts = cols[keep], row[keep], counts[keep]
     used, cols = np.unique(cols, return_inverse=True)  # the weights of all others stay 0
     value = np.where(counts == 0, 1.0, counts / np.sqrt(np.maximum(1, sizes))[row])
@@ -172,10 +171,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     chosen = graded(labels).orderBy(F.xxhash64("_id"), "_id", "_grade").limit(sample)
     limit_batches(docs.sparkSession)
     # The broadcast side has at most `sample` rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
-        "_id", "_grade", "text").mapInArrow(_training, "id long, grade int, n int, f array<int>, c array<int>")
+    rows = Scratch(docs.sparkSession).keep(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
+        "_id", "_grade", "text").mapInArrow(_training, "id long, grade int, n int, f array<int>, c array<int>"), "features")
+    # Which features tell the grades apart is counted in Spark; the driver gets a row for each feature, then only the telling ones of each text.
+    of = [F.count_if(F.col("grade") == k).alias(f"g{k}") for k in range(GRADES)]
+    counts = rows.select("grade", F.explode("f").alias("f")).groupBy("f").agg(*of).toArrow()
+    hits = np.zeros((GRADES, 1 << BITS), np.int64)
+    for k in range(GRADES):
+        hits[k, counts["f"].to_numpy()] = counts[f"g{k}"].to_numpy()
+    total = rows.agg(*of).first()
+    telling = _telling(hits, np.array([total[f"g{k}"] for k in range(GRADES)])) if sum(total) else np.zeros(1 << BITS, bool)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f, c = ([np.asarray(x, np.int32) for x in col.to_pylist()] for col in (b.column(3), b.column(4)))
+            told = [telling[x] for x in f]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], *(pa.array([x[t] for x, t in zip(col, told)], pa.list_(pa.int32())) for col in (f, c))], names=["id", "grade", "n", "f", "c"])
+
     # In one order, so that the sums, and so the model, are the same every time.
-    got = rows.orderBy("id", "grade", "n", F.xxhash64("f")).select("grade", "n", "f", "c").toArrow()
+    got = rows.mapInArrow(only, "id long, grade int, n int, f array<int>, c array<int>").orderBy("id", "grade", "n", F.xxhash64("f")).select("grade", "n", "f", "c").toArrow()
     flat = lambda k: np.concatenate(
         [x.values.to_numpy()[x.offsets[0].as_py():x.offsets[-1].as_py()] for x in got.column(k).chunks] or [np.empty(
             0, np.int32)])

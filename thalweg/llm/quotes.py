@@ -71,15 +71,29 @@ def messages(conversations: DataFrame, groups: Groups) -> DataFrame:
     return groups.numbered(conversations.select("conv_id", "turn", "role", "text"), order, "pos").withColumn("lines", parse(F.col("text")))
 
 
+#: Conversations that wrote a line from which on it is common.
+COMMON = 64
+
+
 def _first_two(df: DataFrame, by: str, *order: Column | str) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter("nth <= 2").drop("nth")
 
 
+def _two_least(df: DataFrame, by: str, of: str, scratch: Scratch) -> DataFrame:
+    """(by, of): the two least values in each group, by partial aggregates."""
+    least = scratch.keep(df.groupBy(by).agg(F.min(of).alias(of)), "least")
+    above = df.join(least.select(F.col(by).alias("_b"), F.col(of).alias("_l")), F.col(by) == F.col("_b")).filter(F.col(of) > F.col("_l"))
+    return least.unionByName(above.groupBy(by).agg(F.min(of).alias(of)))
+
+
 def sources(far: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, pos, n_far, source_conv_id) from quoted units (conv_id, pos, k, whole, h, n) and own ones (conv_id, h).
 
-    k is the passage's number; where another conversation has the whole passage, its lines don't count. Of the conversations that told some of a set's lines, one that told none but the commonest can only win by
-    its number, so the two smallest such numbers do (two, since a message isn't its own conversation's source).
+    k is the passage's number; where another conversation has the whole passage, its lines don't count. Conversations
+    that wrote one of a set's rarer lines are met by it, and their common lines are then looked up. One that wrote none
+    of the rarer lines counts by its common ones alone, as do all with the same common lines, so the two smallest
+    numbers of these do (two, since a message isn't its own conversation's source): sets of common lines meet
+    kinds of conversations, not conversations.
     """
     told = own.filter("conv_id IS NOT NULL").select(F.col("conv_id").alias("src"), "h")
     who = told.groupBy(F.col("h").alias("wh")).agg(F.count("*").alias("convs"), F.min("src").alias("lo"), F.max("src").alias("hi"))
@@ -92,18 +106,21 @@ def sources(far: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
         F.sort_array(F.collect_list(F.struct((-F.col("convs")).alias("c"), "h", "n"))).alias("set"))
     sets = scratch.keep(sets.withColumn("sig", F.xxhash64("set")), "quoted")
     asked = scratch.keep(
-        sets.dropDuplicates(["sig"]).select("sig", F.posexplode("set").alias("k", "x")).select(
-            "sig", "k", "x.h", "x.n"), "asked")
-    told = told.join(asked.select("h").distinct(), "h", "left_semi")
-    kinds = told.groupBy("src").agg(F.xxhash64(F.sort_array(F.collect_list("h"))).alias("kind"))
-    told = scratch.keep(told.join(_first_two(kinds, "kind", "src").select("src"), "src", "left_semi").select("src", "h"), "told")
-    top = asked.filter("k = 0").select("sig", F.col("h").alias("th"), F.col("n").alias("tn"))
-    rest = asked.filter("k > 0").join(told, "h").groupBy("sig", "src").agg(F.sum("n").alias("n")).join(top, "sig")
-    also = told.select(F.col("src").alias("s2"), F.col("h").alias("h2"))
-    rest = rest.join(also, (F.col("src") == F.col("s2")) & (F.col("th") == F.col("h2")), "left").select(
-        "sig", "src", (F.col("n") + F.when(F.col("s2").isNotNull(), F.col("tn")).otherwise(0)).alias("n"))
-    alone = top.join(_first_two(told, "h", "src"), F.col("th") == F.col("h")).select("sig", "src", F.col("tn").alias("n"))
-    best = _first_two(rest.unionByName(alone).groupBy("sig", "src").agg(F.max("n").alias("n")), "sig", F.col("n").desc(), "src")
+        sets.dropDuplicates(["sig"]).select("sig", F.explode("set").alias("x")).select(
+            "sig", "x.h", "x.n", (F.col("x.c") < -COMMON).alias("common")), "asked")
+    ask = asked.groupBy("h").agg(F.max("common").alias("common"))
+    told = told.join(ask, "h")
+    kinds = told.groupBy("src").agg(F.xxhash64(F.sort_array(F.collect_list("h"))).alias("kind"), F.xxhash64(F.sort_array(F.collect_list(F.when(F.col("common"), F.col("h"))))).alias("common_kind"))
+    kinds = scratch.keep(kinds, "kinds")
+    told = scratch.keep(told.join(_two_least(kinds, "kind", "src", scratch).select("src").distinct(), "src", "left_semi").select("src", "h", "common"), "told")
+    rare = asked.filter("NOT common").select("sig", "h", "n").join(told.select("h", "src"), "h").groupBy("sig", "src").agg(F.sum("n").alias("n"))
+    rare = scratch.keep(rare, "rare")
+    frequent = asked.filter("common").select("sig", "h", "n")
+    also = rare.select("sig", "src").join(frequent, "sig").join(told.filter("common").select("src", "h"), ["src", "h"]).select("sig", "src", "n")
+    few = _two_least(kinds, "common_kind", "src", scratch).select("src").distinct()
+    alone = frequent.join(told.filter("common").join(few, "src", "left_semi").select("h", "src"), "h").groupBy("sig", "src").agg(F.sum("n").alias("n"))
+    rest = rare.unionByName(also).groupBy("sig", "src").agg(F.sum("n").alias("n")).unionByName(alone)
+    best = _first_two(rest.groupBy("sig", "src").agg(F.max("n").alias("n")), "sig", F.col("n").desc(), "src")
     best = best.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "src"))).alias("two"))
     one, two = (F.get("two", F.lit(k))["src"] for k in (0, 1))
     return sets.join(best, "sig").select(
