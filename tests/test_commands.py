@@ -101,6 +101,19 @@ def test_a_raw_terrain_with_pits_gives_the_heads_of_the_filled_one(spark):
 def test_edges_end_at_their_nodes(spark):
     nodes = spark.createDataFrame([(1, 10.0), (2, 4.0)], "node long, z double")
     edges = spark.createDataFrame([(1, 2, 7, i, float(i), z) for i, z in enumerate([30.0, 8.0, 7.0, 6.0, 0.0])], "src long, dst long, cat long, seq int, s double, z double")
-    _, links = C.clean_network(nodes.union(spark.createDataFrame([(3, 1.0)], nodes.schema)), edges.union(spark.createDataFrame([(2, 3, 8, 0, 0.0, 3.0), (2, 3, 8, 1, 1.0, 2.0)], edges.schema)), keep_fraction=1.0, n_iters=3, despike_window=2, despike_k=50.0)
-    got = {(r.cat, r.seq): r.z for r in links.collect()}
-    assert got[7, 0] == 10.0 and got[7, 4] == 4.0 and got[8, 0] == 4.0
+    ends = spark.createDataFrame([(7, 10.0, 4.0)], "cat long, left double, right double")
+    got = {r.seq: r.z for r in K.clean_edges(edges, 2, 50.0, steps=3, ends=ends).collect()}
+    assert (got[0], got[2], got[4]) == (10.0, 7.0, 4.0) and got[0] > got[1] > got[2] > got[3] > got[4]
+    _, links = C.clean_network(nodes.union(spark.createDataFrame([(3, 1.0)], nodes.schema)), edges, keep_fraction=1.0, n_iters=3, despike_window=2, despike_k=50.0)
+    assert all(4 <= r.z <= 10 for r in links.collect()) and links.count() == 5
+
+
+def test_a_large_raster_evolves_in_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    z = rng.random((7, 6))
+    cells = spark.createDataFrame([(r, c, float(z[r, c])) for r in range(7) for c in range(6)], "r int, c int, z double")
+    small = {(x.step, x.r, x.c): x.z for x in C.evolve(cells, 2, k=1e-3, record_every=1).collect()}
+    monkeypatch.setattr(C, "RASTER_CELLS", 10)
+    large = {(x.step, x.r, x.c): x.z for x in C.evolve(cells, 2, k=1e-3, record_every=1).collect()}
+    assert set(large) == set(small) == {(s, r, c) for s in (0, 1) for r in range(7) for c in range(6)}
+    assert max(abs(large[k] - small[k]) for k in small) < 1e-5

@@ -31,7 +31,7 @@ def plain(z, recv, e, n):
     return new
 
 
-@pytest.mark.parametrize("n, tile", [(1.0, 4), (1.0, 16), (1.5, 8)])
+@pytest.mark.parametrize("n, tile", [(1.0, 4), (1.5, 8)])
 def test_a_step_over_a_forest_equals_a_walk_up(spark, n, tile):
     rng = np.random.default_rng(4)
     z, recv = forest(rng, 26, 14)
@@ -59,12 +59,12 @@ def test_rounds_grow_with_the_logarithm_of_the_tiles(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(I, "fixpoint", counted)
-    size = 256
+    size = 128
     rows = [(i, i, 0, float(size - i), min(i + 1, size - 1), 0.5) for i in range(size)]
     t = spark.createDataFrame(rows, "node long, r int, c int, z double, recv long, erosion double")
     got = [r.z for r in I.incise(t, 1, 1.0, 4).orderBy("node").collect()]
     want = plain(np.arange(size, 0, -1.0)[:, None], np.minimum(np.arange(size) + 1, size - 1), np.full(size, 0.5), 1.0)
-    assert np.allclose(got, want) and max(rounds) <= 7  # 64 tiles in a row
+    assert np.allclose(got, want) and max(rounds) <= 6  # 32 tiles in a row
 
 
 def test_functions_compose():
@@ -82,8 +82,8 @@ def test_functions_compose():
         assert len(f.a) <= 7 and all(p <= q for p, q in zip(f.cuts, f.cuts[1:]))
 
 
-@pytest.mark.parametrize("n", [1.0, 1.5])
-def test_many_tiles_evolve_as_one_raster(spark, n):
+def test_many_tiles_evolve_as_one_raster(spark):
+    n = 1.0
     rng = np.random.default_rng(1)
     z = rng.random((20, 17))
     z[[0, -1], :] = z[:, [0, -1]] = 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import ACCUMULATION_LABELS
 from .operators import heads as H
+from .operators import incision as I
 from .operators import kernels as K
 from .operators import network as N
 from .operators import routing as R
@@ -160,15 +161,33 @@ def route(cells: DataFrame, ncols: int, min_slope: float = 0.0, cellsize: float
     return R.accumulate(keep(R.receivers(z, ncols), "nodes"), cellsize)
 
 
+#: Cells of a raster that one task evolves.
+RASTER_CELLS = 256 * 256
+
+
 def evolve(cells: DataFrame, nsteps: int = 0, k: float = 1e-5, m: float = 0.5, n: float = 1.0, uplift: float = 1e-3,
     dt: float = 1000.0, min_slope: float = 1e-4, cellsize: float = 1.0, boundary: str | None = "edges",
     record_every: int = 0) -> DataFrame:
     """Cells (raster_id, step, r, c, z) after nsteps of landscape evolution, with snapshots if asked for; no step leaves them as they are.
 
-    boundary: edges, mask (a boolean column fixed) or None. A raster is evolved in one task.
+    boundary: edges, mask (a boolean column fixed) or None. Rasters of a column raster_id, and one of up to RASTER_CELLS
+    cells, are evolved in a task each; a larger one goes through many tasks, step by step.
     """
-    cells = cells if "raster_id" in cells.columns else cells.withColumn("raster_id", F.lit(1).cast("long"))
-    return K.evolve(cells, nsteps, boundary, record_every, k, m=m, n=n, uplift=uplift, dt=dt, min_slope=min_slope, cellsize=cellsize)
+    more = {"m": m, "n": n, "uplift": uplift, "dt": dt, "min_slope": min_slope, "cellsize": cellsize}
+    if "raster_id" in cells.columns or not nsteps or cells.limit(RASTER_CELLS + 1).count() <= RASTER_CELLS:
+        cells = cells if "raster_id" in cells.columns else cells.withColumn("raster_id", F.lit(1).cast("long"))
+        return K.evolve(cells, nsteps, boundary, record_every, k, **more)
+    ncols = cells.agg(F.max("c")).first()[0] + 1
+    rates = cells.drop("z")
+    recorded = sorted({nsteps - 1, *(range(0, nsteps, record_every) if record_every else ())})
+    out, cur, done = None, cells, 0
+    for step in recorded:
+        z = I.evolve_tiled(cur, step + 1 - done, ncols, k, boundary=boundary, **more)
+        done = step + 1
+        shot = z.select(F.lit(1).cast("long").alias("raster_id"), F.lit(step).alias("step"), "r", "c", F.col("z").cast("float").cast("double").alias("z"))
+        out = shot if out is None else out.unionByName(shot)
+        cur = rates.join(z, ["r", "c"])
+    return out
 
 
 def clean_coarsen(v: DataFrame, despike_window: int = 100, despike_k: float = 2.0, alpha: float = 0.85,

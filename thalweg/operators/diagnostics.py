@@ -11,7 +11,8 @@ from ..plans.iterate import fixpoint, keep, prefix_sums, walk
 from .quantiles import exact_quantiles
 from .network import upstream_sum
 from .routing import RING, farthest_upslope, gather, given_forest
-from .slopearea import binned_break, binned_medians
+from .metrics import zonal_quantiles
+from .slopearea import accepted_stick, binned_break, binned_medians
 from .tiles import stencil, windows
 
 
@@ -138,44 +139,52 @@ def signature_match(a: DataFrame, b: DataFrame, scales: dict[str, float]) -> Dat
         F.min(F.struct("d2", "id_b")).alias("m")).select("id_a", "m.id_b", "m.d2")
 
 
-def accumulate_and_prune(seg: DataFrame, v: DataFrame, gate, least: int = 20) -> DataFrame:
-    """(cat, logA_star, theta): segments whose ancestors' pooled cloud passes `gate` and none of whose descendants took them.
+def accumulate_and_prune(seg: DataFrame, v: DataFrame, gate=accepted_stick, least: int = 20, bins: int = 18, per_bin: int = 8) -> DataFrame:
+    """(cat, logA_star, theta): segments whose ancestors' pooled cloud passes `gate` and that none taken before them holds.
 
-    Candidates go by rising greatest area inside each drainage tree (column root), a tree to a task: the
-    choice is greedy and in order. gate(logA, logS) gives (logA_star, theta) or None.
+    A segment's pool are its own points and those of all that drain through it, at least `least` of them; gate(x, y) is
+    asked about the medians of its equal-width bins of at least per_bin points and gives (logA_star, theta) or None.
+    Segments are taken by rising greatest area (then cat), and what is taken takes its ancestors with it.
+
+    Medians of all pools' bins come from one sort (`zonal_quantiles`), so no pool is a group of its own. Only where an
+    ancestor has the greater area does it matter who comes first; such pairs alone are settled, in rounds.
     """
-    def one(pdf):
+    here = seg.select(F.col("cat").alias("c2"))
+    steps = seg.select(F.col("cat").alias("node"), F.col("tostream").alias("to")).join(here, F.col("to") == F.col("c2"), "left_semi")
+    pairs = keep(walk(steps, seg.select(F.col("cat").alias("start"))).select(F.col("start").alias("cat"), F.col("node").alias("top")), "pools")
+    points = v.filter("logA IS NOT NULL AND logS IS NOT NULL").select("cat", F.col("logA").alias("x"), F.col("logS").alias("y"))
+    own = keep(points.groupBy("cat").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")), "own")
+    ends = pairs.join(own, "cat").groupBy("top").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).filter(
+        (F.col("n") >= max(least, 2 * per_bin)) & (F.col("hi") > F.col("lo")))
+    at = F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))
+    pooled = keep(pairs.join(keep(ends, "ends"), "top").join(points, "cat").filter(F.col("x") < F.col("hi")).select(
+            (F.col("top") * bins + F.least(at, F.lit(bins - 1))).cast("long").alias("zone"), "x", "y", F.xxhash64("cat", "x", "y").alias("key")), "pooled")
+    mids = [zonal_quantiles(pooled, "zone", c, [0.5], "key").select("zone", "n", F.col("q").alias(c)) for c in ("x", "y")]
+    bin_ = mids[0].filter(F.col("n") >= per_bin).join(mids[1].drop("n"), "zone")
+    clouds = bin_.groupBy(F.expr(f"zone div {bins}").alias("cat")).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("m"))  # a few bins each
+
+    def asked(frames):
         import numpy as np
         import pandas as pd
 
-        to = dict(zip(pdf.cat, pdf.tostream, strict=True))
-        up: dict = {}
-        for c, t in to.items():
-            up.setdefault(t, []).append(c)
-        area = {c: (max(a) if len(a) else -np.inf) for c, a in zip(pdf.cat, pdf.logA, strict=True)}
-        cloud = {c: (np.asarray(a, float), np.asarray(s, float)) for c, a, s in zip(pdf.cat, pdf.logA, pdf.logS, strict=True)}
-        taken, rows = set(), []
-        for c in sorted(to, key=lambda c: (area[c], c)):
-            if c in taken:
-                continue
-            pool, todo = [], [c]
-            while todo:
-                n = todo.pop()
-                pool.append(n)
-                todo += up.get(n, [])
-            x, y = (np.concatenate([cloud[n][k] for n in pool]) for k in (0, 1))
-            found = gate(x, y) if len(x) >= least else None
-            if found is not None:
-                rows.append((c, *found))
-                taken.update(pool)
-        return pd.DataFrame(rows, columns=["cat", "logA_star", "theta"]).astype({"cat": "int64", "logA_star": float, "theta": float})
-
-    pts = v.groupBy("cat").agg(F.collect_list(F.struct("seq", "logA", "logS")).alias("p")).select(
-        "cat", F.array_sort("p").alias("p"))  # a segment's own vertices
-    t = seg.join(pts, "cat", "left").select(
-        "root", "cat", "tostream", F.coalesce(F.col("p.logA"), F.array().cast("array<double>")).alias("logA"),
-        F.coalesce(F.col("p.logS"), F.array().cast("array<double>")).alias("logS"))
-    return t.groupBy("root").applyInPandas(one, "cat long, logA_star double, theta double")
+        for pdf in frames:
+            got = [(c, gate(np.array(x, float), np.array(y, float))) for c, x, y in zip(pdf["cat"], pdf["x"], pdf["y"])]
+            yield pd.DataFrame([(c, *g[:2]) for c, g in got if g is not None], columns=["cat", "logA_star", "theta"]).astype({"cat": "int64", "logA_star": float, "theta": float})
+
+    passed = keep(clouds.select("cat", F.col("m.x").alias("x"), F.col("m.y").alias("y")).mapInPandas(asked, "cat long, logA_star double, theta double"), "passed")
+    turn = passed.select("cat").join(own.select("cat", "hi"), "cat", "left").select("cat", F.struct(F.coalesce("hi", F.lit(float("-inf"))), "cat").alias("turn"))
+    mine, theirs = (turn.select(F.col("cat").alias(c), F.col("turn").alias(f"turn_{c}")) for c in ("cat", "top"))
+    # a passing ancestor whose turn comes after that of a passing segment below it
+    rivals = keep(pairs.filter("cat <> top").join(mine, "cat").join(theirs, "top").filter(F.col("turn_top") < F.col("turn_cat")).select("cat", "top"), "rivals")
+    left = passed.select("cat")
+    while rivals.limit(1).count():
+        # those that wait for nobody stand, what they hold goes, and so do the claims of what has gone
+        waits = rivals.select("cat").distinct()
+        stands = left.join(waits, "cat", "left_anti").select(F.col("cat").alias("top"))
+        gone = keep(rivals.join(stands, "top", "left_semi").select("cat").distinct(), "gone")
+        left = keep(left.join(gone, "cat", "left_anti"), "left")
+        rivals = keep(rivals.join(gone, "cat", "left_anti").join(gone.select(F.col("cat").alias("top")), "top", "left_anti"), "rivals")
+    return passed.join(left, "cat", "left_semi")
 
 
 def local_threshold(stars: DataFrame, members: DataFrame, v: DataFrame) -> DataFrame:

@@ -202,6 +202,12 @@ def tent(points: DataFrame, bins: int = 12, least: int = 2) -> DataFrame:
     return _of_medians(points, bins, least, peak, "peak double, R double, theta double", closed=True)
 
 
+def accepted_stick(x, y) -> tuple[float, float] | None:
+    """(logA_star, theta) of the stick through medians, if it is accepted."""
+    got = stick(x, y)
+    return got[:2] if got and got[-1] else None
+
+
 def stick_gate(x, y, bins: int = 18, least: int = 8) -> tuple[float, float] | None:
     """(logA_star, theta) of a cloud in memory whose stick is accepted; bins as in `binned_medians`."""
     import pandas as pd
@@ -211,8 +217,7 @@ def stick_gate(x, y, bins: int = 18, least: int = 8) -> tuple[float, float] | No
         return None
     t = pd.DataFrame({"x": x, "y": y, "bin": ((x - x.min()) / width).astype(int)})[x < x.max()]
     by = t.groupby("bin").filter(lambda g: len(g) >= least).groupby("bin")[["x", "y"]].median()
-    got = stick(by["x"].to_numpy(), by["y"].to_numpy())
-    return got[:2] if got and got[-1] else None
+    return accepted_stick(by["x"].to_numpy(), by["y"].to_numpy())
 
 
 def area_survival(v: DataFrame, levels: int = 60) -> DataFrame:

@@ -157,11 +157,11 @@ def sa10(spark, d):
 
 @query("sa5_accumulate_and_prune")
 def sa5(spark, d):
-    seg = segments(spark, d).withColumn("root", F.lit(1))
+    seg = segments(spark, d)
     area = F.log10(F.col("o_orderkey") * 31 % 997 + 1)
     slope = -1 - 0.5 * F.greatest(F.lit(0.0), area - 1.8) + (F.col("o_orderkey") % 7 - 3) / 100.0
     v = table(spark, d, "orders").select(F.col("o_custkey").alias("cat"), F.col("o_orderkey").alias("seq"), area.alias("logA"), slope.alias("logS"))
-    return G.accumulate_and_prune(seg, v, A.stick_gate, 60)
+    return G.accumulate_and_prune(seg, v, least=60)
 
 
 @query("x24_apex_control", sql(NODES + AREA + """, dn(node, at_, fd) AS (SELECT node, recv, CASE flc WHEN 2 THEN sqrt(2.0) WHEN 1 THEN 1.0 ELSE 0.0 END FROM nodes UNION ALL SELECT d.node, n.recv, fd + CASE n.flc WHEN 2 THEN sqrt(2.0) ELSE 1.0 END FROM dn d JOIN nodes n ON n.node = d.at_ WHERE n.recv <> n.node), fds AS (SELECT node, max(fd) AS fd FROM dn GROUP BY node),
