@@ -114,7 +114,7 @@ def test_readers_without_topology_and_to_a_graph(spark):
     region = RA.Region(0, 30, 10, 10, 3, 4)
     cells = spark.createDataFrame([(r, c, float(r * 4 + c)) for r in range(3) for c in range(4)], "r int, c int, v double")
     lines = spark.createDataFrame([(1, 0, 5.0, 25.0), (1, 1, 25.0, 25.0), (2, 0, 25.0, 25.0), (2, 1, 25.0, 5.0)], "cat long, seq int, x double, y double")
-    v, to = NW.read_segments(lines, {"z": cells}, region)
+    v, to = NW.read_segments(lines, {"z": cells, "A": None}, region)
     assert v.count() == 4 and {tuple(r) for r in to.collect()} == {(1, 0), (2, 0)}
     nodes, edges = NW.read_graph(lines, spark.createDataFrame([(1, 2), (2, 0)], "cat long, tostream long"), {"z": cells}, region)
     assert nodes.count() == 3 and {(r.src, r.dst) for r in edges.collect()} == {(2, 0)}

@@ -19,9 +19,13 @@ def topology(df: DataFrame) -> DataFrame:
     return df.select(F.col("cat").cast("long").alias("cat"), F.col("tostream").cast("long").alias("tostream"))
 
 
-def read_records(lines: DataFrame, rasters: dict[str, DataFrame], region: Region, accum_mult: float = 1.0,
+def read_records(lines: DataFrame, rasters: dict[str, DataFrame | None], region: Region, accum_mult: float = 1.0,
     assume_complete: bool = False) -> DataFrame:
-    """Vertices (cat, seq, x, y, s_down, s_up and one column a raster) of lines (cat, seq, x, y), validated where A is among them."""
+    """Vertices (cat, seq, x, y, s_down, s_up and one column a raster) of lines (cat, seq, x, y), validated where A is among them.
+
+    A raster that is None is left out, as if its name weren't given.
+    """
+    rasters = {name: cells for name, cells in rasters.items() if cells is not None}
     v = drop_coincident(lines.filter("cat IS NOT NULL").select("cat", "seq", "x", "y"))
     for name, cells in rasters.items():
         v = sample(v, cells.withColumnRenamed("v", name), region, name)
@@ -51,7 +55,7 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select(*(safe(f.name, f.dataType).alias(f.name) for f in df.schema.fields))
 
 
-def read_segments(lines: DataFrame, rasters: dict[str, DataFrame], region: Region, accum_mult: float = 1.0,
+def read_segments(lines: DataFrame, rasters: dict[str, DataFrame | None], region: Region, accum_mult: float = 1.0,
     assume_complete: bool = False) -> tuple[DataFrame, DataFrame]:
     """(vertices, topology) of lines without a topology: as `read_records`, every segment draining to 0."""
     v = read_records(lines, rasters, region, accum_mult, assume_complete)
